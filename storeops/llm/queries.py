@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from storeops.llm import exact_dedup, secret_scan, url_filter
+from storeops.llm import exact_dedup, minhash, secret_scan, url_filter
 
 QUERIES = {
+    "op1_minhash": minhash.op1_minhash,
     "op3_secret_scan": secret_scan.op3_secret_scan,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op8_url_filter": url_filter.op8_url_filter,
 }
 
 ORACLES = {
+    "op1_minhash": minhash.ORACLE,
     "op5_exact_dedup": exact_dedup.ORACLE,
     "op8_url_filter": url_filter.ORACLE,
 }
