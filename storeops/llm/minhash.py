@@ -97,7 +97,7 @@ def superminhash(h: np.ndarray, row: np.ndarray, n: int, m: int) -> np.ndarray:
     return sig.reshape(n, m)
 
 
-def _signatures(words: int, bands: int, rows: int, id_type: pa.DataType):
+def _signatures(words: int, bands: int, rows: int):
     names = ["id", "n", "hi", "lo", "bands", "sig"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,7 +124,7 @@ def _signatures(words: int, bands: int, rows: int, id_type: pa.DataType):
                 lines = iter(short)
                 yield pa.record_batch(
                     [
-                        ids.slice(at, n).cast(id_type),
+                        ids.slice(at, n),
                         pa.array(counts.astype(np.int64)),
                         *sums,
                         A.long_list(A.signed(keys.reshape(-1)), np.where(counts > 0, bands, 0), pa.int64()),
@@ -237,7 +237,7 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, bands: int =
     spark = docs.sparkSession
     scratch = Scratch(spark, "minhash")
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    sig = scratch.write(texts.mapInArrow(_signatures(words, bands, rows, pa.int64()), "id bigint, n bigint, hi bigint, lo bigint, bands array<bigint>, sig binary"), "sig")
+    sig = scratch.write(texts.mapInArrow(_signatures(words, bands, rows), "id bigint, n bigint, hi bigint, lo bigint, bands array<bigint>, sig binary"), "sig")
     classes = scratch.write(sig.filter("n > 0 and id is not null").groupBy("hi", "lo").agg(F.min("id").alias("rep")), "classes")
     nodes = sig.filter("n > 0").join(classes.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from storeops.llm import exact_dedup, minhash, secret_scan, url_filter
+from storeops.llm import bpe, exact_dedup, lang_id, minhash, secret_scan, url_filter
 
 QUERIES = {
     "op1_minhash": minhash.op1_minhash,
     "op3_secret_scan": secret_scan.op3_secret_scan,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    "op7_bpe": bpe.op7_bpe,
     "op8_url_filter": url_filter.op8_url_filter,
+    "op9_language_id": lang_id.op9_language_id,
 }
 
 ORACLES = {
