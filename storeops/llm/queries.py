@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from storeops.llm import bpe, exact_dedup, lang_id, minhash, secret_scan, url_filter
+from storeops.llm import bpe, decontam, exact_dedup, lang_id, minhash, secret_scan, url_filter
 
 QUERIES = {
     "op1_minhash": minhash.op1_minhash,
     "op3_secret_scan": secret_scan.op3_secret_scan,
+    "op4_decontamination": decontam.op4_decontamination,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op7_bpe": bpe.op7_bpe,
     "op8_url_filter": url_filter.op8_url_filter,
@@ -15,6 +16,7 @@ QUERIES = {
 
 ORACLES = {
     "op1_minhash": minhash.ORACLE,
+    "op4_decontamination": decontam.ORACLE,
     "op5_exact_dedup": exact_dedup.ORACLE,
     "op8_url_filter": url_filter.ORACLE,
 }
