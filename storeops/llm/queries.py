@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from storeops.llm import bpe, decontam, exact_dedup, lang_id, minhash, secret_scan, url_filter
+from storeops.llm import bpe, decontam, exact_dedup, lang_id, minhash, secret_scan, url_filter, warc
 
 QUERIES = {
     "op1_minhash": minhash.op1_minhash,
+    "op2_warc": warc.op2_warc,
     "op3_secret_scan": secret_scan.op3_secret_scan,
     "op4_decontamination": decontam.op4_decontamination,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
@@ -16,6 +17,7 @@ QUERIES = {
 
 ORACLES = {
     "op1_minhash": minhash.ORACLE,
+    "op2_warc": warc.ORACLE,
     "op4_decontamination": decontam.ORACLE,
     "op5_exact_dedup": exact_dedup.ORACLE,
     "op8_url_filter": url_filter.ORACLE,
