@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from storeops.llm import bpe, decontam, exact_dedup, lang_id, minhash, secret_scan, url_filter, warc
+from storeops.llm import bpe, decontam, exact_dedup, lang_id, minhash, secret_scan, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_minhash": minhash.op1_minhash,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_secret_scan": secret_scan.op3_secret_scan,
     "op4_decontamination": decontam.op4_decontamination,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op7_bpe": bpe.op7_bpe,
     "op8_url_filter": url_filter.op8_url_filter,
     "op9_language_id": lang_id.op9_language_id,
