@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from storeops.llm import bpe, decontam, exact_dedup, lang_id, minhash, secret_scan, toxicity, url_filter, warc
+from storeops.llm import bpe, decontam, exact_dedup, lang_id, minhash, repeats, secret_scan, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_minhash": minhash.op1_minhash,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_bpe": bpe.op7_bpe,
     "op8_url_filter": url_filter.op8_url_filter,
     "op9_language_id": lang_id.op9_language_id,
+    "op10_repeats": repeats.op10_repeats,
 }
 
 ORACLES = {

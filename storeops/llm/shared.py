@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -51,6 +52,12 @@ class Scratch:
         df.write.parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def release(self, *names: str) -> None:
+        """Drops tables, and lets Spark's cleaner remove the shuffle files of plans that are done with."""
+        self.drop(*names)
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, *names: str) -> None:
         """Deletes tables that no later plan reads."""
         jvm = self.spark.sparkContext._jvm
