@@ -11,8 +11,10 @@
    full sets in three steps, each skipping nodes that are linked already:
    with the smallest node of all their bands, with the smallest node of each
    band, and at last all pairs across the components of a band, compared in
-   blocks of bounded size. Only confirmed links leave the first two steps,
-   only pairs with close signatures the third.
+   blocks of bounded size: first their signatures, then, for nodes that have a
+   close pair, the full sets. No step emits pairs, but for each node its
+   partners of the first two steps, and in the third only links that join
+   components.
 4. Connected components of the links.
 """
 
@@ -31,7 +33,7 @@ from storeops.llm.shared import Scratch, table
 
 BANDS, ROWS = 40, 6
 #: Nodes of a band that are compared with as many others in one block.
-BLOCK = 1024
+BLOCK = 4096
 #: Elements whose permutations are held at once.
 SLICE = 1 << 16
 #: In the third step, pairs whose signatures agree by this much less than the threshold aren't candidates: 5 standard deviations of the estimate.
@@ -176,46 +178,88 @@ def confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Dat
     return dealt.mapInArrow(_confirm(words, percent), "a bigint, b bigint")
 
 
-def _blocks(least: float):
-    """Pairs of one block, across components, whose signatures agree closely; rows come sorted by (key, lo, hi)."""
-
-    def pairs(ids: np.ndarray, comp: np.ndarray, part: np.ndarray, sig: np.ndarray, lo: int, hi: int) -> tuple[list, list]:
-        left, right = np.flatnonzero(part == lo), np.flatnonzero(part == hi)
-        a, b = [], []
-        for x in left:
-            others = right[(comp[right] != comp[x]) & (ids[right] > ids[x] if lo == hi else True)]
-            close = others[(sig[others] == sig[x]).mean(axis=1) >= least] if len(others) else others
-            a += [ids[x]] * len(close)
-            b += ids[close].tolist()
-        return a, b
+def grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, pa.Table]]:
+    """Rows that agree in their first ``keys`` columns, which are integers; such rows come in a row."""
+    key, held = None, []
+    for batch in batches:
+        values = np.stack([batch.column(k).to_numpy() for k in range(keys)], axis=1)
+        cuts = [0, *(np.flatnonzero((values[1:] != values[:-1]).any(axis=1)) + 1).tolist(), len(values)]
+        for at, to in zip(cuts[:-1], cuts[1:], strict=True):
+            if at == to:
+                continue
+            now = tuple(values[at].tolist())
+            if now != key and held:
+                yield key, pa.Table.from_batches(held)
+                held = []
+            key = now
+            held.append(batch.slice(at, to - at))
+    if held:
+        yield key, pa.Table.from_batches(held)
+
+
+def across(ids: np.ndarray, comp: np.ndarray, part: np.ndarray, lo: int, hi: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, rows) of the pairs of a block that lie in different components."""
+    left, right = np.flatnonzero(part == lo), np.flatnonzero(part == hi)
+    for x in left.tolist():
+        others = right[comp[right] != comp[x]]
+        if lo == hi:
+            others = others[ids[others] > ids[x]]
+        if len(others):
+            yield x, others
+
+
+def _close(least: float):
+    """Rows (key, lo, hi, id) that have a pair across components of close signatures, of which this is the first common band."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        key = None
-
-        def done() -> Iterator[pa.RecordBatch]:
-            t = pa.Table.from_batches(held)
+        for key, t in grouped(batches, 3):
             ids, comp, part = (t.column(k).to_numpy() for k in (3, 4, 5))
             sig = np.frombuffer(b"".join(t.column(6).to_pylist()), np.uint8).reshape(len(ids), -1)
-            a, b = pairs(ids, comp, part, sig, key[1], key[2])
+            bands = t.column(7).combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+            active = np.zeros(len(ids), bool)
+            for x, others in across(ids, comp, part, key[1], key[2]):
+                near = others[(sig[others] == sig[x]).mean(axis=1) >= least]
+                if len(near):
+                    first = bands[x][(bands[near] == bands[x]).argmax(axis=1)]
+                    near = near[first == key[0]]
+                    active[near] = True
+                    active[x] |= len(near) > 0
+            if active.any():
+                n = int(active.sum())
+                yield pa.record_batch([*(pa.array(np.full(n, k)) for k in key), pa.array(ids[active])], names=["key", "lo", "hi", "id"])
+
+    return run
+
+
+def _link(words: int, percent: int):
+    """Links of a block that join components, confirmed on full sets; rows are (key, lo, hi, id, comp, part, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, t in grouped(batches, 3):
+            ids, comp, part = (t.column(k).to_numpy() for k in (3, 4, 5))
+            comp = comp.copy()
+            sets = []
+            for at, to, offsets, raw in A.chunks(t.column(6).combine_chunks()):
+                h, row = shingles(offsets, raw, words)
+                sets += np.split(h, np.searchsorted(row, np.arange(1, to - at)))
+            sizes = np.array([len(x) for x in sets])
+            _, flat = np.unique(np.concatenate(sets), return_inverse=True)
+            starts = np.concatenate([[0], np.cumsum(sizes)])
+            mine = np.zeros(int(flat.max(initial=-1)) + 1, np.int64)
+            a, b = [], []
+            for x, others in across(ids, comp, part, key[1], key[2]):
+                own = flat[starts[x] : starts[x + 1]]
+                mine[own] = 1
+                same = np.add.reduceat(mine[flat], starts[:-1])[others]
+                mine[own] = 0
+                for y in others[100 * same >= percent * (sizes[x] + sizes[others] - same)].tolist():
+                    if comp[x] != comp[y]:
+                        a.append(int(ids[x]))
+                        b.append(int(ids[y]))
+                        comp[comp == max(comp[x], comp[y])] = min(comp[x], comp[y])
             if a:
                 yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-        for batch in batches:
-            keys = np.stack([batch.column(k).to_numpy() for k in range(3)], axis=1)
-            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
-            for at, to in zip(cuts[:-1], cuts[1:], strict=True):
-                if at == to:
-                    continue
-                now = tuple(keys[at].tolist())
-                if now != key:
-                    if held:
-                        yield from done()
-                    key, held = now, []
-                held.append(batch.slice(at, to - at))
-        if held:
-            yield from done()
-
     return run
 
 
@@ -246,9 +290,11 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, bands: int =
     members = scratch.write(keyed.join(buckets, "key").select("key", "id", "b", "size"), "members")
     candidates = members.filter("id <> b").select(F.col("id").alias("a"), "b").distinct()
 
+    scratch.release()
     first = candidates.groupBy("a").agg(F.min("b").alias("b"))
     links = scratch.write(confirm(first, texts, words, percent), "links1")
     labels = scratch.write(components(links, scratch, "c1"), "labels1")
+    scratch.release()
 
     def component(df: DataFrame, node: str, name: str) -> DataFrame:
         named = labels.select(F.col("node").alias(node), F.col("component").alias(name))
@@ -256,24 +302,32 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, bands: int =
 
     apart = component(component(candidates.join(first, ["a", "b"], "left_anti"), "a", "ca"), "b", "cb").filter("ca <> cb")
     links2 = scratch.write(confirm(apart.select("a", "b"), texts, words, percent), "links2")
-    links = links.unionByName(links2)
-    labels = scratch.write(components(links, scratch, "c2"), "labels2")
+    labels = scratch.write(components(links.unionByName(links2), scratch, "c2"), "labels2")
+    scratch.release()
 
     # In a band of two, the one pair has been looked at.
     named = component(members.filter("size > 2"), "id", "comp")
     mixed = named.filter("id <> b").groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1").select("key")
     parts = F.ceil(F.col("size") / BLOCK).cast("int")
-    rest = named.join(mixed, "key", "left_semi").join(nodes.select("id", "sig"), "id")
+    rest = named.join(mixed, "key", "left_semi")
     rest = rest.withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    rest = rest.select("key", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "id", "comp", "part", "sig")
-    dealt = rest.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-    close = dealt.mapInArrow(_blocks(percent / 100 - MARGIN), "a bigint, b bigint").distinct()
-    close = scratch.write(close.join(candidates, ["a", "b"], "left_anti"), "close")
-    links = links.unionByName(scratch.write(confirm(close, texts, words, percent), "links3"))
-    labels = scratch.write(components(links, scratch, "c3"), "labels3")
-
-    final = scratch.write(component(classes, "rep", "component_id").select("hi", "lo", "component_id"), "final")
-    scratch.drop("members", "links1", "links2", "links3", "labels1", "labels2", "labels3", "close", "classes")
+    block = ["key", "lo", "hi"]
+    rest = scratch.write(rest.select("key", F.least("part", "other").cast("bigint").alias("lo"), F.greatest("part", "other").cast("bigint").alias("hi"), "id", "comp", "part"), "rest")
+    scratch.release("members", "labels1", "links1")
+    drawn = rest.join(nodes.select("id", "sig", "bands"), "id").select(*block, "id", "comp", "part", "sig", "bands")
+    drawn = drawn.repartition(*block).sortWithinPartitions(*block)
+    active = scratch.write(drawn.mapInArrow(_close(percent / 100 - MARGIN), "key bigint, lo bigint, hi bigint, id bigint"), "active")
+    scratch.release()
+    looked = rest.join(active, [*block, "id"]).join(texts, "id").select(*block, "id", "comp", "part", "text")
+    looked = looked.repartition(*block).sortWithinPartitions(*block)
+    links3 = scratch.write(looked.mapInArrow(_link(words, percent), "a bigint, b bigint"), "links3")
+    # Components of the former step stand for their nodes.
+    joined = component(component(links3, "a", "ca"), "b", "cb").select("ca", "cb")
+    more = scratch.write(components(joined, scratch, "c3"), "labels3").select(F.col("node").alias("component_id"), F.col("component").alias("joined"))
+
+    final = component(classes, "rep", "component_id").join(more, "component_id", "left")
+    final = scratch.write(final.select("hi", "lo", F.coalesce("joined", "component_id").alias("component_id")), "final")
+    scratch.release("links2", "links3", "labels2", "labels3", "rest", "active", "classes")
     out = sig.select("id", "n", "hi", "lo").join(final, ["hi", "lo"], "left")
     component_id = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
     return out.select(
