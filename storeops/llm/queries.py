@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from storeops.llm import bpe, decontam, exact_dedup, lang_id, minhash, repeats, secret_scan, toxicity, url_filter, warc
 
 QUERIES = {
@@ -15,6 +16,7 @@ QUERIES = {
     "op8_url_filter": url_filter.op8_url_filter,
     "op9_language_id": lang_id.op9_language_id,
     "op10_repeats": repeats.op10_repeats,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES = {
