@@ -1,0 +1,45 @@
+"""Names of dishes and ingredients in English, for :func:`storeops.operators.recipes.migrate_recipes`."""
+
+from __future__ import annotations
+
+#: Fixed values. Brand names of a shop's own dishes are for its callers to add.
+DISHES = {
+    "Perle Cous Cous Salat": "Pearl Couscous Salad",
+    "Bagte Rødbeder": "Roasted Beetroot",
+    "Fladbrød": "Flatbread",
+    "Lammekød (tilvalg)": "Lam",
+}
+
+#: Fixed values.
+INGREDIENTS = {
+    "Perle-couscous": "Pearl couscous",
+    "Bagte pebre": "Roasted peppers",
+    "Persille": "Parsley",
+    "Olivenolie": "Olive oil",
+    "Zaatar": "Za'atar",
+    "Hvidløg": "Garlic",
+    "Honning": "Honey",
+    "Kål": "Cabbage",
+    "Æble": "Apple",
+    "Rødbede": "Beetroot",
+    "Dild, frost": "Dill, frozen",
+    "Spidskommen": "Cumin",
+    "Citronsaft": "Lemon juice",
+    "Kikærter": "Chickpeas",
+    "Løg": "Onion",
+    "Koriander stødt": "Ground coriander",
+    "Chili flager": "Chili flakes",
+    "Sodium bicarbonate": "Baking soda",
+    "Fritureolie": "Frying oil",
+    "Flåede tomater": "Peeled tomatoes",
+    "Tomatkoncentrat": "Tomato paste",
+    "Friske chili": "Fresh chili",
+    "Tørret chili": "Dried chili",
+    "Fladbrød": "Flatbread",
+    "Lammebov": "Lamb shoulder",
+    "Kyllingelår": "Chicken thighs",
+    "Citronjuice": "Lemon juice",
+    "Limejuice": "Lime juice",
+    "Sukker": "Sugar",
+    "Citron til skal": "Lemon zest",
+}
