@@ -32,9 +32,9 @@ from storeops.llm.shared import Scratch, table
 
 WINDOW, KMER = 100, 32
 #: Bytes of text that are worked on at once, and bytes of contexts in one index.
-CHUNK, INDEX = 1 << 18, 1 << 20
+CHUNK, INDEX = 1 << 18, 1 << 18
 #: Contexts of an anchor from which on step 4 takes over.
-HOT = 20_000
+HOT = 2_000
 U = np.uint64
 CONTEXT = "h bigint, ctx bigint, id bigint, start bigint, off int, n int"
 
@@ -144,7 +144,7 @@ class RunLengthIndex:
         is_end[self.ends] = True
         symbol[is_end] = np.arange(m)
         symbol[~is_end] = data.astype(np.int64) + m
-        rank, classes = self._ranks(symbol, window)
+        rank, half, k = self._ranks(symbol, m + 256, window)
         places = np.empty(n, np.int64)
         places[rank] = np.arange(n)
         last = symbol[places - 1]
@@ -162,30 +162,36 @@ class RunLengthIndex:
         before = np.empty(len(heads), np.int64)
         before[by] = np.concatenate([[0], np.cumsum(lengths[by])[:-1]])
         self.run_target = before
-        in_order = classes[places]
-        begins = np.concatenate([[True], in_order[1:] != in_order[:-1]])
+        # Suffixes agree in a window if both their first k symbols and the last k of the window do.
+        begins = np.ones(n, bool)
+        ahead = np.minimum(places + window - k, n - 1)
+        begins[1:] = (half[places[1:]] != half[places[:-1]]) | (half[ahead[1:]] != half[ahead[:-1]])
         self.class_start = np.flatnonzero(begins)
         self.earliest = np.minimum.reduceat(places, self.class_start) if n else places
 
     @staticmethod
-    def _ranks(symbol: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-        """(rank of each suffix, a number for its first ``window`` symbols), by doubling; only tied suffixes are sorted again."""
-        n = len(symbol)
-        order = np.argsort(symbol, kind="stable")
-        s = symbol[order]
+    def _ranks(symbol: np.ndarray, symbols: int, window: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """(rank of each suffix, rank by its first k symbols, k), by doubling; only tied suffixes are sorted again.
+
+        k is at most the window and at least half of it.
+        """
+        n, bits = len(symbol), int(symbols).bit_length()
+        k = max(1, min(62 // bits, window))
+        packed = np.zeros(n, np.int64)
+        for i in range(k):
+            packed <<= bits
+            packed[: n - i] |= symbol[i:]
+        order = np.argsort(packed)
+        s = packed[order]
         start = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+        sizes = np.diff(np.append(start, n))
         rank = np.empty(n, np.int64)
-        rank[order] = np.repeat(start, np.diff(np.append(start, n)))
-        tied = np.zeros(n, bool)
-        tied[order] = np.repeat(np.diff(np.append(start, n)) > 1, np.diff(np.append(start, n)))
-        k, classes = 1, None
+        rank[order] = np.repeat(start, sizes)
+        at = order[np.repeat(sizes > 1, sizes)]
+        half, half_k = None, k
         while True:
-            if classes is None and 2 * k > window:
-                # Two overlapping halves of length k cover the window.
-                ahead = np.minimum(np.arange(n) + window - k, n - 1)
-                key = rank * n + rank[ahead]
-                _, classes = np.unique(key, return_inverse=True)
-            at = np.flatnonzero(tied)
+            if half is None and 2 * k > window:
+                half, half_k = rank.copy() if len(at) else rank, k
             if not len(at):
                 break
             key = rank[at] * n + rank[np.minimum(at + k, n - 1)]
@@ -194,14 +200,11 @@ class RunLengthIndex:
             new = np.concatenate([[True], key[1:] != key[:-1]])
             old = np.concatenate([[True], key[1:] // n != key[:-1] // n])
             j = np.arange(len(at))
-            first_new, first_old = np.maximum.accumulate(np.where(new, j, 0)), np.maximum.accumulate(np.where(old, j, 0))
-            rank[at] = key // n + first_new - first_old
+            rank[at] = key // n + np.maximum.accumulate(np.where(new, j, 0)) - np.maximum.accumulate(np.where(old, j, 0))
             sizes = np.diff(np.append(np.flatnonzero(new), len(at)))
-            tied[at] = np.repeat(sizes > 1, sizes)
+            at = at[np.repeat(sizes > 1, sizes)]
             k *= 2
-        if classes is None:
-            classes = rank
-        return rank, classes
+        return (rank, rank, k) if half is None else (rank, half, half_k)
 
     def step(self, rows: np.ndarray) -> np.ndarray:
         """The rows of the suffixes that are one symbol longer to the left."""
