@@ -58,11 +58,11 @@ def _reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def components(links: DataFrame, scratch: Scratch, name: str = "components", rounds: int = 50) -> DataFrame:
-    """(node, component): the smallest node that each linked node can reach.
+    """(node, component): the smallest node that each node can reach, for nodes that reach a smaller one.
 
     ``links`` has two columns a and b of bigint ids, in any order, with
-    repeats; null ids and links of a node with itself are left out. Nodes
-    without links aren't in the result.
+    repeats; null ids and links of a node with itself are left out. Nodes that
+    aren't in the result, with links or without, are components of their own.
     """
     links = links.select(F.col(links.columns[0]).cast("bigint").alias("a"), F.col(links.columns[1]).cast("bigint").alias("b"))
     links = links.filter("a is not null and b is not null and a <> b")
