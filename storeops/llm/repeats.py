@@ -34,7 +34,7 @@ WINDOW, KMER = 100, 32
 #: Bytes of text that are worked on at once, and bytes of contexts in one index.
 CHUNK, INDEX = 1 << 18, 1 << 18
 #: Contexts of an anchor from which on step 4 takes over.
-HOT = 2_000
+HOT = 5_000
 U = np.uint64
 CONTEXT = "h bigint, ctx bigint, id bigint, start bigint, off int, n int"
 

@@ -440,7 +440,7 @@ def removed(rows, window):
     return out
 
 
-@pytest.mark.parametrize("hot", [1, 2_000])
+@pytest.mark.parametrize("hot", [1, 5_000])
 def test_repeats_equal_brute_force(spark, monkeypatch, hot):
     monkeypatch.setattr(repeats, "CHUNK", 2_000)
     monkeypatch.setattr(repeats, "INDEX", 4_000)
