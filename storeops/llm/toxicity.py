@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from storeops.llm import arrays as A
 from storeops.llm.decontam import filter_of, lookup
-from storeops.llm.shared import id_crc, importable, table
+from storeops.llm.shared import Scratch, id_crc, importable, table
 
 #: Labelled rows that the model is fitted on, those with the smallest hashes of their ids.
 SAMPLE = 20_000
@@ -189,8 +189,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic")).filter("id is not null and toxic in (0, 1)")
     some = known.orderBy(F.xxhash64("id"), "id", "toxic").limit(sample)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text is not null")
-    # At most ``sample`` narrow rows.
-    rows = texts.join(F.broadcast(some), "id").select("id", "toxic", "text")
+    # At most ``sample`` narrow rows; their texts are looked at three times, and read from the corpus once.
+    rows = Scratch(docs.sparkSession, "toxicity").write(texts.join(F.broadcast(some), "id").select("id", "toxic", "text"), "sample")
     sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(sizes) < 2:
         return None
