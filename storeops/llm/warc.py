@@ -278,7 +278,9 @@ def read_warc(ranges: DataFrame, folder: str, chunk: int = CHUNK, data: bool = T
     Without ``data`` the bytes are read and digested but not returned.
     """
     importable(ranges.sparkSession)
-    dealt = ranges.repartition(max(1, ranges.sparkSession.sparkContext.defaultParallelism * 2))
+    # A task for a few ranges, so that a lost executor costs little.
+    tasks = max(ranges.sparkSession.sparkContext.defaultParallelism, -(-ranges.count() // 4))
+    dealt = ranges.repartition(tasks)
     return dealt.mapInArrow(_read(folder, chunk, data), CHUNKS)
 
 
