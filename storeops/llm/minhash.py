@@ -32,8 +32,10 @@ from storeops.llm.components import components
 from storeops.llm.shared import Scratch, table
 
 BANDS, ROWS = 40, 6
-#: Nodes of a band that are compared with as many others in one block.
+#: Nodes of a band that are compared with as many others in one block, at most.
 BLOCK = 4096
+#: Shingles that the nodes of a part of a block may have between them, about.
+ELEMENTS = 2_000_000
 #: Elements whose permutations are held at once.
 SLICE = 1 << 16
 #: In the third step, pairs whose signatures agree by this much less than the threshold aren't candidates: 5 standard deviations of the estimate.
@@ -285,9 +287,9 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, bands: int =
     classes = scratch.write(sig.filter("n > 0 and id is not null").groupBy("hi", "lo").agg(F.min("id").alias("rep")), "classes")
     nodes = sig.filter("n > 0").join(classes.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
 
-    keyed = nodes.select("id", F.explode("bands").alias("key"))
-    buckets = keyed.groupBy("key").agg(F.min("id").alias("b"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-    members = scratch.write(keyed.join(buckets, "key").select("key", "id", "b", "size"), "members")
+    keyed = nodes.select("id", "n", F.explode("bands").alias("key"))
+    buckets = keyed.groupBy("key").agg(F.min("id").alias("b"), F.count(F.lit(1)).alias("size"), F.sum("n").alias("total")).filter("size > 1")
+    members = scratch.write(keyed.drop("n").join(buckets, "key").select("key", "id", "b", "size", "total"), "members")
     candidates = members.filter("id <> b").select(F.col("id").alias("a"), "b").distinct()
 
     scratch.release()
@@ -308,7 +310,7 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, bands: int =
     # In a band of two, the one pair has been looked at.
     named = component(members.filter("size > 2"), "id", "comp")
     mixed = named.filter("id <> b").groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1").select("key")
-    parts = F.ceil(F.col("size") / BLOCK).cast("int")
+    parts = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("total") / ELEMENTS)).cast("int")
     rest = named.join(mixed, "key", "left_semi")
     rest = rest.withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
     block = ["key", "lo", "hi"]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import os
+import re
 import tempfile
 import uuid
 from pathlib import Path
@@ -35,7 +36,10 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = Path(tempfile.mkdtemp(prefix="spark-llm-")).as_uri()
         spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
+    # With its scheme, so that workers who open files themselves look in the same store as Spark.
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    whole = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return re.sub("^file:/(?!/)", "file:///", whole).rstrip("/")
 
 
 class Scratch:

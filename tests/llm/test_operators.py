@@ -80,9 +80,10 @@ def corpus(seed=3, size=120):
 # 1
 
 
-@pytest.mark.parametrize(("n", "block"), [(2, 4096), (5, 4096), (2, 8)])
-def test_near_dedup_equals_brute_force(spark, monkeypatch, n, block):
+@pytest.mark.parametrize(("n", "block", "elements"), [(2, 4096, 10**6), (5, 4096, 200), (2, 8, 10**6)])
+def test_near_dedup_equals_brute_force(spark, monkeypatch, n, block, elements):
     monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(minhash, "ELEMENTS", elements)
     rows = corpus()
     want = near_groups(rows, n)
     found = minhash.near_dedup(documents(spark, rows), words=n).collect()
