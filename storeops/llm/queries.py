@@ -22,6 +22,7 @@ QUERIES = {
 ORACLES = {
     "op1_minhash": minhash.ORACLE,
     "op2_warc": warc.ORACLE,
+    "op3_secret_scan": secret_scan.ORACLE,
     "op4_decontamination": decontam.ORACLE,
     "op5_exact_dedup": exact_dedup.ORACLE,
     "op8_url_filter": url_filter.ORACLE,
