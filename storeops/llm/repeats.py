@@ -8,9 +8,10 @@ one anchor make a context.
 1. Contexts are counted by anchor; those with an anchor of their own are done.
 2. Of equal contexts, all but the first go altogether.
 3. The first ones of each anchor with several contexts are indexed, a bounded
-   number of anchors at a time: a run-length BWT, the text places at the ends
-   of its runs, and for the classes of suffixes that agree in ``window`` bytes
-   the earliest place. Each context is then streamed through the index from
+   number of anchors at a time: a run-length BWT, and as its sample of text
+   places the earliest one of each class of suffixes that agree in ``window``
+   bytes (places at the ends of runs would lead to some occurrence, but it is
+   the earliest that decides). Each context is then streamed through the index from
    right to left, which gives for each of its windows whether the match
    reaches ``window`` in earlier text.
 4. An anchor with very many different contexts (a frequent phrase) is not
@@ -150,13 +151,10 @@ class RunLengthIndex:
         last = symbol[places - 1]
         last[places == 0] = symbol[n - 1]
         # All end marks are one symbol to the runs; the search never steps over one.
-        self.symbols = m
         char = np.where(last < m, -1, last - m)
         heads = np.flatnonzero(np.concatenate([[True], char[1:] != char[:-1]]))
         self.run_start, self.run_char = heads, char[heads]
         lengths = np.diff(np.append(heads, n))
-        #: Text places at the ends of runs.
-        self.run_sample = places[heads + lengths - 1]
         # Where the next row of a run's symbol lies: rows that begin with smaller symbols, plus those of its own symbol before.
         by = np.lexsort((heads, self.run_char))
         before = np.empty(len(heads), np.int64)
