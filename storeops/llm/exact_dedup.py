@@ -35,14 +35,16 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 class DigestIndex:
     """A persistent set of digests in a bucketed, sorted table.
 
-    A new index lies at ``path``; a bucket holds one row for each digest, so
-    its size follows the number of distinct texts and no group of copies.
+    It lies at ``path`` and outlives the session: where the catalog doesn't
+    know the table, it is declared over the files that are there. A bucket
+    holds one row for each digest, so its size follows the number of distinct
+    texts and no group of copies.
     """
 
     def __init__(self, spark: SparkSession, name: str, path: str, buckets: int = BUCKETS):
         self.spark, self.name, self.path, self.buckets = spark, name, path, buckets
         if not spark.catalog.tableExists(name):
-            self._append(spark.createDataFrame([], INDEX_SCHEMA))
+            spark.sql(f"CREATE TABLE {name} ({INDEX_SCHEMA}) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{path}'")
 
     def _append(self, rows: DataFrame) -> None:
         writer = rows.repartition(self.buckets, "digest").write.format("parquet").mode("append")

@@ -296,6 +296,10 @@ def test_exact_dedup_and_persistent_index(spark):
     later = exact_dedup.exact_dedup(documents(spark, [(100, "a      b"), (101, "new")]), index, "two").collect()
     assert {r["doc_id"]: (r["keep_id"], r["kept"]) for r in later} == {100: (2, False), 101: (101, True)}
     assert index.rows().count() == 2
+    spark.sql("DROP TABLE seen_texts")
+    index = exact_dedup.DigestIndex(spark, "seen_texts", index.path)
+    again = exact_dedup.exact_dedup(documents(spark, [(200, "n e w")]), index, "three").collect()
+    assert [(r["keep_id"], r["kept"]) for r in again] == [(101, False)] and index.rows().count() == 2
     plan = documents(spark, rows).transform(exact_dedup.digests).groupBy("digest").count().join(index.rows().hint("merge"), "digest", "left_anti")
     assert plan._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1  # none on the index side
     assert exact_dedup.exact_dedup(documents(spark, rows).limit(0)).count() == 0
