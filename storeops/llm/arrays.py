@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are worked on at once. One longer text is one chunk of its own.
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 U = np.uint64
 MULTIPLIER = 0x9E3779B97F4A7C15
 LOWER = np.arange(256, dtype=np.uint8)
