@@ -332,8 +332,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, kmer: int = KMER, hot:
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     found = texts.filter("id is not null").mapInArrow(_contexts(window, kmer), CONTEXT)
     shared = found.groupBy("h").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("h")
-    cand = scratch.write(found.join(shared.hint("shuffle_hash"), "h"), "contexts")
+    # Written, so that both sides of the join are exchanged as they are and Spark can split a frequent anchor.
+    shared = scratch.write(shared, "shared")
     scratch.release()
+    cand = scratch.write(found.join(shared.hint("shuffle_hash"), "h"), "contexts")
+    scratch.release("shared")
 
     place = F.struct("id", "start", "off", "n")
     first = cand.groupBy("h", "ctx").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("times"))
@@ -343,11 +346,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, kmer: int = KMER, hot:
     marks = scratch.write(rest.select("id", "start", (F.col("start") + F.col("n") - 1 + window).alias("end")), "marks")
     scratch.release("contexts")
 
-    sizes = first.groupBy("h").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    sizes = scratch.write(first.groupBy("h").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "sizes")
     several = first.join(sizes, "h").groupBy("id").agg(F.collect_list(F.struct("h", "size", "start", "n")).alias("found"))
     cut = texts.join(several, "id").select("id", "text", "found").mapInArrow(_cut_out(window), "h bigint, size bigint, id bigint, start bigint, data binary")
     cut = scratch.write(cut, "cut")
-    scratch.release("first")
+    scratch.release("first", "sizes")
     few = cut.filter(F.col("size") <= hot).select("h", "id", "start", "data")
     marks2 = few.repartition("h").sortWithinPartitions("h", "id", "start").mapInArrow(_index(window), "id bigint, start bigint, end bigint")
     marks2 = scratch.write(marks2, "marks2")
