@@ -289,7 +289,10 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, bands: int =
 
     keyed = nodes.select("id", "n", F.explode("bands").alias("key"))
     buckets = keyed.groupBy("key").agg(F.min("id").alias("b"), F.count(F.lit(1)).alias("size"), F.sum("n").alias("total")).filter("size > 1")
+    # Written, so that both sides of the join are exchanged as they are and Spark can split a band key of many nodes.
+    buckets = scratch.write(buckets, "buckets")
     members = scratch.write(keyed.drop("n").join(buckets, "key").select("key", "id", "b", "size", "total"), "members")
+    scratch.drop("buckets")
     candidates = members.filter("id <> b").select(F.col("id").alias("a"), "b").distinct()
 
     scratch.release()
