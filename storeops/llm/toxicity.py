@@ -1,39 +1,43 @@
 """Operator 6: toxicity by the nearest labelled examples.
 
-Texts are vectors of TF-IDF weights over a vocabulary that the labels picked:
-words and word beginnings that mark toxic examples which no earlier pick
-marks. A document's neighbours are the examples of largest cosine, found
-exactly in an inverted index whose postings lie in blocks with the largest
-weight of each: blocks are visited by their upper bounds, until no bound
-reaches the worst neighbour held. Their votes, weighted by cosine, are
-calibrated on the examples themselves (each without its own vote), and the
-nearest ones are the evidence.
+Texts are vectors of TF-IDF weights over all their words and word beginnings,
+with document frequencies of the whole corpus and norms over the whole text. A
+document's neighbours are the examples, toxic or clean, of largest cosine,
+found exactly in an inverted index of every term of the examples: postings of
+the most frequent terms lie in a dense matrix, the others are added one by one.
+The neighbours' votes, weighted by cosine, and the distance between the mean
+cosines to all toxic and to all clean examples are calibrated on the examples
+themselves (each without its own part); the nearest ones are the evidence.
 
 The index is built from a bounded sample of labelled rows, so what is
-broadcast is bounded too; texts are scored where they are read.
+broadcast is bounded too; texts are scored where they are read. Terms that no
+example has matter for a document's norm alone; their frequencies, which have
+no bound, stay in a table that is joined.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storeops.llm import arrays as A
-from storeops.llm.decontam import filter_of, lookup
 from storeops.llm.shared import Scratch, id_crc, importable, table
 
 #: Labelled rows that the model is fitted on, those with the smallest hashes of their ids.
 SAMPLE = 20_000
-#: Features that are looked at closely, and that the vocabulary may have.
-CANDIDATES, VOCABULARY = 4_096, 512
 #: Bytes of word beginnings; 0 is the whole word.
 PREFIXES = (0, 4, 5, 6)
-BLOCK = 64
+#: Most frequent terms, whose postings lie in a matrix; terms of fewer examples than SHORT are added together.
+DENSE, SHORT = 1_024, 200
+#: Documents that are compared at once.
+ROWS = 256
 NEIGHBOURS = 15
 EVIDENCE = 3
 U = np.uint64
@@ -52,237 +56,319 @@ def features(offsets: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.concatenate(hashes), np.concatenate(rows)
 
 
-def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(feature, documents with it, toxic documents with it), summed over the task as far as memory allows."""
-    keys, counts = np.zeros(0, U), np.zeros((0, 2), np.int64)
+def _counted(h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, row, count) of the different features of each row, by row."""
+    order = np.lexsort((h, row))
+    h, row = h[order], row[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+    at = np.flatnonzero(new)
+    return h[at], row[at], np.diff(np.append(at, len(h)))
 
-    def batch_of() -> pa.RecordBatch:
-        return pa.record_batch([pa.array(A.signed(keys)), pa.array(counts[:, 0]), pa.array(counts[:, 1])], names=["feature", "n", "n_toxic"])
 
+def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(feature, documents with it), summed over the task as far as memory allows."""
+    keys, counts = np.zeros(0, U), np.zeros(0, np.int64)
     for batch in batches:
-        toxic = batch.column(1).to_numpy(zero_copy_only=False)
-        for at, _, offsets, raw in A.chunks(batch.column(2)):
-            h, row = features(offsets, raw)
-            order = np.lexsort((row, h))
-            h, row = h[order], row[order]
-            new = np.ones(len(h), bool)
-            new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
-            h, t = np.concatenate([keys, h[new]]), toxic[at + row[new]]
-            c = np.concatenate([counts, np.stack([np.ones(len(t), np.int64), t.astype(np.int64)], axis=1)])
-            keys, inverse = np.unique(h, return_inverse=True)
-            counts = np.stack([np.bincount(inverse, c[:, k], len(keys)) for k in (0, 1)], axis=1).astype(np.int64)
+        for _, _, offsets, raw in A.chunks(batch.column(0)):
+            new, n = np.unique(_counted(*features(offsets, raw))[0], return_counts=True)
+            keys, inverse = np.unique(np.concatenate([keys, new]), return_inverse=True)
+            counts = np.bincount(inverse, np.concatenate([counts, n]), len(keys)).astype(np.int64)
             if len(keys) > 1_000_000:
-                yield batch_of()
+                yield pa.record_batch([pa.array(A.signed(keys)), pa.array(counts)], names=["feature", "n"])
                 keys, counts = keys[:0], counts[:0]
     if len(keys):
-        yield batch_of()
+        yield pa.record_batch([pa.array(A.signed(keys)), pa.array(counts)], names=["feature", "n"])
+
 
+def idf_of(documents: int, n: np.ndarray) -> np.ndarray:
+    return np.log((1 + documents) / (1 + n)) + 1
 
-def _vectors(vocabulary: np.ndarray):
-    """The vocabulary's places and counts in each text that has any."""
+
+def _vectors(shared):
+    """Places and counts of each text's features, as bytes of int32, and the norm of its weights."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maybe = filter_of(vocabulary)
+        vocabulary, idf = shared.value
         for batch in batches:
-            for at, to, offsets, raw in A.chunks(batch.column(2)):
-                place, count, bounds = sparse(offsets, raw, vocabulary, maybe)
-                sizes = np.diff(bounds)
-                yield pa.record_batch(
-                    [*(batch.column(k).slice(at, to - at) for k in (0, 1)), A.long_list(place, sizes, pa.int64()), A.long_list(count, sizes, pa.int64())],
-                    names=["id", "toxic", "places", "counts"],
-                )
+            for at, to, offsets, raw in A.chunks(batch.column(3)):
+                h, row, count = _counted(*features(offsets, raw))
+                place = np.searchsorted(vocabulary, h)
+                w = (1 + np.log(count)) * idf[place]
+                norm = np.sqrt(np.bincount(row, w * w, to - at))
+                bounds = np.searchsorted(row, np.arange(to - at + 1))
+                parts = [(place[a:b].astype(np.int32).tobytes(), count[a:b].astype(np.int32).tobytes()) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+                columns = [batch.column(k).slice(at, to - at) for k in (0, 1, 2)]
+                yield pa.record_batch([*columns, pa.array([x for x, _ in parts], pa.binary()), pa.array([x for _, x in parts], pa.binary()), pa.array(norm)], names=["row", "id", "toxic", "places", "counts", "norm"])
 
     return run
 
 
-def sparse(offsets: np.ndarray, raw: np.ndarray, vocabulary: np.ndarray, maybe: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(places, counts, bounds of each text) of the vocabulary's features."""
-    h, row = features(offsets, raw)
-    place = lookup(vocabulary, maybe, h)
-    known = place >= 0
-    key, count = np.unique(row[known] * len(vocabulary) + place[known], return_counts=True)
-    bounds = np.searchsorted(key, np.arange(len(offsets)) * max(1, len(vocabulary)))
-    return key % max(1, len(vocabulary)), count, bounds
-
-
 @dataclass
 class Index:
-    """Examples as postings by feature, dealt to blocks of BLOCK examples."""
+    """Examples as postings by feature: every feature of every example."""
 
     vocabulary: np.ndarray
     idf: np.ndarray
     ids: list
     toxic: np.ndarray
+    norms: np.ndarray
     posting_ids: np.ndarray
-    posting_weights: np.ndarray
-    #: Place of the first posting of feature f in block b; the last column ends the feature.
+    posting_counts: np.ndarray
+    #: Places of the first posting of each feature and of the one after its last.
     pointers: np.ndarray
-    #: Largest weight of feature f in block b.
-    most: np.ndarray
-    #: Share of toxic rows among examples without any feature.
-    blank: float
-    slope: float = 1.0
-    shift: float = 0.0
-
-    def weights(self, places: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        w = (1 + np.log(counts)) * self.idf[places]
-        return w / max(np.sqrt((w * w).sum()), 1e-12)
-
-    def nearest(self, places: np.ndarray, weights: np.ndarray, k: int, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """(examples, cosines) of the k examples of largest cosine above 0, ties by place; ``but`` is left out."""
-        bounds = weights @ self.most[places]
-        best_ids, best = np.zeros(0, np.int64), np.zeros(0)
-        for b in np.argsort(-bounds, kind="stable"):
-            if bounds[b] <= 0 or (len(best) == k and bounds[b] < best[-1] - 1e-12):
-                break
-            sums = np.zeros(BLOCK)
-            for f, w in zip(places, weights, strict=True):
-                p = slice(self.pointers[f, b], self.pointers[f, b + 1])
-                sums[self.posting_ids[p] - b * BLOCK] += w * self.posting_weights[p]
-            if b * BLOCK <= but < (b + 1) * BLOCK:
-                sums[but - b * BLOCK] = 0
-            at = np.flatnonzero(sums > 0)
-            ids, cosines = np.concatenate([best_ids, at + b * BLOCK]), np.concatenate([best, sums[at]])
-            order = np.lexsort((ids, -np.round(cosines, 12)))[:k]
-            best_ids, best = ids[order], cosines[order]
-        return best_ids, best
-
-    def vote(self, examples: np.ndarray, cosines: np.ndarray) -> float:
-        """Share of toxic votes, between 0 and 1; the blank share has the weight of one distant example."""
-        w = cosines**2
-        return float((w @ self.toxic[examples] + 0.1 * self.blank) / (w.sum() + 0.1))
-
-    def calibrated(self, vote: float) -> float:
-        return float(1 / (1 + np.exp(-(self.slope * (2 * vote - 1) + self.shift))))
-
-
-def picked(places: list[np.ndarray], toxic: np.ndarray, n: int, most: int) -> np.ndarray:
-    """Features in the order in which each marks the most toxic rows that none before it marks, clean rows counting against it."""
-    rows = np.repeat(np.arange(len(places)), [len(p) for p in places])
-    flat = np.concatenate([*places, np.zeros(0, np.int64)])
-    by = np.argsort(flat, kind="stable")
-    of = np.split(rows[by], np.searchsorted(flat[by], np.arange(1, n)))
-    clean = np.array([(~toxic[r]).sum() for r in of])
-    need = np.bincount(flat[toxic[rows]], minlength=n).astype(float)
-    # A row counts as marked when two features have marked it, so that synonyms are picked beside each other.
-    times = np.zeros(len(places), int)
-    out = []
-    while len(out) < most:
-        f = int(np.argmax(need - 3 * clean))
-        if need[f] - 3 * clean[f] < 2:
-            break
-        out.append(f)
-        times[of[f]] += 1
-        for r in of[f]:
-            if toxic[r] and times[r] == 2:
-                np.add.at(need, places[r], -1.0)
-        need[f] = -np.inf
-    return np.array(sorted(out), dtype=np.int64)
+    #: Documents of the corpus, and the table of how many of them have each feature.
+    documents: int
+    counts: str
+    #: Numbers of the examples' rows in the sample.
+    rows: np.ndarray
+    #: Weights of vote and contrast, and the shift, of the calibration.
+    theta: tuple[float, float, float] = (2.0, 1.0, 0.0)
+    posting_weights: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
+    _dense: tuple | None = field(default=None, repr=False)
+    _shared: Broadcast | None = field(default=None, repr=False)
+
+    def weigh(self) -> None:
+        """The weights of norm 1 of all postings, by runs of features, so that little memory is needed beside them."""
+        self.posting_weights = np.empty(len(self.posting_ids), np.float32)
+        for at in range(0, len(self.idf), 1 << 14):
+            begins, ends = self.pointers[at : at + (1 << 14)].T
+            p = slice(begins[0], ends[-1])
+            self.posting_weights[p] = (1 + np.log(self.posting_counts[p])) * np.repeat(self.idf[at : at + (1 << 14)], ends - begins) / self.norms[self.posting_ids[p]]
+
+    def __getstate__(self) -> dict:
+        # Differences of places and counts are small numbers; each executor keeps the packed bytes.
+        steps = np.diff(self.posting_ids, prepend=np.int32(0))
+        sizes = self.pointers[:, 1] - self.pointers[:, 0]
+        packed = [(zlib.compress(x.tobytes(), 1), x.dtype.str) for x in (steps, self.posting_counts, sizes, self.idf)]
+        return self.__dict__ | dict.fromkeys(["posting_ids", "posting_counts", "posting_weights", "pointers", "idf", "_dense", "_shared"]) | {"packed": packed}
+
+    def __setstate__(self, state: dict) -> None:
+        steps, counts, sizes, idf = (np.frombuffer(zlib.decompress(x), kind) for x, kind in state.pop("packed"))
+        self.__dict__.update(state)
+        self.posting_ids, self.posting_counts, self.idf = np.cumsum(steps, dtype=np.int32), counts, idf
+        ends = np.cumsum(sizes)
+        self.pointers = np.stack([ends - sizes, ends], axis=1)
+        self.weigh()
+        self.posting_counts = None
+
+    def shared(self, spark: SparkSession) -> Broadcast:
+        if self._shared is None:
+            self._shared = spark.sparkContext.broadcast(self)
+        return self._shared
+
+    def dense(self) -> tuple[np.ndarray, np.ndarray]:
+        """(row of each feature or -1, matrix of the most frequent features by example)."""
+        if self._dense is None:
+            df = self.pointers[:, 1] - self.pointers[:, 0]
+            most = np.argsort(-df, kind="stable")[:DENSE]
+            slot, matrix = np.full(len(df), -1), np.zeros((len(most), len(self.ids)), np.float32)
+            slot[most] = np.arange(len(most))
+            for k, f in enumerate(most.tolist()):
+                p = slice(*self.pointers[f])
+                matrix[k, self.posting_ids[p]] = self.posting_weights[p]
+            self._dense = slot, matrix
+        return self._dense
+
+    def products(self, bounds: np.ndarray, places: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Inner products of texts, which have ``places`` and ``weights`` between their bounds, with all examples."""
+        slot, matrix = self.dense()
+        n, weights = len(bounds) - 1, weights.astype(np.float32)
+        row = np.repeat(np.arange(n), np.diff(bounds))
+        s = slot[places]
+        left = np.zeros((n, len(matrix)), np.float32)
+        left[row[s >= 0], s[s >= 0]] = weights[s >= 0]
+        sums = left @ matrix
+        begins, sizes = self.pointers[places, 0], self.pointers[places, 1] - self.pointers[places, 0]
+        for k in range(n):
+            mine = np.arange(bounds[k], bounds[k + 1])[s[bounds[k] : bounds[k + 1]] < 0]
+            many = mine[sizes[mine] >= SHORT]
+            for a, z, w in zip(begins[many].tolist(), sizes[many].tolist(), weights[many], strict=True):
+                sums[k, self.posting_ids[a : a + z]] += w * self.posting_weights[a : a + z]
+            few = mine[sizes[mine] < SHORT]
+            z = sizes[few]
+            at = np.repeat(begins[few] - np.cumsum(z) + z, z) + np.arange(z.sum())
+            if len(at):
+                sums[k] += np.bincount(self.posting_ids[at], np.repeat(weights[few], z) * self.posting_weights[at], len(self.ids)).astype(np.float32)
+        return sums
+
+    def best(self, sums: np.ndarray, k: int) -> np.ndarray:
+        """The k examples of largest product above 0, ties by place."""
+        if len(sums) > k:
+            least = np.partition(sums, len(sums) - k)[len(sums) - k]
+            some = np.flatnonzero(sums >= max(least - 1e-6, 1e-30))
+        else:
+            some = np.flatnonzero(sums > 0)
+        return some[np.lexsort((some, -np.round(sums[some].astype(float), 6)))[:k]]
+
+    def nearest(self, places: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(examples, cosines) of the k examples of largest cosine above 0, for a text of norm 1."""
+        sums = self.products(np.array([0, len(places)]), places, weights)[0]
+        best = self.best(sums, k)
+        return best, sums[best].astype(float)
+
+    def contrast(self, sums: np.ndarray, but: np.ndarray) -> np.ndarray:
+        """Mean product with toxic less that with clean examples, in deviations of all products; ``but`` (-1: none) is left out."""
+        some = but >= 0
+        mine = np.where(some, sums[np.arange(len(sums)), but], 0).astype(float)
+        kind = np.where(some, self.toxic[but], 0)
+        n_toxic, n_clean = self.toxic.sum() - (some & (kind == 1)), (1 - self.toxic).sum() - (some & (kind == 0))
+        toxic = (sums @ self.toxic.astype(np.float32)).astype(float) - mine * kind
+        total, squares = sums.sum(axis=1, dtype=float) - mine, np.einsum("ij,ij->i", sums, sums).astype(float) - mine * mine
+        n = np.maximum(n_toxic + n_clean, 1)
+        deviation = np.sqrt(np.maximum(squares / n - (total / n) ** 2, 0))
+        return np.where(deviation > 1e-6 * np.abs(total / n), (toxic / np.maximum(n_toxic, 1) - (total - toxic) / np.maximum(n_clean, 1)) / np.maximum(deviation, 1e-30), 0.0)
+
+
+KIND = "dots array<double>, toxic array<int>, examples array<string>, known double, contrast double, features array<bigint>, counts array<bigint>"
+
+
+def _neighbours(shared, numbered: bool):
+    """The first column, then what ``KIND`` names: the nearest examples, by products with the text's weights, the squared norm over known features, and the features that no example has. Numbered rows of the sample aren't compared with themselves."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index: Index = shared.value
+        for batch in batches:
+            for start, end, all_offsets, all_raw in A.chunks(batch.column(1)):
+                for at in range(start, end, ROWS):
+                    to = min(at + ROWS, end)
+                    n, offsets = to - at, all_offsets[at - start : to - start + 1]
+                    h, row, count = _counted(*features(offsets - offsets[0], all_raw[offsets[0] : offsets[-1]]))
+                    place = np.searchsorted(index.vocabulary, h)
+                    inside = np.zeros(len(h), bool)
+                    inside[place < len(index.vocabulary)] = index.vocabulary[place[place < len(index.vocabulary)]] == h[place < len(index.vocabulary)]
+                    p = place[inside]
+                    w = (1 + np.log(count[inside])) * index.idf[p]
+                    bounds = np.searchsorted(row[inside], np.arange(n + 1))
+                    sums = index.products(bounds, p, w)
+                    but = np.full(n, -1)
+                    if numbered:
+                        but = np.searchsorted(index.rows, batch.column(0).slice(at, n).to_numpy())
+                    contrast = index.contrast(sums, but)
+                    if numbered:
+                        sums[np.arange(n), but] = 0
+                    best = [index.best(x, NEIGHBOURS) for x in sums]
+                    sizes, flat = [len(b) for b in best], np.concatenate(best)
+                    out = ~inside
+                    of = np.bincount(row[out], minlength=n)
+                    names = pa.array([[str(index.ids[x]) for x in b[:EVIDENCE]] for b in best], pa.list_(pa.string()))
+                    dots = np.concatenate([x[b] for x, b in zip(sums, best, strict=True)]).astype(float)
+                    lists = [A.long_list(dots, sizes, pa.float64()), A.long_list(index.toxic[flat].astype(np.int32), sizes, pa.int32()), names]
+                    known = np.bincount(row[inside], w * w, n).astype(float)
+                    yield pa.record_batch(
+                        [batch.column(0).slice(at, n), *lists, pa.array(known), pa.array(contrast), A.long_list(A.signed(h[out]), of, pa.int64()), A.long_list(count[out], of, pa.int64())],
+                        names=["id", "dots", "toxic", "examples", "known", "contrast", "features", "counts"],
+                    )
+
+    return run
+
+
+def voted(norm: Column, share: float) -> Column:
+    """Share of toxic votes, weighted by squared cosine; the share of toxic examples has the weight of one distant example."""
+    w = F.transform("dots", lambda x: (x / norm) * (x / norm))
+    add = lambda a: F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x)
+    return (add(F.zip_with(w, F.col("toxic"), lambda x, t: x * t)) + 0.1 * share) / (add(w) + 0.1)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Index | None:
-    """The index of a bounded sample of labelled rows, or None without rows of both kinds.
+    """The index of a bounded sample of labelled rows, or None without rows of both kinds or without any word in them.
 
     Rows without id, label or text are left out.
     """
-    importable(docs.sparkSession)
+    spark = docs.sparkSession
+    importable(spark)
+    scratch = Scratch(spark, "toxicity")
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic")).filter("id is not null and toxic in (0, 1)")
     some = known.orderBy(F.xxhash64("id"), "id", "toxic").limit(sample)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text is not null")
     # At most ``sample`` narrow rows; their texts are looked at three times, and read from the corpus once.
-    rows = Scratch(docs.sparkSession, "toxicity").write(texts.join(F.broadcast(some), "id").select("id", "toxic", "text"), "sample")
-    sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if len(sizes) < 2:
+    rows = scratch.write(texts.join(F.broadcast(some), "id").select(F.monotonically_increasing_id().alias("row"), "id", "toxic", "text"), "sample")
+    if rows.select("toxic").distinct().count() < 2:
+        return None
+    counted = lambda t: t.select("text").mapInArrow(_document_counts, "feature bigint, n bigint")
+    counts = scratch.write(counted(texts).groupBy("feature").agg(F.sum("n").alias("n")), "counts")
+    documents = texts.count()
+    terms = counts.join(counted(rows).select("feature").distinct(), "feature").toArrow()
+    vocabulary = terms["feature"].to_numpy().view(U)
+    if not len(vocabulary):
         return None
-    share = sizes[1] / (sizes[0] + sizes[1])
-    counts = rows.mapInArrow(_document_counts, "feature bigint, n bigint, n_toxic bigint").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("n_toxic").alias("n_toxic"))
-    excess = (F.col("n_toxic") - share * F.col("n")) / F.sqrt(share * (1 - share) * F.col("n"))
-    chosen = counts.filter(f"n_toxic >= 2 and n_toxic >= 0.5 * n and n_toxic > {2 * share} * n").withColumn("z", excess).orderBy(F.desc("z"), "feature").limit(CANDIDATES).collect()
-    vocabulary = np.unique(np.array([r["feature"] for r in chosen], np.int64).view(U))
+    order = np.argsort(vocabulary)
+    vocabulary, idf = vocabulary[order], idf_of(documents, terms["n"].to_numpy()[order])
     kind = docs.schema[id_col].dataType.simpleString()
-    found = rows.mapInArrow(_vectors(vocabulary), f"id {kind}, toxic int, places array<bigint>, counts array<bigint>").orderBy("id", "toxic").collect()
-    toxic = np.array([r["toxic"] == 1 for r in found])
-    places = [np.array(r["places"], np.int64) for r in found]
-    counts_ = [np.array(r["counts"], np.int64) for r in found]
-    keep = picked(places, toxic, len(vocabulary), VOCABULARY)
-    inside = [np.isin(p, keep) for p in places]
-    places = [np.searchsorted(keep, p[i]) for p, i in zip(places, inside, strict=True)]
-    counts_ = [c[i] for c, i in zip(counts_, inside, strict=True)]
-    vocabulary = vocabulary[keep]
-    df = np.bincount(np.concatenate([*places, np.zeros(0, np.int64)]), minlength=len(vocabulary))
-    idf = np.log((1 + len(found)) / (1 + df)) + 1
-    full = [k for k in range(len(found)) if len(places[k])]
-    # Examples of like content lie together, so that the blocks' bounds are tight.
-    full.sort(key=lambda k: (int(places[k][np.argmax(counts_[k] * idf[places[k]])]), len(places[k]), k))
-    blank = toxic[[k for k in range(len(found)) if not len(places[k])]]
-    index = Index(vocabulary, idf, [found[k]["id"] for k in full], toxic[full].astype(float), np.zeros(0, np.int64), np.zeros(0), np.zeros((0, 1), np.int64), np.zeros((0, 0)), float(blank.mean()) if len(blank) else share)
-    vectors = [index.weights(places[k], counts_[k]) for k in full]
-    f = np.concatenate([*(places[k] for k in full), np.zeros(0, np.int64)])
-    e = np.repeat(np.arange(len(full)), [len(places[k]) for k in full])
-    w = np.concatenate([*vectors, np.zeros(0)])
-    order = np.lexsort((e, f))
-    f, index.posting_ids, index.posting_weights = f[order], e[order], w[order]
-    blocks = -(-len(full) // BLOCK)
-    key = f * max(1, blocks) + index.posting_ids // BLOCK
-    index.pointers = np.stack([np.searchsorted(key, np.arange(len(vocabulary)) * max(1, blocks) + b) for b in range(blocks + 1)], axis=1) if len(vocabulary) else np.zeros((0, blocks + 1), np.int64)
-    index.most = np.zeros((len(vocabulary), blocks))
-    np.maximum.at(index.most, (f, index.posting_ids // BLOCK), index.posting_weights)
-    votes = [index.vote(*index.nearest(places[k], v, NEIGHBOURS, but=n)) for n, (k, v) in enumerate(zip(full, vectors, strict=True))]
-    index.slope, index.shift = platt(np.array([*votes, *[index.blank] * len(blank)]), np.concatenate([toxic[full], blank]))
+    given = spark.sparkContext.broadcast((vocabulary, idf))
+    vectors = rows.mapInArrow(_vectors(given), f"row bigint, id {kind}, toxic int, places binary, counts binary, norm double").toArrow()
+    order = np.argsort(vectors["row"].to_numpy())
+    places, times = vectors["places"], vectors["counts"]
+    df = np.zeros(len(vocabulary), np.int64)
+    for k in range(len(order)):
+        df[np.frombuffer(places[k].as_py(), np.int32)] += 1
+    ends = np.cumsum(df)
+    at = ends - df
+    pointers = np.stack([at, ends], axis=1)
+    posting_ids, posting_counts = np.zeros(ends[-1], np.int32), np.zeros(ends[-1], np.int32)
+    for e, k in enumerate(order.tolist()):
+        p = np.frombuffer(places[k].as_py(), np.int32)
+        posting_ids[at[p]], posting_counts[at[p]] = e, np.frombuffer(times[k].as_py(), np.int32)
+        at[p] += 1
+    ids, toxic = vectors["id"].take(order).to_pylist(), vectors["toxic"].to_numpy()[order].astype(float)
+    norms, numbers = vectors["norm"].to_numpy()[order], vectors["row"].to_numpy()[order]
+    del vectors, places, times
+    index = Index(vocabulary, idf, ids, toxic, norms, posting_ids, posting_counts, pointers, documents, scratch.path("counts"), numbers)
+    index.weigh()
+    given.destroy()
+    found = rows.select(F.col("row").alias("id"), "text").mapInArrow(_neighbours(index.shared(spark), True), f"id bigint, {KIND}").filter("known > 0")
+    found = found.select("id", voted(F.sqrt("known"), float(toxic.mean())).alias("vote"), "contrast").toArrow()
+    mine = toxic[np.searchsorted(index.rows, found["id"].to_numpy())] == 1
+    # A row that is alone of its kind says nothing once it is left out.
+    tells = np.array([toxic.sum() > 1 if t else (1 - toxic).sum() > 1 for t in mine], bool)
+    index.theta = platt(found["vote"].to_numpy()[tells], found["contrast"].to_numpy()[tells], mine[tells])
     return index
 
 
-def platt(votes: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of the logistic curve from votes (as 2 v - 1) to shares of toxic rows, with smoothed targets."""
-    x = np.stack([2 * votes - 1, np.ones(len(votes))], axis=1)
+def platt(votes: np.ndarray, contrasts: np.ndarray, toxic: np.ndarray) -> tuple[float, float, float]:
+    """Weights of votes (as 2 v - 1) and contrasts, and shift, of the logistic curve to shares of toxic rows, with smoothed targets."""
+    x = np.stack([2 * votes - 1, contrasts, np.ones(len(votes))], axis=1)
     n = toxic.sum()
     y = np.where(toxic, (n + 1) / (n + 2), 1 / (len(toxic) - n + 2))
-    theta = np.array([2.0, 0.0])
+    prior = np.array([2.0, 1.0, 0.0])
+    theta = prior
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ theta, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2), x.T @ (p - y) + 1e-3 * (theta - [2.0, 0.0]))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(3), x.T @ (p - y) + 1e-3 * (theta - prior))
         theta = theta - np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-9:
             break
-    return float(theta[0]), float(theta[1])
-
-
-def _score(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index: Index | None = shared.value
-        kind = pa.list_(pa.struct([("example", pa.string()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
-        maybe = filter_of(index.vocabulary) if index else None
-        for batch in batches:
-            for at, to, offsets, raw in A.chunks(batch.column(1)):
-                n = to - at
-                scores, evidence = np.full(n, index.calibrated(index.blank) if index else 0.0), [[] for _ in range(n)]
-                if index and len(index.vocabulary):
-                    places, counts, bounds = sparse(offsets, raw, index.vocabulary, maybe)
-                    for k in np.flatnonzero(np.diff(bounds)).tolist():
-                        p, c = places[bounds[k] : bounds[k + 1]], counts[bounds[k] : bounds[k + 1]]
-                        near, cosines = index.nearest(p, index.weights(p, c), NEIGHBOURS)
-                        scores[k] = index.calibrated(index.vote(near, cosines))
-                        evidence[k] = [{"example": str(index.ids[x]), "cosine": float(y), "toxic": int(index.toxic[x])} for x, y in zip(near[:EVIDENCE], cosines, strict=False)]
-                yield pa.record_batch([batch.column(0).slice(at, n), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32)), pa.array(evidence, kind)], names=["id", "score", "predicted", "evidence"])
-
-    return run
+    return float(theta[0]), float(theta[1]), float(theta[2])
 
 
 def score(docs: DataFrame, index: Index | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, score, predicted, evidence (the nearest examples).
 
-    A text without any feature, a null or an empty one included, has no
-    neighbours and gets the calibrated share of toxic rows among such
-    examples; without an index the score is 0. Repeated rows stay repeated,
-    equal cosines go by the examples' places, an empty table gives an empty
-    result, and other columns are not looked at.
+    A text that shares no feature with any example, a null or an empty one
+    included, has no neighbours and score 0, as all have without an index.
+    Repeated rows stay repeated, equal cosines (to six places) go by the
+    examples' places, an empty table gives an empty result, and other columns
+    are not looked at.
     """
     spark = docs.sparkSession
     importable(spark)
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"id {kind}, score double, predicted int, evidence array<struct<example:string,cosine:double,toxic:int>>"
+    evidence = "array<struct<example:string,cosine:double,toxic:int>>"
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_score(spark.sparkContext.broadcast(index)), schema).withColumnRenamed("id", id_col)
+    if index is None:
+        return rows.select(F.col("id").alias(id_col), F.lit(0.0).alias("score"), F.lit(0).alias("predicted"), F.array().cast(evidence).alias("evidence"))
+    near = rows.mapInArrow(_neighbours(index.shared(spark), False), f"id {kind}, {KIND}")
+    near = Scratch(spark, "toxicity").write(near.withColumn("row", F.monotonically_increasing_id()), "near")
+    counts = spark.read.schema("feature bigint, n bigint").parquet(index.counts)
+    other = near.select("row", F.explode(F.arrays_zip("features", "counts")).alias("x")).select("row", F.col("x.features").alias("feature"), F.col("x.counts").alias("count"))
+    weight = (1 + F.log("count")) * (F.log((1 + index.documents) / (1 + F.coalesce("n", F.lit(0)))) + 1)
+    other = other.join(counts, "feature", "left").groupBy("row").agg(F.sum(weight * weight).alias("other"))
+    found = near.drop("features", "counts").join(other, "row", "left").withColumn("norm", F.sqrt(F.col("known") + F.coalesce("other", F.lit(0.0))))
+    a, b, c = index.theta
+    curve = 1 / (1 + F.exp(-(a * (2 * voted(F.col("norm"), float(index.toxic.mean())) - 1) + b * F.col("contrast") + c)))
+    told = F.transform(F.arrays_zip("examples", F.slice("dots", 1, EVIDENCE).alias("d"), F.slice("toxic", 1, EVIDENCE).alias("t")), lambda x: F.struct(x["examples"].alias("example"), (x["d"] / F.col("norm")).alias("cosine"), x["t"].alias("toxic")))
+    found = found.select(F.col("id").alias(id_col), F.when(F.size("dots") > 0, curve).otherwise(0.0).alias("score"), told.cast(evidence).alias("evidence"))
+    return found.select(id_col, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
 
 
 def held_out(id_: Column) -> Column:

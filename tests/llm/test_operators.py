@@ -5,7 +5,7 @@ import hashlib
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -345,6 +345,27 @@ def test_toxicity_neighbours_are_exact_and_scores_hold_out(spark):
     assert toxicity.score(docs.limit(0), index).count() == 0
 
 
+def test_toxicity_compares_whole_texts(spark):
+    rnd = random.Random(61)
+    words = [f"{a}{b}{c}" for a in ("lo", "ma", "te") for b in ("ri", "ku") for c in ("n", "s", "la", "pe")]
+    rows = [(i, " ".join([rnd.choice(words) for _ in range(30)] + ["grumok"] * (i % 4 == 0))) for i in range(120)]
+    rows += [(500, " ".join([*(f"unheard{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(300)), "grumok"])), (501, rows[3][1])]
+    docs = documents(spark, rows)
+    index = toxicity.fit(docs, spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(120)], "doc_id bigint, toxic int"))
+    found = {r["doc_id"]: r for r in toxicity.score(docs, index).collect()}
+    # A clean example is a neighbour like any other.
+    assert (found[501]["evidence"][0]["example"], found[501]["evidence"][0]["toxic"]) == ("3", 0) and abs(found[501]["evidence"][0]["cosine"] - 1) < 1e-5
+    # Cosines are those of whole texts, with document frequencies of the corpus.
+    terms = {i: Counter((w[:n], n) for w in t.split() for n in toxicity.PREFIXES if n and len(w) > n) + Counter((w, 0) for w in t.split()) for i, t in rows}
+    df = Counter(f for c in terms.values() for f in c)
+    vector = {i: {f: (1 + np.log(n)) * (np.log((1 + len(rows)) / (1 + df[f])) + 1) for f, n in c.items()} for i, c in terms.items()}
+    norm = {i: sum(x * x for x in v.values()) ** 0.5 for i, v in vector.items()}
+    for i in (500, 501, 7):
+        best = sorted((sum(x * vector[k].get(f, 0) for f, x in vector[i].items()) / norm[i] / norm[k] for k in range(120)), reverse=True)
+        assert np.allclose([e["cosine"] for e in found[i]["evidence"]], best[: toxicity.EVIDENCE], atol=1e-5)
+    assert found[500]["evidence"][0]["cosine"] < 0.2
+
+
 # 7
 
 
