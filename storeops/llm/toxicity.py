@@ -327,7 +327,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 def platt(votes: np.ndarray, contrasts: np.ndarray, toxic: np.ndarray) -> tuple[float, float, float]:
     """Weights of votes (as 2 v - 1) and contrasts, and shift, of the logistic curve to shares of toxic rows, with smoothed targets."""
-    x = np.stack([2 * votes - 1, contrasts, np.ones(len(votes))], axis=1)
+    scale = max(float(np.std(contrasts)), 1e-6) if len(contrasts) else 1.0
+    x = np.stack([2 * votes - 1, contrasts / scale, np.ones(len(votes))], axis=1)
     n = toxic.sum()
     y = np.where(toxic, (n + 1) / (n + 2), 1 / (len(toxic) - n + 2))
     prior = np.array([2.0, 1.0, 0.0])
@@ -338,7 +339,7 @@ def platt(votes: np.ndarray, contrasts: np.ndarray, toxic: np.ndarray) -> tuple[
         theta = theta - np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-9:
             break
-    return float(theta[0]), float(theta[1]), float(theta[2])
+    return float(theta[0]), float(theta[1] / scale), float(theta[2])
 
 
 def score(docs: DataFrame, index: Index | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -366,6 +366,25 @@ def test_toxicity_compares_whole_texts(spark):
     assert found[500]["evidence"][0]["cosine"] < 0.2
 
 
+def test_toxicity_with_uncommon_shares_of_labels(spark):
+    rnd = random.Random(62)
+    words = [f"{a}{b}{c}" for a in ("lo", "ma", "te") for b in ("ri", "ku") for c in ("n", "s", "la", "pe")]
+    for toxic in ([i % 5 != 0 for i in range(100)], [i == 50 for i in range(100)]):
+        rows = [(i, " ".join([rnd.choice(words) for _ in range(12)] + ["grumok", "vilest"] * t)) for i, t in enumerate(toxic)]
+        docs = documents(spark, [*rows, (900, ""), (901, None), (902, "unheard")])
+        index = toxicity.fit(docs, spark.createDataFrame([(i, int(t)) for i, t in enumerate(toxic)], "doc_id bigint, toxic int"))
+        found = {r["doc_id"]: r for r in toxicity.score(docs, index).collect()}
+        assert len(index.ids) == 100 and len(found) == 103
+        assert not any(found[i]["predicted"] for i, t in enumerate(toxic) if not t)
+        assert all(found[i]["score"] == 0 and not found[i]["evidence"] for i in (900, 901, 902))
+        if sum(toxic) > 1:
+            assert all(found[i]["predicted"] for i, t in enumerate(toxic) if t)
+        else:
+            assert found[50]["evidence"][0]["toxic"] == 1 and found[50]["score"] == max(r["score"] for r in found.values())
+    docs = documents(spark, [(1, "!!"), (2, "?")])
+    assert toxicity.fit(docs, spark.createDataFrame([(1, 0), (2, 1)], "doc_id bigint, toxic int")) is None
+
+
 # 7
 
 
