@@ -56,11 +56,11 @@ class DigestIndex:
     def ingest(self, marked: DataFrame, batch: str) -> None:
         """Appends the digests of ``marked`` (see :func:`digests`) that the index lacks.
 
-        Of equal texts within the batch the row with the most code points,
-        then the smallest id, is the one that stays; a text that an earlier
+        Of equal texts within the batch the row with the most code points of
+        those with an id, then the smallest id, is the one that stays; a text that an earlier
         batch brought in keeps that batch's row.
         """
-        best = F.max(F.struct("n_points", (-F.col("id")).alias("minus_id")))
+        best = F.max(F.struct(F.col("id").isNotNull().alias("has_id"), "n_points", (-F.col("id")).alias("minus_id")))
         fresh = marked.groupBy("digest").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size"))
         fresh = fresh.select("digest", (-F.col("best.minus_id")).alias("keep_id"), "group_size", F.lit(batch).alias("batch"))
         known = self.rows().select("digest")

@@ -305,6 +305,12 @@ def test_exact_dedup_and_persistent_index(spark):
     assert exact_dedup.exact_dedup(documents(spark, rows).limit(0)).count() == 0
 
 
+def test_exact_dedup_rows_without_id_never_win(spark):
+    rows = [(None, "a  b"), (1, "ab"), (2, "a b"), (None, "x"), (None, "x ")]
+    found = exact_dedup.exact_dedup(documents(spark, rows)).select("doc_id", "keep_id", "group_size", "kept").collect()
+    assert sorted(map(tuple, found), key=str) == sorted([(None, 2, 3, False), (1, 2, 3, False), (2, 2, 3, True), (None, None, 2, False), (None, None, 2, False)], key=str)
+
+
 # 6
 
 
