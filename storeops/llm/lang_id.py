@@ -23,7 +23,7 @@ BUCKETS = 1 << 15
 SIZES = (1, 2, 3)
 #: Labelled documents that training takes of each language, about; picked by the hash of their ids.
 SAMPLE = 2_000
-#: Languages that a model may have, the most frequent first: it bounds the matrix to BUCKETS * MOST_LANGUAGES floats.
+#: Languages that a model may have; more are an error. It bounds the matrix to BUCKETS * MOST_LANGUAGES floats.
 MOST_LANGUAGES = 400
 SMOOTHING = 0.5
 CHUNK = 1 << 20
@@ -93,11 +93,13 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     Rows without language or text are left out. Of a language with more than
     ``sample`` documents, those with the smallest hashes of their ids are
     taken, by a share that makes about ``sample``. Without any labelled text
-    there are no languages.
+    there are no languages; more than MOST_LANGUAGES raise ValueError.
     """
     importable(docs.sparkSession)
     known = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("lang is not null and text is not null")
-    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
+    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES + 1).collect()
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     if not sizes:
         return [], np.zeros((buckets, 0), np.float32)
     share = F.lit(0.0)

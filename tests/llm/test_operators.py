@@ -475,6 +475,15 @@ def test_language_scores_equal_brute_force(spark):
         assert abs(r["score"] - np.exp(total.max()) / np.exp(total).sum()) < 1e-9
 
 
+def test_too_many_languages_raise(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "ab", "x"), (2, "cd", "y"), (3, "ef", "z")], "doc_id bigint, text string, lang string")
+    monkeypatch.setattr(lang_id, "MOST_LANGUAGES", 2)
+    with pytest.raises(ValueError, match="languages"):
+        lang_id.train(docs)
+    assert lang_id.train(docs.filter("doc_id < 3"))[0] == ["x", "y"]
+
+
+
 # 10
 
 
