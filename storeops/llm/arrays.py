@@ -60,6 +60,31 @@ def chunks(column: pa.Array, most: int = CHUNK) -> Iterator[tuple[int, int, np.n
         at = to
 
 
+def text_runs(column: pa.Array, inside: np.ndarray, most: int = CHUNK) -> Iterator[tuple[int, int, Iterator[tuple[np.ndarray, np.ndarray]]]]:
+    """(first row, row after the last, pieces) for runs of rows of about ``most`` bytes, in lower case.
+
+    A piece is (offsets, bytes) of the rows. A text of more than ``most`` bytes
+    is a run of its own and comes in several pieces of that size, cut before a
+    byte that isn't ``inside`` a word, so that no word is torn.
+    """
+    for at, to, offsets, raw in chunks(column, most):
+        yield at, to, _cut(offsets, raw, inside, most)
+
+
+def _cut(offsets: np.ndarray, raw: np.ndarray, inside: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    if len(raw) <= most or len(offsets) > 2:
+        yield offsets, LOWER[raw]
+        return
+    at = 0
+    while at < len(raw):
+        to = at + most
+        while to < len(raw) and (gap := inside[LOWER[raw[to : to + most]]]).all():
+            to += len(gap)
+        to = min(len(raw), to + int(np.argmin(gap)) if to < len(raw) else to)
+        yield np.array([0, to - at]), LOWER[raw[at:to]]
+        at = to
+
+
 def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Maximal runs of true bytes that don't cross texts: (starts, ends, row of each)."""
     if not len(inside):

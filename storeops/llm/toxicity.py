@@ -1,355 +1,369 @@
 """Operator 6: toxicity by the nearest labelled examples.
 
-Texts are vectors of TF-IDF weights over all their words and word beginnings,
-with document frequencies of the whole corpus and norms over the whole text. A
-document's neighbours are the examples, toxic or clean, of largest cosine,
-found exactly in an inverted index of every term of the examples: postings of
-the most frequent terms lie in a dense matrix, the others are added one by one.
-The neighbours' votes, weighted by cosine, and the distance between the mean
-cosines to all toxic and to all clean examples are calibrated on the examples
-themselves (each without its own part); the nearest ones are the evidence.
+Texts are vectors of all their words. A word's weight is its TF-IDF, with
+document frequencies of the whole corpus, times its strength: how many
+standard deviations its share of toxic examples lies from the share of all
+examples, and 1 for the many words that lie within one. (By TF-IDF alone the
+neighbours of a text are those that share its rare words, whatever their
+label.) No word is left out, and norms are those of whole texts.
+
+The examples lie in a block-max inverted index: they are dealt to blocks of
+like examples, and each word keeps the largest weight that it has in each
+block beside its postings. A text's words give an upper bound of its cosine
+with any example of a block; the blocks of largest bounds are opened first,
+and then all that could still hold one of the k nearest, so the k nearest are
+exact. The neighbours' votes, weighted by squared cosine, are calibrated on
+the examples themselves (each without itself); the nearest are the evidence.
 
 The index is built from a bounded sample of labelled rows, so what is
-broadcast is bounded too; texts are scored where they are read. Terms that no
-example has matter for a document's norm alone; their frequencies, which have
-no bound, stay in a table that is joined.
+broadcast is bounded too; texts are scored where they are read.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storeops.llm import arrays as A
 from storeops.llm.shared import Scratch, id_crc, importable, table
 
-#: Labelled rows that the model is fitted on, those with the smallest hashes of their ids.
-SAMPLE = 20_000
-#: Bytes of word beginnings; 0 is the whole word.
-PREFIXES = (0, 4, 5, 6)
-#: Most frequent terms, whose postings lie in a matrix; terms of fewer examples than SHORT are added together.
-DENSE, SHORT = 1_024, 200
-#: Documents that are compared at once.
-ROWS = 256
-NEIGHBOURS = 15
-EVIDENCE = 3
+#: Labelled rows that the index is built from, those with the smallest hashes of their ids, and bytes of their texts, at most.
+SAMPLE, SAMPLE_BYTES = 2_500, 64_000_000
+NEIGHBOURS, EVIDENCE = 15, 3
+#: Examples of a block, and blocks that are opened before the bounds of the others are looked at.
+BLOCK, FIRST = 32, 4
+#: Words of most examples, whose postings lie in a matrix.
+DENSE = 1_024
+#: Texts, and words of theirs, that are searched for at once.
+ROWS, TERMS = 256, 400_000
 U = np.uint64
+LETTERS = A.word_table("letters")
 
 
-def features(offsets: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, row) of all words and word beginnings."""
-    data = A.LOWER[raw]
-    starts, ends, row = A.runs(A.word_table("letters")[data], offsets)
-    hashes, rows = [], []
-    for size in PREFIXES:
-        some = slice(None) if not size else ends - starts > size
-        s, e = starts[some], ends[some]
-        hashes.append(A.mix(A.span_hashes(data, s, np.minimum(e, s + size) if size else e) + U(size)))
-        rows.append(row[some])
-    return np.concatenate(hashes), np.concatenate(rows)
-
-
-def _counted(h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, row, count) of the different features of each row, by row."""
+def counted(h: np.ndarray, row: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, row, count) of the different words of each row, by row and hash."""
     order = np.lexsort((h, row))
     h, row = h[order], row[order]
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
     at = np.flatnonzero(new)
-    return h[at], row[at], np.diff(np.append(at, len(h)))
+    if n is None:
+        return h[at], row[at], np.diff(np.append(at, len(h)))
+    return h[at], row[at], np.add.reduceat(n[order], at) if len(at) else n
 
 
-def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(feature, documents with it), summed over the task as far as memory allows."""
-    keys, counts = np.zeros(0, U), np.zeros(0, np.int64)
-    for batch in batches:
-        for _, _, offsets, raw in A.chunks(batch.column(0)):
-            new, n = np.unique(_counted(*features(offsets, raw))[0], return_counts=True)
-            keys, inverse = np.unique(np.concatenate([keys, new]), return_inverse=True)
-            counts = np.bincount(inverse, np.concatenate([counts, n]), len(keys)).astype(np.int64)
-            if len(keys) > 1_000_000:
-                yield pa.record_batch([pa.array(A.signed(keys)), pa.array(counts)], names=["feature", "n"])
-                keys, counts = keys[:0], counts[:0]
-    if len(keys):
-        yield pa.record_batch([pa.array(A.signed(keys)), pa.array(counts)], names=["feature", "n"])
+def words(column: pa.Array, most: int = A.CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, row after the last, hash, row, count) of runs of rows; a long text is counted piece by piece."""
+    for at, to, pieces in A.text_runs(column, LETTERS, most):
+        parts = []
+        for offsets, data in pieces:
+            starts, ends, row = A.runs(LETTERS[data], offsets)
+            parts.append(counted(A.span_hashes(data, starts, ends), row))
+        yield (at, to, *(parts[0] if len(parts) == 1 else counted(*map(np.concatenate, zip(*parts, strict=True)))))
 
 
-def idf_of(documents: int, n: np.ndarray) -> np.ndarray:
-    return np.log((1 + documents) / (1 + n)) + 1
+def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, toxic, words, counts) of the examples."""
+    for batch in batches:
+        for at, to, h, row, count in words(batch.column(2)):
+            sizes = np.bincount(row, minlength=to - at)
+            yield pa.record_batch([batch.column(0).slice(at, to - at), batch.column(1).slice(at, to - at), A.long_list(A.signed(h), sizes, pa.int64()), A.long_list(count, sizes, pa.int64())], names=["id", "toxic", "words", "counts"])
 
 
-def _vectors(shared):
-    """Places and counts of each text's features, as bytes of int32, and the norm of its weights."""
+def _document_counts(shared):
+    """(place in the vocabulary, documents with the word), summed over the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, idf = shared.value
+        vocabulary = shared.value
+        total = np.zeros(len(vocabulary), np.int64)
         for batch in batches:
-            for at, to, offsets, raw in A.chunks(batch.column(3)):
-                h, row, count = _counted(*features(offsets, raw))
-                place = np.searchsorted(vocabulary, h)
-                w = (1 + np.log(count)) * idf[place]
-                norm = np.sqrt(np.bincount(row, w * w, to - at))
-                bounds = np.searchsorted(row, np.arange(to - at + 1))
-                parts = [(place[a:b].astype(np.int32).tobytes(), count[a:b].astype(np.int32).tobytes()) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-                columns = [batch.column(k).slice(at, to - at) for k in (0, 1, 2)]
-                yield pa.record_batch([*columns, pa.array([x for x, _ in parts], pa.binary()), pa.array([x for _, x in parts], pa.binary()), pa.array(norm)], names=["row", "id", "toxic", "places", "counts", "norm"])
+            for _, _, h, _, _ in words(batch.column(0)):
+                total += np.bincount(held(vocabulary, h)[1], minlength=len(vocabulary))
+        at = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(at), pa.array(total[at])], names=["place", "n"])
 
     return run
 
 
-@dataclass
-class Index:
-    """Examples as postings by feature: every feature of every example."""
-
-    vocabulary: np.ndarray
-    idf: np.ndarray
-    ids: list
-    toxic: np.ndarray
-    norms: np.ndarray
-    posting_ids: np.ndarray
-    posting_counts: np.ndarray
-    #: Places of the first posting of each feature and of the one after its last.
-    pointers: np.ndarray
-    #: Documents of the corpus, and the table of how many of them have each feature.
-    documents: int
-    counts: str
-    #: Numbers of the examples' rows in the sample.
-    rows: np.ndarray
-    #: Weights of vote and contrast, and the shift, of the calibration.
-    theta: tuple[float, float, float] = (2.0, 1.0, 0.0)
-    posting_weights: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
-    _dense: tuple | None = field(default=None, repr=False)
-    _shared: Broadcast | None = field(default=None, repr=False)
-
-    def weigh(self) -> None:
-        """The weights of norm 1 of all postings, by runs of features, so that little memory is needed beside them."""
-        self.posting_weights = np.empty(len(self.posting_ids), np.float32)
-        for at in range(0, len(self.idf), 1 << 14):
-            begins, ends = self.pointers[at : at + (1 << 14)].T
-            p = slice(begins[0], ends[-1])
-            self.posting_weights[p] = (1 + np.log(self.posting_counts[p])) * np.repeat(self.idf[at : at + (1 << 14)], ends - begins) / self.norms[self.posting_ids[p]]
-
-    def __getstate__(self) -> dict:
-        # Differences of places and counts are small numbers; each executor keeps the packed bytes.
-        steps = np.diff(self.posting_ids, prepend=np.int32(0))
-        sizes = self.pointers[:, 1] - self.pointers[:, 0]
-        packed = [(zlib.compress(x.tobytes(), 1), x.dtype.str) for x in (steps, self.posting_counts, sizes, self.idf)]
-        return self.__dict__ | dict.fromkeys(["posting_ids", "posting_counts", "posting_weights", "pointers", "idf", "_dense", "_shared"]) | {"packed": packed}
-
-    def __setstate__(self, state: dict) -> None:
-        steps, counts, sizes, idf = (np.frombuffer(zlib.decompress(x), kind) for x, kind in state.pop("packed"))
-        self.__dict__.update(state)
-        self.posting_ids, self.posting_counts, self.idf = np.cumsum(steps, dtype=np.int32), counts, idf
-        ends = np.cumsum(sizes)
-        self.pointers = np.stack([ends - sizes, ends], axis=1)
-        self.weigh()
-        self.posting_counts = None
-
-    def shared(self, spark: SparkSession) -> Broadcast:
-        if self._shared is None:
-            self._shared = spark.sparkContext.broadcast(self)
-        return self._shared
-
-    def dense(self) -> tuple[np.ndarray, np.ndarray]:
-        """(row of each feature or -1, matrix of the most frequent features by example)."""
-        if self._dense is None:
-            df = self.pointers[:, 1] - self.pointers[:, 0]
-            most = np.argsort(-df, kind="stable")[:DENSE]
-            slot, matrix = np.full(len(df), -1), np.zeros((len(most), len(self.ids)), np.float32)
-            slot[most] = np.arange(len(most))
-            for k, f in enumerate(most.tolist()):
-                p = slice(*self.pointers[f])
-                matrix[k, self.posting_ids[p]] = self.posting_weights[p]
-            self._dense = slot, matrix
-        return self._dense
-
-    def products(self, bounds: np.ndarray, places: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """Inner products of texts, which have ``places`` and ``weights`` between their bounds, with all examples."""
-        slot, matrix = self.dense()
-        n, weights = len(bounds) - 1, weights.astype(np.float32)
-        row = np.repeat(np.arange(n), np.diff(bounds))
-        s = slot[places]
-        left = np.zeros((n, len(matrix)), np.float32)
-        left[row[s >= 0], s[s >= 0]] = weights[s >= 0]
-        sums = left @ matrix
-        begins, sizes = self.pointers[places, 0], self.pointers[places, 1] - self.pointers[places, 0]
-        for k in range(n):
-            mine = np.arange(bounds[k], bounds[k + 1])[s[bounds[k] : bounds[k + 1]] < 0]
-            many = mine[sizes[mine] >= SHORT]
-            for a, z, w in zip(begins[many].tolist(), sizes[many].tolist(), weights[many], strict=True):
-                sums[k, self.posting_ids[a : a + z]] += w * self.posting_weights[a : a + z]
-            few = mine[sizes[mine] < SHORT]
-            z = sizes[few]
-            at = np.repeat(begins[few] - np.cumsum(z) + z, z) + np.arange(z.sum())
-            if len(at):
-                sums[k] += np.bincount(self.posting_ids[at], np.repeat(weights[few], z) * self.posting_weights[at], len(self.ids)).astype(np.float32)
-        return sums
-
-    def best(self, sums: np.ndarray, k: int) -> np.ndarray:
-        """The k examples of largest product above 0, ties by place."""
-        if len(sums) > k:
-            least = np.partition(sums, len(sums) - k)[len(sums) - k]
-            some = np.flatnonzero(sums >= max(least - 1e-6, 1e-30))
-        else:
-            some = np.flatnonzero(sums > 0)
-        return some[np.lexsort((some, -np.round(sums[some].astype(float), 6)))[:k]]
-
-    def nearest(self, places: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(examples, cosines) of the k examples of largest cosine above 0, for a text of norm 1."""
-        sums = self.products(np.array([0, len(places)]), places, weights)[0]
-        best = self.best(sums, k)
-        return best, sums[best].astype(float)
+def held(vocabulary: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which hashes the vocabulary has, their places)."""
+    if not len(vocabulary):
+        return np.zeros(len(h), bool), np.zeros(0, np.int64)
+    place = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
+    inside = vocabulary[place] == h
+    return inside, place[inside]
 
-    def contrast(self, sums: np.ndarray, but: np.ndarray) -> np.ndarray:
-        """Mean product with toxic less that with clean examples, in deviations of all products; ``but`` (-1: none) is left out."""
-        some = but >= 0
-        mine = np.where(some, sums[np.arange(len(sums)), but], 0).astype(float)
-        kind = np.where(some, self.toxic[but], 0)
-        n_toxic, n_clean = self.toxic.sum() - (some & (kind == 1)), (1 - self.toxic).sum() - (some & (kind == 0))
-        toxic = (sums @ self.toxic.astype(np.float32)).astype(float) - mine * kind
-        total, squares = sums.sum(axis=1, dtype=float) - mine, np.einsum("ij,ij->i", sums, sums).astype(float) - mine * mine
-        n = np.maximum(n_toxic + n_clean, 1)
-        deviation = np.sqrt(np.maximum(squares / n - (total / n) ** 2, 0))
-        return np.where(deviation > 1e-6 * np.abs(total / n), (toxic / np.maximum(n_toxic, 1) - (total - toxic) / np.maximum(n_clean, 1)) / np.maximum(deviation, 1e-30), 0.0)
 
+def idf_of(documents: int, n: np.ndarray) -> np.ndarray:
+    return np.log((1 + documents) / (1 + n)) + 1
 
-KIND = "dots array<double>, toxic array<int>, examples array<string>, known double, contrast double, features array<bigint>, counts array<bigint>"
 
+def strength_of(n: np.ndarray, toxic: np.ndarray, share: float) -> np.ndarray:
+    """How far words are from the share of toxic examples, by examples with them and toxic ones of these; 1 at least."""
+    return np.maximum(1, np.abs(toxic - n * share) / np.sqrt(n * share * (1 - share) + 1))
 
-def _neighbours(shared, numbered: bool):
-    """The first column, then what ``KIND`` names: the nearest examples, by products with the text's weights, the squared norm over known features, and the features that no example has. Numbered rows of the sample aren't compared with themselves."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index: Index = shared.value
-        for batch in batches:
-            for start, end, all_offsets, all_raw in A.chunks(batch.column(1)):
-                for at in range(start, end, ROWS):
-                    to = min(at + ROWS, end)
-                    n, offsets = to - at, all_offsets[at - start : to - start + 1]
-                    h, row, count = _counted(*features(offsets - offsets[0], all_raw[offsets[0] : offsets[-1]]))
-                    place = np.searchsorted(index.vocabulary, h)
-                    inside = np.zeros(len(h), bool)
-                    inside[place < len(index.vocabulary)] = index.vocabulary[place[place < len(index.vocabulary)]] == h[place < len(index.vocabulary)]
-                    p = place[inside]
-                    w = (1 + np.log(count[inside])) * index.idf[p]
-                    bounds = np.searchsorted(row[inside], np.arange(n + 1))
-                    sums = index.products(bounds, p, w)
-                    but = np.full(n, -1)
-                    if numbered:
-                        but = np.searchsorted(index.rows, batch.column(0).slice(at, n).to_numpy())
-                    contrast = index.contrast(sums, but)
-                    if numbered:
-                        sums[np.arange(n), but] = 0
-                    best = [index.best(x, NEIGHBOURS) for x in sums]
-                    sizes, flat = [len(b) for b in best], np.concatenate(best)
-                    out = ~inside
-                    of = np.bincount(row[out], minlength=n)
-                    names = pa.array([[str(index.ids[x]) for x in b[:EVIDENCE]] for b in best], pa.list_(pa.string()))
-                    dots = np.concatenate([x[b] for x, b in zip(sums, best, strict=True)]).astype(float)
-                    lists = [A.long_list(dots, sizes, pa.float64()), A.long_list(index.toxic[flat].astype(np.int32), sizes, pa.int32()), names]
-                    known = np.bincount(row[inside], w * w, n).astype(float)
-                    yield pa.record_batch(
-                        [batch.column(0).slice(at, n), *lists, pa.array(known), pa.array(contrast), A.long_list(A.signed(h[out]), of, pa.int64()), A.long_list(count[out], of, pa.int64())],
-                        names=["id", "dots", "toxic", "examples", "known", "contrast", "features", "counts"],
-                    )
+def spread(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of all items of ranges, one range after the other."""
+    return np.repeat(begins - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
 
-    return run
 
+@dataclass
+class Index:
+    """Block-max inverted index of vectors of norm 1."""
 
-def voted(norm: Column, share: float) -> Column:
-    """Share of toxic votes, weighted by squared cosine; the share of toxic examples has the weight of one distant example."""
-    w = F.transform("dots", lambda x: (x / norm) * (x / norm))
-    add = lambda a: F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x)
-    return (add(F.zip_with(w, F.col("toxic"), lambda x, t: x * t)) + 0.1 * share) / (add(w) + 0.1)
-
-
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Index | None:
-    """The index of a bounded sample of labelled rows, or None without rows of both kinds or without any word in them.
-
-    Rows without id, label or text are left out.
+    vocabulary: np.ndarray
+    #: Weight of one occurrence of each word, and of a word that no example has.
+    weight: np.ndarray
+    unknown: float
+    #: Ids and labels of the examples, in the order of their blocks.
+    ids: np.ndarray
+    toxic: np.ndarray
+    #: Row of each word in the matrices of frequent words, or -1; weights by word and example, and their largest by word and block.
+    slot: np.ndarray
+    dense: np.ndarray
+    dense_most: np.ndarray
+    #: Of the other words: ranges of (word, block) pairs by word; block, largest weight and range of postings by pair; example and weight by posting.
+    pairs: np.ndarray
+    pair_block: np.ndarray
+    pair_most: np.ndarray
+    postings: np.ndarray
+    posting_example: np.ndarray
+    posting_weight: np.ndarray
+    #: Slope and shift of the calibration.
+    theta: tuple[float, float] = (4.0, 0.0)
+    #: Blocks that there are, examples of each, and how many are opened first.
+    blocks: int = 0
+    block: int = BLOCK
+    first: int = FIRST
+    #: Blocks that searches have opened, of how many.
+    opened: list[int] = field(default_factory=lambda: [0, 0])
+
+    @classmethod
+    def of(cls, vocabulary: np.ndarray, weight: np.ndarray, unknown: float, ids: np.ndarray, toxic: np.ndarray, example: np.ndarray, place: np.ndarray, w: np.ndarray) -> Index:
+        """From the weights ``w`` of the words at ``place`` in each example, by example."""
+        n, v = len(ids), len(vocabulary)
+        # Examples whose heaviest word (of those that could fill a block) is the same lie side by side, so that a block's largest weights are near those of its examples.
+        count = np.bincount(place, minlength=v)
+        common = count[place] >= BLOCK
+        at, of, by = example[common], place[common], np.lexsort((w[common], example[common]))
+        last = by[np.append(at[by][1:] != at[by][:-1], True)] if len(by) else by
+        top = np.zeros(n, np.int64)
+        top[at[last]] = of[last] + 1
+        order = np.argsort(top, kind="stable")
+        moved = np.empty(n, np.int64)
+        moved[order] = np.arange(n)
+        example = moved[example]
+        by = np.lexsort((example, place))
+        example, place, w = example[by], place[by], w[by]
+        blocks = -(-n // BLOCK)
+        slot = np.full(v, -1)
+        most = np.argsort(-count, kind="stable")[: min(DENSE, v)]
+        slot[most] = np.arange(len(most))
+        dense = np.zeros((len(most), blocks * BLOCK))
+        some = slot[place] >= 0
+        dense[slot[place[some]], example[some]] = w[some]
+        example, place, w = example[~some], place[~some], w[~some]
+        key = place * blocks + example // BLOCK
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+        pairs = np.searchsorted(place[first], np.arange(v + 1))
+        return cls(
+            vocabulary, weight, unknown, ids[order], toxic[order], slot, dense, dense.reshape(len(most), blocks, BLOCK).max(axis=2), pairs,
+            example[first] // BLOCK, np.maximum.reduceat(w, first) if len(first) else w, np.append(first, len(w)), example, w, blocks=blocks, block=BLOCK, first=FIRST,
+        )
+
+    def vectors(self, h: np.ndarray, row: np.ndarray, count: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, place, weight) of the known words of texts, so that each whole text has norm 1."""
+        inside, place = held(self.vocabulary, h)
+        tf = 1 + np.log(count)
+        w = tf * self.unknown
+        w[inside] = tf[inside] * self.weight[place]
+        norm = np.sqrt(np.bincount(row, w * w, n))
+        return row[inside], place, w[inside] / norm[row[inside]]
+
+    def search(self, row: np.ndarray, place: np.ndarray, weight: np.ndarray, n: int, k: int = NEIGHBOURS, but: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, example, cosine) of the k examples of largest cosine above 0 with each of n texts, nearest first; ties by place in the index.
+
+        ``but`` names an example for each text that isn't looked at.
+        """
+        slot, width = self.slot[place], self.blocks * self.block
+        q = np.zeros((n, len(self.dense)))
+        q[row[slot >= 0], slot[slot >= 0]] = weight[slot >= 0]
+        row, place, weight = (x[slot < 0] for x in (row, place, weight))
+        sizes = self.pairs[place + 1] - self.pairs[place]
+        pair, row, weight = spread(self.pairs[place], sizes), np.repeat(row, sizes), np.repeat(weight, sizes)
+        block = self.pair_block[pair]
+        bound = q @ self.dense_most + np.bincount(row * self.blocks + block, weight * self.pair_most[pair], n * self.blocks).reshape(n, self.blocks)
+        bound *= 1 + 1e-9
+        cosines = np.full((n, width), -1.0)
+
+        def visit(chosen: np.ndarray) -> np.ndarray:
+            """Opens blocks of texts; returns the k-th largest cosine of each text so far."""
+            for b in np.flatnonzero(chosen.any(axis=0)).tolist():
+                of, at = np.flatnonzero(chosen[:, b]), slice(b * self.block, (b + 1) * self.block)
+                cosines[of, at] = q[of] @ self.dense[:, at]
+            some = chosen[row, block]
+            p = pair[some]
+            z = self.postings[p + 1] - self.postings[p]
+            at = spread(self.postings[p], z)
+            to = np.repeat(row[some] * width, z) + self.posting_example[at]
+            cosines.reshape(-1)[:] += np.bincount(to, np.repeat(weight[some], z) * self.posting_weight[at], n * width)
+            if but is not None:
+                cosines[np.arange(n), but] = -1.0
+            self.opened[0] += int(chosen.sum())
+            return np.partition(cosines, width - k, axis=1)[:, width - k] if width > k else np.full(n, -1.0)
+
+        first = np.zeros((n, self.blocks), bool)
+        if self.blocks > self.first:
+            np.put_along_axis(first, np.argpartition(-bound, self.first, axis=1)[:, : self.first], True, axis=1)
+        else:
+            first[:] = True
+        first &= bound > 0
+        least = visit(first)
+        # Blocks whose bound is below what k examples have already can't hold a nearer one.
+        least = visit((bound >= least[:, None]) & (bound > 0) & ~first)
+        self.opened[1] += n * self.blocks
+        text, example = np.nonzero((cosines >= least[:, None]) & (cosines > 0))
+        found = cosines[text, example]
+        order = np.lexsort((example, -found, text))
+        text, example, found = text[order], example[order], found[order]
+        keep = np.arange(len(text)) - np.searchsorted(text, text) < k
+        return text[keep], example[keep], found[keep]
+
+    def votes(self, text: np.ndarray, example: np.ndarray, cosine: np.ndarray, n: int) -> np.ndarray:
+        """Toxic share of the neighbours' votes, weighted by squared cosine; 0 without neighbours."""
+        w = cosine * cosine
+        total = np.bincount(text, w, n)
+        return np.bincount(text, w * self.toxic[example], n) / np.where(total > 0, total, 1)
+
+    def calibrated(self, votes: np.ndarray) -> np.ndarray:
+        a, b = self.theta
+        return 1 / (1 + np.exp(-(a * (2 * votes - 1) + b)))
+
+
+def batches_of(h: np.ndarray, row: np.ndarray, count: np.ndarray, n: int) -> Iterator[tuple[int, int, tuple[np.ndarray, np.ndarray, np.ndarray, int]]]:
+    """(first text, text after the last, (word, row, count, texts)) of so many texts as are searched for at once."""
+    bounds, at = np.searchsorted(row, np.arange(n + 1)), 0
+    while at < n:
+        to = min(n, at + ROWS, max(at + 1, int(np.searchsorted(bounds, bounds[at] + TERMS, side="right")) - 1))
+        p = slice(bounds[at], bounds[to])
+        yield at, to, (h[p], row[p] - at, count[p], to - at)
+        at = to
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Index | None:
+    """The index of a bounded sample of labelled rows, or None without examples of both kinds or without any word in them.
+
+    Rows without id, label (0 or 1) or text are left out, and so are ids with
+    both labels. Of an id that stands on several rows, one text is taken, the
+    one of smallest hash.
     """
     spark = docs.sparkSession
     importable(spark)
     scratch = Scratch(spark, "toxicity")
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic")).filter("id is not null and toxic in (0, 1)")
-    some = known.orderBy(F.xxhash64("id"), "id", "toxic").limit(sample)
+    known = known.groupBy("id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("other")).filter("toxic = other")
+    some = known.select("id", "toxic", F.xxhash64("id").alias("rank")).orderBy("rank", "id").limit(sample)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text is not null")
-    # At most ``sample`` narrow rows; their texts are looked at three times, and read from the corpus once.
-    rows = scratch.write(texts.join(F.broadcast(some), "id").select(F.monotonically_increasing_id().alias("row"), "id", "toxic", "text"), "sample")
-    if rows.select("toxic").distinct().count() < 2:
+    # At most ``sample`` narrow rows are broadcast.
+    rows = texts.join(F.broadcast(some), "id").groupBy("id", "toxic", "rank").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    rows = scratch.write(rows, "sample")
+    sizes = rows.select("rank", F.octet_length("text").alias("bytes")).toPandas().sort_values("rank")
+    inside = sizes["bytes"].cumsum() <= sample_bytes
+    if not inside.any():
         return None
-    counted = lambda t: t.select("text").mapInArrow(_document_counts, "feature bigint, n bigint")
-    counts = scratch.write(counted(texts).groupBy("feature").agg(F.sum("n").alias("n")), "counts")
-    documents = texts.count()
-    terms = counts.join(counted(rows).select("feature").distinct(), "feature").toArrow()
-    vocabulary = terms["feature"].to_numpy().view(U)
-    if not len(vocabulary):
+    rows = rows.filter(F.col("rank") <= int(sizes["rank"][inside].iloc[-1]))
+    found = rows.select("id", "toxic", "text").mapInArrow(_vectors, f"id {docs.schema[id_col].dataType.simpleString()}, toxic int, words array<bigint>, counts array<bigint>").toArrow().combine_chunks()
+    toxic = found["toxic"].to_numpy().astype(float)
+    lists = found["words"].combine_chunks()
+    h, sizes = lists.flatten().to_numpy().view(U), lists.value_lengths().to_numpy()
+    if not 0 < toxic.sum() < len(toxic) or not len(h):
         return None
-    order = np.argsort(vocabulary)
-    vocabulary, idf = vocabulary[order], idf_of(documents, terms["n"].to_numpy()[order])
-    kind = docs.schema[id_col].dataType.simpleString()
-    given = spark.sparkContext.broadcast((vocabulary, idf))
-    vectors = rows.mapInArrow(_vectors(given), f"row bigint, id {kind}, toxic int, places binary, counts binary, norm double").toArrow()
-    order = np.argsort(vectors["row"].to_numpy())
-    places, times = vectors["places"], vectors["counts"]
+    example = np.repeat(np.arange(len(toxic)), sizes)
+    vocabulary, place = np.unique(h, return_inverse=True)
+    given = spark.sparkContext.broadcast(vocabulary)
+    counts = texts.select("text").mapInArrow(_document_counts(given), "place bigint, n bigint").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+    given.unpersist()
     df = np.zeros(len(vocabulary), np.int64)
-    for k in range(len(order)):
-        df[np.frombuffer(places[k].as_py(), np.int32)] += 1
-    ends = np.cumsum(df)
-    at = ends - df
-    pointers = np.stack([at, ends], axis=1)
-    posting_ids, posting_counts = np.zeros(ends[-1], np.int32), np.zeros(ends[-1], np.int32)
-    for e, k in enumerate(order.tolist()):
-        p = np.frombuffer(places[k].as_py(), np.int32)
-        posting_ids[at[p]], posting_counts[at[p]] = e, np.frombuffer(times[k].as_py(), np.int32)
-        at[p] += 1
-    ids, toxic = vectors["id"].take(order).to_pylist(), vectors["toxic"].to_numpy()[order].astype(float)
-    norms, numbers = vectors["norm"].to_numpy()[order], vectors["row"].to_numpy()[order]
-    del vectors, places, times
-    index = Index(vocabulary, idf, ids, toxic, norms, posting_ids, posting_counts, pointers, documents, scratch.path("counts"), numbers)
-    index.weigh()
-    given.destroy()
-    found = rows.select(F.col("row").alias("id"), "text").mapInArrow(_neighbours(index.shared(spark), True), f"id bigint, {KIND}").filter("known > 0")
-    found = found.select("id", voted(F.sqrt("known"), float(toxic.mean())).alias("vote"), "contrast").toArrow()
-    mine = toxic[np.searchsorted(index.rows, found["id"].to_numpy())] == 1
-    # A row that is alone of its kind says nothing once it is left out.
-    tells = np.array([toxic.sum() > 1 if t else (1 - toxic).sum() > 1 for t in mine], bool)
-    index.theta = platt(found["vote"].to_numpy()[tells], found["contrast"].to_numpy()[tells], mine[tells])
+    df[counts["place"].to_numpy()] = counts["n"].to_numpy()
+    documents = texts.count()
+    n, share = np.bincount(place), float(toxic.mean())
+    weight = idf_of(documents, df) * strength_of(n, np.bincount(place, toxic[example]), share)
+    w = (1 + np.log(found["counts"].combine_chunks().flatten().to_numpy())) * weight[place]
+    norm = np.sqrt(np.bincount(example, w * w, len(toxic)))
+    index = Index.of(vocabulary, weight, float(idf_of(documents, np.zeros(1))[0]), np.array(found["id"].to_pylist(), object), toxic, example, place, w / norm[example])
+    index.theta = calibrate(index)
     return index
 
 
-def platt(votes: np.ndarray, contrasts: np.ndarray, toxic: np.ndarray) -> tuple[float, float, float]:
-    """Weights of votes (as 2 v - 1) and contrasts, and shift, of the logistic curve to shares of toxic rows, with smoothed targets."""
-    scale = max(float(np.std(contrasts)), 1e-6) if len(contrasts) else 1.0
-    x = np.stack([2 * votes - 1, contrasts / scale, np.ones(len(votes))], axis=1)
+def calibrate(index: Index) -> tuple[float, float]:
+    """The logistic curve from the votes on examples, each without itself, to their labels."""
+    n = len(index.toxic)
+    # Postings back to vectors: those of the matrix and the others.
+    slots, examples = np.nonzero(index.dense[:, :n])
+    word = np.argsort(np.where(index.slot < 0, len(index.slot), index.slot), kind="stable")[: len(index.dense)]
+    pair_word = np.repeat(np.arange(len(index.vocabulary)), np.diff(index.pairs))
+    row = np.concatenate([examples, index.posting_example])
+    place = np.concatenate([word[slots], np.repeat(pair_word, np.diff(index.postings))])
+    w = np.concatenate([index.dense[slots, examples], index.posting_weight])
+    order = np.argsort(row, kind="stable")
+    row, place, w = row[order], place[order], w[order]
+    votes = np.zeros(n)
+    for at, to, (p, r, x, m) in batches_of(place, row, w, n):
+        votes[at:to] = index.votes(*index.search(r, p, x, m, but=np.arange(at, to)), m)
+    # An example that is alone of its kind says nothing once it is left out.
+    tells = np.where(index.toxic == 1, index.toxic.sum() > 1, (1 - index.toxic).sum() > 1)
+    return platt(votes[tells], index.toxic[tells] == 1)
+
+
+def platt(votes: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
+    """Slope and shift of the logistic curve from votes (as 2 v - 1) to shares of toxic rows, with smoothed targets."""
+    x = np.stack([2 * votes - 1, np.ones(len(votes))], axis=1)
     n = toxic.sum()
     y = np.where(toxic, (n + 1) / (n + 2), 1 / (len(toxic) - n + 2))
-    prior = np.array([2.0, 1.0, 0.0])
+    prior = np.array([4.0, 0.0])
     theta = prior
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ theta, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(3), x.T @ (p - y) + 1e-3 * (theta - prior))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-1 * np.eye(2), x.T @ (p - y) + 1e-1 * (theta - prior))
         theta = theta - np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-9:
             break
-    return float(theta[0]), float(theta[1] / scale), float(theta[2])
+    return float(theta[0]), float(theta[1])
+
+
+def _score(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index: Index = shared.value
+        kind = pa.list_(pa.struct([("example", pa.string()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
+        for batch in batches:
+            for start, end, *found in words(batch.column(1)):
+                for at, to, (h, row, count, n) in batches_of(*found, end - start):
+                    text, example, cosine = index.search(*index.vectors(h, row, count, n), n)
+                    votes = index.votes(text, example, cosine, n)
+                    some = np.bincount(text, minlength=n) > 0
+                    near = np.arange(len(text)) - np.searchsorted(text, text) < EVIDENCE
+                    told: list[list[dict]] = [[] for _ in range(n)]
+                    for t, e, c in zip(text[near].tolist(), example[near].tolist(), cosine[near].tolist(), strict=True):
+                        told[t].append({"example": str(index.ids[e]), "cosine": c, "toxic": int(index.toxic[e])})
+                    yield pa.record_batch([batch.column(0).slice(start + at, n), pa.array(np.where(some, index.calibrated(votes), 0.0)), pa.array(told, kind)], names=["id", "score", "evidence"])
+
+    return run
 
 
 def score(docs: DataFrame, index: Index | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, score, predicted, evidence (the nearest examples).
 
-    A text that shares no feature with any example, a null or an empty one
-    included, has no neighbours and score 0, as all have without an index.
-    Repeated rows stay repeated, equal cosines (to six places) go by the
-    examples' places, an empty table gives an empty result, and other columns
-    are not looked at.
+    A text that shares no word with any example, a null or an empty one
+    included, has no neighbours and score 0, as all have without an index. A
+    very long text is counted in pieces. Repeated rows stay repeated, equal
+    cosines go by the examples' places in the index, an empty table gives an
+    empty result, and other columns are not looked at.
     """
     spark = docs.sparkSession
     importable(spark)
@@ -357,19 +371,10 @@ def score(docs: DataFrame, index: Index | None, id_col: str = "doc_id", text_col
     evidence = "array<struct<example:string,cosine:double,toxic:int>>"
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     if index is None:
-        return rows.select(F.col("id").alias(id_col), F.lit(0.0).alias("score"), F.lit(0).alias("predicted"), F.array().cast(evidence).alias("evidence"))
-    near = rows.mapInArrow(_neighbours(index.shared(spark), False), f"id {kind}, {KIND}")
-    near = Scratch(spark, "toxicity").write(near.withColumn("row", F.monotonically_increasing_id()), "near")
-    counts = spark.read.schema("feature bigint, n bigint").parquet(index.counts)
-    other = near.select("row", F.explode(F.arrays_zip("features", "counts")).alias("x")).select("row", F.col("x.features").alias("feature"), F.col("x.counts").alias("count"))
-    weight = (1 + F.log("count")) * (F.log((1 + index.documents) / (1 + F.coalesce("n", F.lit(0)))) + 1)
-    other = other.join(counts, "feature", "left").groupBy("row").agg(F.sum(weight * weight).alias("other"))
-    found = near.drop("features", "counts").join(other, "row", "left").withColumn("norm", F.sqrt(F.col("known") + F.coalesce("other", F.lit(0.0))))
-    a, b, c = index.theta
-    curve = 1 / (1 + F.exp(-(a * (2 * voted(F.col("norm"), float(index.toxic.mean())) - 1) + b * F.col("contrast") + c)))
-    told = F.transform(F.arrays_zip("examples", F.slice("dots", 1, EVIDENCE).alias("d"), F.slice("toxic", 1, EVIDENCE).alias("t")), lambda x: F.struct(x["examples"].alias("example"), (x["d"] / F.col("norm")).alias("cosine"), x["t"].alias("toxic")))
-    found = found.select(F.col("id").alias(id_col), F.when(F.size("dots") > 0, curve).otherwise(0.0).alias("score"), told.cast(evidence).alias("evidence"))
-    return found.select(id_col, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
+        found = rows.select("id", F.lit(0.0).alias("score"), F.array().cast(evidence).alias("evidence"))
+    else:
+        found = rows.mapInArrow(_score(spark.sparkContext.broadcast(index)), f"id {kind}, score double, evidence {evidence}")
+    return found.select(F.col("id").alias(id_col), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
 
 
 def held_out(id_: Column) -> Column:

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -206,8 +207,6 @@ def test_secret_base_spans_equal_brute_force(spark):
 
 
 def entropy_spans(text):
-    import math
-
     out = []
     for m in re.finditer(secret_scan.CANDIDATE, text or ""):
         c = m[0]
@@ -314,69 +313,118 @@ def test_exact_dedup_rows_without_id_never_win(spark):
 # 6
 
 
-def test_toxicity_neighbours_are_exact_and_scores_hold_out(spark):
+WORDS = [f"{a}{b}{c}" for a in ("lo", "ma", "te") for b in ("ri", "ku") for c in ("n", "s", "la", "pe")]
+
+
+def by_brute_force(rows, labels, k):
+    """(cosines of all texts with all examples, scores) from the definition, over all words."""
+    counts = [Counter(re.findall(rb"[a-z\x80-\xff]+", low(t).encode())) for _, t in rows]
+    df = Counter(w for c, (_, t) in zip(counts, rows, strict=True) for w in c if t is not None)
+    n = sum(t is not None for _, t in rows)
+    examples = [(j, labels[i]) for j, (i, t) in enumerate(rows) if i in labels and t is not None]
+    share = sum(t for _, t in examples) / len(examples)
+    held, bad = Counter(), Counter()
+    for j, t in examples:
+        held.update(counts[j].keys())
+        bad.update(dict.fromkeys(counts[j], t))
+
+    def weight(w):
+        if w not in held:
+            return math.log(1 + n) + 1
+        z = abs(bad[w] - held[w] * share) / math.sqrt(held[w] * share * (1 - share) + 1)
+        return (math.log((1 + n) / (1 + df[w])) + 1) * max(1, z)
+
+    vectors = [{w: (1 + math.log(c)) * weight(w) for w, c in x.items()} for x in counts]
+    norms = [math.sqrt(sum(x * x for x in v.values())) for v in vectors]
+    cosine = lambda i, j: sum(x * vectors[j].get(w, 0) for w, x in vectors[i].items()) / (norms[i] * norms[j]) if norms[i] and norms[j] else 0
+    cosines = [{rows[j][0]: cosine(i, j) for j, _ in examples} for i in range(len(rows))]
+
+    def vote(near):
+        near = sorted((c for c in near if c[0] > 0), reverse=True)[:k]
+        return sum(c * c * t for c, t in near) / sum(c * c for c, t in near) if near else None
+
+    own = [vote([(cosines[j][rows[x][0]], t) for x, t in examples if x != j]) or 0 for j, _ in examples]
+    y = np.array([t for _, t in examples])
+    tells = np.where(y == 1, y.sum() > 1, (1 - y).sum() > 1)
+    theta = toxicity.platt(np.array(own)[tells], y[tells] == 1)
+    votes = [vote([(cosines[i][rows[x][0]], t) for x, t in examples]) for i in range(len(rows))]
+    return cosines, [0 if v is None else 1 / (1 + math.exp(-(theta[0] * (2 * v - 1) + theta[1]))) for v in votes]
+
+
+@pytest.mark.parametrize(("block", "first", "dense"), [(32, 4, 1024), (4, 1, 5), (1, 20, 1)])
+def test_toxicity_equals_brute_force(spark, monkeypatch, block, first, dense):
+    """Weights, cosines, neighbours, votes and calibration, with few and many blocks; whole texts, whatever their length."""
+    for name, value in (("BLOCK", block), ("FIRST", first), ("DENSE", dense), ("ROWS", 50)):
+        monkeypatch.setattr(toxicity, name, value)
     rnd = random.Random(6)
-    words = [f"{a}{b}{c}" for a in ("lo", "ma", "te") for b in ("ri", "ku") for c in ("n", "s", "la", "pe")]
     bad = ["vileness", "vilest", "grumok"]
-    rows, labels = [], []
-    for i in range(300):
-        toxic = i % 5 == 0
-        text = [rnd.choice(words) for _ in range(40)]
-        if toxic:
-            text[rnd.randrange(40)] = rnd.choice(bad)
-        rows.append((i, " ".join(text).upper() if i % 7 == 0 else " ".join(text)))
-        labels.append((i, int(toxic)))
-    rows += [(900, None), (901, ""), (902, " ".join(["grumok"] * 3000)), (None, "vilest"), (903, "!!")]
+    rows, labels = [], {}
+    for i in range(160):
+        text = [rnd.choice(WORDS) + rnd.choice(["", "", "é", "x"]) for _ in range(rnd.choice([5, 40, 300]))]
+        if i % 5 == 0:
+            text[rnd.randrange(len(text))] = rnd.choice(bad)
+        rows.append((i, (", " if i % 3 else "\n").join(text).upper() if i % 7 == 0 else " ".join(text)))
+        labels[i] = int(i % 5 == 0)
+    rows += [(900, None), (901, ""), (902, " ".join(["grumok"] * 3000)), (903, "!!"), (904, "unheard words"), (905, rows[3][1]), (906, " ".join([*(f"unheard{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(300)), "grumok"]))]
     docs = documents(spark, rows)
-    table = spark.createDataFrame([*labels, (900, 1), (None, 1), (1000, None)], "doc_id bigint, toxic int")
+    held = {i for i in labels if zlib.crc32(str(i).encode()) % 5 == 0}
+    assert 0 < len(held) < len(labels)
+    table = spark.createDataFrame([*labels.items(), (900, 1), (None, 1), (1000, None)], "doc_id bigint, toxic int")
     index = toxicity.fit(docs, table.filter(~toxicity.held_out(F.col("doc_id"))))
+    cosines, scores = by_brute_force(rows, {i: t for i, t in labels.items() if i not in held}, toxicity.NEIGHBOURS)
     found = {r["doc_id"]: r for r in toxicity.score(docs, index).collect()}
-    assert all(found[i]["predicted"] == t for i, t in labels)
-    assert [found[i]["predicted"] for i in (900, 901, 902, None, 903)] == [0, 0, 1, 1, 0]
-    assert all(0 <= r["score"] <= 1 for r in found.values()) and found[902]["evidence"][0]["toxic"] == 1
-    held = {zlib.crc32(str(i).encode()) % 5 == 0 for i, _ in labels}
-    assert held == {True, False}
-    # Brute force over all examples.
-    full = np.zeros((len(index.ids), len(index.vocabulary)))
-    for f in range(len(index.vocabulary)):
-        p = slice(index.pointers[f, 0], index.pointers[f, -1])
-        full[index.posting_ids[p], f] = index.posting_weights[p]
-    for k in range(0, len(index.ids), 7):
-        places = np.flatnonzero(full[k])
-        _, cosines = index.nearest(places, full[k][places], 15)
-        want = np.sort(full @ full[k])[::-1]
-        assert np.allclose(cosines, want[want > 1e-12][:15])
+    assert len(found) == len(rows) and len(index.ids) == len(labels) - len(held)
+    for (i, _), want, all_cosines in zip(rows, scores, cosines, strict=True):
+        assert abs(found[i]["score"] - want) < 1e-6, i
+        best = sorted((c for c in all_cosines.values() if c > 0), reverse=True)[: toxicity.EVIDENCE]
+        assert np.allclose([e["cosine"] for e in found[i]["evidence"]], best, atol=1e-9)
+        assert all(abs(all_cosines[int(e["example"])] - e["cosine"]) < 1e-9 and labels[int(e["example"])] == e["toxic"] for e in found[i]["evidence"])
+    assert not any(found[i]["predicted"] for i, t in labels.items() if not t)
+    assert [found[i]["predicted"] for i in (900, 901, 902, 903, 904)] == [0, 0, 1, 0, 0] and found[904]["score"] == 0
+    if 3 not in held:  # a clean example is a neighbour like any other
+        assert (found[905]["evidence"][0]["example"], found[905]["evidence"][0]["toxic"]) == ("3", 0)
     assert toxicity.fit(docs, table.filter("toxic = 0")) is None
     assert {r["score"] for r in toxicity.score(docs, None).collect()} == {0.0}
     assert toxicity.score(docs.limit(0), index).count() == 0
 
 
-def test_toxicity_compares_whole_texts(spark):
-    rnd = random.Random(61)
-    words = [f"{a}{b}{c}" for a in ("lo", "ma", "te") for b in ("ri", "ku") for c in ("n", "s", "la", "pe")]
-    rows = [(i, " ".join([rnd.choice(words) for _ in range(30)] + ["grumok"] * (i % 4 == 0))) for i in range(120)]
-    rows += [(500, " ".join([*(f"unheard{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(300)), "grumok"])), (501, rows[3][1])]
-    docs = documents(spark, rows)
-    index = toxicity.fit(docs, spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(120)], "doc_id bigint, toxic int"))
-    found = {r["doc_id"]: r for r in toxicity.score(docs, index).collect()}
-    # A clean example is a neighbour like any other.
-    assert (found[501]["evidence"][0]["example"], found[501]["evidence"][0]["toxic"]) == ("3", 0) and abs(found[501]["evidence"][0]["cosine"] - 1) < 1e-5
-    # Cosines are those of whole texts, with document frequencies of the corpus.
-    terms = {i: Counter((w[:n], n) for w in t.split() for n in toxicity.PREFIXES if n and len(w) > n) + Counter((w, 0) for w in t.split()) for i, t in rows}
-    df = Counter(f for c in terms.values() for f in c)
-    vector = {i: {f: (1 + np.log(n)) * (np.log((1 + len(rows)) / (1 + df[f])) + 1) for f, n in c.items()} for i, c in terms.items()}
-    norm = {i: sum(x * x for x in v.values()) ** 0.5 for i, v in vector.items()}
-    for i in (500, 501, 7):
-        best = sorted((sum(x * vector[k].get(f, 0) for f, x in vector[i].items()) / norm[i] / norm[k] for k in range(120)), reverse=True)
-        assert np.allclose([e["cosine"] for e in found[i]["evidence"]], best[: toxicity.EVIDENCE], atol=1e-5)
-    assert found[500]["evidence"][0]["cosine"] < 0.2
+def test_long_texts_are_counted_in_pieces():
+    rnd = random.Random(60)
+    column = pa.array(["short one", " ".join(rnd.choice(WORDS) for _ in range(500)) + "é" * 300, None, "x" * 1000, ". ".join(rnd.choice(WORDS) for _ in range(90))])
+    for most in (40, 333, 10**6):
+        found = {(a + int(r), int(h)): int(c) for a, b, *x in toxicity.words(column, most) for h, r, c in zip(*x, strict=True)}
+        want = {(k, int(arrays.span_hashes(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))[0])): c for k, t in enumerate(column.to_pylist()) for w, c in Counter(re.findall(rb"[a-z\x80-\xff]+", (t or "").encode())).items()}
+        assert found == want
+
+
+def test_toxicity_search_opens_no_more_blocks_than_it_must():
+    """Blocks whose bound is too low stay closed, and the k nearest are those of all products all the same."""
+    rng = np.random.default_rng(3)
+    n, v = 640, 60
+    # Ten topics of six words each, so that like examples share a block.
+    topic = np.repeat(np.arange(10), n // 10)
+    example = np.repeat(np.arange(n), 4)
+    place = (topic[example] * 6 + np.tile(np.arange(4), n) + rng.integers(0, 2, n * 4) * 2) % v
+    key = np.unique(example * v + place)
+    example, place = key // v, key % v
+    w = rng.random(len(place)) + 0.5
+    w /= np.sqrt(np.bincount(example, w * w, n))[example]
+    index = toxicity.Index.of(np.arange(v, dtype=np.uint64), np.ones(v), 1.0, np.arange(n).astype(object), (topic == 0).astype(float), example, place, w)
+    full = np.zeros((n, v))
+    full[example, place] = w
+    text, found, cosine = index.search(example, place, w, n, 15)
+    order = np.argsort(index.ids.astype(int))
+    for i in range(0, n, 37):
+        want = np.sort(full @ full[i])[::-1][:15]
+        assert np.allclose(cosine[text == i], want[want > 0])
+        assert np.allclose(full[index.ids[found[text == i]].astype(int)] @ full[i], cosine[text == i])
+    assert len(order) == n and index.opened[0] < 0.5 * index.opened[1]
 
 
 def test_toxicity_with_uncommon_shares_of_labels(spark):
     rnd = random.Random(62)
-    words = [f"{a}{b}{c}" for a in ("lo", "ma", "te") for b in ("ri", "ku") for c in ("n", "s", "la", "pe")]
     for toxic in ([i % 5 != 0 for i in range(100)], [i == 50 for i in range(100)]):
-        rows = [(i, " ".join([rnd.choice(words) for _ in range(12)] + ["grumok", "vilest"] * t)) for i, t in enumerate(toxic)]
+        rows = [(i, " ".join([rnd.choice(WORDS) for _ in range(12)] + ["grumok", "vilest"] * t)) for i, t in enumerate(toxic)]
         docs = documents(spark, [*rows, (900, ""), (901, None), (902, "unheard")])
         index = toxicity.fit(docs, spark.createDataFrame([(i, int(t)) for i, t in enumerate(toxic)], "doc_id bigint, toxic int"))
         found = {r["doc_id"]: r for r in toxicity.score(docs, index).collect()}
@@ -391,6 +439,16 @@ def test_toxicity_with_uncommon_shares_of_labels(spark):
     assert toxicity.fit(docs, spark.createDataFrame([(1, 0), (2, 1)], "doc_id bigint, toxic int")) is None
 
 
+def test_toxicity_sample_is_bounded(spark):
+    """By rows and by bytes; repeated ids count once, ids with both labels not at all."""
+    rows = [(i % 40, f"{WORDS[i % 24]} {WORDS[(i * 7 + 1) % 24]}") for i in range(400)]
+    docs, labels = documents(spark, rows), spark.createDataFrame([(i, i % 2) for i in range(40)] * 3 + [(7, 0)], "doc_id bigint, toxic int")
+    assert len(toxicity.fit(docs, labels).ids) == 39
+    assert len(toxicity.fit(docs, labels, sample=10).ids) == 10
+    assert len(toxicity.fit(docs, labels, sample_bytes=200).ids) < 25
+    assert toxicity.fit(docs, labels, sample_bytes=3) is None
+
+
 # 7
 
 
