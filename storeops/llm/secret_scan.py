@@ -35,7 +35,7 @@ class BaseKind:
 
 
 BASE = (
-    BaseKind("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6, r"""(?i:passw|secret|token|api_?key)[a-z]*["']?\x20*[:=]"""),
+    BaseKind("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6, r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]"""),
     BaseKind("access", "AKIA[A-Z0-9]+", 0, 20, "AKIA[A-Z0-9]{16}"),
     BaseKind("hex", "[0-9a-f]+", 0, 24, "[0-9a-f]{24}"),
 )
@@ -53,10 +53,13 @@ class EntropyClass:
 
 
 CANDIDATE = "[A-Za-z0-9+/_-]{20,}"
-#: A candidate belongs to the first class whose test it passes. Prose has no digits within words, so it passes none.
+LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+#: A candidate belongs to the first class whose test it passes, and passes the last one if no other.
 CLASSES = (
     EntropyClass("entropy_hex", "^(?=.*[0-9])(?:[0-9a-f]+|[0-9A-F]+)$", "0123456789abcdefABCDEF", 20, 2.9),
-    EntropyClass("entropy_base64", "^(?=.*[0-9])(?=.*[A-Z])", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-", 20, 3.65),
+    EntropyClass("entropy_base64", "^(?=.*[0-9])(?=.*[A-Z])", f"{LETTERS}0123456789+/_-", 20, 3.65),
+    EntropyClass("entropy_base36", "[0-9]", f"{LETTERS[26:]}0123456789+/_-", 20, 3.75),
+    EntropyClass("entropy_letters", "^", f"{LETTERS}+/_-", 20, 4.0),
 )
 #: Candidates that are no secrets: examples and placeholders, one character repeated, counting strings, empty digests.
 ALLOW = (
@@ -220,22 +223,22 @@ f AS (
   FROM x WHERE length(g[i]) >= least),
 c AS (
   SELECT doc_id, e - length(c) AS beg, c, CASE
-    WHEN NOT regexp_matches(c, '[0-9]') THEN NULL
+    WHEN NOT regexp_matches(c, '[0-9]') THEN 'entropy_letters'
     WHEN regexp_full_match(c, '[0-9a-f]+|[0-9A-F]+') THEN 'entropy_hex'
-    WHEN regexp_matches(c, '[A-Z]') THEN 'entropy_base64' END AS kind
+    WHEN regexp_matches(c, '[A-Z]') THEN 'entropy_base64' ELSE 'entropy_base36' END AS kind
   FROM f WHERE kind = 'candidate' AND c <> repeat(left(c, 1), length(c))
     AND NOT regexp_matches(c, '(?i)example|sample|placeholder|changeme|dummy|test_?key') AND NOT regexp_matches(c, '(?i)^0123456789abcdef')
     AND c NOT IN ('e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855', 'da39a3ee5e6b4b0d3255bfef95601890afd80709', 'd41d8cd98f00b204e9800998ecf8427e')),
-v AS (SELECT doc_id, beg, kind, s, substr(c, s + 1, 20) AS w FROM (SELECT *, unnest(range(0, length(c) - 19)) AS s FROM c WHERE kind IS NOT NULL)),
+v AS (SELECT doc_id, beg, kind, s, substr(c, s + 1, 20) AS w FROM (SELECT *, unnest(range(0, length(c) - 19)) AS s FROM c)),
 h AS (
   SELECT doc_id, beg, kind, s, s - lag(s) OVER (PARTITION BY doc_id, beg ORDER BY s) AS gap FROM v
   WHERE list_sum(list_transform(list_distinct(string_split(w, '')), lambda k: round((length(w) - length(replace(w, k, ''))) * log2(length(w) - length(replace(w, k, ''))) * 1000000)::BIGINT))
-        <= floor((log2(20) - CASE kind WHEN 'entropy_hex' THEN 2.9 ELSE 3.65 END) * 20 * 1000000)),
+        <= floor((log2(20) - CASE kind WHEN 'entropy_hex' THEN 2.9 WHEN 'entropy_base64' THEN 3.65 WHEN 'entropy_base36' THEN 3.75 ELSE 4.0 END) * 20 * 1000000)),
 j AS (SELECT *, count(*) FILTER (gap IS NULL OR gap > 20) OVER (PARTITION BY doc_id, beg ORDER BY s) AS part FROM h),
 spans AS (
   SELECT doc_id, kind, rank, e - length(c) AS s, e FROM f WHERE kind <> 'candidate'
   UNION ALL
-  SELECT doc_id, kind, CASE kind WHEN 'entropy_hex' THEN 3 ELSE 4 END, beg + min(s), beg + max(s) + 20 FROM j GROUP BY doc_id, beg, kind, part),
+  SELECT doc_id, kind, CASE kind WHEN 'entropy_hex' THEN 3 WHEN 'entropy_base64' THEN 4 WHEN 'entropy_base36' THEN 5 ELSE 6 END, beg + min(s), beg + max(s) + 20 FROM j GROUP BY doc_id, beg, kind, part),
 told AS (
   SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
          string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) FILTER (rank < 3) AS base,

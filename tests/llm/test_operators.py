@@ -200,8 +200,27 @@ SECRETS = [
 ]
 
 
+def spellings(seed=30):
+    """Every keyword in lower, upper, mixed and random case, with every kind of mark between it and its value."""
+    rnd = random.Random(seed)
+    out = []
+    for word in ("password", "passwd", "secret", "token", "api_key", "apikey"):
+        mixed = ["".join(rnd.choice([c.lower(), c.upper()]) for c in word) for _ in range(4)]
+        for spelt in [word, word.upper(), word.title(), word[:-1] + word[-1].upper(), *mixed]:
+            mark = rnd.choice(["", "'", '"']) + " " * rnd.randint(0, 2) + rnd.choice(":=") + " " * rnd.randint(0, 2) + rnd.choice(["", "'", '"'])
+            out.append(f"x {spelt}{mark}{rnd.choice(['hunter2hunter', 'short', 'a.b_c-d/e+f='])}")
+    return out
+
+
+def test_secret_hints_never_reject_a_text_with_a_match():
+    for kind in secret_scan.BASE:
+        for text in [*SECRETS, *spellings(), *spellings(31)]:
+            if any(len(m[kind.group]) >= kind.least for m in re.finditer(kind.pattern, text or "", re.A)):
+                assert re.search(kind.hint, text, re.A), (kind.kind, text)
+
+
 def test_secret_base_spans_equal_brute_force(spark):
-    rows = list(enumerate(SECRETS))
+    rows = list(enumerate(SECRETS + spellings()))
     found = secret_scan.scan_secrets(documents(spark, rows)).select("doc_id", secret_scan.told(F.col("base")).alias("told")).collect()
     assert {r["doc_id"]: r["told"] for r in found} == {i: ",".join(base_spans(t)) for i, t in rows}
 
@@ -232,8 +251,10 @@ def test_entropy_spans_equal_brute_force(spark):
     rnd = random.Random(8)
     random_b64 = lambda n: "".join(rnd.choice(secret_scan.CLASSES[1].alphabet) for _ in range(n))
     rows = [f"é {random_b64(30)}1A {'a' * 30}", "9f8e7d6c5b4a39281706f5e4d3c2b1a0", "A1" + "a" * 40 + random_b64(40) + "b" * 60 + random_b64(600), "EXAMPLEkey123456789012345", "da39a3ee5e6b4b0d3255bfef95601890afd80709", "internationalizationandlocalization", None, ""]
+    rows += ["k3j9x0q2m7z5w8v1t4r6y-9p2d", "550e8400-e29b-41d4-a716-446655440000", "QwErTyUiOpAsDfGhJkLzXcVbNm", "a-slug-of-an-article-2024", "mPq" * 9, "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(60))]
     found = secret_scan.scan_secrets(documents(spark, list(enumerate(rows)))).collect()
     assert {r["doc_id"]: sorted((s["start"], s["end"], s["kind"]) for s in r["extra"]) for r in found} == {i: entropy_spans(t) for i, t in enumerate(rows)}
+    assert {s["kind"] for r in found for s in r["extra"]} == {c.kind for c in secret_scan.CLASSES}
     assert secret_scan.scan_secrets(documents(spark, [(1, "x")]).limit(0)).count() == 0
 
 
