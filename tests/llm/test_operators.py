@@ -568,7 +568,7 @@ def test_too_many_languages_raise(spark, monkeypatch):
 
 def removed(rows, window):
     seen, out = set(), {}
-    for i, t in sorted(rows):
+    for i, t in sorted(rows, key=lambda r: r[0]):
         b = (t or "").encode()
         gone = bytearray(len(b))
         for s in range(len(b) - window + 1):
@@ -579,15 +579,15 @@ def removed(rows, window):
     return out
 
 
-@pytest.mark.parametrize("hot", [1, 5_000])
+@pytest.mark.parametrize("hot", [1, 3, 5_000])
 def test_repeats_equal_brute_force(spark, monkeypatch, hot):
     monkeypatch.setattr(repeats, "CHUNK", 2_000)
-    monkeypatch.setattr(repeats, "INDEX", 4_000)
+    monkeypatch.setattr(repeats, "STREAMED", 3)
     rnd = random.Random(1)
     passages = ["".join(rnd.choice("abcé ") for _ in range(rnd.randint(60, 400))) for _ in range(6)]
     fresh = lambda: "".join(rnd.choice("abcdefgh ") for _ in range(rnd.randint(0, 150)))
     rows = [(i, "".join(rnd.choice([rnd.choice(passages), fresh()]) for _ in range(rnd.randint(0, 5)))) for i in range(100)]
-    rows += [(200, "ab" * 300), (201, "a" * 500), (202, None), (203, ""), (204, rows[5][1]), (205, "x" * 99), (206, "x" * 100), (207, "x" * 101), (208, "".join(fresh() for _ in range(300)) + passages[0])]
+    rows += [(200, "ab" * 300), (201, "a" * 500), (202, None), (203, ""), (204, rows[5][1]), (205, "x" * 99), (206, "x" * 100), (207, "x" * 101), (208, "".join(fresh() for _ in range(300)) + passages[0]), (209, "\0" * 150 + passages[1][:120] + "\0" * 130)]
     found = repeats.remove_repeats(documents(spark, rows), hot=hot).collect()
     assert {r["doc_id"]: (r["n_bytes"], len(r["spans"]), bytes(r["kept"])) for r in found} == removed(rows, 100)
 
@@ -599,6 +599,70 @@ def test_repeats_of_odd_tables(spark):
     assert repeats.remove_repeats(documents(spark, rows).limit(0)).count() == 0
 
 
+def test_repeats_of_texts_that_share_an_id(spark):
+    """Each text loses its own repeats; a unique text keeps all, whatever else has its id."""
+    rnd = random.Random(2)
+    text = lambda: "".join(rnd.choice("abcdefgh ") for _ in range(300))
+    copied, unique = text(), text()
+    rows = [(1, copied), (5, unique), (5, copied), (5, copied)]
+    found = sorted((r["doc_id"], bytes(r["kept"]).decode()) for r in repeats.remove_repeats(documents(spark, rows)).collect())
+    assert found == [(1, copied), (5, ""), (5, ""), (5, unique)]
+
+
+def related(rnd, window):
+    """Strings by group, each with its anchor in all its windows, its role, and much in common with others."""
+    letters, out = rnd.choice(["ab", "abcdef"]), []
+    for g in range(rnd.randint(1, 5)):
+        anchor, mine = "#" + "".join(rnd.choice(letters) for _ in range(3)), []
+        routed = rnd.random() < 0.3
+        for _ in range(rnd.randint(1, 9)):
+            n = rnd.randint(1, window - 3)
+            off = rnd.randint(n - 1, window - 4)
+            s = [rnd.choice(letters) for _ in range(window + n - 1)]
+            if mine and rnd.random() < 0.8:
+                of, at = rnd.choice(mine)[:2]
+                s = [of[k + at - off] if 0 <= k + at - off < len(of) and rnd.random() < 0.98 else c for k, c in enumerate(s)]
+            s = "".join(s[:off]) + anchor + "".join(s[off + 4 :])
+            if (s, off) not in [x[:2] for x in mine]:
+                mine.append((s, off, g, rnd.choice([0, 1]) if routed else -1))
+        out += sorted(mine, key=lambda x: x[3])
+    return out
+
+
+def test_run_length_index_equals_brute_force():
+    rnd = random.Random(11)
+    for _ in range(150):
+        window = rnd.choice([8, 9, 12, 16])
+        rows = related(rnd, window)
+        bounds = np.append(0, np.cumsum([len(s) for s, *_ in rows]))
+        data = np.frombuffer("".join(s for s, *_ in rows).encode(), np.uint8)
+        string, place = repeats.repeated(data, bounds, *(np.array([r[k] for r in rows]) for k in (1, 2, 3)), window)
+        want = {
+            (i, p)
+            for i, (s, _, g, role) in enumerate(rows)
+            for p in range(len(s) - window + 1)
+            if role and any(h == g and other != 1 and s[p : p + window] in t for t, _, h, other in rows[:i])
+        }
+        assert set(zip(string.tolist(), place.tolist(), strict=True)) == want
+
+
+def test_run_length_index_gives_longest_matches():
+    """The place under a stream has a longest match, and samples at run ends are all the places that are kept."""
+    rnd = random.Random(12)
+    for _ in range(30):
+        text = "".join(rnd.choice("ab") for _ in range(rnd.randint(5, 60))) * rnd.randint(1, 4)
+        stream = "".join(rnd.choice("abc") if rnd.random() < 0.2 else c for c in (text * 2)[3:60])
+        symbols = np.append(np.frombuffer(text.encode(), np.uint8).astype(np.uint16), np.uint16(0))
+        index = repeats.RunLengthIndex(symbols, 1000)
+        assert [int(x) for x in repeats.suffix_array(symbols)] == sorted(range(len(symbols)), key=lambda k: text[k:] + "\0")
+        assert len(index.first) == len(index.last) == len(index.head) <= len(symbols)
+        row, place = np.zeros(1, np.int64), np.array([len(text)])
+        for k in reversed(range(len(stream))):
+            row, place = index.step(row, place, np.array([ord(stream[k])]))
+            longest = max((n for n in range(len(stream) - k + 1) if stream[k : k + n] in text), default=0)
+            assert text[place[0] : place[0] + longest] == stream[k : k + longest]
+
+
 def test_word_hashes_depend_on_content_only():
     column = pa.array(["one two", None, "", "two one two " + "x" * 3000, " one"])
     offsets, raw = arrays.texts(column)
