@@ -36,11 +36,14 @@ BANDS, ROWS = 40, 6
 BLOCK = 4096
 #: Shingles that the nodes of a part of a block may have between them, about.
 ELEMENTS = 2_000_000
+#: Nodes of a band that are looked up in one task, about.
+SPLIT = 512
 #: Elements whose permutations are held at once.
 SLICE = 1 << 16
-#: In the third step, pairs whose signatures agree by this much less than the threshold aren't candidates: 5 standard deviations of the estimate.
+#: In the third step, pairs whose signatures agree by this much less than the threshold aren't candidates, unless told otherwise: 5 standard deviations of the estimate.
 MARGIN = 0.13
 U = np.uint64
+SPACED = A.word_table("space")
 
 
 def shingles(offsets: np.ndarray, raw: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -49,7 +52,7 @@ def shingles(offsets: np.ndarray, raw: np.ndarray, words: int) -> tuple[np.ndarr
     A text of fewer words than a shingle has its whole sequence as one; a text without words has none.
     """
     data = A.LOWER[raw]
-    starts, ends, row = A.runs(A.word_table("space")[data], offsets)
+    starts, ends, row = A.runs(SPACED[data], offsets)
     w = A.span_hashes(data, starts, ends)
     n = len(offsets) - 1
     counts = np.bincount(row, minlength=n)
@@ -76,6 +79,32 @@ def shingles(offsets: np.ndarray, raw: np.ndarray, words: int) -> tuple[np.ndarr
     return h[new], d[new]
 
 
+def sets_of(column: pa.Array, words: int, most: int = A.CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, row after the last, hashes, row of each) of the sets of runs of rows, sorted within each row.
+
+    A long text comes in pieces. Each takes over the last ``words - 1`` words
+    of those before it, so no shingle is lost and none is torn.
+    """
+    for at, to, pieces in A.text_runs(column, SPACED, most):
+        if to - at > 1:
+            yield (at, to, *shingles(*next(pieces), words))
+            continue
+        whole, short, tail = [np.zeros(0, U)], np.zeros(0, U), np.zeros(0, np.uint8)
+        for _, data in pieces:
+            data = np.concatenate([tail, data])
+            bounds = np.array([0, len(data)])
+            starts, _, _ = A.runs(SPACED[data], bounds)
+            # With fewer words than a shingle, they are the whole text so far, or they stand in a shingle before.
+            if len(starts) < words:
+                short = shingles(bounds, data, words)[0]
+            else:
+                whole.append(shingles(bounds, data, words)[0])
+            keep = min(words - 1, len(starts))
+            tail = data[starts[-keep] :] if keep else data[:0]
+        h = np.unique(np.concatenate(whole)) if len(whole) > 1 else short
+        yield at, to, h, np.zeros(len(h), np.int64)
+
+
 def superminhash(h: np.ndarray, row: np.ndarray, n: int, m: int) -> np.ndarray:
     """(n, m) signatures; the upper half of a slot is the least rank that met it, the lower half a random part."""
     sig = np.full(n * m, np.iinfo(np.uint64).max, U)
@@ -102,14 +131,13 @@ def superminhash(h: np.ndarray, row: np.ndarray, n: int, m: int) -> np.ndarray:
 
 
 def _signatures(words: int, bands: int, rows: int):
-    names = ["id", "n", "hi", "lo", "bands", "sig"]
+    names = ["id", "tie", "n", "hi", "lo", "bands", "sig"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0)
-            for at, to, offsets, raw in A.chunks(batch.column(1)):
+            ids, ties = batch.column(0), batch.column(2)
+            for at, to, h, row in sets_of(batch.column(1), words):
                 n = to - at
-                h, row = shingles(offsets, raw, words)
                 counts = np.bincount(row, minlength=n)
                 full = np.flatnonzero(counts)
                 place = np.cumsum(counts > 0) - 1
@@ -129,6 +157,7 @@ def _signatures(words: int, bands: int, rows: int):
                 yield pa.record_batch(
                     [
                         ids.slice(at, n),
+                        ties.slice(at, n),
                         pa.array(counts.astype(np.int64)),
                         *sums,
                         A.long_list(A.signed(keys.reshape(-1)), np.where(counts > 0, bands, 0), pa.int64()),
@@ -140,28 +169,36 @@ def _signatures(words: int, bands: int, rows: int):
     return run
 
 
+def alike(mine: np.ndarray, hub: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets, neither empty, are linked."""
+    small, large = sorted((mine, hub), key=len)
+    if not len(small) or 100 * len(small) < percent * len(large):
+        return False
+    place = np.minimum(np.searchsorted(large, small), len(large) - 1)
+    same = int((large[place] == small).sum())
+    return 100 * same >= percent * (len(mine) + len(hub) - same)
+
+
 def _confirm(words: int, percent: int):
-    """Links of the rows that follow a hub with it; rows come as (b, salt, role, id, text), hubs with role 0 first."""
+    """Links of the rows that follow a hub with it; rows come as (b, salt, role, id, text), hubs with role 0 first, one for each of their texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, hub = None, np.zeros(0, U)
+        key, hubs, open_ = None, [], False
         for batch in batches:
             b, salt, role, ids = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
             links: list[tuple[int, int]] = []
-            for at, to, offsets, raw in A.chunks(batch.column(4)):
-                h, row = shingles(offsets, raw, words)
+            for at, to, h, row in sets_of(batch.column(4), words):
                 first = np.searchsorted(row, np.arange(to - at + 1))
                 for k in range(to - at):
                     mine, own = h[first[k] : first[k + 1]], (b[at + k], salt[at + k])
                     if role[at + k] == 0:
-                        key, hub = own, mine
-                    elif own == key and len(mine) and len(hub):
-                        small, large = sorted((mine, hub), key=len)
-                        if 100 * len(small) < percent * len(large):
-                            continue
-                        place = np.searchsorted(large, small)
-                        same = int((large[np.minimum(place, len(large) - 1)] == small).sum())
-                        if 100 * same >= percent * (len(mine) + len(hub) - same):
+                        if not open_ or key != own:
+                            key, hubs, open_ = own, [], True
+                        if not any(np.array_equal(mine, x) for x in hubs):
+                            hubs.append(mine)
+                    else:
+                        open_ = False
+                        if own == key and any(alike(mine, x, percent) for x in hubs):
                             links.append((int(ids[at + k]), int(own[0])))
             if links:
                 yield pa.record_batch([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], names=["a", "b"])
@@ -241,8 +278,7 @@ def _link(words: int, percent: int):
             ids, comp, part = (t.column(k).to_numpy() for k in (3, 4, 5))
             comp = comp.copy()
             sets = []
-            for at, to, offsets, raw in A.chunks(t.column(6).combine_chunks()):
-                h, row = shingles(offsets, raw, words)
+            for at, to, h, row in sets_of(t.column(6).combine_chunks(), words):
                 sets += np.split(h, np.searchsorted(row, np.arange(1, to - at)))
             sizes = np.array([len(x) for x in sets])
             _, flat = np.unique(np.concatenate(sets), return_inverse=True)
@@ -265,27 +301,35 @@ def _link(words: int, percent: int):
     return run
 
 
-def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, n_shingles, component_id, kept.
+def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, margin: float | None = MARGIN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: id, n_shingles, component_id, kept, text_hash (xxhash64 of the text).
 
     Words are runs of ``[^\\x20\\x09-\\x0D]`` after A-Z are lower-cased, the set of
     a document is its distinct shingles of ``words`` words (or its whole
     sequence, if shorter), and two documents are linked when
     ``100 * intersection >= percent * union``. At 80 percent two linked
     documents share no band, and so are missed, with probability
-    (1 - 0.8**6)**40 = 5e-6, less where they are more alike.
+    (1 - 0.8**6)**40 = 5e-6, less where they are more alike. In the third step
+    a pair must also agree in its signature, to ``margin`` below the
+    threshold; with None every pair of a band is compared on its sets.
 
     Documents without words (null and blank texts) are linked with nothing.
-    A row without id has component_id null and is kept. Rows that share an id
-    are one document with all their links. An empty table gives an empty
-    result; other columns of ``docs`` are not looked at.
+    A very long text is worked on in pieces. A row without id has component_id
+    null and is kept. Rows that share an id are one document with all their
+    links, whatever their texts. An empty table gives an empty result; other
+    columns of ``docs`` are not looked at.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "minhash")
-    texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    sig = scratch.write(texts.mapInArrow(_signatures(words, bands, rows), "id bigint, n bigint, hi bigint, lo bigint, bands array<bigint>, sig binary"), "sig")
-    classes = scratch.write(sig.filter("n > 0 and id is not null").groupBy("hi", "lo").agg(F.min("id").alias("rep")), "classes")
-    nodes = sig.filter("n > 0").join(classes.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
+    texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("tie"))
+    sig = scratch.write(texts.mapInArrow(_signatures(words, bands, rows), "id bigint, tie bigint, n bigint, hi bigint, lo bigint, bands array<bigint>, sig binary"), "sig")
+    full = sig.filter("n > 0 and id is not null")
+    classes = scratch.write(full.groupBy("hi", "lo").agg(F.min("id").alias("rep")), "classes")
+    nodes = full.join(classes.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
+    # Texts that share an id: the id stands for all of their classes.
+    again = full.groupBy("id").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("id")
+    named = full.join(again, "id", "left_semi").select("id", "hi", "lo").distinct().join(classes, ["hi", "lo"])
+    same_id = named.filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
 
     keyed = nodes.select("id", "n", F.explode("bands").alias("key"))
     buckets = keyed.groupBy("key").agg(F.min("id").alias("b"), F.count(F.lit(1)).alias("size"), F.sum("n").alias("total")).filter("size > 1")
@@ -294,36 +338,44 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, bands: int =
     members = scratch.write(keyed.drop("n").join(buckets, "key").select("key", "id", "b", "size", "total"), "members")
     scratch.drop("buckets")
     candidates = members.filter("id <> b").select(F.col("id").alias("a"), "b").distinct()
+    # Only texts of nodes that share a band are looked at again.
+    held = scratch.write(texts.select("id", "text").join(members.select("id").distinct(), "id", "left_semi"), "texts")
 
     scratch.release()
     first = candidates.groupBy("a").agg(F.min("b").alias("b"))
-    links = scratch.write(confirm(first, texts, words, percent), "links1")
+    links = scratch.write(confirm(first, held, words, percent).unionByName(same_id), "links1")
     labels = scratch.write(components(links, scratch, "c1"), "labels1")
     scratch.release()
 
     def component(df: DataFrame, node: str, name: str) -> DataFrame:
-        named = labels.select(F.col("node").alias(node), F.col("component").alias(name))
-        return df.join(named, node, "left").withColumn(name, F.coalesce(name, node))
+        of = labels.select(F.col("node").alias(node), F.col("component").alias(name))
+        return df.join(of, node, "left").withColumn(name, F.coalesce(name, node))
 
     apart = component(component(candidates.join(first, ["a", "b"], "left_anti"), "a", "ca"), "b", "cb").filter("ca <> cb")
-    links2 = scratch.write(confirm(apart.select("a", "b"), texts, words, percent), "links2")
+    links2 = scratch.write(confirm(apart.select("a", "b"), held, words, percent), "links2")
     labels = scratch.write(components(links.unionByName(links2), scratch, "c2"), "labels2")
     scratch.release()
 
     # In a band of two, the one pair has been looked at.
-    named = component(members.filter("size > 2"), "id", "comp")
-    mixed = named.filter("id <> b").groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1").select("key")
+    named = scratch.write(component(members.filter("size > 2"), "id", "comp"), "named")
+    ends = named.filter("id <> b").groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.max("size").alias("size"))
+    # A band of many nodes is looked up in several tasks.
+    salts = F.ceil(F.col("size") / SPLIT)
+    mixed = ends.filter("c0 <> c1").select("key", F.explode(F.sequence(F.lit(0).cast("bigint"), salts - 1)).alias("salt"))
     parts = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("total") / ELEMENTS)).cast("int")
-    rest = named.join(mixed, "key", "left_semi")
+    rest = named.withColumn("salt", F.pmod(F.xxhash64("id"), salts)).join(mixed, ["key", "salt"], "left_semi")
     rest = rest.withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
     block = ["key", "lo", "hi"]
     rest = scratch.write(rest.select("key", F.least("part", "other").cast("bigint").alias("lo"), F.greatest("part", "other").cast("bigint").alias("hi"), "id", "comp", "part"), "rest")
-    scratch.release("members", "labels1", "links1")
-    drawn = rest.join(nodes.select("id", "sig", "bands"), "id").select(*block, "id", "comp", "part", "sig", "bands")
-    drawn = drawn.repartition(*block).sortWithinPartitions(*block)
-    active = scratch.write(drawn.mapInArrow(_close(percent / 100 - MARGIN), "key bigint, lo bigint, hi bigint, id bigint"), "active")
-    scratch.release()
-    looked = rest.join(active, [*block, "id"]).join(texts, "id").select(*block, "id", "comp", "part", "text")
+    scratch.release("members", "named", "labels1", "links1")
+    looked = rest
+    if margin is not None:
+        drawn = rest.join(nodes.select("id", "sig", "bands"), "id").select(*block, "id", "comp", "part", "sig", "bands")
+        drawn = drawn.repartition(*block).sortWithinPartitions(*block)
+        active = scratch.write(drawn.mapInArrow(_close(percent / 100 - margin), "key bigint, lo bigint, hi bigint, id bigint").distinct(), "active")
+        scratch.release()
+        looked = rest.join(active, [*block, "id"], "left_semi")
+    looked = looked.distinct().join(held, "id").select(*block, "id", "comp", "part", "text")
     looked = looked.repartition(*block).sortWithinPartitions(*block)
     links3 = scratch.write(looked.mapInArrow(_link(words, percent), "a bigint, b bigint"), "links3")
     # Components of the former step stand for their nodes.
@@ -332,19 +384,20 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, bands: int =
 
     final = component(classes, "rep", "component_id").join(more, "component_id", "left")
     final = scratch.write(final.select("hi", "lo", F.coalesce("joined", "component_id").alias("component_id")), "final")
-    scratch.release("links2", "links3", "labels2", "labels3", "rest", "active", "classes")
-    out = sig.select("id", "n", "hi", "lo").join(final, ["hi", "lo"], "left")
+    scratch.release("texts", "links2", "links3", "labels2", "labels3", "rest", "active", "classes")
+    out = sig.select("id", "tie", "n", "hi", "lo").join(final, ["hi", "lo"], "left")
     component_id = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
     return out.select(
         F.col("id").alias(id_col),
         F.col("n").alias("n_shingles"),
         component_id.alias("component_id"),
         F.coalesce(component_id == F.col("id"), F.lit(True)).alias("kept"),
+        F.col("tie").alias("text_hash"),
     )
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup(table(spark, sf_dir, "documents"), words=2)
+    return near_dedup(table(spark, sf_dir, "documents"), words=2).drop("text_hash")
 
 
 ORACLE = r"""

@@ -116,6 +116,36 @@ def test_near_dedup_of_odd_tables(spark):
     assert minhash.near_dedup(documents(spark, rows).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("flip", [False, True])
+def test_near_dedup_of_texts_that_share_an_id(spark, flip):
+    rnd = random.Random(13)
+    a, b, c = ([f"w{rnd.randint(0, 10**6)}" for _ in range(80)] for _ in range(3))
+    near = lambda x: " ".join([*x[:-2], "end"])
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, near(a)), (3, near(b)), (4, " ".join(c)), (6, " ".join(c)), (6, " ".join(a[:40])), (7, near(a[:40])), (8, "alone")]
+    rows = rows[::-1] if flip else rows
+    for margin in (minhash.MARGIN, None):
+        found = minhash.near_dedup(documents(spark, rows, 1 if flip else 3), words=2, margin=margin).collect()
+        want = near_groups(rows, 2)
+        assert want == {1: 1, 2: 1, 3: 1, 4: 4, 6: 4, 7: 4, 8: 8}
+        assert len(found) == len(rows) and all(r["component_id"] == want[r["doc_id"]] for r in found)
+
+
+def test_sets_of_long_texts_come_in_pieces():
+    rnd = random.Random(14)
+    texts = [" ".join(f"W{rnd.randint(0, 30)}" for _ in range(n)) for n in (0, 1, 2, 3, 200)] + ["x" * 500, "\n " * 300, "a " * 150 + "y" * 300 + " b c", None]
+    for words in (1, 2, 5):
+        for most in (7, 50, 10**6):
+            found = {i: set() for i in range(len(texts))}
+            for at, _, h, row in minhash.sets_of(pa.array(texts), words, most):
+                assert not len(h) or (np.lexsort((h, row)) == np.arange(len(h))).all()
+                for x, r in zip(h.tolist(), row.tolist(), strict=True):
+                    found[at + r].add(x)
+            for i, t in enumerate(texts):
+                raw = np.frombuffer((t or "").encode(), np.uint8)
+                assert found[i] == set(minhash.shingles(np.array([0, len(raw)]), raw, words)[0].tolist())
+                assert len(found[i]) == len(shingles(t, words))
+
+
 def test_superminhash_estimates_similarity():
     rng = np.random.default_rng(2)
     x = rng.integers(0, 1 << 62, 900).astype(np.uint64)
