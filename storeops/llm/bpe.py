@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storeops.llm import arrays as A
-from storeops.llm.shared import importable, table
+from storeops.llm.shared import importable, passed, table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 #: Characters that are encoded at once, about.
@@ -86,8 +86,7 @@ def encode(docs: DataFrame, decoded: bool = False, ranks: str = RANKS, id_col: s
     are not looked at. ``ranks`` must lie at that path on every executor.
     """
     importable(docs.sparkSession)
-    kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"id {kind}, n_tokens bigint, ids binary" + ", decoded binary" * decoded
+    schema = passed(docs.schema[id_col].dataType, "n_tokens bigint, ids binary" + ", decoded binary" * decoded)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(_encode(ranks, decoded), schema).withColumnRenamed("id", id_col)
 
@@ -95,8 +94,6 @@ def encode(docs: DataFrame, decoded: bool = False, ranks: str = RANKS, id_col: s
 def decode(encoded: DataFrame, ranks: str = RANKS, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """One row per row: id and ``decoded``, the bytes of its ids; null ids give empty bytes."""
     importable(encoded.sparkSession)
-    kind = encoded.schema[id_col].dataType.simpleString()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(ranks)
         for batch in batches:
@@ -104,7 +101,7 @@ def decode(encoded: DataFrame, ranks: str = RANKS, id_col: str = "doc_id", ids_c
             yield pa.record_batch([batch.column(0), pa.array(out, pa.binary())], names=["id", "decoded"])
 
     rows = encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
-    return rows.mapInArrow(run, f"id {kind}, decoded binary").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(run, passed(encoded.schema[id_col].dataType, "decoded binary")).withColumnRenamed("id", id_col)
 
 
 def digests(encoded: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storeops.llm import arrays as A
-from storeops.llm.shared import importable, table
+from storeops.llm.shared import importable, passed, table
 
 WINDOW = 10
 #: Bytes of item texts in one automaton; a larger benchmark is dealt to several, one after the other.
@@ -257,8 +257,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: st
     """
     spark = docs.sparkSession
     importable(spark)
-    kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"id {kind}, text string, n_words bigint, spans {SPANS}, items array<string>, hit_words array<bigint>"
+    schema = passed(docs.schema[id_col].dataType, f"text string, n_words bigint, spans {SPANS}, items array<string>, hit_words array<bigint>")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     for automaton in automata(benchmark, window):
         # With several shards, each step adds its hits to those of the steps before.

@@ -4,7 +4,8 @@ The index is a table bucketed and sorted by digest, one row for each distinct
 text that was ever taken in. A batch is reduced to one row for each of its
 digests before it is shuffled, so copies never meet in one task; a sort-merge
 anti-join against the index (whose side needs no exchange) leaves the new
-digests, and those are appended.
+digests, and those are appended. The number of buckets follows the number of
+digests that the index is made for.
 """
 
 from __future__ import annotations
@@ -14,7 +15,8 @@ from pyspark.sql import functions as F
 
 from storeops.llm.shared import WHITE, Scratch, table
 
-BUCKETS = 16
+#: Digests of a bucket, about, and buckets that an index has at least and at most.
+BUCKET_ROWS, BUCKETS, MOST_BUCKETS = 2_000_000, 16, 8_192
 INDEX_SCHEMA = "digest binary, keep_id bigint, group_size bigint, batch string"
 
 
@@ -24,21 +26,32 @@ def normalised(text: Column) -> Column:
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, digest, n_points): SHA-256 of the normalised text and the code points of the original."""
+    """(id, digest, n_points, text_hash): SHA-256 of the normalised text, code points and xxhash64 of the original."""
     return docs.select(
         F.col(id_col).alias("id"),
         F.unhex(F.sha2(normalised(F.col(text_col)), 256)).alias("digest"),
         F.length(F.coalesce(F.col(text_col), F.lit(""))).alias("n_points"),
+        F.xxhash64(text_col).alias("text_hash"),
     )
 
 
+def buckets_for(digests: int) -> int:
+    """A power of two, so that a later index of twice the buckets splits each of them."""
+    return min(MOST_BUCKETS, max(BUCKETS, 1 << max(0, -(-digests // BUCKET_ROWS) - 1).bit_length()))
+
+
 class DigestIndex:
     """A persistent set of digests in a bucketed, sorted table.
 
     It lies at ``path`` and outlives the session: where the catalog doesn't
     know the table, it is declared over the files that are there. A bucket
     holds one row for each digest, so its size follows the number of distinct
-    texts and no group of copies.
+    texts and no group of copies. ``buckets`` is fixed when the index is made;
+    :func:`buckets_for` tells how many suit a number of digests.
+
+    One batch is taken in at a time: two that are taken in at once could both
+    append a digest that neither finds. ``group_size`` counts the rows of the
+    batch that brought the digest in, not of later ones.
     """
 
     def __init__(self, spark: SparkSession, name: str, path: str, buckets: int = BUCKETS):
@@ -50,6 +63,10 @@ class DigestIndex:
         writer = rows.repartition(self.buckets, "digest").write.format("parquet").mode("append")
         writer.bucketBy(self.buckets, "digest").sortBy("digest").option("path", self.path).saveAsTable(self.name)
 
+    def drop(self) -> None:
+        """Forgets the table; its files stay."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+
     def rows(self) -> DataFrame:
         return self.spark.table(self.name)
 
@@ -68,7 +85,7 @@ class DigestIndex:
 
 
 def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, batch: str = "batch", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, keep_id, group_size, kept, text_sha256.
+    """One row per document: id, keep_id, group_size, kept, text_sha256, text_hash (xxhash64 of the text).
 
     Texts are equal when they are identical after all characters of
     ``[\\x20\\x09-\\x0D]`` are deleted; a null text counts as empty, so nulls and
@@ -76,28 +93,35 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, batch: str =
     one id are all kept when that id is kept. A row without id never wins
     against a row with one; a group of such rows alone has keep_id null and
     kept false. An empty table gives an empty result. Other columns of
-    ``docs`` are not looked at. Without ``index`` a new one is made.
+    ``docs`` are not looked at. Digests are made where the texts are read and
+    no text is exchanged, so very long ones are no special case. Without
+    ``index`` a new one is made for this batch, with buckets for as many
+    digests as the batch has rows, and left out of the catalog again.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "digests")
-    if index is None:
-        index = DigestIndex(spark, scratch.root.rsplit("/", 1)[1].replace("-", "_"), scratch.path("index"))
     marked = scratch.write(digests(docs, id_col, text_col), "marked")
+    own = index is None
+    if index is None:
+        index = DigestIndex(spark, scratch.root.rsplit("/", 1)[1].replace("-", "_"), scratch.path("index"), buckets_for(marked.count()))
     index.ingest(marked, batch)
+    if own:
+        index.drop()
     # Read by path, so that both sides are exchanged and Spark can split a hot digest.
     entries = spark.read.schema(INDEX_SCHEMA).parquet(index.path).select("digest", "keep_id", "group_size")
-    found = marked.join(entries, "digest")
+    found = marked.drop("n_points").join(entries, "digest")
     return found.select(
         F.col("id").alias(id_col),
         "keep_id",
         "group_size",
         F.coalesce(F.col("id") == F.col("keep_id"), F.lit(False)).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
+        "text_hash",
     )
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup(table(spark, sf_dir, "documents"))
+    return exact_dedup(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 ORACLE = r"""

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storeops.llm import arrays as A
-from storeops.llm.shared import id_crc, importable, table
+from storeops.llm.shared import id_crc, importable, passed, table
 
 BUCKETS = 1 << 15
 SIZES = (1, 2, 3)
@@ -152,9 +152,8 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
     spark = docs.sparkSession
     importable(spark)
     shared = spark.sparkContext.broadcast(model)
-    kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_score(shared, len(model[1])), f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(_score(shared, len(model[1])), passed(docs.schema[id_col].dataType, "lang_pred string, score double")).withColumnRenamed("id", id_col)
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

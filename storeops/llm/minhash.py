@@ -6,7 +6,8 @@
    lowers their variance, and a document stops as soon as no further rank can
    lower a slot), and one key for each band of the signature.
 2. Documents with equal sets form a class; from here on a class is one node,
-   so a group of copies of any size costs one.
+   named by its smallest id (or by its hash, where that id stands on texts of
+   several classes), so a group of copies of any size costs one.
 3. Nodes that share a band key are candidates. They are confirmed on their
    full sets in three steps, each skipping nodes that are linked already:
    with the smallest node of all their bands, with the smallest node of each
@@ -180,10 +181,10 @@ def alike(mine: np.ndarray, hub: np.ndarray, percent: int) -> bool:
 
 
 def _confirm(words: int, percent: int):
-    """Links of the rows that follow a hub with it; rows come as (b, salt, role, id, text), hubs with role 0 first, one for each of their texts."""
+    """Links of the rows that follow a hub with it; rows come as (b, salt, role, id, text), hubs with role 0 first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, hubs, open_ = None, [], False
+        key, hub = None, np.zeros(0, U)
         for batch in batches:
             b, salt, role, ids = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
             links: list[tuple[int, int]] = []
@@ -192,14 +193,9 @@ def _confirm(words: int, percent: int):
                 for k in range(to - at):
                     mine, own = h[first[k] : first[k + 1]], (b[at + k], salt[at + k])
                     if role[at + k] == 0:
-                        if not open_ or key != own:
-                            key, hubs, open_ = own, [], True
-                        if not any(np.array_equal(mine, x) for x in hubs):
-                            hubs.append(mine)
-                    else:
-                        open_ = False
-                        if own == key and any(alike(mine, x, percent) for x in hubs):
-                            links.append((int(ids[at + k]), int(own[0])))
+                        key, hub = own, mine
+                    elif own == key and alike(mine, hub, percent):
+                        links.append((int(ids[at + k]), int(own[0])))
             if links:
                 yield pa.record_batch([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], names=["a", "b"])
 
@@ -315,21 +311,22 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, bands: int =
 
     Documents without words (null and blank texts) are linked with nothing.
     A very long text is worked on in pieces. A row without id has component_id
-    null and is kept. Rows that share an id are one document with all their
-    links, whatever their texts. An empty table gives an empty result; other
-    columns of ``docs`` are not looked at.
+    null and is kept. Rows that share an id are judged apart, each by its own
+    text; equal ones get equal results. An empty table gives an empty result;
+    other columns of ``docs`` are not looked at.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "minhash")
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("tie"))
-    sig = scratch.write(texts.mapInArrow(_signatures(words, bands, rows), "id bigint, tie bigint, n bigint, hi bigint, lo bigint, bands array<bigint>, sig binary"), "sig")
+    sig = texts.mapInArrow(_signatures(words, bands, rows), "id bigint, tie bigint, n bigint, hi bigint, lo bigint, bands array<bigint>, sig binary")
+    sig = scratch.write(sig.withColumn("row", F.monotonically_increasing_id()), "sig")
     full = sig.filter("n > 0 and id is not null")
-    classes = scratch.write(full.groupBy("hi", "lo").agg(F.min("id").alias("rep")), "classes")
-    nodes = full.join(classes.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
-    # Texts that share an id: the id stands for all of their classes.
-    again = full.groupBy("id").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("id")
-    named = full.join(again, "id", "left_semi").select("id", "hi", "lo").distinct().join(classes, ["hi", "lo"])
-    same_id = named.filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    classes = full.groupBy("hi", "lo").agg(F.min(F.struct("id", "tie", "row")).alias("rep"))
+    classes = scratch.write(classes.select("hi", "lo", F.col("rep.id").alias("rep"), F.col("rep.tie").alias("tie"), F.col("rep.row").alias("row")), "reps")
+    several = classes.groupBy("rep").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("rep", F.lit(True).alias("several"))
+    node = F.when(F.col("several"), F.xxhash64("hi", "lo")).otherwise(F.col("rep"))
+    classes = scratch.write(classes.join(several, "rep", "left").withColumn("node", node).drop("several"), "classes")
+    nodes = full.drop("id").join(classes.select("row", F.col("node").alias("id")), "row")
 
     keyed = nodes.select("id", "n", F.explode("bands").alias("key"))
     buckets = keyed.groupBy("key").agg(F.min("id").alias("b"), F.count(F.lit(1)).alias("size"), F.sum("n").alias("total")).filter("size > 1")
@@ -339,11 +336,13 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, bands: int =
     scratch.drop("buckets")
     candidates = members.filter("id <> b").select(F.col("id").alias("a"), "b").distinct()
     # Only texts of nodes that share a band are looked at again.
-    held = scratch.write(texts.select("id", "text").join(members.select("id").distinct(), "id", "left_semi"), "texts")
+    named = members.select("id").distinct().join(classes.select(F.col("node").alias("id"), F.col("rep"), "tie"), "id")
+    held = texts.join(named.select(F.col("id").alias("node"), F.col("rep").alias("id"), "tie"), ["id", "tie"])
+    held = scratch.write(held.groupBy("id", "tie").agg(F.first("node").alias("node"), F.first("text").alias("text")).select(F.col("node").alias("id"), "text"), "texts")
 
     scratch.release()
     first = candidates.groupBy("a").agg(F.min("b").alias("b"))
-    links = scratch.write(confirm(first, held, words, percent).unionByName(same_id), "links1")
+    links = scratch.write(confirm(first, held, words, percent), "links1")
     labels = scratch.write(components(links, scratch, "c1"), "labels1")
     scratch.release()
 
@@ -382,9 +381,14 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, bands: int =
     joined = component(component(links3, "a", "ca"), "b", "cb").select("ca", "cb")
     more = scratch.write(components(joined, scratch, "c3"), "labels3").select(F.col("node").alias("component_id"), F.col("component").alias("joined"))
 
-    final = component(classes, "rep", "component_id").join(more, "component_id", "left")
-    final = scratch.write(final.select("hi", "lo", F.coalesce("joined", "component_id").alias("component_id")), "final")
-    scratch.release("texts", "links2", "links3", "labels2", "labels3", "rest", "active", "classes")
+    final = component(classes, "node", "component_id").join(more, "component_id", "left")
+    final = scratch.write(final.select("hi", "lo", "node", "rep", F.coalesce("joined", "component_id").alias("component_id")), "final")
+    # Names that aren't ids say nothing about the smallest id of their components.
+    odd = final.filter("node <> rep").select("component_id").distinct()
+    least = final.join(odd, "component_id", "left_semi").groupBy("component_id").agg(F.min("rep").alias("least"))
+    final = final.join(scratch.write(least, "least"), "component_id", "left")
+    final = final.select("hi", "lo", F.coalesce("least", "component_id").alias("component_id"))
+    scratch.release("texts", "links2", "links3", "labels2", "labels3", "rest", "active", "classes", "reps")
     out = sig.select("id", "tie", "n", "hi", "lo").join(final, ["hi", "lo"], "left")
     component_id = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
     return out.select(

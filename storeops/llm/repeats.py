@@ -38,6 +38,8 @@ WINDOW, KMER = 100, 32
 CHUNK, INDEX = 1 << 18, 1 << 18
 #: Contexts of an anchor from which on step 4 takes over, and contexts that are streamed through one copy of an index there, about.
 HOT, STREAMED = 1_000, 256
+#: Parts that the contexts of one place to stream through are dealt to before they are counted.
+SALTS = 16
 U = np.uint64
 PRIMES = ((2**31 - 1, 48_271), (2**31 - 19, 1_103_515_245))
 _modular: list[np.ndarray] = []
@@ -416,11 +418,13 @@ def routed(many: DataFrame, scratch: Scratch, window: int) -> DataFrame:
     least = scratch.write(least.select("h1", "h2", "least"), "least")
     late = windows.join(least.hint("shuffle_hash"), ["h1", "h2"]).filter(place != F.col("least"))
     pairs = late.select("id", "tie", "context", F.col("least.id").alias("k1"), F.col("least.tie").alias("k2"), F.col("least.context").alias("k3")).distinct()
-    pairs = scratch.write(pairs, "pairs")
-    counts = pairs.groupBy("k1", "k2", "k3").agg(F.count(F.lit(1)).alias("times"))
+    spot = F.xxhash64("id", "tie", "context")
+    pairs = scratch.write(pairs.withColumn("salt", F.pmod(spot, F.lit(SALTS))), "pairs")
+    counts = pairs.groupBy("k1", "k2", "k3", "salt").agg(F.count(F.lit(1)).alias("times"))
     parts = F.ceil(F.col("times") / STREAMED).cast("bigint")
-    streamed = pairs.join(counts, ["k1", "k2", "k3"]).withColumn("k4", F.pmod(F.xxhash64("id", "tie", "context"), parts)).withColumn("role", F.lit(1)).drop("times")
-    indexed = counts.withColumn("k4", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)))
+    number = F.col("salt") + SALTS * F.pmod(F.shiftright(spot, 8), parts)
+    streamed = pairs.join(counts, ["k1", "k2", "k3", "salt"]).withColumn("k4", number).withColumn("role", F.lit(1)).drop("times")
+    indexed = counts.withColumn("k4", F.explode(F.sequence("salt", (parts - 1) * SALTS + F.col("salt"), F.lit(SALTS).cast("bigint"))))
     indexed = indexed.select(F.col("k1").alias("id"), F.col("k2").alias("tie"), F.col("k3").alias("context"), *BLOCK, F.lit(0).alias("role"))
     rows = streamed.select(indexed.columns).unionByName(indexed).withColumnRenamed("context", "start")
     return rows.join(many.select("id", "tie", "start", "off", "data"), ["id", "tie", "start"]).select(*BLOCK, "role", "id", "tie", "start", "off", "data")

@@ -11,6 +11,7 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 #: Characters that count as white space wherever a contract speaks of ``[\x20\x09-\x0D]``.
 WHITE = "\x20\x09\x0a\x0b\x0c\x0d"
@@ -70,6 +71,11 @@ class Scratch:
             at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def passed(id_kind: DataType, rest: str) -> StructType:
+    """A column ``id`` of any type, whatever the names of its fields, and the columns of ``rest``."""
+    return StructType([StructField("id", id_kind), *StructType.fromDDL(rest)])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

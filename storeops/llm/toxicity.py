@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storeops.llm import arrays as A
-from storeops.llm.shared import Scratch, id_crc, importable, table
+from storeops.llm.shared import Scratch, id_crc, importable, passed, table
 
 #: Labelled rows that the index is built from, those with the smallest hashes of their ids, and bytes of their texts, at most.
 SAMPLE, SAMPLE_BYTES = 2_500, 64_000_000
@@ -278,7 +278,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if not inside.any():
         return None
     rows = rows.filter(F.col("rank") <= int(sizes["rank"][inside].iloc[-1]))
-    found = rows.select("id", "toxic", "text").mapInArrow(_vectors, f"id {docs.schema[id_col].dataType.simpleString()}, toxic int, words array<bigint>, counts array<bigint>").toArrow().combine_chunks()
+    found = rows.select("id", "toxic", "text").mapInArrow(_vectors, passed(docs.schema[id_col].dataType, "toxic int, words array<bigint>, counts array<bigint>")).toArrow().combine_chunks()
     toxic = found["toxic"].to_numpy().astype(float)
     lists = found["words"].combine_chunks()
     h, sizes = lists.flatten().to_numpy().view(U), lists.value_lengths().to_numpy()
@@ -367,13 +367,12 @@ def score(docs: DataFrame, index: Index | None, id_col: str = "doc_id", text_col
     """
     spark = docs.sparkSession
     importable(spark)
-    kind = docs.schema[id_col].dataType.simpleString()
     evidence = "array<struct<example:string,cosine:double,toxic:int>>"
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     if index is None:
         found = rows.select("id", F.lit(0.0).alias("score"), F.array().cast(evidence).alias("evidence"))
     else:
-        found = rows.mapInArrow(_score(spark.sparkContext.broadcast(index)), f"id {kind}, score double, evidence {evidence}")
+        found = rows.mapInArrow(_score(spark.sparkContext.broadcast(index)), passed(docs.schema[id_col].dataType, f"score double, evidence {evidence}"))
     return found.select(F.col("id").alias(id_col), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
 
 

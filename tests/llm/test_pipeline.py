@@ -76,6 +76,21 @@ def test_stages_equal_brute_force(spark):
     assert {r["doc_id"]: r["ids_sha256"] for r in corpus_pipeline.run(spark, SF).collect()} == {i: w[1] for i, w in want.items()}
 
 
+def test_stages_judge_rows_and_carry_all_columns(spark):
+    """Ids that stand on several texts, and columns whose names an operator might use or no DDL string could hold."""
+    rows = [(1, "same text here of some words"), (2, "same text here of some words"), (2, "another unique text that nobody has"), (3, "another  unique text that nobody has"), (None, "same text here of some words"), (2, None), (4, "")]
+    extra = ["row", "id", "text_hash", "meta-data", "a.b", "tie", "kept"]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), *(f"{k}{c}" for c in extra)) for k, (i, t) in enumerate(rows)], ["doc_id", "text", "lang", "source", "n_chars", *extra]).withColumn("doc_id", F.col("doc_id").cast("bigint")).repartition(3)
+    told = lambda df: sorted(((r["doc_id"], r["text"], r["a.b"]) for r in df.collect()), key=str)
+    stages = dict(corpus_pipeline.STAGES)
+    all_rows = [(i, t, f"{k}a.b") for k, (i, t) in enumerate(rows)]
+    want = {"toxicity": all_rows, "exact_dedup": [all_rows[k] for k in (0, 3, 4, 5)], "near_dedup": [all_rows[k] for k in (0, 2, 4, 5, 6)], "decontamination": all_rows}
+    for name, kept in want.items():
+        out = stages[name](spark, docs, SF)
+        assert out.columns == docs.columns and told(out) == sorted(kept, key=str), name
+    assert stages["bpe"](spark, docs, SF).count() == len(rows)
+
+
 def test_stages_take_odd_tables(spark):
     docs = table(spark, SF, "documents")
     odd = spark.createDataFrame([(1, None, None, None, None), (2, "", "en", "s", 0), (3, "", "en", "s", 0), (None, "x y", None, None, 3), (4, "z" * 20_000, "en", "s", 20_000), (4, "z" * 20_000, "en", "s", 20_000)], docs.schema)
