@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import warnings
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from storeops.functions.clock import instant
 from storeops.functions.numbers import HOURLY_RATE, cost, duration_ms, hours, hours_text, round_half_up, whole_cost
 from storeops.functions.text import dept_label
 
+#: Shifts of one list, about.
+LIST = 10_000
 #: Fields under which a payroll row may have its employee and its cost, the first present one counts.
 EMPLOYEE_FIELDS = ("employeeId", "EmployeeId")
 COST_FIELDS = ("totalCost", "total", "amount", "salaryAmount", "cost", "salary", "wage")
@@ -19,6 +26,12 @@ def shift_hours(shifts: DataFrame, missing: str = "null") -> DataFrame:
     return shifts.withColumn("ms", F.coalesce(ms, F.lit(0).cast("bigint")) if missing == "zero" else ms)
 
 
+def instant_rejects(rows: DataFrame, *texts: str, source_tz: str = "UTC") -> DataFrame:
+    """Rows of which some date-time text is there but can't be parsed; elsewhere those count as missing."""
+    bad = [F.col(c).isNotNull() & instant(F.col(c), source_tz).isNull() for c in texts]
+    return rows.filter(reduce(Column.__or__, bad))
+
+
 def shifts_in_range(shifts: DataFrame, first: str, last: str) -> DataFrame:
     """Shifts that start on one of the days from first to last, both included."""
     start = F.col("start_dt")
@@ -71,11 +84,17 @@ def cost_per_employee(payroll: DataFrame) -> DataFrame:
     return drop_null_employee(payroll).groupBy("employee_id").agg(total)
 
 
-def shifts_per_employee(shifts: DataFrame) -> DataFrame:
-    """The departments and milliseconds of each employee's shifts, in order of shift."""
+def shifts_per_employee(shifts: DataFrame, longest: int = LIST) -> DataFrame:
+    """The departments and milliseconds of each employee's shifts, in order of shift.
+
+    An employee with more than ``longest`` shifts has several lists, numbered
+    by ``part``: id modulo their number, so that none grows with the data.
+    """
     held = drop_null_employee(shift_hours(shifts, "zero"))
+    counts = held.groupBy("employee_id").agg(F.ceil(F.count(F.lit(1)) / longest).alias("parts"))
     item = F.struct("id", "department_id", "ms")
-    return held.groupBy("employee_id").agg(F.array_sort(F.collect_list(item)).alias("shifts"))
+    rows = held.join(counts, "employee_id").withColumn("part", F.pmod("id", "parts"))
+    return rows.groupBy("employee_id", "part").agg(F.array_sort(F.collect_list(item)).alias("shifts"))
 
 
 def shifts_left_payroll(shifts: DataFrame, payroll: DataFrame) -> DataFrame:
@@ -94,13 +113,6 @@ def with_employee_totals(shifts: DataFrame) -> DataFrame:
     return held.join(totals, "employee_id")
 
 
-def with_employee_totals_window(shifts: DataFrame) -> DataFrame:
-    """The same by a window; one exchange, for employees of like size."""
-    w = Window.partitionBy("employee_id")
-    held = drop_null_employee(shift_hours(shifts, "zero"))
-    return held.withColumns({"emp_ms": F.sum("ms").over(w), "emp_shifts": F.count(F.lit(1)).over(w)})
-
-
 def alloc_share() -> Column:
     """Share of the employee's cost that a shift gets: by hours, or equal where the hours don't sum to more than 0."""
     return F.when(F.col("emp_ms") > 0, F.col("ms") / F.col("emp_ms")).otherwise(F.lit(1.0) / F.col("emp_shifts"))
@@ -108,8 +120,13 @@ def alloc_share() -> Column:
 
 def labor_by_store_hybrid(shifts: DataFrame, payroll: DataFrame, dept_dim: DataFrame, rate: int = HOURLY_RATE) -> DataFrame:
     """Cost by store: payroll where the employee has some, else hours at the rate; allocated by share, rounded once."""
+    return allocated(shifts, cost_per_employee(payroll), dept_dim, rate)
+
+
+def allocated(shifts: DataFrame, costs: DataFrame, dept_dim: DataFrame, rate: int) -> DataFrame:
+    """Cost by store from the payroll cost of employees."""
     rows = with_employee_totals(shifts).withColumn("share", alloc_share())
-    rows = rows.join(cost_per_employee(payroll), "employee_id", "left")
+    rows = rows.join(costs, "employee_id", "left")
     hourly = F.col("emp_ms") * rate / F.lit(3_600_000.0)
     amount = F.coalesce(F.col("cost").cast("double"), hourly) * F.col("share")
     return shifts_inner_store(rows, dept_dim).groupBy("store_id").agg(round_half_up(F.sum(amount)).alias("labor_cost"))
@@ -121,9 +138,21 @@ def labor_by_store_hourly(shifts: DataFrame, dept_dim: DataFrame, rate: int = HO
     return rows.groupBy("store_id").agg(F.sum(whole_cost(F.col("ms"), rate)).alias("labor_cost"))
 
 
-def labor_by_store(shifts: DataFrame, payroll: DataFrame | None, dept_dim: DataFrame, rate: int = HOURLY_RATE) -> DataFrame:
-    """Hybrid, or hourly where there is no payroll source; an empty payroll is one."""
-    return labor_by_store_hourly(shifts, dept_dim, rate) if payroll is None else labor_by_store_hybrid(shifts, payroll, dept_dim, rate)
+def labor_by_store(shifts: DataFrame, payroll: Callable[[], DataFrame], dept_dim: DataFrame, folder: str, rate: int = HOURLY_RATE) -> DataFrame:
+    """Hybrid, or hourly where the payroll can't be read; an empty payroll is one that can.
+
+    ``payroll`` opens the source. Its cost by employee is worked out at once
+    and written below ``folder``, so that a source that breaks while it is read
+    counts as unreadable too, and the report reads it no second time.
+    """
+    try:
+        costs = cost_per_employee(payroll())
+        costs.write.parquet(f"{folder}/costs")
+    except Exception as e:
+        # Whatever keeps the payroll from being read; what is wrong with the shifts or the folder fails below.
+        warnings.warn(f"labor cost falls back to hours, since the payroll can't be read: {e}", stacklevel=2)
+        return labor_by_store_hourly(shifts, dept_dim, rate)
+    return allocated(shifts, shifts.sparkSession.read.schema(costs.schema).parquet(f"{folder}/costs"), dept_dim, rate)
 
 
 def labor_counters(shifts: DataFrame, payroll: DataFrame, dept_dim: DataFrame) -> DataFrame:
@@ -134,8 +163,9 @@ def labor_counters(shifts: DataFrame, payroll: DataFrame, dept_dim: DataFrame) -
         F.count_distinct(F.when(F.col("cost").isNull(), F.col("employee_id"))).alias("hourly"),
         F.count_if(F.col("store_id").isNull()).alias("unmatched"),
     )
-    # Both sides have one row.
-    return some.join(payroll_employees(payroll).agg(F.count(F.lit(1)).alias("with_payroll")), F.lit(True))
+    other = payroll_employees(payroll).agg(F.count(F.lit(1)).alias("with_payroll"))
+    both = some.unionByName(other, allowMissingColumns=True)
+    return both.agg(*(F.max(c).alias(c) for c in both.columns))
 
 
 def payroll_employees(payroll: DataFrame) -> DataFrame:

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storeops.functions.clock import local_date
 from storeops.operators.sales import tally
+from storeops.sources.pages import running_sum
 
 WORD = "chas"
 PAGE = 100
+#: Order keys whose lines make a recipe, and parts whose recipes make a document.
+ORDERS, PARTS = 100_000, 20
 DISHES = {"small ring": "ring, small", "red widget": "widget"}
 INGREDIENTS = {"AF": "alpha", "NO": "nu", "RF": "alpha"}
 RAW_STORES = ["s0", "S1", "s5", "NØRREBRO", "nær", "GÅ", "unknown", None]
@@ -23,6 +26,12 @@ def store_dim(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(f"s{k}", f"Store {k}") for k in range(6)], "store_id string, name string")
 
 
+def event_stores(spark: SparkSession, d: str) -> DataFrame:
+    """The stores that have events."""
+    ids = items(spark, d).select("store_id").distinct()
+    return ids.withColumn("name", F.concat(F.lit("Store "), F.expr("substring(store_id, 2)"))).withColumn("credential", F.lit("hidden"))
+
+
 def named_stores(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([("s0",), ("s1",), ("s5",), ("norrebro",), ("naer",), ("gaa",)], "store_id string")
 
@@ -83,7 +92,7 @@ def store_keys(spark: SparkSession, d: str) -> DataFrame:
 
 def pages(spark: SparkSession, d: str) -> DataFrame:
     """Landed pages of PAGE rows by event type; that of errors has no total."""
-    rows = table(spark, d, "events").withColumn("rn", F.row_number().over(Window.partitionBy("event_type").orderBy("event_id")) - 1)
+    rows = running_sum(table(spark, d, "events").select("event_type", "event_id", "user_id"), "event_type", "event_id", F.lit(1), "rn").withColumn("rn", F.col("rn") - 1)
     held = rows.groupBy(F.col("event_type").alias("endpoint"), (F.floor(F.col("rn") / PAGE) * PAGE).cast("bigint").alias("offset"))
     held = held.agg(F.array_sort(F.collect_list(F.struct("event_id", "user_id"))).alias("data"))
     totals = rows.groupBy(F.col("event_type").alias("endpoint")).agg(F.count(F.lit(1)).alias("total"))
@@ -92,13 +101,14 @@ def pages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def recipes(spark: SparkSession, d: str) -> DataFrame:
-    """A document for each brand: its recipes by id."""
+    """A recipe for each part and stretch of orders, a document for a few parts; neither grows with the tables."""
     parts, lines = table(spark, d, "part"), table(spark, d, "lineitem")
     item = F.struct(F.concat("l_returnflag", "l_linestatus").alias("name"), F.col("l_quantity").alias("grams"))
-    lists = lines.groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.array_sort(F.collect_list(item)).alias("ingredients"))
+    stretch = F.floor(F.col("l_orderkey") / ORDERS).alias("stretch")
+    lists = lines.groupBy(F.col("l_partkey").alias("p_partkey"), stretch).agg(F.array_sort(F.collect_list(item)).alias("ingredients"))
     recipe = F.struct(F.col("p_name").alias("name"), F.col("p_size").cast("double").alias("defaultPortion"), F.col("p_retailprice").alias("batchSize"), "ingredients")
-    entry = F.struct(F.col("p_partkey").cast("string").alias("key"), recipe.alias("value"))
-    return parts.join(lists, "p_partkey").groupBy("p_brand").agg(F.map_from_entries(F.collect_list(entry)).alias("doc")).select("doc")
+    entry = F.struct(F.concat_ws("-", "p_partkey", "stretch").alias("key"), recipe.alias("value"))
+    return parts.join(lists, "p_partkey").groupBy(F.floor(F.col("p_partkey") / PARTS), "stretch").agg(F.map_from_entries(F.collect_list(entry)).alias("doc")).select("doc")
 
 
 def daily_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -121,6 +131,14 @@ def log_bodies(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select(F.col("event_id").alias("id"), body.alias("body"))
 
 
+def raw_instants(spark: SparkSession, d: str) -> DataFrame:
+    """Date-time texts as they land: some with a zone, some without, broken or missing."""
+    text = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
+    k = F.col("event_id") % 5
+    start = F.when(k == 0, F.concat(text, F.lit("Z"))).when(k == 1, "2024-13-45T00:00:00").when(k != 2, text)
+    return table(spark, d, "events").select(F.col("event_id").alias("id"), start.alias("start"), F.when(k == 3, "soon").otherwise(text).alias("end"))
+
+
 def invoice_replies(spark: SparkSession, d: str) -> DataFrame:
     """Replies about orders; every tenth breaks off."""
     suppliers = table(spark, d, "supplier")
@@ -148,8 +166,8 @@ CTE = {
     "new": "new AS (SELECT * FROM daily WHERE date >= DATE '2024-01-10')",
     "pages": """pages_ AS (SELECT event_type AS endpoint, (row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1) // 100 * 100 AS "offset", event_id, user_id,
         count(*) OVER (PARTITION BY event_type) AS total FROM events)""",
-    "recipes": """recipes AS (SELECT p_partkey::VARCHAR AS recipe_id, p_name AS name, p_size::DOUBLE AS portion, p_retailprice AS batch, l_returnflag || l_linestatus AS ingredient, l_quantity AS grams,
-        row_number() OVER (PARTITION BY p_partkey ORDER BY l_returnflag || l_linestatus, l_quantity) - 1 AS place FROM part JOIN lineitem ON p_partkey = l_partkey)""",
+    "recipes": f"""recipes AS (SELECT p_partkey || '-' || l_orderkey // {ORDERS} AS recipe_id, p_name AS name, p_size::DOUBLE AS portion, p_retailprice AS batch, l_returnflag || l_linestatus AS ingredient, l_quantity AS grams,
+        row_number() OVER (PARTITION BY p_partkey, l_orderkey // {ORDERS} ORDER BY l_returnflag || l_linestatus, l_quantity) - 1 AS place FROM part JOIN lineitem ON p_partkey = l_partkey)""",
 }
 
 

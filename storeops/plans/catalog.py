@@ -121,8 +121,10 @@ def write_log(spark, d):
 
 @query("items daily old", "SELECT date, store_id, n FROM old")
 def read_history(spark, d):
-    """From the nested form to rows."""
-    return documents.history_rows(sales.nested(B.history_old(spark, d))).select("date", "store_id", "n")
+    """From the nested form, as it lies in JSON files, to rows."""
+    path = work_folder(spark, "nested")
+    sales.nested(B.history_old(spark, d)).write.json(path)
+    return documents.read_nested_history(spark, path).select("date", "store_id", "n")
 
 
 @query("items daily old", "SELECT date, store_id, n FROM old")
@@ -142,9 +144,11 @@ def upsert_history(spark, d):
 
 
 @query("shifts payroll", """SELECT 'shifts' AS source, count(*) AS n_rows, 5::BIGINT AS n_columns, NULL::BIGINT AS declared, 'no total' AS problem FROM shifts
-    UNION ALL SELECT 'payroll', count(*), 4, 1, CASE WHEN count(*) <> 1 THEN 'rows differ from total' END FROM payroll""")
+    UNION ALL SELECT 'payroll', count(*), 4, 1, CASE WHEN count(*) <> 1 THEN 'rows differ from total' END FROM payroll
+    UNION ALL SELECT 'departments', NULL, NULL, 6, 'unreadable: PATH_NOT_FOUND'""")
 def audit_sources(spark, d):
-    return pages.audit_sources({"shifts": B.shifts(spark, d), "payroll": payroll(spark, d)}, {"payroll": 1})
+    sources = {"shifts": lambda: B.shifts(spark, d), "departments": lambda: spark.read.parquet(work_folder(spark, "none")), "payroll": lambda: payroll(spark, d)}
+    return pages.audit_sources(spark, sources, {"payroll": 1, "departments": 6})
 
 
 @query("pages", "SELECT endpoint, CASE WHEN endpoint = 'error' THEN least(count(*), 100) ELSE count(*) END AS n FROM pages_ GROUP BY endpoint")
@@ -166,9 +170,9 @@ def first_row(spark, d):
 # Columns
 
 
-@query("stores", "SELECT store_id, name FROM stores")
+@query("items", "SELECT DISTINCT store_id, 'Store ' || substr(store_id, 2) AS name FROM items")
 def list_stores(spark, d):
-    return sales.list_stores(B.store_dim(spark))
+    return sales.list_stores(B.event_stores(spark, d))
 
 
 KEYS = """keys AS (SELECT event_id AS id, (['s0', 'S1', 's5', 'NØRREBRO', 'nær', 'GÅ', 'unknown', NULL])[event_id % 8 + 1] AS raw FROM events),
@@ -191,6 +195,11 @@ def shift_hours(spark, d):
     return rows.withColumn("kept", F.col("ms")).transform(labor.shift_hours, "zero").select("id", F.col("kept").alias("ms"), F.col("ms").alias("ms_or_zero"))
 
 
+@query("", "SELECT event_id AS id FROM events WHERE event_id % 5 IN (1, 3)")
+def instant_rejects(spark, d):
+    return labor.instant_rejects(B.raw_instants(spark, d), "start", "end").select("id")
+
+
 HOURS4 = "round(ms / 3600000.0, 4)::DECIMAL(18,4)"
 COST2 = "round(ms * 160 / 3600000.0, 2)::DECIMAL(18,2)"
 WHOLE = "floor((ms * 320 + 3600000) / 7200000.0)::BIGINT"
@@ -354,11 +363,12 @@ def cost_per_employee(spark, d):
     return labor.cost_per_employee(payroll(spark, d))
 
 
-@query("shifts", "SELECT employee_id, string_agg(department_id || ':' || coalesce(ms, 0), ',' ORDER BY id) AS shifts FROM shifts GROUP BY employee_id")
+@query("shifts", """, n AS (SELECT employee_id, ceil(count(*) / 50)::BIGINT AS parts FROM shifts GROUP BY employee_id)
+    SELECT employee_id, id % parts AS part, string_agg(department_id || ':' || coalesce(ms, 0), ',' ORDER BY id) AS shifts FROM shifts JOIN n USING (employee_id) GROUP BY ALL""")
 def shifts_per_employee(spark, d):
-    rows = labor.shifts_per_employee(B.shifts(spark, d))
+    rows = labor.shifts_per_employee(B.shifts(spark, d), longest=50)
     told = F.transform("shifts", lambda s: F.concat_ws(":", s["department_id"], s["ms"]))
-    return rows.select("employee_id", F.array_join(told, ",").alias("shifts"))
+    return rows.select("employee_id", "part", F.array_join(told, ",").alias("shifts"))
 
 
 @query("shifts depts", f"""SELECT {LABEL} AS department, count(*) AS shift_count, coalesce(sum({HOURS4}), 0)::DECIMAL(18,4) AS total_hours,
@@ -392,8 +402,17 @@ def labor_by_store_hourly(spark, d):
 
 @query("shifts depts", HOURLY)
 def labor_by_store(spark, d):
-    """Without a payroll source."""
-    return labor.labor_by_store(B.shifts(spark, d), None, B.dept_dim(spark))
+    """The payroll didn't land."""
+    path = work_folder(spark, "labor")
+    return labor.labor_by_store(B.shifts(spark, d), lambda: spark.read.parquet(f"{path}/payroll"), B.dept_dim(spark), path)
+
+
+@query("shifts payroll emp_cost emp depts", HYBRID)
+def labor_by_store_landed(spark, d):
+    """The payroll landed and is read."""
+    path = work_folder(spark, "labor")
+    payroll(spark, d).write.parquet(f"{path}/payroll")
+    return labor.labor_by_store(B.shifts(spark, d), lambda: spark.read.parquet(f"{path}/payroll"), B.dept_dim(spark), path)
 
 
 @query("shifts payroll emp_cost", """SELECT count(DISTINCT employee_id) FILTER (cost IS NOT NULL) AS salaried, count(DISTINCT employee_id) FILTER (cost IS NULL) AS hourly,
@@ -420,7 +439,7 @@ def emp_total_hours(spark, d):
 
 @query("shifts emp", "SELECT id, emp_shifts FROM shifts JOIN emp USING (employee_id)")
 def emp_shift_count(spark, d):
-    return labor.with_employee_totals_window(B.shifts(spark, d)).select("id", "emp_shifts")
+    return labor.with_employee_totals(B.shifts(spark, d)).select("id", "emp_shifts")
 
 
 @query("shifts emp", f"SELECT id, round({SHARE}, 9)::DECIMAL(18,9) AS share FROM shifts JOIN emp USING (employee_id)")
@@ -444,7 +463,11 @@ def recipe_ingredients(spark, d):
 
 @query("recipes", f"SELECT recipe_id, any_value({DISH}) AS name, string_agg({INGREDIENT}, ',' ORDER BY place) AS ingredients FROM recipes GROUP BY recipe_id")
 def migrate_recipes(spark, d):
-    done = recipes.recipes_flatten(recipes.migrate_recipes(B.recipes(spark, d), B.DISHES, B.INGREDIENTS))
+    """The stored documents after the job."""
+    path = work_folder(spark, "recipes")
+    documents.write_recipes(B.recipes(spark, d), path)
+    documents.migrate_stored(spark, path, B.DISHES, B.INGREDIENTS)
+    done = recipes.recipes_flatten(documents.read_recipes(spark, path, spark.createDataFrame([], f"doc {recipes.DOCUMENT}")))
     return done.select("recipe_id", "name", F.array_join("ingredients.name", ",").alias("ingredients"))
 
 
@@ -454,6 +477,15 @@ def recipes_changed(spark, d):
     return recipes.recipes_changed(B.recipes(spark, d), B.DISHES, B.INGREDIENTS)
 
 
+@query("recipes", f"SELECT bool_or({DISH} <> name OR {INGREDIENT} <> ingredient) AS first_wrote, false AS second_wrote FROM recipes")
+def migrate_recipes_twice(spark, d):
+    """Whether the job wrote, and whether it did once more on its own result."""
+    path = work_folder(spark, "recipes")
+    documents.write_recipes(B.recipes(spark, d), path)
+    wrote = [documents.migrate_stored(spark, path, B.DISHES, B.INGREDIENTS) for _ in range(2)]
+    return spark.createDataFrame([tuple(wrote)], "first_wrote boolean, second_wrote boolean")
+
+
 def told(nested: DataFrame) -> DataFrame:
     entries = F.transform(F.map_entries("stores"), lambda e: F.concat_ws(":", e["key"], e["value"]))
     return nested.select("date", F.array_join(entries, ",").alias("stores"), "total")

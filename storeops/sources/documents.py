@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storeops.operators.recipes import DOCUMENT
-from storeops.sources.folders import exists, swap
+from storeops.operators.recipes import DOCUMENT, migrate_recipes, recipes_changed
+from storeops.sources.folders import current, exists, publish
 
 HISTORY = "date date, store_id string, n bigint"
+NESTED = "date date, stores map<string,bigint>, total bigint"
 
 
 def read_recipes(spark: SparkSession, path: str, default: DataFrame, whole: bool = False) -> DataFrame:
@@ -18,20 +19,29 @@ def read_recipes(spark: SparkSession, path: str, default: DataFrame, whole: bool
     """
     if not exists(spark, path):
         return default
-    text = spark.read.text(path, wholetext=whole)
+    text = spark.read.text(current(spark, path), wholetext=whole)
     return text.select(F.from_json("value", DOCUMENT, {"mode": "FAILFAST"}).alias("doc"))
 
 
 def write_recipes(docs: DataFrame, path: str) -> None:
     """Replaces the document; it may have been read from the same path."""
-    staged = f"{path}.staged"
-    docs.select(F.to_json("doc").alias("value")).write.mode("overwrite").text(staged)
-    swap(docs.sparkSession, staged, path)
+    publish(docs.sparkSession, path, docs.select(F.to_json("doc").alias("value")).write.text)
+
+
+def migrate_stored(spark: SparkSession, path: str, dishes: dict[str, str], ingredients: dict[str, str]) -> bool:
+    """Renames dishes and ingredients in the documents at ``path``; whether there was anything to write. Where there are none, nothing is made."""
+    if not exists(spark, path):
+        return False
+    docs = read_recipes(spark, path, spark.createDataFrame([], f"doc {DOCUMENT}"))
+    if not recipes_changed(docs, dishes, ingredients).first()["changed"]:
+        return False
+    write_recipes(migrate_recipes(docs, dishes, ingredients), path)
+    return True
 
 
 def read_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The items of the log's arrays, an array in each line, or none if there is no log."""
-    return spark.read.schema(schema).json(path) if exists(spark, path) else spark.createDataFrame([], schema)
+    return spark.read.schema(schema).json(current(spark, path)) if exists(spark, path) else spark.createDataFrame([], schema)
 
 
 def is_array(body: Column) -> Column:
@@ -41,9 +51,7 @@ def is_array(body: Column) -> Column:
 
 def write_log(bodies: DataFrame, path: str) -> DataFrame:
     """Replaces the log by the bodies that are arrays and returns the others."""
-    staged = f"{path}.staged"
-    bodies.filter(is_array(F.col("body"))).select("body").write.mode("overwrite").text(staged)
-    swap(bodies.sparkSession, staged, path)
+    publish(bodies.sparkSession, path, bodies.filter(is_array(F.col("body"))).select("body").write.text)
     return bodies.filter(~is_array(F.col("body")))
 
 
@@ -52,20 +60,26 @@ def history_rows(nested: DataFrame) -> DataFrame:
     return nested.select("date", F.explode("stores").alias("store_id", "n"))
 
 
+def read_nested_history(spark: SparkSession, path: str) -> DataFrame:
+    """The tidy form of a history of JSON records (date, stores by id, total), a record in each line; a missing or broken one raises."""
+    return history_rows(spark.read.schema(NESTED).option("mode", "FAILFAST").json(path))
+
+
 def read_history(spark: SparkSession, path: str) -> DataFrame:
     """The tidy history; a missing or broken one raises."""
-    return spark.read.schema(HISTORY).parquet(path)
+    return spark.read.schema(HISTORY).parquet(current(spark, path))
 
 
 def replace_history(rows: DataFrame, path: str) -> None:
-    staged = f"{path}.staged"
-    by_day(rows).write.mode("overwrite").partitionBy("date").parquet(staged)
-    swap(rows.sparkSession, staged, path)
+    publish(rows.sparkSession, path, by_day(rows).write.partitionBy("date").parquet)
 
 
 def upsert_history(updates: DataFrame, path: str) -> None:
     """Puts the days of ``updates`` in the place of those days; others stay. Doing it twice is doing it once."""
-    by_day(updates).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(path)
+    spark = updates.sparkSession
+    if not exists(spark, path):
+        return replace_history(updates, path)
+    return by_day(updates).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(current(spark, path))
 
 
 def by_day(rows: DataFrame) -> DataFrame:

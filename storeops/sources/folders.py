@@ -4,32 +4,73 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+#: Names the current one of the folders beside it; Spark's readers skip files that begin so.
+POINTER = "_CURRENT"
+
 
 def work_folder(spark: SparkSession, name: str) -> str:
     """A new folder below ``spark.checkpoint.dir``; only a local session may leave that unset."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        if not spark.sparkContext.master.startswith("local["):
+        if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = Path(tempfile.mkdtemp(prefix="spark-storeops-")).as_uri()
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def exists(spark: SparkSession, path: str) -> bool:
+def _store(spark: SparkSession, path: str) -> tuple:
+    """(file system, path) of Hadoop."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs, fs.makeQualified(at)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, at = _store(spark, path)
+    return fs.exists(at)
 
 
-def swap(spark: SparkSession, staged: str, path: str) -> None:
-    """Puts a finished folder in the place of ``path``."""
+def current(spark: SparkSession, path: str) -> str:
+    """The folder that holds what was last published at ``path``; the path itself where nothing was."""
+    fs, at = _store(spark, f"{path}/{POINTER}")
+    if not fs.exists(at):
+        return path
+    stream = fs.open(at)
+    try:
+        return f"{path}/{stream.readLine()}"
+    finally:
+        stream.close()
+
+
+def publish(spark: SparkSession, path: str, write: Callable[[str], None]) -> None:
+    """Lets ``write`` fill a new folder, then makes it the current one at ``path``.
+
+    The pointer to it is renamed into place in one step, so readers find the
+    old or the new content whole, whatever happens in between; the folder
+    before stays for those who still read it, older ones go.
+    """
+    before, name = current(spark, path).rsplit("/", 1)[-1], f"v-{uuid.uuid4().hex}"
+    write(f"{path}/{name}")
+    fs, staged = _store(spark, f"{path}/{POINTER}.{name}")
+    out = fs.create(staged, True)
+    out.writeBytes(name + "\n")
+    out.close()
     jvm = spark.sparkContext._jvm
-    source, target = jvm.org.apache.hadoop.fs.Path(staged), jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(target, True)
-    if not fs.rename(source, target):
-        raise OSError(f"could not put {staged} in the place of {path}")
+    overwrite = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    overwrite[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    _, target = _store(spark, f"{path}/{POINTER}")
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(staged, target, overwrite)
+    for status in fs.listStatus(target.getParent()):
+        if status.getPath().getName().startswith("v-") and status.getPath().getName() not in (before, name):
+            fs.delete(status.getPath(), True)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, at = _store(spark, path)
+    fs.delete(at, True)

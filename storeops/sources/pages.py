@@ -2,30 +2,45 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from storeops.functions.text import cost_like_fields, row_fields
 
 
-def page_running_total(pages: DataFrame) -> DataFrame:
-    """Adds ``rows_so_far`` and whether the extract ends with this page: it is empty, or the total (0 if missing) is reached.
+#: Offsets that share a window of a running sum.
+STRETCH = 1_000_000
+
+
+def running_sum(df: DataFrame, key: str, order: str, value: Column, name: str, stretch: int = STRETCH) -> DataFrame:
+    """Adds the sum of ``value`` over the rows of ``key`` up to and with each, in the order of a whole number.
 
-    A window over the pages of an endpoint, which are hundreds of times fewer than its rows.
+    Numbers are cut into stretches: one window runs within a stretch and one
+    over the sums of stretches, so no key comes whole into one task.
     """
-    so_far = Window.partitionBy("endpoint").orderBy("offset").rowsBetween(Window.unboundedPreceding, 0)
-    n = F.coalesce(F.size("data"), F.lit(0))
-    rows = pages.withColumn("n_rows", n.cast("bigint")).withColumn("rows_so_far", F.sum(n).over(so_far).cast("bigint"))
+    parts = df.withColumn("_part", F.floor(F.col(order) / stretch)).withColumn("_value", value.cast("bigint"))
+    before = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = parts.groupBy(key, "_part").agg(F.sum("_value").alias("_sum"))
+    sums = sums.select(key, "_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
+    within = Window.partitionBy(key, "_part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return parts.join(sums, [key, "_part"]).withColumn(name, F.col("_before") + F.sum("_value").over(within)).drop("_part", "_value", "_before")
+
+
+def page_running_total(pages: DataFrame) -> DataFrame:
+    """Adds ``rows_so_far`` and whether the extract ends with this page: it is empty, or the total (0 if missing) is reached."""
+    rows = pages.withColumn("n_rows", F.coalesce(F.size("data"), F.lit(0)).cast("bigint"))
+    rows = running_sum(rows, "endpoint", "offset", F.col("n_rows"), "rows_so_far")
     return rows.withColumn("stops", (F.col("n_rows") == 0) | (F.col("rows_so_far") >= F.coalesce("paging.total", F.lit(0))))
 
 
 def pages_read(pages: DataFrame) -> DataFrame:
     """The pages up to the one that ends the extract."""
-    before = Window.partitionBy("endpoint").orderBy("offset").rowsBetween(Window.unboundedPreceding, -1)
-    stopped = F.coalesce(F.max("stops").over(before), F.lit(False))
-    return page_running_total(pages).withColumn("stopped", stopped).filter(~F.col("stopped")).drop("stopped")
+    rows = page_running_total(pages)
+    ends = rows.filter("stops").groupBy("endpoint").agg(F.min("offset").alias("last"))
+    return rows.join(ends, "endpoint", "left").filter(F.col("last").isNull() | (F.col("offset") <= F.col("last"))).drop("last")
 
 
 def read_pages(pages: DataFrame) -> DataFrame:
@@ -42,17 +57,35 @@ def sample_page(df: DataFrame, order_by: list[str], limit: int, offset: int = 0)
     return df.orderBy(*order_by).offset(offset).limit(limit)
 
 
-def audit_sources(sources: dict[str, DataFrame], totals: dict[str, int | None] | None = None) -> DataFrame:
-    """For each source: rows, columns, declared total, and the problem if the two differ or the total is missing."""
+AUDIT = "source string, n_rows bigint, n_columns bigint, declared bigint, problem string"
+
+
+def audit_sources(spark: SparkSession, sources: dict[str, Callable[[], DataFrame]], totals: dict[str, int | None] | None = None) -> DataFrame:
+    """For each source: rows, columns, declared total, and what is wrong: the rows differ from the total, it is missing, or the source can't be read.
+
+    Sources come as functions that open them and are read one by one, each
+    wholly, so a broken one costs only its own row. One row for each of a few
+    names comes to the driver.
+    """
     totals = totals or {}
 
-    def one(name: str, df: DataFrame) -> DataFrame:
-        total = F.lit(totals.get(name)).cast("bigint")
-        out = df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("source"), "n_rows", F.lit(len(df.columns)).cast("bigint").alias("n_columns"), total.alias("declared"))
-        problem = F.when(F.col("declared").isNull(), "no total").when(F.col("declared") != F.col("n_rows"), "rows differ from total")
-        return out.withColumn("problem", problem)
+    def one(name: str, open_: Callable[[], DataFrame]) -> tuple:
+        total = totals.get(name)
+        try:
+            df = open_()
+            # A hash of each row, so that every column is read and parsed.
+            n = df.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64(F.to_json(F.struct("*")))).alias("all")).first()["n"]
+        except Exception as e:
+            return name, None, None, total, f"unreadable: {told(e)}"
+        return name, n, len(df.columns), total, "no total" if total is None else "rows differ from total" if n != total else None
+
+    return spark.createDataFrame([one(*x) for x in sources.items()], AUDIT)
+
 
-    return reduce(DataFrame.unionByName, (one(*x) for x in sources.items()))
+def told(e: Exception) -> str:
+    """Spark's name of an error, else the first line of its text."""
+    named = e.getCondition() if isinstance(e, PySparkException) else None
+    return named or next(iter(str(e).splitlines()), type(e).__name__)
 
 
 def field_counts(rows: DataFrame, json: str = "json") -> DataFrame:

@@ -2,34 +2,37 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storeops.functions.clock import ZONE, local_time
 from storeops.functions.text import product_matches
 from storeops.sources.documents import HISTORY, read_history, upsert_history
-from storeops.sources.folders import exists
+from storeops.sources.folders import exists, remove
 
 #: Local time repeats an hour in autumn, and items come late.
 LATENESS = "2 hours"
 
 
 def daily_tally(items: DataFrame, word: str, cutoff: int | None = None, tz: str = ZONE) -> DataFrame:
-    """Counts by local day and store of a stream (store_id, ts, productname); the session's zone must be UTC."""
-    # Watermarks need a timestamp; under UTC its wall time is the local one.
-    rows = items.withColumn("local_ts", local_time(F.col("ts"), tz).cast("timestamp"))
-    if cutoff is not None:
-        rows = rows.filter(F.hour("local_ts") < cutoff)
+    """Counts by local day and store of a stream (store_id, ts, productname), whatever the session's zone."""
+    local = local_time(F.col("ts"), tz)
+    rows = items if cutoff is None else items.filter(F.hour(local) < cutoff)
+    # Watermarks need a timestamp: the instant at which UTC clocks show the local time.
+    rows = rows.withColumn("local_ts", F.timestamp_micros(F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), local)))
     rows = rows.withWatermark("local_ts", LATENESS)
     counts = rows.groupBy(F.window("local_ts", "1 day").alias("day"), "store_id").agg(F.count_if(product_matches(F.col("productname"), word)).alias("n"))
-    return counts.select(F.to_date("day.start").alias("date"), "store_id", "n")
+    day = F.date_from_unix_date(F.floor(F.unix_seconds("day.start") / 86_400).cast("int"))
+    return counts.select(day.alias("date"), "store_id", "n")
 
 
 def merge_into_history(spark: SparkSession, path: str):
     """A sink for update mode: a batch's rows replace those of their (date, store); whole days are written again, so a replay changes nothing."""
 
     def merge(batch: DataFrame, _: int) -> None:
-        staged = f"{path}.batch"
+        staged = f"{path}.batch-{uuid.uuid4().hex}"
         new = batch.select("date", "store_id", "n")
         if exists(spark, path):
             new = new.persist()
@@ -41,17 +44,12 @@ def merge_into_history(spark: SparkSession, path: str):
         merged.write.mode("overwrite").parquet(staged)
         upsert_history(spark.read.schema(HISTORY).parquet(staged), path)
         new.unpersist()
+        remove(spark, staged)
 
     return merge
 
 
 def run_daily_tally(items: DataFrame, word: str, path: str, checkpoint: str, cutoff: int | None = None, tz: str = ZONE) -> None:
     """Works off what the stream has and upserts the history at ``path``."""
-    spark = items.sparkSession
-    zone = spark.conf.get("spark.sql.session.timeZone")
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    try:
-        query = daily_tally(items, word, cutoff, tz).writeStream.outputMode("update").foreachBatch(merge_into_history(spark, path))
-        query.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    finally:
-        spark.conf.set("spark.sql.session.timeZone", zone)
+    query = daily_tally(items, word, cutoff, tz).writeStream.outputMode("update").foreachBatch(merge_into_history(items.sparkSession, path))
+    query.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

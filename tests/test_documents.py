@@ -4,9 +4,9 @@ from datetime import date, datetime
 
 import pytest
 
-from storeops.operators import invoices, recipes, renames, sales
+from storeops.operators import invoices, recipes, sales
 from storeops.sources import documents, pages
-from storeops.sources.folders import work_folder
+from storeops.sources.folders import current, publish, work_folder
 from storeops.streaming.tally import run_daily_tally
 
 PAGE = "endpoint string, offset bigint, data array<struct<id:bigint>>, paging struct<total:bigint>"
@@ -19,19 +19,23 @@ def test_page_stop_rules(spark):
     assert sorted(map(tuple, found)) == [("full", 1), ("full", 2), ("full", 3), ("gap", 1), ("none", 1), ("twice", 1), ("twice", 1)]
 
 
+DISHES = {"Gulerodssuppe": "Carrot soup"}
+INGREDIENTS = {"Gulerod": "Carrot", "Piskefløde": "Cream", "Fløde": "Cream"}
+
+
 def docs(spark):
-    one = {"a": ("Fladbrød", 1.0, 2.0, [("Løg", 1.0), ("Citronsaft", 2.0), ("Citronjuice", 3.0)]), "b": ("Other", 1.0, 2.0, None)}
+    one = {"a": ("Gulerodssuppe", 1.0, 2.0, [("Gulerod", 1.0), ("Piskefløde", 2.0), ("Fløde", 3.0)]), "b": ("Other", 1.0, 2.0, None)}
     return spark.createDataFrame([(one,)], f"doc {recipes.DOCUMENT}")
 
 
 def test_migration_keeps_all_else_and_is_idempotent(spark):
-    once = recipes.migrate_recipes(docs(spark), renames.DISHES, renames.INGREDIENTS)
+    once = recipes.migrate_recipes(docs(spark), DISHES, INGREDIENTS)
     doc = once.first()["doc"]
-    assert doc["a"]["name"] == "Flatbread" and [i["name"] for i in doc["a"]["ingredients"]] == ["Onion", "Lemon juice", "Lemon juice"]
+    assert doc["a"]["name"] == "Carrot soup" and [i["name"] for i in doc["a"]["ingredients"]] == ["Carrot", "Cream", "Cream"]
     assert [i["grams"] for i in doc["a"]["ingredients"]] == [1, 2, 3] and doc["b"]["ingredients"] is None and doc["b"]["name"] == "Other"
-    assert recipes.migrate_recipes(once, renames.DISHES, renames.INGREDIENTS).first() == once.first()
-    assert recipes.recipes_changed(docs(spark), renames.DISHES, renames.INGREDIENTS).first()["changed"]
-    assert not recipes.recipes_changed(once, renames.DISHES, renames.INGREDIENTS).first()["changed"]
+    assert recipes.migrate_recipes(once, DISHES, INGREDIENTS).first() == once.first()
+    assert recipes.recipes_changed(docs(spark), DISHES, INGREDIENTS).first()["changed"]
+    assert not recipes.recipes_changed(once, DISHES, INGREDIENTS).first()["changed"]
 
 
 def test_recipes_at_rest(spark, tmp_path):
@@ -44,6 +48,56 @@ def test_recipes_at_rest(spark, tmp_path):
         documents.read_recipes(spark, str(tmp_path / "bad.json"), docs(spark), whole=True).collect()
 
 
+def test_migration_writes_only_if_something_changed(spark):
+    path = work_folder(spark, "m")
+    assert not documents.migrate_stored(spark, path, DISHES, INGREDIENTS)
+    documents.write_recipes(docs(spark), path)
+    first = current(spark, path)
+    assert documents.migrate_stored(spark, path, DISHES, INGREDIENTS)
+    second = current(spark, path)
+    assert not documents.migrate_stored(spark, path, DISHES, INGREDIENTS)
+    assert first != second == current(spark, path)
+    assert documents.read_recipes(spark, path, docs(spark)).first()["doc"]["a"]["name"] == "Carrot soup"
+
+
+def test_failed_writes_leave_what_was_published(spark):
+    path = work_folder(spark, "p")
+    rows = lambda: sorted(r["id"] for r in spark.read.parquet(current(spark, path)).collect())
+    publish(spark, path, spark.range(3).write.parquet)
+    reader = spark.read.parquet(current(spark, path))
+
+    def broken(to):
+        spark.range(9).write.parquet(to)
+        raise RuntimeError("lost")
+
+    with pytest.raises(RuntimeError):
+        publish(spark, path, broken)
+    assert rows() == [0, 1, 2]
+    publish(spark, path, spark.range(5).write.parquet)
+    assert rows() == [0, 1, 2, 3, 4] and reader.count() == 3
+    publish(spark, path, spark.range(1).write.parquet)
+    assert rows() == [0]
+
+
+def test_running_sums_cross_stretches(spark):
+    rows = [(k % 3, k, k % 7) for k in range(200)]
+    df = spark.createDataFrame(rows, "key int, at bigint, n int")
+    found = {(r["key"], r["at"]): r["sum"] for r in pages.running_sum(df, "key", "at", df["n"], "sum", stretch=10).collect()}
+    assert found == {(k, at): sum(n for x, a, n in rows if x == k and a <= at) for k, at, _ in rows}
+
+
+def test_audit_tells_what_is_wrong(spark, tmp_path):
+    (tmp_path / "bad.parquet").write_bytes(b"PAR1 nonsense")
+
+    def fails():
+        raise ValueError("no such store\nat all")
+
+    sources = {"good": lambda: spark.range(3), "short": lambda: spark.range(2), "open": lambda: spark.range(1), "bad": lambda: spark.read.schema("id bigint").parquet(str(tmp_path)), "gone": lambda: spark.read.parquet(f"{tmp_path}/none"), "odd": fails}
+    found = {r["source"]: (r["n_rows"], r["problem"]) for r in pages.audit_sources(spark, sources, {"good": 3, "short": 3}).collect()}
+    assert found["bad"][0] is None and found.pop("bad")[1].startswith("unreadable: ")
+    assert found == {"good": (3, None), "short": (2, "rows differ from total"), "open": (1, "no total"), "gone": (None, "unreadable: PATH_NOT_FOUND"), "odd": (None, "unreadable: no such store")}
+
+
 def test_log_takes_arrays_only(spark):
     path = work_folder(spark, "l")
     assert documents.read_log(spark, path, "id bigint").count() == 0
@@ -67,6 +121,16 @@ def test_upsert_replaces_whole_days_and_is_idempotent(spark):
     assert sorted(map(tuple, documents.upserted(old, new).select("date", "store_id", "n").collect())) == sorted(map(tuple, documents.read_history(spark, path).select("date", "store_id", "n").collect()))
 
 
+def test_nested_history(spark, tmp_path):
+    (tmp_path / "h.json").write_text('{"date": "2024-01-02", "stores": {"s0": 3, "s1": 0}, "total": 3}\n{"date": "2024-01-03", "stores": {}, "total": 0}\n')
+    assert sorted(map(tuple, documents.read_nested_history(spark, str(tmp_path)).collect())) == [(date(2024, 1, 2), "s0", 3), (date(2024, 1, 2), "s1", 0)]
+    (tmp_path / "i.json").write_text("{nonsense\n")
+    with pytest.raises(Exception, match="(?i)malformed|bad"):
+        documents.read_nested_history(spark, str(tmp_path)).collect()
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        documents.read_nested_history(spark, work_folder(spark, "none")).collect()
+
+
 def test_missing_history_raises(spark):
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         documents.read_history(spark, work_folder(spark, "none")).collect()

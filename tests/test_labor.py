@@ -4,10 +4,12 @@ from datetime import datetime
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from storeops.functions import clock, numbers, text
 from storeops.operators import labor
+from storeops.sources.folders import work_folder
 
 T0 = datetime(2024, 3, 1, 8)
 
@@ -78,16 +80,38 @@ def test_allocated_cost_sums_to_the_employees_cost(spark, depts):
     assert all(abs(r["s"] - 1) < 1e-9 for r in shares.groupBy("employee_id").agg(F.sum("share").alias("s")).collect())
 
 
-def test_window_and_aggregate_forms_agree(spark):
+def test_employee_totals_equal_a_window(spark):
     df = shifts(spark, [(e, 100, 0, 60 * e) for e in (1, 1, 2, 3, 3, 3)])
-    rows = lambda x: sorted(map(tuple, x.select("id", "emp_ms", "emp_shifts").collect()))
-    assert rows(labor.with_employee_totals(df)) == rows(labor.with_employee_totals_window(df))
+    w = Window.partitionBy("employee_id")
+    want = labor.shift_hours(df, "zero").select("id", F.sum("ms").over(w).alias("emp_ms"), F.count(F.lit(1)).over(w).alias("emp_shifts"))
+    found = labor.with_employee_totals(df).select("id", "emp_ms", "emp_shifts")
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
 
 
-def test_missing_payroll_source_falls_back_but_empty_does_not(spark, depts):
+def test_lists_of_shifts_are_bounded(spark):
+    df = shifts(spark, [(1, 100 + k, 0, k) for k in range(25)] + [(2, 100, 0, None), (None, 100, 0, 1)])
+    found = labor.shifts_per_employee(df, longest=10).collect()
+    assert sorted((r["employee_id"], r["part"], len(r["shifts"])) for r in found) == [(1, 0, 9), (1, 1, 8), (1, 2, 8), (2, 0, 1)]
+    assert sorted((s["id"], s["department_id"], s["ms"]) for r in found if r["employee_id"] == 1 for s in r["shifts"]) == [(k, 100 + k, 1000 * k) for k in range(25)]
+    assert all([s["id"] for s in r["shifts"]] == sorted(s["id"] for s in r["shifts"]) for r in found)
+
+
+def test_unreadable_payroll_falls_back_but_empty_does_not(spark, depts, tmp_path):
     df = shifts(spark, [(1, 100, 0, 10), (1, 100, 0, 10)])
-    assert stores(labor.labor_by_store(df, None, depts)) == {"s0": 0}
-    assert stores(labor.labor_by_store(df, payroll(spark, []), depts)) == {"s0": 1}
+    by_store = lambda source: stores(labor.labor_by_store(df, source, depts, work_folder(spark, "t")))
+    (tmp_path / "bad.parquet").write_bytes(b"PAR1 nonsense")
+    missing = lambda: spark.read.parquet(f"{tmp_path}/none")
+    broken = lambda: spark.read.schema("employee_id bigint, cost decimal(18,2)").parquet(str(tmp_path))
+    for source in (missing, broken):
+        with pytest.warns(UserWarning, match="falls back"):
+            assert by_store(source) == {"s0": 0}
+    assert by_store(lambda: payroll(spark, [])) == {"s0": 1}
+
+
+def test_unparsable_instants_are_told_apart_from_missing_ones(spark):
+    rows = [(1, "2024-01-01T00:00:00", None), (2, "soon", "2024-01-01T00:00:00Z"), (3, None, "2024-02-30T00:00:00"), (4, None, None)]
+    df = spark.createDataFrame(rows, "id bigint, start string, end string")
+    assert sorted(r["id"] for r in labor.instant_rejects(df, "start", "end").collect()) == [2, 3]
 
 
 def test_payroll_fields(spark):
