@@ -2,14 +2,15 @@
 
 Training counts n-grams of a bounded sample in the tasks and adds them up by
 (language, bucket). The log-probability matrix (buckets x languages) goes to
-the executors as a broadcast of known size, and whole batches of texts are
-scored in numpy.
+the executors as a broadcast of bounded size, and whole batches of texts are
+scored in numpy, a few languages at a time. A long text comes in pieces.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -23,10 +24,13 @@ BUCKETS = 1 << 15
 SIZES = (1, 2, 3)
 #: Labelled documents that training takes of each language, about; picked by the hash of their ids.
 SAMPLE = 2_000
-#: Languages that a model may have; more are an error. It bounds the matrix to BUCKETS * MOST_LANGUAGES floats.
-MOST_LANGUAGES = 400
+#: Bytes of the matrix, at most: with more languages than fit, each has fewer buckets.
+MATRIX_BYTES = 256_000_000
 SMOOTHING = 0.5
-CHUNK = 1 << 20
+#: Log-probabilities that are looked up at once.
+LOOKED_UP = 4_000_000
+#: Bytes that continue a character.
+CONTINUED = (np.arange(256) & 0xC0) == 0x80
 
 
 @lru_cache(maxsize=1)
@@ -67,19 +71,37 @@ def ngrams(offsets: np.ndarray, chars: np.ndarray, buckets: int) -> Iterator[tup
             yield (h[fits] * np.uint32(0x85EBCA77) >> np.uint32(16)) % np.uint32(buckets), np.concatenate([[0], np.cumsum(np.bincount(row[fits], minlength=n))])
 
 
+def grams(column: pa.Array, buckets: int, most: int = A.CHUNK) -> Iterator[tuple[int, int, np.ndarray, int, list[tuple[np.ndarray, np.ndarray]]]]:
+    """(first row, row after the last, letters of each row, sign, n-grams of each size) of runs of rows.
+
+    A long text comes in pieces, each with the last characters of the one
+    before it; what they would count twice comes once more with sign -1.
+    """
+    folded, letter = characters()
+    for at, to, pieces in A.text_runs(column, CONTINUED, most):
+        tail = np.zeros(0, np.uint32)
+        for offsets, data in pieces:
+            offs, chars = points(offsets, data)
+            seen = np.concatenate([[0], np.cumsum(letter[chars])])
+            text = folded[chars]
+            if len(tail):
+                text, offs = np.concatenate([tail, text]), np.array([0, len(tail) + len(text)])
+                yield at, to, np.zeros(1, np.int64), -1, list(ngrams(np.array([0, len(tail)]), tail, buckets))
+            yield at, to, np.diff(seen[offs - len(tail) * (np.arange(len(offs)) > 0)]), 1, list(ngrams(offs, text, buckets))
+            tail = text[max(0, len(text) - max(SIZES) + 1) :] if to - at == 1 else tail
+
+
 def _count(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
-        folded, _ = characters()
         for batch in batches:
             langs = np.array(batch.column(0).to_pylist(), dtype=object)
-            for at, to, offsets, raw in A.chunks(batch.column(1), CHUNK):
-                offs, chars = points(offsets, raw)
-                for bucket, bounds in ngrams(offs, folded[chars], buckets):
+            for at, to, _, sign, found in grams(batch.column(1), buckets):
+                for bucket, bounds in found:
                     for lang in set(langs[at:to]):
                         total = totals.setdefault(lang, np.zeros(buckets, np.int64))
                         mine = np.repeat(langs[at:to] == lang, np.diff(bounds))
-                        total += np.bincount(bucket[mine], minlength=buckets)
+                        total += sign * np.bincount(bucket[mine], minlength=buckets)
         for lang, total in totals.items():
             at = np.flatnonzero(total)
             yield pa.record_batch([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(total[at])], names=["lang", "bucket", "n"])
@@ -87,25 +109,24 @@ def _count(buckets: int):
     return run
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, buckets: int = BUCKETS) -> tuple[list[str], np.ndarray]:
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, buckets: int = BUCKETS, matrix_bytes: int = MATRIX_BYTES) -> tuple[list[str], np.ndarray]:
     """(languages, log-probabilities of shape (buckets, languages)).
 
     Rows without language or text are left out. Of a language with more than
     ``sample`` documents, those with the smallest hashes of their ids are
-    taken, by a share that makes about ``sample``. Without any labelled text
-    there are no languages; more than MOST_LANGUAGES raise ValueError.
+    taken, by a share that makes about ``sample``. Every language with a
+    labelled text is learned; ``buckets`` is halved until the matrix has
+    ``matrix_bytes`` or less. Without any labelled text there are no languages.
     """
     importable(docs.sparkSession)
     known = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("lang is not null and text is not null")
-    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES + 1).collect()
-    if len(sizes) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    if not sizes:
+    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).toPandas()  # a row for each language
+    if not len(sizes):
         return [], np.zeros((buckets, 0), np.float32)
-    share = F.lit(0.0)
-    for r in sizes:
-        share = F.when(F.col("lang") == r["lang"], sample / r["n"]).otherwise(share)
-    picked = known.filter(F.pmod(F.xxhash64("id", F.lit(9)), F.lit(1 << 20)) < share * (1 << 20))
+    while buckets > 1 and buckets * len(sizes) * 4 > matrix_bytes:
+        buckets //= 2
+    shares = docs.sparkSession.createDataFrame(list(zip(sizes["lang"], (sample / sizes["n"]).tolist(), strict=True)), "lang string, share double")
+    picked = known.join(F.broadcast(shares), "lang").filter(F.pmod(F.xxhash64("id", F.lit(9)), F.lit(1 << 20)) < F.col("share") * (1 << 20))
     counts = picked.select("lang", "text").mapInArrow(_count(buckets), "lang string, bucket int, n bigint")
     counts = counts.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(set(counts["lang"]))
@@ -117,19 +138,18 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 def _score(model, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, matrix = model.value
-        folded, letter = characters()
         for batch in batches:
-            for at, to, offsets, raw in A.chunks(batch.column(1), CHUNK):
-                offs, chars = points(offsets, raw)
+            for (at, to), parts in groupby(grams(batch.column(1), buckets), lambda p: p[:2]):
                 n = to - at
-                sums = np.zeros((n, len(langs)))
-                if langs:
-                    for bucket, bounds in ngrams(offs, folded[chars], buckets):
+                sums, letters = np.zeros((n, len(langs))), np.zeros(n, np.int64)
+                for _, _, some, sign, found in parts:
+                    letters += some
+                    for bucket, bounds in found:
                         full = np.flatnonzero(np.diff(bounds))
-                        if len(full):
-                            sums[full] += np.add.reduceat(matrix[bucket], bounds[:-1][full], axis=0, dtype=np.float64)
-                seen = np.concatenate([[0], np.cumsum(letter[chars])])
-                known = (np.diff(seen[offs]) > 0) & bool(langs)
+                        step = max(1, LOOKED_UP // max(1, len(bucket)))
+                        for lo in range(0, len(langs), step) if len(full) else ():
+                            sums[full, lo : lo + step] += sign * np.add.reduceat(matrix[bucket, lo : lo + step], bounds[:-1][full], axis=0, dtype=np.float64)
+                known = (letters > 0) & bool(langs)
                 if langs:
                     best = sums.argmax(axis=1)
                     score = 1 / np.exp(sums - sums.max(axis=1, keepdims=True)).sum(axis=1)
@@ -147,7 +167,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
     ``und`` with score 0 where the text is null or has no letter, and where
     the model knows no language. Ties go to the first language by name.
     Repeated rows stay repeated, an empty table gives an empty result, and
-    other columns are not looked at.
+    other columns are not looked at. A very long text is scored in pieces.
     """
     spark = docs.sparkSession
     importable(spark)
