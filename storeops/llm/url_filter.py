@@ -3,8 +3,9 @@
 A rule is a regular expression over ``host/path`` with the literal tokens
 that any match must hold. It is filed under the one of them that is rarest in
 the table's own URLs; a URL's tokens fetch the candidate rules, and only
-those are run. Everything is one projection: no shuffle, and nothing that a
-hot host could overload.
+those are run. A short list of rules is part of the plan and everything is
+one projection. A long list is a table that the tokens of the different URLs
+are joined with, so it may have any length.
 """
 
 from __future__ import annotations
@@ -18,8 +19,8 @@ from pyspark.sql import functions as F
 
 from storeops.llm.shared import ascii_lower, table
 
-#: Rules and index keys that one plan may hold; the index is a literal of the plan.
-MAX_RULES = 2_000
+#: Rules that the plan itself may hold, as literals; more are joined, and broadcast up to so many bytes.
+INLINE, MOST_BYTES = 500, 64_000_000
 TOKEN = "[^a-z0-9]+"
 
 
@@ -68,9 +69,18 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return ascii_lower(F.regexp_extract(url, rest, 1)), F.regexp_extract(url, rest, 2)
 
 
+def read_rules(table_: DataFrame) -> tuple[Rule, ...]:
+    """Rules from a table (rule, verdict): ``host/path`` for sites, ``word:words`` for words in hosts; other columns are not looked at."""
+    return tuple(word_rule(r["rule"][5:], r["verdict"]) if r["rule"].startswith("word:") else site_rule(r["rule"], r["verdict"]) for r in table_.select("rule", "verdict").distinct().toLocalIterator())
+
+
 def token_counts(parts: DataFrame, tokens: list[str]) -> dict[str, int]:
     """How many URLs hold each of ``tokens``; as many rows reach the driver as the rules have tokens."""
-    held = parts.select(F.explode(F.array_intersect(F.col("tokens"), F.array(*map(F.lit, tokens)))).alias("token"))
+    if len(tokens) > INLINE:
+        names = parts.sparkSession.createDataFrame([(t,) for t in tokens], "token string")
+        held = parts.select(F.explode("tokens").alias("token")).join(names, "token")
+    else:
+        held = parts.select(F.explode(F.array_intersect(F.col("tokens"), F.array(*map(F.lit, tokens)))).alias("token"))
     return {r["token"]: r["n"] for r in held.groupBy("token").agg(F.count(F.lit(1)).alias("n")).collect()}
 
 
@@ -81,10 +91,9 @@ def filter_urls(pages: DataFrame, rules: tuple[Rule, ...] = SITE_RULES + WORD_RU
     deciding rule of any tier. The longest fitting name of the lowest tier
     wins, then the first by name. Null and malformed URLs have empty host and
     path, fit no rule and get ``default``. Repeated rows stay repeated; other
-    columns are not looked at; an empty table gives an empty result.
+    columns are not looked at; an empty table gives an empty result. URLs of
+    any length are judged whole.
     """
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"{len(rules)} rules; the bound is {MAX_RULES}: apply them in several calls")
     host, path = host_and_path(F.col(url_col))
     parts = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"))
     parts = parts.withColumn("tokens", F.array_distinct(F.split(F.lower(F.concat("host", F.lit(" "), "path")), TOKEN)))
@@ -95,6 +104,8 @@ def filter_urls(pages: DataFrame, rules: tuple[Rule, ...] = SITE_RULES + WORD_RU
     order = sorted(rules, key=lambda r: (r.tier, -len(r.name), r.name))
     for k, rule in enumerate(order):
         filed[min(rule.tokens, key=lambda t: (counts.get(t, 0), t))].append(k)
+    if len(rules) > INLINE:
+        return joined(parts, order, filed, default).withColumnRenamed("id", id_col)
     # Token to the places of its rules in the order of precedence; a token that no URL has costs nothing.
     index = F.create_map(*(x for t, ks in sorted(filed.items()) for x in (F.lit(t), F.array(*map(F.lit, ks)))))
     regexes = F.array(*(F.lit(r.regex) for r in order))
@@ -118,6 +129,27 @@ def filter_urls(pages: DataFrame, rules: tuple[Rule, ...] = SITE_RULES + WORD_RU
     )
 
 
+def joined(parts: DataFrame, order: list[Rule], filed: dict[str, list[int]], default: str) -> DataFrame:
+    """The judgement by a table of rules: different URLs are joined with it by token, and pages with the judged URLs."""
+    rows = [(t, k, order[k].regex, order[k].name, order[k].verdict, order[k].tier) for t, ks in filed.items() for k in ks]
+    index = parts.sparkSession.createDataFrame(rows, "token string, k int, regex string, name string, by string, tier int")
+    if sum(len(t) + 2 * len(x) + 100 for t, _, x, *_ in rows) <= MOST_BYTES:
+        index = F.broadcast(index)
+    urls = parts.select("host", "path", "tokens").distinct()
+    hits = urls.select("host", "path", F.explode("tokens").alias("token")).join(index, "token").filter(F.regexp_like(F.concat("host", "path"), F.col("regex")))
+    best = hits.groupBy("host", "path").agg(F.min(F.struct("k", "name", "by", "tier")).alias("best"))
+    # Not by hint: a URL of very many pages is split where both sides are exchanged.
+    found = parts.select("id", "host", "path").join(best, ["host", "path"], "left")
+    return found.select(
+        "id",
+        "host",
+        "path",
+        F.when(F.col("best.tier") == 0, F.col("best.name")).alias("rule"),
+        F.coalesce("best.by", F.lit(default)).alias("verdict"),
+        F.col("best.name").alias("by_rule"),
+    )
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages")).drop("by_rule")
 

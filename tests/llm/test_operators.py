@@ -536,10 +536,12 @@ def test_lone_bytes_decode():
 # 8
 
 
-def test_url_rules_equal_brute_force(spark):
+@pytest.mark.parametrize("inline", [500, 0])
+def test_url_rules_equal_brute_force(spark, monkeypatch, inline):
+    monkeypatch.setattr(url_filter, "INLINE", inline)
     hosts = ["net", "a.net", "example.net", "x.example.net", "notexample.net", "example.com", "www.EXAMPLE.com", "org", "b.org", "xorg", "cheap-pills.example.com", "a.casino.io", "casinos.io", ""]
     paths = ["", "/", "/en/", "/en", "/de/x", "/fr/1?q#z", "?x=/en/", "#/", "/EN/"]
-    urls = [f"http://{h}{p}" for h in hosts for p in paths] + [None, "", "net/", "no scheme", "a://b://c/", "x\n://net/\ny"]
+    urls = [f"http://{h}{p}" for h in hosts for p in paths] + [None, "", "net/", "no scheme", "a://b://c/", "x\n://net/\ny", "http://net/" + "p/" * 100_000, "http://net/en/", "http://net/en/"]
     pages = spark.createDataFrame([(k, u, "x", "y") for k, u in enumerate(urls)], "page_id bigint, url string, host string, tokens string")
     rules = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
 
@@ -556,10 +558,28 @@ def test_url_rules_equal_brute_force(spark):
 
     found = url_filter.filter_urls(pages).collect()
     assert {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in found} == {k: judge(u) for k, u in enumerate(urls)}
+    assert len(found) == len(urls)
+    told = spark.createDataFrame([(r.name, r.verdict, "x") for r in url_filter.SITE_RULES + url_filter.WORD_RULES], "rule string, verdict string, name string")
+    again = url_filter.filter_urls(pages, url_filter.read_rules(told)).collect()
+    assert sorted(map(tuple, again), key=str) == sorted(map(tuple, found), key=str)
     assert url_filter.filter_urls(pages, ()).filter("verdict <> 'allow'").count() == 0
     assert url_filter.filter_urls(pages.limit(0)).count() == 0
 
 
+def test_long_lists_of_url_rules(spark):
+    """The longest of many fitting rules wins, as in a short list."""
+    hosts = [f"h{k % 50}.d{k % 7}.example" for k in range(300)]
+    rules = [url_filter.site_rule(f"{h}/{'a/' * (k % 4)}", ["block", "allow"][k % 2]) for k, h in enumerate(hosts)] + [url_filter.site_rule(f"none{k}.example/", "block") for k in range(2_500)]
+    rules = list({r.name: r for r in rules}.values())
+    urls = [f"http://{'x.' * (k % 3)}h{k % 60}.d{k % 7}.example/{'a/' * (k % 5)}" for k in range(400)]
+    found = url_filter.filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string"), tuple(rules)).collect()
+    assert len(rules) > 2_500 and len(found) == 400
+    for r in found:
+        fits = [x for x in rules if (h := x.name.partition("/")[0]) and (r["host"] == h or r["host"].endswith(f".{h}")) and r["path"].startswith("/" + x.name.partition("/")[2])]
+        best = max(fits, key=lambda x: len(x.name), default=None)
+        assert (r["rule"], r["verdict"]) == ((best.name, best.verdict) if best else (None, "allow"))
+
+
 # 9
 
 
