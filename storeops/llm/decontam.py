@@ -1,18 +1,19 @@
 """Operator 4: benchmark decontamination by a generalised suffix automaton.
 
-The automaton holds the words of all test items, an item after the other, and
-is built once for each shard of the benchmark; a shard has a bounded number of
-words. Texts are tokenised in whole batches; word pairs that no item has cut
-them into runs, and only runs that are long enough to hold a window are
-streamed through the automaton, which tracks the longest match that ends at
-each word. No text is shuffled.
+An automaton holds the words of test items, an item after the other; the
+items are dealt to shards of bounded size, each built by one task and packed
+into flat arrays. Texts are tokenised in whole batches; word pairs that no
+item has cut them into runs, and only runs that are long enough to hold a
+window are streamed through the automata, many runs abreast, tracking the
+longest match that ends at each word. No text is shuffled.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, field
+import pickle
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -20,20 +21,32 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storeops.llm import arrays as A
-from storeops.llm.shared import importable, passed, table
+from storeops.llm.shared import Scratch, importable, passed, table
 
 WINDOW = 10
-#: Bytes of item texts in one automaton; a larger benchmark is dealt to several, one after the other.
-SHARD_BYTES = 4_000_000
+#: Bytes of item texts in one automaton, about, and automata that a pass over the texts holds; a larger benchmark takes several passes.
+SHARD_BYTES, SHARDS = 1_000_000, 16
+#: Words of a run that are streamed in a row; longer runs come in pieces that share what a window needs.
+PIECE = 256
 FILTER_BITS = 20
 U = np.uint64
 
 
-def words(offsets: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, start, end, row) of the words of texts: ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after A-Z are lower-cased."""
-    data = A.LOWER[raw]
-    starts, ends, row = A.runs(A.word_table("alnum")[data], offsets)
-    return A.span_hashes(data, starts, ends), starts, ends, row
+WORD = A.word_table("alnum")
+
+
+def words(column: pa.Array, most: int = A.CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, row after the last, hash, start, end, row) of the words of runs of rows; places are in the bytes of the run.
+
+    Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after A-Z are lower-cased. A long text is tokenised piece by piece.
+    """
+    for at, to, pieces in A.text_runs(column, WORD, most):
+        found, base = [], 0
+        for offsets, data in pieces:
+            starts, ends, row = A.runs(WORD[data], offsets)
+            found.append((A.span_hashes(data, starts, ends), starts + base, ends + base, row))
+            base += len(data)
+        yield (at, to, *(found[0] if len(found) == 1 else map(np.concatenate, zip(*found, strict=True))))
 
 
 def lookup(sorted_keys: np.ndarray, maybe: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -53,28 +66,14 @@ def filter_of(keys: np.ndarray) -> np.ndarray:
     return maybe
 
 
-@dataclass
-class Automaton:
-    """Suffix automaton of several word sequences, with what a match of each length stands for.
-
-    A window is ``window`` words of an item in a row, or a shorter item as a whole.
-    """
+class Builder:
+    """Suffix automaton of several word sequences as it grows: transitions, suffix link and length of each state."""
 
-    window: int
-    vocabulary: np.ndarray = field(default_factory=lambda: np.zeros(0, U))
-    pairs: np.ndarray = field(default_factory=lambda: np.zeros(0, U))
-    after: list[dict[int, int]] = field(default_factory=lambda: [{}])
-    link: list[int] = field(default_factory=lambda: [-1])
-    length: list[int] = field(default_factory=lambda: [0])
-    #: For a state at least as long as the window, the state of its last ``window`` words.
-    gram: list[int] = field(default_factory=list)
-    items_of_gram: dict[int, set[str]] = field(default_factory=dict)
-    #: The first state on the way of links that stands for a short item, itself included; 0 is none.
-    near: list[int] = field(default_factory=list)
-    short: dict[int, list[tuple[int, set[str]]]] = field(default_factory=dict)
-    least: int = 1
+    def __init__(self) -> None:
+        self.after: list[dict[int, int]] = [{}]
+        self.link, self.length = [-1], [0]
 
-    def _extend(self, last: int, w: int) -> int:
+    def extend(self, last: int, w: int) -> int:
         after, link, length = self.after, self.link, self.length
         if w in after[last]:  # a prefix that an earlier item has brought in
             q = after[last][w]
@@ -103,128 +102,229 @@ class Automaton:
             p = self.link[p]
         return copy
 
-    def walk(self, ids: Iterable[int]) -> Iterator[tuple[int, int]]:
-        """(state, length of the longest match that ends here) for each word."""
-        after, link, length = self.after, self.link, self.length
-        s, n = 0, 0
-        for w in ids:
-            while s and w not in after[s]:
-                s = link[s]
-                n = length[s]
-            to = after[s].get(w)
-            s, n = (0, 0) if to is None else (to, n + 1)
-            yield s, n
+
+@dataclass
+class Automaton:
+    """A packed suffix automaton, with what a match of each length stands for.
+
+    A window is ``window`` words of an item in a row, or a shorter item as a whole.
+    """
+
+    window: int
+    #: Words of the shortest window.
+    least: int
+    vocabulary: np.ndarray
+    pairs: np.ndarray
+    #: Transitions by state * words + word.
+    keys: np.ndarray
+    to: np.ndarray
+    link: np.ndarray
+    length: np.ndarray
+    #: For a state at least as long as the window, the state of its last ``window`` words.
+    gram: np.ndarray
+    #: The first state on the way of links that stands for a short item, itself included; 0 is none.
+    near: np.ndarray
+    #: Names of the items in order, and (state, item) of the windows and (state, words, item) of the short items by state; an item without name is -1.
+    names: list[str]
+    gram_items: tuple[np.ndarray, np.ndarray]
+    short_items: tuple[np.ndarray, np.ndarray, np.ndarray]
 
     @classmethod
     def of(cls, items: list[tuple[str | None, str | None]], window: int = WINDOW) -> Automaton:
-        self = cls(window)
-        offsets, raw = A.texts(pa.array([t for _, t in items], pa.large_string()))
-        hashes, _, _, row = words(offsets, raw)
-        self.vocabulary = np.unique(hashes)
-        ids = np.searchsorted(self.vocabulary, hashes)
-        sequences = [x.tolist() for x in np.split(ids, np.searchsorted(row, np.arange(1, len(items))))] if items else []
-        for seq in sequences:
+        sequences: list[np.ndarray] = [np.zeros(0, U)] * len(items)
+        for at, to, h, _, _, row in words(pa.array([t for _, t in items], pa.large_string())):
+            sequences[at:to] = np.split(h, np.searchsorted(row, np.arange(1, to - at)))
+        vocabulary = np.unique(np.concatenate([np.zeros(0, U), *sequences]))
+        ids = [np.searchsorted(vocabulary, x) for x in sequences]
+        grown = Builder()
+        for seq in ids:
             last = 0
-            for w in seq:
-                last = self._extend(last, w)
-        self.pairs = np.unique(np.concatenate([np.zeros(0, U), *(self.pair_keys(np.array(s)) for s in sequences if len(s) > 1)]))
-        order = np.argsort(self.length, kind="stable").tolist()
-        self.gram, self.near = [0] * len(order), [0] * len(order)
-        for s in order[1:]:
-            if self.length[s] >= window:
-                up = self.link[s]
-                self.gram[s] = self.gram[up] if self.length[up] >= window else s
-        lengths = {min(window, len(seq)) for seq in sequences if seq}
-        self.least = min(lengths, default=window)
-        for (name, _), seq in zip(items, sequences, strict=True):
-            names = set() if name is None else {name}
-            for k, (s, _) in enumerate(self.walk(seq)):
-                if k + 1 >= window:
-                    self.items_of_gram.setdefault(self.gram[s], set()).update(names)
+            for w in seq.tolist():
+                last = grown.extend(last, w)
+        v = len(vocabulary)
+        sizes = np.array([len(x) for x in grown.after])
+        state = np.repeat(np.arange(len(sizes)), sizes)
+        word = np.fromiter((w for x in grown.after for w in x), np.int64, len(state))
+        to_ = np.fromiter((q for x in grown.after for q in x.values()), np.int64, len(state))
+        link, length = np.array(grown.link), np.array(grown.length)
+        del grown
+        by = np.argsort(state * v + word)
+        order = np.argsort(length, kind="stable")[1:].tolist()
+        gram, near = np.zeros(len(link), np.int64), np.zeros(len(link), np.int64)
+        for s in order:
+            if length[s] >= window:
+                gram[s] = gram[link[s]] if length[link[s]] >= window else s
+        names = sorted({n for n, _ in items if n is not None})
+        place = {n: k for k, n in enumerate(names)}
+        mine = np.array([-1 if n is None else place[n] for n, _ in items], np.int64)
+        self = cls(
+            window, min((min(window, len(x)) for x in ids if len(x)), default=window), vocabulary,
+            np.unique(np.concatenate([np.zeros(0, U), *(pair_keys(x, v) for x in ids)])),
+            (state * v + word)[by], to_[by].astype(np.int32), link, length, gram, near, names, (near, near), (near, near, near),
+        )
+        bounds = np.append(0, np.cumsum([len(x) for x in ids])).astype(np.int64)
+        states, matched = self.walk(np.concatenate([np.zeros(0, np.int64), *ids]), bounds[:-1], bounds[1:])
+        item = np.repeat(mine, np.diff(bounds))
+        long = matched >= window
+        pairs = np.unique(np.stack([self.gram[states[long]], item[long]]), axis=1)
+        self.gram_items = pairs[0], pairs[1]
+        short: set[tuple[int, int, int]] = set()
+        for k, seq in enumerate(ids):
             if 0 < len(seq) < window:
-                while self.length[self.link[s]] >= len(seq):
-                    s = self.link[s]
-                self.short.setdefault(s, []).append((len(seq), names))
-        for s in order[1:]:
-            self.near[s] = s if s in self.short else self.near[self.link[s]]
+                s = int(states[bounds[k + 1] - 1])
+                while length[link[s]] >= len(seq):
+                    s = int(link[s])
+                short.add((s, len(seq), int(mine[k])))
+        table_ = np.array(sorted(short), np.int64).reshape(-1, 3).T
+        self.short_items = table_[0], table_[1], table_[2]
+        held = np.zeros(len(link), bool)
+        held[table_[0]] = True
+        for s in order:
+            near[s] = s if held[s] else near[link[s]]
         return self
 
-    def pair_keys(self, ids: np.ndarray) -> np.ndarray:
-        return A.mix(ids[:-1].astype(U) * U(len(self.vocabulary) + 1) + ids[1:].astype(U) + U(1))
-
-    def hits(self, ids: list[int]) -> tuple[list[tuple[int, int]], set[str]]:
-        """Occurrences of windows in a run of words, (start, end), and the items they are of."""
-        found: list[tuple[int, int]] = []
-        items: set[str] = set()
-        window, gram, near, link = self.window, self.gram, self.near, self.link
-        for k, (s, n) in enumerate(self.walk(ids)):
-            if n >= window:
-                found.append((k + 1 - window, k + 1))
-                items |= self.items_of_gram[gram[s]]
-            t = near[s]
-            while t:
-                for size, names in self.short[t]:
-                    if size <= n:
-                        found.append((k + 1 - size, k + 1))
-                        items |= names
-                t = near[link[t]]
-        return found, items
-
-
-def _scan(automaton):
+    def walk(self, ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(state, length of the longest match that ends there) at each place of ``ids``, for runs that are walked abreast."""
+        states, matched = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
+        by = np.argsort(starts - ends, kind="stable")
+        starts, sizes = starts[by], (ends - starts)[by]
+        s, n, v = np.zeros(len(by), np.int64), np.zeros(len(by), np.int64), len(self.vocabulary)
+        for t in range(int(sizes.max(initial=0))):
+            live = int(np.searchsorted(-sizes, -t, side="left"))
+            s, n, at = s[:live], n[:live], starts[:live] + t
+            w, open_ = ids[at], np.arange(live)
+            while len(open_):
+                key = s[open_] * v + w[open_]
+                place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+                found = self.keys[place] == key
+                s[open_[found]] = self.to[place[found]]
+                n[open_[found]] += 1
+                lost = open_[~found]
+                # At the root there is no shorter match to try.
+                n[lost[s[lost] == 0]] = 0
+                open_ = lost[s[lost] > 0]
+                s[open_] = self.link[s[open_]]
+                n[open_] = self.length[s[open_]]
+            states[at], matched[at] = s, n
+        return states, matched
+
+    def hits(self, ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Occurrences of windows in runs of words, (first place, place after the last), and (place, item) of the items they are of."""
+        # A long run in pieces: each begins with the words that a window across the cut would have before it.
+        count = np.maximum(1, -(-(ends - starts) // PIECE))
+        piece = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        lo = np.repeat(starts, count) + piece * PIECE
+        hi = np.minimum(lo + PIECE, np.repeat(ends, count))
+        lo = np.where(piece > 0, lo - self.window + 1, lo)
+        flat = np.append(0, np.cumsum(hi - lo))
+        at = np.repeat(lo - flat[:-1], hi - lo) + np.arange(flat[-1])
+        states, matched = self.walk(ids[at], flat[:-1], flat[1:])
+        long = matched >= self.window
+        firsts, lasts = [at[long] - self.window + 1], [at[long] + 1]
+        places, items = [], []
+        seen = np.unique(np.stack([at[long], self.gram[states[long]]]), axis=1)
+        a, b = (np.searchsorted(self.gram_items[0], seen[1], side=x) for x in ("left", "right"))
+        places.append(np.repeat(seen[0], b - a))
+        items.append(self.gram_items[1][np.repeat(a - np.cumsum(b - a) + (b - a), b - a) + np.arange((b - a).sum())])
+        t = self.near[states]
+        open_ = np.flatnonzero(t)
+        while len(open_):
+            a, b = (np.searchsorted(self.short_items[0], t[open_], side=x) for x in ("left", "right"))
+            k = np.repeat(a - np.cumsum(b - a) + (b - a), b - a) + np.arange((b - a).sum())
+            of = np.repeat(open_, b - a)
+            fits = self.short_items[1][k] <= matched[of]
+            of, k = of[fits], k[fits]
+            firsts.append(at[of] + 1 - self.short_items[1][k])
+            lasts.append(at[of] + 1)
+            places.append(at[of])
+            items.append(self.short_items[2][k])
+            t[open_] = self.near[self.link[t[open_]]]
+            open_ = open_[t[open_] > 0]
+        return tuple(map(np.concatenate, (firsts, lasts, places, items)))
+
+
+def pair_keys(ids: np.ndarray, v: int) -> np.ndarray:
+    return A.mix(ids[:-1].astype(U) * U(v + 1) + ids[1:].astype(U) + U(1))
+
+
+def runs_of(auto: Automaton, maybe: tuple[np.ndarray, np.ndarray], hashes: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word ids, starts, ends) of the runs of words that may hold a window."""
+    ids = lookup(auto.vocabulary, maybe[0], hashes)
+    if auto.least > 1:
+        # Runs of words of which each and the next stand together in some item.
+        both = np.flatnonzero((ids[:-1] >= 0) & (ids[1:] >= 0) & (row[:-1] == row[1:])) if len(ids) else np.zeros(0, np.int64)
+        keys = A.mix(ids[both].astype(U) * U(len(auto.vocabulary) + 1) + ids[both + 1].astype(U) + U(1))
+        inside = np.zeros(len(ids), bool)
+        inside[both[lookup(auto.pairs, maybe[1], keys) >= 0]] = True
+        first, last, _ = A.runs(inside, np.array([0, len(ids)]))
+        last = last + 1
+    else:
+        first, last, _ = A.runs(ids >= 0, np.concatenate([[0], np.cumsum(np.bincount(row, minlength=n))]))
+    long = last - first >= auto.least
+    return ids, first[long], last[long]
+
+
+def point_spans(raw: np.ndarray, edges: list[int]) -> list[int]:
+    """Code points before each of some byte places of a text, which come in order."""
+    out, at, points = [], 0, 0
+    for x in edges:
+        points += int(((raw[at:x] & 0xC0) != 0x80).sum())
+        out.append(points)
+        at = x
+    return out
+
+
+def _scan(automata_):
     names = ["id", "text", "n_words", "spans", "items", "hit_words"]
+    span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("n_words", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        auto: Automaton = automaton.value
-        known, paired = filter_of(auto.vocabulary), filter_of(auto.pairs)
+        shards: list[Automaton] = automata_.value
+        maybe = [(filter_of(x.vocabulary), filter_of(x.pairs)) for x in shards]
         for batch in batches:
             column = batch.column(1)
-            for at, to, offsets, raw in A.chunks(column):
+            for at, to, hashes, starts, ends, row in words(column):
                 n = to - at
-                hashes, starts, ends, row = words(offsets, raw)
-                ids = lookup(auto.vocabulary, known, hashes)
-                if auto.least > 1:
-                    # Runs of words of which each and the next stand together in some item.
-                    both = np.flatnonzero((ids[:-1] >= 0) & (ids[1:] >= 0) & (row[:-1] == row[1:])) if len(ids) else np.zeros(0, np.int64)
-                    keys = A.mix(ids[both].astype(U) * U(len(auto.vocabulary) + 1) + ids[both + 1].astype(U) + U(1))
-                    inside = np.zeros(len(ids), bool)
-                    inside[both[lookup(auto.pairs, paired, keys) >= 0]] = True
-                    first, last, _ = A.runs(inside, np.array([0, len(ids)]))
-                    last = last + 1
-                else:
-                    first, last, _ = A.runs(ids >= 0, np.concatenate([[0], np.cumsum(np.bincount(row, minlength=n))]))
-                long = last - first >= auto.least
-                hit = np.zeros(len(ids) + 1, np.int32)
-                items: dict[int, set[str]] = {}
                 first_of = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=n))])
+                hit = np.zeros(len(hashes) + 1, np.int32)
+                items: dict[int, set[str]] = {}
                 if batch.num_columns > 2:
-                    for k, (old, of) in enumerate(zip(batch.column("hit_words").slice(at, n).to_pylist(), batch.column("items").slice(at, n).to_pylist(), strict=True)):
-                        place = first_of[k] + np.array(old, np.int64)
+                    for k, (old, of) in enumerate(zip(batch.column("hit_words").slice(at, n), batch.column("items").slice(at, n).to_pylist(), strict=True)):
+                        place = first_of[k] + old.values.to_numpy()
                         np.add.at(hit, place, 1)
                         np.add.at(hit, place + 1, -1)
-                        items[k] = set(of)
-                for a, b in zip(first[long].tolist(), last[long].tolist(), strict=True):
-                    found, of = auto.hits(ids[a:b].tolist())
-                    for x, y in found:
-                        hit[a + x] += 1
-                        hit[a + y] -= 1
-                    if found:
-                        items.setdefault(int(row[a]), set()).update(of)
+                        if of:
+                            items[k] = set(of)
+                for auto, some in zip(shards, maybe, strict=True):
+                    ids, first, last = runs_of(auto, some, hashes, row, n)
+                    if not len(first):
+                        continue
+                    x, y, place, item = auto.hits(ids, first, last)
+                    np.add.at(hit, x, 1)
+                    np.add.at(hit, y, -1)
+                    told = np.unique(np.stack([row[place], item])[:, item >= 0], axis=1)
+                    for k, i in zip(*told.tolist(), strict=True):
+                        items.setdefault(k, set()).add(auto.names[i])
                 marked = np.cumsum(hit[:-1]) > 0
                 s, e, _ = A.runs(marked, first_of)
-                spans: list[list[tuple[int, int, int]]] = [[] for _ in range(n)]
-                for a, b in zip(s.tolist(), e.tolist(), strict=True):
-                    base = offsets[row[a]]
-                    points = [int(((raw[base:x] & 0xC0) != 0x80).sum()) for x in (starts[a], ends[b - 1])]
-                    spans[row[a]].append((*points, b - a))
+                spans: list[list[dict]] = [[] for _ in range(n)]
+                if len(s):
+                    offsets, raw = A.texts(column.slice(at, n))
+                    for k in np.unique(row[s]).tolist():
+                        mine = np.flatnonzero(row[s] == k)
+                        base = offsets[k]
+                        edges = point_spans(raw[base : offsets[k + 1]], [int(v - base) for j in mine for v in (starts[s[j]], ends[e[j] - 1])])
+                        spans[k] = [{"start": a, "end": b, "n_words": int(e[j] - s[j])} for a, b, j in zip(edges[::2], edges[1::2], mine, strict=True)]
+                per_row = np.add.reduceat(np.append(marked, False), first_of[:-1]) * (np.diff(first_of) > 0) if n else np.zeros(0, np.int64)
+                where = np.flatnonzero(marked)
                 yield pa.record_batch(
                     [
                         batch.column(0).slice(at, n),
                         column.slice(at, n),
                         pa.array(np.diff(first_of)),
-                        pa.array([[{"start": x, "end": y, "n_words": k} for x, y, k in v] for v in spans], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("n_words", pa.int64())]))),
+                        pa.array(spans, span),
                         pa.array([sorted(items.get(k, ())) for k in range(n)], pa.list_(pa.string())),
-                        pa.array([np.flatnonzero(marked[first_of[k] : first_of[k + 1]]).tolist() if v else [] for k, v in enumerate(spans)], pa.list_(pa.int64())),
+                        A.long_list(where - first_of[row[where]], per_row, pa.int64()),
                     ],
                     names=names,
                 )
@@ -235,14 +335,35 @@ def _scan(automaton):
 SPANS = "array<struct<start:bigint,end:bigint,n_words:bigint>>"
 
 
-def automata(benchmark: DataFrame, window: int = WINDOW, id_col: str = "item_id", text_col: str = "text") -> Iterator[Automaton]:
-    """One for each shard; the shards' bytes are counted first, and no more than one shard is on the driver at a time."""
+def _build(window: int):
+    """The packed automata of shards, of rows (shard, id, text) sorted by shard."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, held = None, []
+        packed = lambda: pa.record_batch([pa.array([pickle.dumps(Automaton.of(held, window))], pa.large_binary())], names=["automaton"])
+        for batch in batches:
+            for k, name, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if k != shard and held:
+                    yield packed()
+                    held = []
+                shard = k
+                held.append((name, text))
+        if held:
+            yield packed()
+
+    return run
+
+
+def automata(benchmark: DataFrame, window: int = WINDOW, id_col: str = "item_id", text_col: str = "text") -> Iterator[list[Automaton]]:
+    """The automata of each pass; tasks build them, and no more than those of one pass are on the driver at a time."""
+    importable(benchmark.sparkSession)
     items = benchmark.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, math.ceil(size / SHARD_BYTES))
-    for k in range(shards):
-        rows = items.filter(F.pmod(F.xxhash64("id", "text"), F.lit(shards)) == k) if shards > 1 else items
-        yield Automaton.of([(r["id"], r["text"]) for r in rows.collect()], window)
+    dealt = items.select(F.pmod(F.xxhash64("id", "text"), F.lit(shards)).alias("shard"), "id", "text")
+    for k in range(0, shards, SHARDS):
+        some = dealt.filter(F.col("shard").between(k, k + SHARDS - 1)).repartition(min(SHARDS, shards), "shard").sortWithinPartitions("shard")
+        yield [pickle.loads(r["automaton"]) for r in some.mapInArrow(_build(window), "automaton binary").toLocalIterator()]
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
@@ -253,15 +374,18 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: st
     without words (null or blank) have no windows; an item without id makes
     hits but is in no list. Repeated rows stay repeated, repeated items count
     once by id, an empty benchmark hits nothing, an empty table gives an empty
-    result, and other columns are not looked at.
+    result, and other columns are not looked at. A very long text is tokenised
+    in pieces and streamed in pieces that share what a window needs.
     """
     spark = docs.sparkSession
     importable(spark)
     schema = passed(docs.schema[id_col].dataType, f"text string, n_words bigint, spans {SPANS}, items array<string>, hit_words array<bigint>")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    for automaton in automata(benchmark, window):
-        # With several shards, each step adds its hits to those of the steps before.
-        rows = rows.mapInArrow(_scan(spark.sparkContext.broadcast(automaton)), schema)
+    for k, some in enumerate(automata(benchmark, window)):
+        if k:
+            # Each pass adds its hits to those of the passes before, which are done then and hold no automata any more.
+            rows = Scratch(spark, "hits").write(rows, "hits")
+        rows = rows.mapInArrow(_scan(spark.sparkContext.broadcast(some)), schema)
     return rows.select(
         F.col("id").alias(id_col),
         "n_words",

@@ -311,9 +311,10 @@ def hits(rows, items, window):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize(("window", "least", "shard"), [(4, 0, 10**6), (10, 2, 10**6), (10, 5, 100), (4, 5, 50)])
-def test_contamination_equals_brute_force(spark, monkeypatch, window, least, shard):
+@pytest.mark.parametrize(("window", "least", "shard", "shards"), [(4, 0, 10**6, 16), (10, 2, 10**6, 16), (10, 5, 100, 16), (4, 5, 50, 2)])
+def test_contamination_equals_brute_force(spark, monkeypatch, window, least, shard, shards):
     monkeypatch.setattr(decontam, "SHARD_BYTES", shard)
+    monkeypatch.setattr(decontam, "SHARDS", shards)
     rnd = random.Random(5)
     vocabulary = [*"abcdef", "é", "ZZ", "q1"]
     some = lambda sizes, more=(): " ".join(rnd.choice([*vocabulary, *more]) for _ in range(rnd.choice(sizes)))
@@ -326,6 +327,25 @@ def test_contamination_equals_brute_force(spark, monkeypatch, window, least, sha
     assert decontam.scan(documents(spark, rows).limit(0), bench, window).count() == 0
 
 
+def test_long_texts_and_runs_come_in_pieces(monkeypatch):
+    """Words of a text in pieces, and runs of quoted words that are longer than a piece."""
+    monkeypatch.setattr(decontam, "PIECE", 7)
+    rnd = random.Random(51)
+    text = " ".join(rnd.choice(["Foo", "bär", "x1", "y"]) for _ in range(300)) + "  " + "é" * 90
+    whole = [x for _, _, *x in decontam.words(pa.array([text]))]
+    for most in (20, 64):
+        assert all((a == b).all() for a, b in zip(whole[0], [x for _, _, *x in decontam.words(pa.array([text]), most)][0], strict=True))
+    items = [("long", "a b a c " * 30), ("other", "b a b c a a"), ("short", "c a"), (None, "a a a")]
+    auto = decontam.Automaton.of(items, 4)
+    for _ in range(30):
+        row = " ".join(rnd.choice("abc") for _ in range(rnd.randint(2, 80)))
+        ids = np.searchsorted(auto.vocabulary, [h for _, _, h, *_ in decontam.words(pa.array([row]))][0])
+        first, last, place, item = auto.hits(ids, np.array([0]), np.array([len(ids)]))
+        hit = {k for a, b in zip(first.tolist(), last.tolist(), strict=True) for k in range(a, b)}
+        (_, _, n, of), = hits([(1, row)], items, 4)
+        assert len(hit) == n and sorted({auto.names[i] for i in item.tolist() if i >= 0}) == of
+
+
 def test_decontaminate_cuts_spans_and_drops_copies(spark):
     docs = documents(spark, [(1, "a foo é X, y z bar foo foo foo"), (2, "x y z"), (3, None), (4, "clean"), (5, "x y z w")])
     bench = spark.createDataFrame([(1, "x y z")], "item_id bigint, text string")
