@@ -21,6 +21,8 @@ broadcast is bounded too; texts are scored where they are read.
 
 from __future__ import annotations
 
+import pickle
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -144,6 +146,13 @@ class Index:
     #: Blocks that searches have opened, of how many.
     opened: list[int] = field(default_factory=lambda: [0, 0])
 
+    def __getstate__(self) -> dict:
+        # The matrix is mostly zeros, and every task's executor keeps the bytes on its disk.
+        return {"packed": zlib.compress(pickle.dumps(self.__dict__, protocol=5), 1)}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(pickle.loads(zlib.decompress(state["packed"])))
+
     @classmethod
     def of(cls, vocabulary: np.ndarray, weight: np.ndarray, unknown: float, ids: np.ndarray, toxic: np.ndarray, example: np.ndarray, place: np.ndarray, w: np.ndarray) -> Index:
         """From the weights ``w`` of the words at ``place`` in each example, by example."""

@@ -158,7 +158,9 @@ def write_warc(pages: DataFrame, folder: str, scratch: Scratch, id_col: str = "p
     records with equal payloads of ``least`` bytes or more, that with the
     smallest id is a response and the others revisit it; a row that shares
     its id is a response too. Rows without id revisit a row with one, or are
-    responses. Without rows there is no archive.
+    responses. Repeated rows have a record each, also where they share an id.
+    A payload of any length is written chunk by chunk. Without rows there is
+    no archive; other columns are not looked at.
     """
     importable(pages.sparkSession)
     payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
@@ -274,7 +276,9 @@ def read_warc(ranges: DataFrame, folder: str, chunk: int = CHUNK, data: bool = T
 
     ``payload_bytes`` and ``payload_digest`` run up to the chunk's end, so the
     row with ``last`` has those of the payload; a revisit has one row, with
-    those of the payload it revisits. A digest that doesn't match raises.
+    those of the payload it revisits. A digest that doesn't match raises. An
+    empty payload has one empty chunk, a table without ranges gives no rows,
+    and other columns of ``ranges`` than file, start and end are not looked at.
     Without ``data`` the bytes are read and digested but not returned.
     """
     importable(ranges.sparkSession)

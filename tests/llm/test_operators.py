@@ -200,6 +200,13 @@ def test_warc_round_trip(spark):
     assert warc.read_warc(warc.write_warc(pages.limit(0), empty.path("a"), empty), empty.path("a")).count() == 0
 
 
+def test_warc_of_repeated_ids_and_rows(spark):
+    pages = spark.createDataFrame([(1, "u", "ab"), (1, "u", "ab"), (1, "u", "other"), (2, "u", "ab"), (2, "u", "z" * 3_000), (2, "u", "z" * 3_000)], "page_id bigint, url string, html string").repartition(2)
+    scratch = shared.Scratch(spark, "t")
+    found = warc.read_warc(warc.write_warc(pages, scratch.path("a"), scratch, chunk=100), scratch.path("a"), chunk=64).filter("last").collect()
+    assert sorted((r["row_id"], r["record_type"], r["refers_to"], r["payload_bytes"]) for r in found) == sorted([("1", "response", None, 2)] * 2 + [("1", "response", None, 5), ("2", "revisit", "1", 2)] + [("2", "response", None, 3_000)] * 2, key=str)
+
+
 def test_warc_small_payloads_are_responses(spark):
     pages = spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abc"), (4, "u", "abc")], "page_id bigint, url string, html string")
     scratch = shared.Scratch(spark, "t")
