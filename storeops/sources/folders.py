@@ -17,7 +17,7 @@ def work_folder(spark: SparkSession, name: str) -> str:
     """A new folder below ``spark.checkpoint.dir``; only a local session may leave that unset."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if spark.sparkContext.master.partition("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = Path(tempfile.mkdtemp(prefix="spark-storeops-")).as_uri()
         spark.conf.set("spark.checkpoint.dir", root)
