@@ -35,11 +35,11 @@ from storeops.llm.shared import Scratch, table
 
 WINDOW, KMER = 100, 32
 #: Bytes of text that are worked on at once, and bytes of contexts in one index.
-CHUNK, INDEX = 1 << 18, 1 << 18
+CHUNK, INDEX = 1 << 18, 1 << 19
 #: Contexts of an anchor from which on step 4 takes over, and contexts that are streamed through one copy of an index there, about.
 HOT, STREAMED = 1_000, 256
 #: Parts that the contexts of one place to stream through are dealt to before they are counted.
-SALTS = 16
+SALTS = 64
 U = np.uint64
 PRIMES = ((2**31 - 1, 48_271), (2**31 - 19, 1_103_515_245))
 _modular: list[np.ndarray] = []
@@ -74,8 +74,8 @@ def second_sums(raw: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, int]]:
     return out
 
 
-def contexts(offsets: np.ndarray, raw: np.ndarray, window: int, kmer: int) -> tuple[np.ndarray, ...] | None:
-    """(row, start, place of the anchor in the context, windows, hash of the anchor, hash of the context)."""
+def contexts(offsets: np.ndarray, raw: np.ndarray, window: int, kmer: int, named: bool = True) -> tuple[np.ndarray, ...] | None:
+    """(row, start, place of the anchor in the context, windows, hash of the anchor, and if ``named`` the hash of the context)."""
     n, width = len(raw), window - kmer + 1
     full = np.diff(offsets) >= window
     if not full.any():
@@ -109,6 +109,8 @@ def contexts(offsets: np.ndarray, raw: np.ndarray, window: int, kmer: int) -> tu
     row = np.searchsorted(offsets, a, side="right") - 1
     z = np.minimum(np.append(a[1:], count), offsets[row + 1] - window + 1) - 1
     at = anchor[a]
+    if not named:
+        return row, a - offsets[row], at - a, z - a + 1, A.mix(h[at])
     low, high = ((second[z + window] - second[a]) % U(p) * back[a] % U(p) for second, back, p in second_sums(raw))
     ctx = A.mix((high << U(31) | low) + (at - a).astype(U) * U(A.MULTIPLIER) + (z - a).astype(U))
     return row, a - offsets[row], at - a, z - a + 1, A.mix(h[at]), ctx
@@ -126,6 +128,19 @@ def pieces(column: pa.Array, window: int) -> Iterator[tuple[np.ndarray, np.ndarr
             yield np.array([0, len(part)]), part, np.array([at]), np.array([start])
 
 
+def _anchors(window: int, kmer: int):
+    """The hashes of the anchors of all contexts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for offsets, raw, _, _ in pieces(batch.column(0), window):
+                found = contexts(offsets, raw, window, kmer, named=False)
+                if found:
+                    yield pa.record_batch([pa.array(A.signed(found[4]))], names=["h"])
+
+    return run
+
+
 def _contexts(window: int, kmer: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -466,8 +481,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, kmer: int = KMER, hot:
     spark = docs.sparkSession
     scratch = Scratch(spark, "repeats")
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("tie"))
-    found = texts.filter("id is not null").mapInArrow(_contexts(window, kmer), CONTEXT)
-    shared = found.groupBy("h").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("h")
+    known = texts.filter("id is not null")
+    found = known.mapInArrow(_contexts(window, kmer), CONTEXT)
+    shared = known.select("text").mapInArrow(_anchors(window, kmer), "h bigint").groupBy("h").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("h")
     # Written, so that both sides of the join are exchanged as they are and Spark can split a frequent anchor.
     shared = scratch.write(shared, "shared")
     scratch.release()
