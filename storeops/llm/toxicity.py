@@ -42,7 +42,7 @@ BLOCK, FIRST = 32, 4
 #: Words of most examples, whose postings lie in a matrix.
 DENSE = 1_024
 #: Texts, and words of theirs, that are searched for at once.
-ROWS, TERMS = 256, 400_000
+ROWS, TERMS = 128, 200_000
 U = np.uint64
 LETTERS = A.word_table("letters")
 
