@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from storeops.llm import bpe, decontam, exact_dedup, lang_id, minhash, repeats, secret_scan, toxicity, url_filter, warc, whitening
+from storeops.llm import bpe, conversation_trie, decontam, exact_dedup, lang_id, minhash, repeats, secret_scan, toxicity, url_filter, warc, whitening
 
 QUERIES = {
     "op1_minhash": minhash.op1_minhash,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_url_filter": url_filter.op8_url_filter,
     "op9_language_id": lang_id.op9_language_id,
     "op10_repeats": repeats.op10_repeats,
+    "op11_conversation_trie": conversation_trie.op11_conversation_trie,
     "op13_whitening": whitening.op13_whitening,
     "pipeline": corpus_pipeline.run,
 }
@@ -27,4 +28,5 @@ ORACLES = {
     "op4_decontamination": decontam.ORACLE,
     "op5_exact_dedup": exact_dedup.ORACLE,
     "op8_url_filter": url_filter.ORACLE,
+    "op11_conversation_trie": conversation_trie.ORACLE,
 }
