@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from storeops.llm import bpe, conversation_trie, decontam, exact_dedup, lang_id, minhash, repeats, secret_scan, toxicity, url_filter, warc, whitening
+from storeops.llm import bpe, conversation_trie, decontam, exact_dedup, lang_id, minhash, pii, repeats, secret_scan, toxicity, url_filter, warc, whitening
 
 QUERIES = {
     "op1_minhash": minhash.op1_minhash,
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_language_id": lang_id.op9_language_id,
     "op10_repeats": repeats.op10_repeats,
     "op11_conversation_trie": conversation_trie.op11_conversation_trie,
+    "op12_pii": pii.op12_pii,
     "op13_whitening": whitening.op13_whitening,
     "pipeline": corpus_pipeline.run,
 }
