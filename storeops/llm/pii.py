@@ -35,7 +35,7 @@ WINDOW, STRIDE = 64, 16
 #: Documents that training looks at, about, windows that it takes of them at most, of one document at most, and generated lines.
 SAMPLE, WINDOWS, OF_ONE, MADE = 20_000, 3_000, 4, 3_000
 #: Sizes of the model and its training.
-EMBEDDED, HIDDEN, STEPS, AT_ONCE, RATE = 12, 20, 300, 64, 0.02
+EMBEDDED, HIDDEN, STEPS, AT_ONCE, RATE = 12, 24, 450, 64, 0.02
 #: Windows that are decoded at once.
 DECODED = 256
 Span = tuple[str, int, int]
