@@ -6,8 +6,8 @@ written out, numbers with other separators, numbers of which a pattern took
 too much. It learns from the base spans of a bounded sample of the table and
 from such other spellings, put into lines of the sample.
 
-A span of any kind holds a digit or an @, so only windows that do are decoded.
-Windows overlap; a span that a window cuts is left to the windows that hold it
+A span of any kind holds a digit, an @ or an "at" in brackets, so only windows
+that do are decoded. Windows overlap; a span that a window cuts is left to the windows that hold it
 whole, the scores of equal spans are added, and of all candidates of a text
 the set without overlaps that scores best is taken. A candidate counts if it
 also has the form of its kind and touches no base span.
@@ -40,7 +40,7 @@ EMBEDDED, HIDDEN, STEPS, AT_ONCE, RATE = 12, 24, 450, 64, 0.02
 DECODED = 256
 Span = tuple[str, int, int]
 
-GATE = re.compile("[0-9@]")
+GATE, WORDED = re.compile("[0-9@]"), re.compile(r"(?i)[\[(]\s?at\s?[\])]")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
@@ -139,6 +139,12 @@ def written(rng: np.random.Generator, kind: str | None) -> str:
     return one(*times, *numbers, *tokens)
 
 
+def gates(text: str) -> np.ndarray:
+    """The sorted places at which a span may be."""
+    worded = WORDED.finditer(text) if "(" in text or "[" in text else ()
+    return np.array(sorted([m.start() for p in (GATE.finditer(text), worded) for m in p]), np.int64)
+
+
 # Characters and tags. Tag 0 is outside, then beginning and inside of each kind.
 
 CLASSES = 3 + 128
@@ -345,10 +351,10 @@ def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for text in batch.column(0).to_pylist():
             spans = base_spans(text)
-            held = np.array([m.start() for m in GATE.finditer(text)], np.int64)
-            each = [(text[max(0, s) : s + WINDOW], s) for s in window_starts(held).tolist()] or [(text[:WINDOW], 0)]
+            held = gates(text)
+            each = [(text[max(0, s) : s + WINDOW], s) for s in window_starts(held).tolist()] if len(held) else [(text[:WINDOW], 0)]
             marked = [(int.from_bytes(hashlib.blake2b(f"{len(text)}:{s}:{t}".encode("utf-8", "replace"), digest_size=7).digest()), t, tags(WINDOW, spans, s)[max(0, -s) :][: len(t)].tobytes(), bool(len(held))) for t, s in each]
-            rows += sorted(marked)[:OF_ONE]
+            rows += sorted(m for m in marked if not WORDED.search(m[1]))[:OF_ONE]  # patterns can't label those
         columns = zip(*rows, strict=True) if rows else [[]] * 4
         yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.string(), pa.binary(), pa.bool_()), strict=True)], names=["hash", "text", "tags", "held"])
 
@@ -363,10 +369,15 @@ def training_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return [(r["text"], r["tags"]) for r in some[0]], [r["text"] for r in some[1]]
 
 
+#: Lines for small tables.
+LINES = ["some words of a line that holds nothing of the kind", "and another one, shorter", "this goes on for a while: one (or two), three", "el camino no es largo y no tiene nada que ver"]
+
+
 def made_rows(lines: list[str], n: int = MADE, seed: int = 12) -> list[tuple[str, np.ndarray]]:
     """Lines with a spelling of some kind, or with digits that are none, put in at a space."""
     rng = np.random.default_rng(seed)
-    lines = lines or ["some words of a line that holds nothing of the kind", "and another one, shorter"]
+    lines = [x for x in lines if x.strip()]
+    lines += LINES if len(lines) < 100 else []
     out = []
     for k in range(n):
         kind = KINDS[k % 8] if k % 8 < len(KINDS) else None
@@ -446,10 +457,11 @@ def added_spans(texts: list[str], base: list[list[Span]], model: Model) -> list[
             queue.clear()
 
     for row, text in enumerate(texts):
-        if not GATE.search(text):
+        held = gates(text)
+        if not len(held):
             continue
         ids = classes(code_points(text))
-        for start in window_starts(np.flatnonzero((ids == 48 + 3) | (ids == 64 + 3))).tolist():
+        for start in window_starts(held).tolist():
             queue.append((row, start, window(ids, start)))
             if len(queue) == DECODED:
                 work()
