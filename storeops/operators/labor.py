@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 import warnings
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from storeops.functions.clock import instant
 from storeops.functions.numbers import HOURLY_RATE, cost, duration_ms, hours, hours_text, round_half_up, whole_cost
 from storeops.functions.text import dept_label
+from storeops.sources.folders import work_folder
 
 #: Shifts of one list, about.
 LIST = 10_000
@@ -132,27 +136,68 @@ def allocated(shifts: DataFrame, costs: DataFrame, dept_dim: DataFrame, rate: in
     return shifts_inner_store(rows, dept_dim).groupBy("store_id").agg(round_half_up(F.sum(amount)).alias("labor_cost"))
 
 
+def labor_by_store_counted(shifts: DataFrame, payroll: DataFrame, dept_dim: DataFrame, rate: int = HOURLY_RATE, folder: str | None = None) -> tuple[DataFrame, dict[str, int]]:
+    """(cost by store, counters) of one run: what the report leaves out is counted while it is made, without a second reading.
+
+    Counters: ``shifts`` and of them ``no_employee``, ``no_times`` (a start or
+    end missing), ``unmatched`` (no store for the department); ``salaried`` and
+    ``hourly`` employees with shifts. The rows lie in a work folder.
+    """
+    spark = shifts.sparkSession
+    at = f"{folder or work_folder(spark, 'labor')}/by-store-{uuid.uuid4().hex}"
+    read, people, dealt = Observation(), Observation(), Observation()
+    missing = F.col("start_dt").isNull() | F.col("end_dt").isNull()
+    seen = shifts.observe(read, F.count(F.lit(1)).alias("shifts"), F.count_if(F.col("employee_id").isNull()).alias("no_employee"), F.count_if(missing).alias("no_times"))
+    held = drop_null_employee(shift_hours(seen, "zero"))
+    totals = drop_null_employee(shift_hours(shifts, "zero")).groupBy("employee_id").agg(F.sum("ms").alias("emp_ms"), F.count(F.lit(1)).alias("emp_shifts"))
+    totals = totals.join(cost_per_employee(payroll), "employee_id", "left")
+    totals = totals.observe(people, F.count_if(F.col("cost").isNotNull()).alias("salaried"), F.count_if(F.col("cost").isNull()).alias("hourly"))
+    rows = shifts_left_store(held.join(totals, "employee_id"), dept_dim)
+    rows = rows.observe(dealt, F.count_if(F.col("store_id").isNull()).alias("unmatched"))
+    amount = F.coalesce(F.col("cost").cast("double"), F.col("emp_ms") * rate / F.lit(3_600_000.0)) * alloc_share()
+    # Unmatched shifts are dropped after they are counted.
+    by_store = rows.groupBy("store_id").agg(round_half_up(F.sum(amount)).alias("labor_cost")).filter("store_id is not null")
+    by_store.write.parquet(at)
+    return spark.read.schema(by_store.schema).parquet(at), {**read.get, **people.get, **dealt.get}
+
+
 def labor_by_store_hourly(shifts: DataFrame, dept_dim: DataFrame, rate: int = HOURLY_RATE) -> DataFrame:
     """Cost by store at the rate, each shift rounded."""
     rows = shifts_inner_store(shift_hours(shifts, "zero"), dept_dim)
     return rows.groupBy("store_id").agg(F.sum(whole_cost(F.col("ms"), rate)).alias("labor_cost"))
 
 
-def labor_by_store(shifts: DataFrame, payroll: Callable[[], DataFrame], dept_dim: DataFrame, folder: str, rate: int = HOURLY_RATE) -> DataFrame:
+def labor_by_store(shifts: DataFrame, payroll: Callable[[], DataFrame], dept_dim: DataFrame, folder: str | None = None, rate: int = HOURLY_RATE) -> DataFrame:
     """Hybrid, or hourly where the payroll can't be read; an empty payroll is one that can.
 
-    ``payroll`` opens the source. Its cost by employee is worked out at once
-    and written below ``folder``, so that a source that breaks while it is read
-    counts as unreadable too, and the report reads it no second time.
+    ``payroll`` opens the source. It is read once, to the end, into a work
+    folder of this run, so that a source that breaks while it is read counts
+    as unreadable too. A folder that can't be written is no such case and
+    raises, as does what is wrong with the shifts.
     """
-    try:
-        costs = cost_per_employee(payroll())
-        costs.write.parquet(f"{folder}/costs")
-    except Exception as e:
-        # Whatever keeps the payroll from being read; what is wrong with the shifts or the folder fails below.
-        warnings.warn(f"labor cost falls back to hours, since the payroll can't be read: {e}", stacklevel=2)
+    spark = shifts.sparkSession
+    folder = folder or work_folder(spark, "labor")
+
+    def probe() -> None:
+        spark.range(1).write.mode("overwrite").parquet(f"{folder}/probe")
+
+    def hourly(e: Exception) -> DataFrame:
+        warnings.warn(f"labor cost falls back to hours, since the payroll can't be read: {e}", stacklevel=3)
         return labor_by_store_hourly(shifts, dept_dim, rate)
-    return allocated(shifts, shifts.sparkSession.read.schema(costs.schema).parquet(f"{folder}/costs"), dept_dim, rate)
+
+    probe()
+    try:
+        source = payroll()
+    except Exception as e:  # whatever the source's own code raises
+        return hourly(e)
+    costs = cost_per_employee(source)
+    at = f"{folder}/costs-{uuid.uuid4().hex}"
+    try:
+        costs.write.parquet(at)
+    except (PySparkException, Py4JError) as e:
+        probe()  # if it is the folder that broke, this raises
+        return hourly(e)
+    return allocated(shifts, spark.read.schema(costs.schema).parquet(at), dept_dim, rate)
 
 
 def labor_counters(shifts: DataFrame, payroll: DataFrame, dept_dim: DataFrame) -> DataFrame:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storeops.functions.clock import ZONE, local_date, local_midnight, local_time
 from storeops.functions.text import folded, product_matches
+from storeops.sources.landing import land_sources
 
 
 def list_stores(store_dim: DataFrame) -> DataFrame:
@@ -38,12 +39,30 @@ def sales_range(sales: DataFrame, store_id: str, lo: int, hi: int) -> DataFrame:
     return sales.filter((F.col("store_id") == store_id) & between(F.col("ts"), lo, hi))
 
 
-def sales_all_stores(sources: dict[str, DataFrame], store_dim: DataFrame, lo: int, hi: int) -> tuple[DataFrame, DataFrame]:
-    """(rows of all sources tagged by store, stores that have no source)."""
-    tagged = [df.withColumn("store_id", F.lit(store)) for store, df in sources.items()]
-    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
-    audit = store_dim.filter(~F.col("store_id").isin(*sources)).select("store_id", F.lit("no source").alias("problem"))
-    return rows.filter(between(F.col("ts"), lo, hi)), audit
+def sales_all_stores(sources: dict[str, Callable[[], DataFrame]], store_dim: DataFrame, lo: int, hi: int) -> tuple[DataFrame | None, DataFrame]:
+    """(rows of all stores whose source could be read to the end, tagged by store; the other stores with the problem)."""
+    ranged = {store: (lambda open_=open_: open_().filter(between(F.col("ts"), lo, hi))) for store, open_ in sources.items()}
+    return of_stores(ranged, store_dim)
+
+
+def of_stores(sources: dict[str, Callable[[], DataFrame]], store_dim: DataFrame) -> tuple[DataFrame | None, DataFrame]:
+    """(rows of the stores' sources, audit of the stores that have none or whose source broke)."""
+    rows, failed = land_sources(store_dim.sparkSession, sources)
+    without = store_dim.filter(~F.col("store_id").isin(*sources)).select("store_id", F.lit("no source").alias("problem"))
+    return rows, without.unionByName(failed.withColumnRenamed("source", "store_id"))
+
+
+def tally_all_stores(sources: dict[str, Callable[[], DataFrame]], store_dim: DataFrame, word: str) -> tuple[DataFrame, DataFrame]:
+    """(counts by store and in total, audit): stores whose source broke are left out, also of the total; those that were read count 0 at least."""
+    rows, audit = of_stores(sources, store_dim)
+    read = store_dim.join(F.broadcast(audit), "store_id", "left_anti")  # a row for each of a few stores
+    items = store_dim.select("store_id", F.lit(None).cast("string").alias("productname")).limit(0) if rows is None else rows
+    return tally_by_store(items, read, word), audit
+
+
+def sales_of_stores(sales: DataFrame, stores: DataFrame) -> DataFrame:
+    """Sales of the stores of a table, which has a row for each of a few; where sales are laid out by store, only those stores are read."""
+    return sales.join(F.broadcast(stores.select("store_id")), "store_id", "left_semi")
 
 
 def item_sales_for_day(items: DataFrame, store_id: str, day: str, tz: str = ZONE) -> DataFrame:

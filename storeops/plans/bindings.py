@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storeops.functions.clock import local_date
 from storeops.operators.sales import tally
+from storeops.sources.landing import read_laid_out
 from storeops.sources.pages import running_sum
 
 WORD = "chas"
@@ -76,9 +77,9 @@ def items(spark: SparkSession, d: str) -> DataFrame:
     return items_of(table(spark, d, "events"))
 
 
-def items_of(events: DataFrame) -> DataFrame:
+def items_of(events: DataFrame, *more: Column) -> DataFrame:
     name = F.when(F.col("event_type") != "error", F.col("event_type"))
-    return events.select(F.concat(F.lit("s"), F.col("user_id") % 7).alias("store_id"), "ts", name.alias("productname"))
+    return events.select(*more, F.concat(F.lit("s"), F.col("user_id") % 7).alias("store_id"), "ts", name.alias("productname"))
 
 
 def sales(spark: SparkSession, d: str) -> DataFrame:
@@ -140,15 +141,47 @@ def raw_instants(spark: SparkSession, d: str) -> DataFrame:
 
 
 def invoice_replies(spark: SparkSession, d: str) -> DataFrame:
-    """Replies about orders; every tenth breaks off."""
+    """Replies about orders, alone, in prose, fenced, after another object, or with braces and quotes in a field; every tenth breaks off."""
     suppliers = table(spark, d, "supplier")
     orders = table(spark, d, "orders").withColumn("s_suppkey", F.col("o_orderkey") % 10)
     fields = F.struct(F.col("s_name").alias("supplier"), F.col("o_orderdate").cast("date").alias("date"), F.col("o_totalprice").cast("decimal(18,2)").alias("amount"))
-    text = F.to_json(fields)
-    cut = F.when(F.col("o_orderkey") % 10 == 9, F.substring(text, 1, 20)).otherwise(text)
+    json = F.to_json(fields)
+    around = [
+        json,
+        F.concat(F.lit("Here it is: "), json, F.lit(" - and \"that\" is {all}.")),
+        F.concat(F.lit("```json\n"), json, F.lit("\n```")),
+        F.concat(F.lit('Not {this} or {"other": {"a": 1}}, it\'s "'), json, F.lit('"')),
+        F.concat(F.lit('{"note": "a \\"quoted\\" } and { brace", '), F.substring(json, 2, 10_000)),
+    ]
+    kind = F.floor(F.col("o_orderkey") / 10) % len(around)
+    text = F.get(F.array(*around), kind.cast("int"))
+    cut = F.when(F.col("o_orderkey") % 10 == 9, F.substring(json, 1, 20)).otherwise(text)
     return orders.join(suppliers, "s_suppkey").select(F.col("o_orderkey").alias("id"), cut.alias("text"))
 
 
+def page_texts(spark: SparkSession, d: str) -> DataFrame:
+    """The landed pages as the texts of their files; every seventh of an endpoint breaks off."""
+    text = F.to_json(F.struct("data", "paging"))
+    broken = (F.col("offset") / PAGE) % 7 == 1
+    return pages(spark, d).select("endpoint", "offset", F.when(broken, F.substring(text, 1, 40)).otherwise(text).alias("text"))
+
+
+SALES = "ts timestamp_ntz, amount decimal(18,2), event_id bigint, store_id string"
+
+
+def store_sources(spark: SparkSession, path: str, broken: str | None = None) -> dict:
+    """The six stores' sales in ``path``, laid out by store; the source of one may break in the middle."""
+    def source(store: str):
+        def open_() -> DataFrame:
+            rows = read_laid_out(spark, path, SALES).filter(F.col("store_id") == store).drop("store_id")
+            lost = F.when(F.col("event_id") % 10 == 7, F.raise_error(F.lit("connection lost"))).otherwise(F.col("amount"))
+            return rows.withColumn("amount", lost) if store == broken else rows
+
+        return open_
+
+    return {f"s{k}": source(f"s{k}") for k in range(6)}
+
+
 LOCAL = "timezone('Europe/Copenhagen', timezone('UTC', ts))"
 CTE = {
     "stores": "stores AS (SELECT 's' || k AS store_id, 'Store ' || k AS name FROM range(6) t(k))",

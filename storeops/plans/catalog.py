@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,9 +11,9 @@ from pyspark.sql import functions as F
 from storeops.functions import clock, numbers, text
 from storeops.operators import invoices, labor, recipes, sales
 from storeops.plans import bindings as B
-from storeops.sources import documents, pages
-from storeops.sources.folders import work_folder
-from storeops.streaming.tally import run_daily_tally
+from storeops.sources import documents, landing, pages
+from storeops.sources.folders import commit, latest, work_folder
+from storeops.streaming.tally import LATE, run_closing_tally, run_daily_tally
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -51,13 +52,74 @@ def sales_range(spark, d):
     WHERE store_id IN ('s0', 's1', 's2', 's3', 's4') AND epoch(ts) >= {LO} AND epoch(ts) < {HI} GROUP BY store_id
     UNION ALL SELECT 's5', NULL, NULL, 'no source'""")
 def sales_all_stores(spark, d):
-    all_sales = B.sales(spark, d)
-    sources = {f"s{k}": all_sales.filter(F.col("store_id") == f"s{k}").drop("store_id") for k in range(5)}
+    path = work_folder(spark, "sales")
+    landing.lay_out(B.sales(spark, d), path)
+    sources = {store: open_ for store, open_ in B.store_sources(spark, path).items() if store != "s5"}
     rows, audit = sales.sales_all_stores(sources, B.store_dim(spark), LO, HI)
     found = rows.groupBy("store_id").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("amount").cast("decimal(18,2)").alias("amount"))
     return found.unionByName(audit, allowMissingColumns=True)
 
 
+@query("sales", f"""SELECT store_id, count(*) AS n_rows, sum(amount)::DECIMAL(18,2) AS amount, NULL::VARCHAR AS problem FROM sales
+    WHERE store_id IN ('s0', 's1', 's2', 's3', 's5') AND epoch(ts) >= {LO} AND epoch(ts) < {HI} GROUP BY store_id
+    UNION ALL SELECT 's4', NULL, NULL, 'unreadable: USER_RAISED_EXCEPTION'""")
+def sales_broken_source(spark, d):
+    """The source of one store breaks in the middle: the others' sales, and why that one is left out."""
+    path = work_folder(spark, "sales")
+    landing.lay_out(B.sales(spark, d), path)
+    rows, audit = sales.sales_all_stores(B.store_sources(spark, path, broken="s4"), B.store_dim(spark), LO, HI)
+    found = rows.groupBy("store_id").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("amount").cast("decimal(18,2)").alias("amount"))
+    return found.unionByName(audit, allowMissingColumns=True)
+
+
+@query("items stores", """, c AS (SELECT store_id, (SELECT count(*) FROM items i WHERE i.store_id = stores.store_id AND contains(i.productname, 'chas')) AS n FROM stores WHERE store_id <> 's1')
+    SELECT store_id, sum(n)::BIGINT AS n, grouping(store_id)::INTEGER AS is_total FROM c GROUP BY ROLLUP (store_id)""")
+def tally_broken_source(spark, d):
+    """As the tally by store, where the source of one breaks: neither the store nor the total has its items."""
+    all_items = B.items(spark, d)
+
+    def source(store: str):
+        name = F.when(F.col("productname") == "view", F.raise_error(F.lit("connection lost"))).otherwise(F.col("productname"))
+        return lambda: all_items.filter(F.col("store_id") == store).withColumn("productname", name if store == "s1" else F.col("productname")).drop("store_id")
+
+    counts, _ = sales.tally_all_stores({f"s{k}": source(f"s{k}") for k in range(6)}, B.store_dim(spark), B.WORD)
+    return counts
+
+
+@query("sales", f"SELECT store_id, event_id, amount FROM sales WHERE store_id = 's2' AND epoch(ts) >= {LO} AND epoch(ts) < {HI}")
+def sales_range_laid_out(spark, d):
+    """The range of one store where sales lie in a folder for each store: one is read."""
+    path = work_folder(spark, "sales")
+    landing.lay_out(B.sales(spark, d), path)
+    return sales.sales_range(landing.read_laid_out(spark, path, B.SALES), "s2", LO, HI).select("store_id", "event_id", "amount")
+
+
+@query("sales", "SELECT store_id, event_id, amount FROM sales WHERE store_id IN ('s1', 's4')")
+def sales_of_stores(spark, d):
+    """The stores are found by name while the query runs, and only their folders are read."""
+    path = work_folder(spark, "sales")
+    landing.lay_out(B.sales(spark, d), path)
+    stores = B.event_stores(spark, d).filter(F.col("name").isin("Store 1", "Store 4"))
+    return sales.sales_of_stores(landing.read_laid_out(spark, path, B.SALES), stores).select("store_id", "event_id", "amount")
+
+
+def landed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    path = work_folder(spark, "pages")
+    landing.write_landed_pages(B.page_texts(spark, d), path)
+    return landing.read_landed_pages(spark, path, "event_id:bigint,user_id:bigint")
+
+
+@query("pages", """SELECT endpoint, event_id, user_id FROM pages_ WHERE (endpoint <> 'error' OR "offset" = 0) AND "offset" // 100 % 7 <> 1""")
+def landed_pages(spark, d):
+    """The rows of page files, but for those that break off."""
+    return pages.read_pages(landed(spark, d)[0])
+
+
+@query("pages", """SELECT DISTINCT endpoint, "offset", 'broken' AS problem FROM pages_ WHERE "offset" // 100 % 7 = 1""")
+def landed_page_rejects(spark, d):
+    return landed(spark, d)[1].select("endpoint", "offset", "problem")
+
+
 @query("items", f"SELECT store_id, coalesce(productname, '') AS product, floor(epoch(ts))::BIGINT AS ts FROM items WHERE store_id = 's3' AND local_ts::DATE = DATE '{DAY}'")
 def item_sales_for_day(spark, d):
     found = sales.item_sales_for_day(B.items(spark, d), "s3", DAY)
@@ -143,6 +205,48 @@ def upsert_history(spark, d):
     return documents.read_history(spark, path)
 
 
+@query("items daily old new", """SELECT 'before' AS state, date, store_id, n FROM old UNION ALL SELECT 'after', date, store_id, n FROM new
+    UNION ALL SELECT 'after', date, store_id, n FROM old WHERE date NOT IN (SELECT date FROM new)""")
+def history_snapshot(spark, d):
+    """What a reader has who began before an upsert, and one who begins after it."""
+    path = work_folder(spark, "history")
+    documents.replace_history(B.history_old(spark, d), path)
+    before = documents.read_history(spark, path, latest(spark, path))
+    documents.upsert_history(B.history_new(spark, d), path)
+    states = {"before": before, "after": documents.read_history(spark, path)}
+    return reduce(DataFrame.unionByName, [df.withColumn("state", F.lit(name)) for name, df in states.items()])
+
+
+@query("items daily old new", "SELECT date, store_id, n FROM new UNION ALL SELECT date, store_id, n FROM old WHERE date NOT IN (SELECT date FROM new)")
+def history_two_writers(spark, d):
+    """Another writer publishes the old days between this one's first look and its publishing; no day is lost."""
+    path = work_folder(spark, "history")
+    mine, others = documents.write_days(B.history_new(spark, d), path), documents.write_days(B.history_old(spark, d), path)
+
+    def change(base):
+        if base is None:
+            commit(spark, path, lambda _: others)
+        return (base.parts if base else {}) | mine
+
+    commit(spark, path, change)
+    return documents.read_history(spark, path)
+
+
+@query("", """SELECT 'log' AS source, count(*) AS n_rows, 3::BIGINT AS n_columns, 7::BIGINT AS declared, count(*) FILTER (event_id % 4 IN (2, 3)) || ' broken rows' AS problem FROM events
+    UNION ALL SELECT 'events', count(*), 6, count(*), NULL FROM events
+    UNION ALL SELECT 'orders', count(*), (SELECT count(*) FROM (DESCRIBE orders)), NULL, 'no total' FROM orders""")
+def audit_broken_rows(spark, d):
+    """Sources read by one plan, of which one has lines that can't be parsed."""
+    path = work_folder(spark, "log")
+    B.log_bodies(spark, d).select(F.regexp_replace("body", r"^\\[(?=\\{)|(?<=\\})\\]$", "")).write.text(path)
+    sources = {
+        "log": lambda: spark.read.schema(f"event_id bigint, event_type string, {pages.BROKEN} string").json(path),
+        "events": lambda: B.table(spark, d, "events"),
+        "orders": lambda: B.table(spark, d, "orders"),
+    }
+    return pages.audit_sources(spark, sources, {"log": 7, "events": B.table(spark, d, "events").count()})
+
+
 @query("shifts payroll", """SELECT 'shifts' AS source, count(*) AS n_rows, 5::BIGINT AS n_columns, NULL::BIGINT AS declared, 'no total' AS problem FROM shifts
     UNION ALL SELECT 'payroll', count(*), 4, 1, CASE WHEN count(*) <> 1 THEN 'rows differ from total' END FROM payroll
     UNION ALL SELECT 'departments', NULL, NULL, 6, 'unreadable: PATH_NOT_FOUND'""")
@@ -301,6 +405,11 @@ def invoice_fields(spark, d):
     return invoices.parse_invoice_replies(B.invoice_replies(spark, d))
 
 
+@query("", "SELECT o_orderkey AS id FROM orders JOIN supplier ON s_suppkey = o_orderkey % 10 WHERE o_orderkey % 10 = 9")
+def invoice_rejects(spark, d):
+    return invoices.invoice_rejects(B.invoice_replies(spark, d)).select("id")
+
+
 # Joins
 
 
@@ -404,7 +513,7 @@ def labor_by_store_hourly(spark, d):
 def labor_by_store(spark, d):
     """The payroll didn't land."""
     path = work_folder(spark, "labor")
-    return labor.labor_by_store(B.shifts(spark, d), lambda: spark.read.parquet(f"{path}/payroll"), B.dept_dim(spark), path)
+    return labor.labor_by_store(B.shifts(spark, d), lambda: spark.read.parquet(f"{path}/payroll"), B.dept_dim(spark))
 
 
 @query("shifts payroll emp_cost emp depts", HYBRID)
@@ -412,7 +521,17 @@ def labor_by_store_landed(spark, d):
     """The payroll landed and is read."""
     path = work_folder(spark, "labor")
     payroll(spark, d).write.parquet(f"{path}/payroll")
-    return labor.labor_by_store(B.shifts(spark, d), lambda: spark.read.parquet(f"{path}/payroll"), B.dept_dim(spark), path)
+    return labor.labor_by_store(B.shifts(spark, d), lambda: spark.read.parquet(f"{path}/payroll"), B.dept_dim(spark))
+
+
+@query("shifts payroll emp_cost emp depts", f""", cost AS ({HYBRID}) SELECT store_id AS name, labor_cost AS value FROM cost
+    UNION ALL SELECT 'shifts', count(*) FROM shifts UNION ALL SELECT 'no_employee', count(*) FROM shifts WHERE employee_id IS NULL
+    UNION ALL SELECT 'no_times', count(*) FROM shifts WHERE ms IS NULL UNION ALL SELECT 'unmatched', count(*) FROM shifts WHERE department_id > 105
+    UNION ALL SELECT CASE WHEN cost IS NULL THEN 'hourly' ELSE 'salaried' END, count(DISTINCT employee_id) FROM shifts LEFT JOIN emp_cost USING (employee_id) GROUP BY 1""")
+def labor_by_store_counted(spark, d):
+    """The report and what it leaves out, of one run."""
+    rows, counters = labor.labor_by_store_counted(B.shifts(spark, d), payroll(spark, d), B.dept_dim(spark))
+    return rows.toDF("name", "value").unionByName(spark.createDataFrame(list(counters.items()), "name string, value bigint"))
 
 
 @query("shifts payroll emp_cost", """SELECT count(DISTINCT employee_id) FILTER (cost IS NOT NULL) AS salaried, count(DISTINCT employee_id) FILTER (cost IS NULL) AS hourly,
@@ -534,3 +653,32 @@ def stream_upsert_history(spark, d):
     documents.replace_history(B.history_old(spark, d), f"{path}/history")
     run_daily_tally(stream(spark, d), B.WORD, f"{path}/history", f"{path}/checkpoint", cutoff=22)
     return documents.read_history(spark, f"{path}/history")
+
+
+#: Items that come only after all days were saved, and the clock that ends the last day.
+LATE_ITEMS, TICK = "event_id % 97 = 0", "2024-02-15 00:00:00"
+
+
+def closed(spark: SparkSession, d: str) -> str:
+    """A folder with the history of days that were saved once, and the audit of what came too late."""
+    path = work_folder(spark, "closing")
+    events, ticks = B.table(spark, d, "events"), spark.range(1).select(F.lit(TICK).cast("timestamp_ntz").alias("ts"))
+    ticks.write.parquet(f"{path}/ticks")
+    for late in (False, True):
+        events.filter(F.expr(LATE_ITEMS) if late else ~F.expr(LATE_ITEMS)).write.mode("append").parquet(f"{path}/events")
+        read = spark.readStream.schema(events.schema).parquet(f"{path}/events")
+        items = B.items_of(read, F.col("event_id").alias("id"))
+        run_closing_tally(items, spark.readStream.schema(ticks.schema).parquet(f"{path}/ticks"), B.WORD, f"{path}/history", f"{path}/checkpoint", f"{path}/late")
+    return path
+
+
+@query("", f"""SELECT {B.LOCAL}::DATE AS date, 's' || user_id % 7 AS store_id, count(*) FILTER (event_type LIKE '%chas%') AS n FROM events WHERE NOT {LATE_ITEMS} GROUP BY ALL""")
+def stream_closing_tally(spark, d):
+    """Days are saved when they are over; what comes after changes none of them."""
+    return documents.read_history(spark, f"{closed(spark, d)}/history")
+
+
+@query("", f"SELECT count(*) AS n_late FROM events WHERE {LATE_ITEMS}")
+def stream_late_items(spark, d):
+    """How many items came too late to be counted."""
+    return spark.read.schema(LATE).parquet(f"{closed(spark, d)}/late").agg(F.sum("n_late").alias("n_late"))

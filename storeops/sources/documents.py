@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storeops.operators.recipes import DOCUMENT, migrate_recipes, recipes_changed
-from storeops.sources.folders import current, exists, publish
+from storeops.sources.folders import DATA, Version, commit, current, folders, latest, new_data, publish
 
 HISTORY = "date date, store_id string, n bigint"
 NESTED = "date date, stores map<string,bigint>, total bigint"
@@ -17,9 +17,13 @@ def read_recipes(spark: SparkSession, path: str, default: DataFrame, whole: bool
 
     A document is a line, or with ``whole`` a file.
     """
-    if not exists(spark, path):
-        return default
-    text = spark.read.text(current(spark, path), wholetext=whole)
+    at = current(spark, path)
+    return read_documents(spark, at, whole) if at else default
+
+
+def read_documents(spark: SparkSession, at: str, whole: bool = False) -> DataFrame:
+    """The recipe documents of one folder or file."""
+    text = spark.read.text(at, wholetext=whole)
     return text.select(F.from_json("value", DOCUMENT, {"mode": "FAILFAST"}).alias("doc"))
 
 
@@ -29,19 +33,27 @@ def write_recipes(docs: DataFrame, path: str) -> None:
 
 
 def migrate_stored(spark: SparkSession, path: str, dishes: dict[str, str], ingredients: dict[str, str]) -> bool:
-    """Renames dishes and ingredients in the documents at ``path``; whether there was anything to write. Where there are none, nothing is made."""
-    if not exists(spark, path):
-        return False
-    docs = read_recipes(spark, path, spark.createDataFrame([], f"doc {DOCUMENT}"))
-    if not recipes_changed(docs, dishes, ingredients).first()["changed"]:
-        return False
-    write_recipes(migrate_recipes(docs, dishes, ingredients), path)
-    return True
+    """Renames dishes and ingredients in the documents at ``path``; whether there was anything to write. Where there are none, nothing is made.
+
+    If someone else publishes meanwhile, the job works on what they published.
+    """
+
+    def change(_: Version | None) -> dict[str, str] | None:
+        at = current(spark, path)
+        docs = read_documents(spark, at) if at else None
+        if docs is None or not recipes_changed(docs, dishes, ingredients).first()["changed"]:
+            return None
+        name = new_data()
+        migrate_recipes(docs, dishes, ingredients).select(F.to_json("doc").alias("value")).write.text(f"{path}/{DATA}/{name}")
+        return {"": name}
+
+    return commit(spark, path, change) is not None
 
 
 def read_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The items of the log's arrays, an array in each line, or none if there is no log."""
-    return spark.read.schema(schema).json(current(spark, path)) if exists(spark, path) else spark.createDataFrame([], schema)
+    at = current(spark, path)
+    return spark.read.schema(schema).json(at) if at else spark.createDataFrame([], schema)
 
 
 def is_array(body: Column) -> Column:
@@ -65,26 +77,46 @@ def read_nested_history(spark: SparkSession, path: str) -> DataFrame:
     return history_rows(spark.read.schema(NESTED).option("mode", "FAILFAST").json(path))
 
 
-def read_history(spark: SparkSession, path: str) -> DataFrame:
-    """The tidy history; a missing or broken one raises."""
-    return spark.read.schema(HISTORY).parquet(current(spark, path))
+def read_history(spark: SparkSession, path: str, version: Version | None = None) -> DataFrame:
+    """The tidy history as of one version, the last by default; a missing or broken one raises.
+
+    A version names a folder for each day, so a reader keeps the state that it
+    began with, whatever is published meanwhile.
+    """
+    version = version or latest(spark, path)
+    if version is None:
+        raise FileNotFoundError(f"no history at {path}")
+    if not version.parts:
+        return spark.createDataFrame([], HISTORY)
+    days = [f"{path}/{DATA}/{at}" for at in version.parts.values()]
+    return spark.read.schema(f"{HISTORY}, batch string").option("basePath", f"{path}/{DATA}").parquet(*days).select("date", "store_id", "n")
+
+
+def write_days(rows: DataFrame, path: str) -> dict[str, str]:
+    """Writes a new folder for each day of ``rows`` below the history at ``path``, published by none yet: day to folder."""
+    spark, batch = rows.sparkSession, new_data()
+    # Dealt by day, so that each day's folder gets one file; a day has a row for each store.
+    tidy = rows.select("date", "store_id", "n", F.lit(batch).alias("batch")).repartition("date")
+    tidy.write.mode("append").partitionBy("date", "batch").parquet(f"{path}/{DATA}")
+    made = folders(spark, f"{path}/{DATA}/date=*/batch={batch}")
+    return {(day := at.rsplit("/", 2)[1]): f"{day}/batch={batch}" for at in made}
 
 
 def replace_history(rows: DataFrame, path: str) -> None:
-    publish(rows.sparkSession, path, by_day(rows).write.partitionBy("date").parquet)
+    new = write_days(rows, path)
+    commit(rows.sparkSession, path, lambda _: new)
 
 
 def upsert_history(updates: DataFrame, path: str) -> None:
-    """Puts the days of ``updates`` in the place of those days; others stay. Doing it twice is doing it once."""
-    spark = updates.sparkSession
-    if not exists(spark, path):
-        return replace_history(updates, path)
-    return by_day(updates).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(current(spark, path))
+    """Puts the days of ``updates`` in the place of those days; others stay, also those that others publish meanwhile. Doing it twice is doing it once."""
+    new = write_days(updates, path)
+    commit(updates.sparkSession, path, lambda base: (base.parts if base else {}) | new)
 
 
-def by_day(rows: DataFrame) -> DataFrame:
-    """Dealt by day, so that each day's folder gets one file; a day has a row for each store."""
-    return rows.select("date", "store_id", "n").repartition("date")
+def save_days(rows: DataFrame, path: str) -> None:
+    """Adds the days of ``rows`` that the history doesn't have; a day that was saved never changes."""
+    new = write_days(rows, path)
+    commit(rows.sparkSession, path, lambda base: new | base.parts if base else new)
 
 
 def upserted(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from storeops.functions.text import cost_like_fields, row_fields
+from storeops.sources.landing import told
 
 
 #: Offsets that share a window of a running sum.
@@ -58,34 +59,63 @@ def sample_page(df: DataFrame, order_by: list[str], limit: int, offset: int = 0)
 
 
 AUDIT = "source string, n_rows bigint, n_columns bigint, declared bigint, problem string"
+#: The column in which readers leave the text of rows that they can't parse.
+BROKEN = "_corrupt_record"
+
+
+def _hashed(df: DataFrame) -> Column:
+    """A hash of all columns of a row, so that every one is read and parsed; maps have no hash of their own."""
+    plain = [F.to_json(F.struct(f"`{f.name}`")) if "map<" in f.dataType.simpleString() or "variant" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in df.schema]
+    return F.xxhash64(*plain) if plain else F.lit(0).cast("bigint")
 
 
 def audit_sources(spark: SparkSession, sources: dict[str, Callable[[], DataFrame]], totals: dict[str, int | None] | None = None) -> DataFrame:
-    """For each source: rows, columns, declared total, and what is wrong: the rows differ from the total, it is missing, or the source can't be read.
+    """For each source: rows, columns, declared total, and what is wrong: it can't be read, some rows are broken, the rows differ from the total, it is missing.
 
-    Sources come as functions that open them and are read one by one, each
-    wholly, so a broken one costs only its own row. One row for each of a few
-    names comes to the driver.
+    Sources come as functions that open them. Those that can be opened are
+    read wholly by one plan, a tagged union with one aggregation, so the number
+    of jobs doesn't grow with theirs. Only where that plan breaks are they read
+    one by one, which tells the culprits; the others keep their counts. One
+    row for each of a few names comes to the driver.
     """
     totals = totals or {}
-
-    def one(name: str, open_: Callable[[], DataFrame]) -> tuple:
-        total = totals.get(name)
+    opened: dict[str, DataFrame] = {}
+    failed: dict[str, str] = {}
+    for name, open_ in sources.items():
         try:
-            df = open_()
-            # A hash of each row, so that every column is read and parsed.
-            n = df.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64(F.to_json(F.struct("*")))).alias("all")).first()["n"]
-        except Exception as e:
-            return name, None, None, total, f"unreadable: {told(e)}"
-        return name, n, len(df.columns), total, "no total" if total is None else "rows differ from total" if n != total else None
-
-    return spark.createDataFrame([one(*x) for x in sources.items()], AUDIT)
-
+            opened[name] = open_()
+        except Exception as e:  # whatever the source's own code raises
+            failed[name] = f"unreadable: {told(e)}"
+
+    def counted(names: list[str]) -> dict[str, tuple[int, int]]:
+        def one(name: str) -> DataFrame:
+            df = opened[name]
+            broken = F.col(BROKEN).isNotNull() if BROKEN in df.columns else F.lit(False)
+            return df.select(F.lit(name).alias("source"), broken.alias("broken"), _hashed(df).alias("hash"))
+
+        rows = reduce(DataFrame.unionByName, map(one, names))
+        found = rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count_if("broken").alias("n_broken"), F.bit_xor("hash").alias("all"))
+        return {r["source"]: (r["n"], r["n_broken"]) for r in found.collect()}
+
+    counts: dict[str, tuple[int, int]] = {}
+    try:
+        counts = counted(list(opened)) if opened else {}
+    except Exception:
+        for name in opened:
+            try:
+                counts |= counted([name])
+            except Exception as e:  # as above
+                failed[name] = f"unreadable: {told(e)}"
+
+    def row(name: str) -> tuple:
+        total = totals.get(name)
+        if name in failed:
+            return name, None, None, total, failed[name]
+        n, n_broken = counts.get(name, (0, 0))
+        problem = f"{n_broken} broken rows" if n_broken else "no total" if total is None else "rows differ from total" if n != total else None
+        return name, n, len(opened[name].columns), total, problem
 
-def told(e: Exception) -> str:
-    """Spark's name of an error, else the first line of its text."""
-    named = e.getCondition() if isinstance(e, PySparkException) else None
-    return named or next(iter(str(e).splitlines()), type(e).__name__)
+    return spark.createDataFrame([row(name) for name in sources], AUDIT)
 
 
 def field_counts(rows: DataFrame, json: str = "json") -> DataFrame:

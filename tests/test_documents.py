@@ -3,11 +3,12 @@
 from datetime import date, datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from storeops.operators import invoices, recipes, sales
 from storeops.sources import documents, pages
-from storeops.sources.folders import current, publish, work_folder
-from storeops.streaming.tally import run_daily_tally
+from storeops.sources.folders import current, work_folder
+from storeops.streaming.tally import run_closing_tally, run_daily_tally
 
 PAGE = "endpoint string, offset bigint, data array<struct<id:bigint>>, paging struct<total:bigint>"
 
@@ -60,25 +61,6 @@ def test_migration_writes_only_if_something_changed(spark):
     assert documents.read_recipes(spark, path, docs(spark)).first()["doc"]["a"]["name"] == "Carrot soup"
 
 
-def test_failed_writes_leave_what_was_published(spark):
-    path = work_folder(spark, "p")
-    rows = lambda: sorted(r["id"] for r in spark.read.parquet(current(spark, path)).collect())
-    publish(spark, path, spark.range(3).write.parquet)
-    reader = spark.read.parquet(current(spark, path))
-
-    def broken(to):
-        spark.range(9).write.parquet(to)
-        raise RuntimeError("lost")
-
-    with pytest.raises(RuntimeError):
-        publish(spark, path, broken)
-    assert rows() == [0, 1, 2]
-    publish(spark, path, spark.range(5).write.parquet)
-    assert rows() == [0, 1, 2, 3, 4] and reader.count() == 3
-    publish(spark, path, spark.range(1).write.parquet)
-    assert rows() == [0]
-
-
 def test_running_sums_cross_stretches(spark):
     rows = [(k % 3, k, k % 7) for k in range(200)]
     df = spark.createDataFrame(rows, "key int, at bigint, n int")
@@ -86,18 +68,6 @@ def test_running_sums_cross_stretches(spark):
     assert found == {(k, at): sum(n for x, a, n in rows if x == k and a <= at) for k, at, _ in rows}
 
 
-def test_audit_tells_what_is_wrong(spark, tmp_path):
-    (tmp_path / "bad.parquet").write_bytes(b"PAR1 nonsense")
-
-    def fails():
-        raise ValueError("no such store\nat all")
-
-    sources = {"good": lambda: spark.range(3), "short": lambda: spark.range(2), "open": lambda: spark.range(1), "bad": lambda: spark.read.schema("id bigint").parquet(str(tmp_path)), "gone": lambda: spark.read.parquet(f"{tmp_path}/none"), "odd": fails}
-    found = {r["source"]: (r["n_rows"], r["problem"]) for r in pages.audit_sources(spark, sources, {"good": 3, "short": 3}).collect()}
-    assert found["bad"][0] is None and found.pop("bad")[1].startswith("unreadable: ")
-    assert found == {"good": (3, None), "short": (2, "rows differ from total"), "open": (1, "no total"), "gone": (None, "unreadable: PATH_NOT_FOUND"), "odd": (None, "unreadable: no such store")}
-
-
 def test_log_takes_arrays_only(spark):
     path = work_folder(spark, "l")
     assert documents.read_log(spark, path, "id bigint").count() == 0
@@ -132,15 +102,58 @@ def test_nested_history(spark, tmp_path):
 
 
 def test_missing_history_raises(spark):
-    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
-        documents.read_history(spark, work_folder(spark, "none")).collect()
+    with pytest.raises(FileNotFoundError):
+        documents.read_history(spark, work_folder(spark, "none"))
+
+
+SUPPLIER = '{"supplier": "A", "date": "2024-01-02", "amount": 12.5}'
 
 
 def test_invoices(spark):
-    rows = [(1, '{"supplier": "A", "date": "2024-01-02", "amount": 12.5}'), (2, '{"supplier": null, "date": null, "amount": null}'), (3, '{"supplier": "B", "da'), (4, "none"), (5, None)]
-    found = {r["id"]: r for r in invoices.parse_invoice_replies(spark.createDataFrame(rows, "id bigint, text string")).collect()}
-    assert found[1]["date"] == date(2024, 1, 2) and float(found[1]["amount"]) == 12.5 and found[2]["ok"]
-    assert [found[k]["ok"] for k in (3, 4, 5)] == [False] * 3 and found[3]["supplier"] is None
+    texts = [
+        SUPPLIER,
+        '{"supplier": null, "date": null, "amount": null}',
+        f"Sure! It\'s {{here}}: {SUPPLIER}\nAnything else?",
+        f'```json\n{SUPPLIER}\n``` and {{"supplier": "later"}}',
+        '{"note": "a } brace, a \\"quote\\" and a \\\\", "supplier": "A", "date": "2024-01-02", "amount": 12.5, "more": {"x": [1, {"y": 2}]}}',
+        f'{{"other": {{"a": 1}}}} {SUPPLIER}',
+        "x" * 20_000 + SUPPLIER,
+    ]
+    bad = ['{"supplier": "B", "da', "none", None, "", "{}", '{"other": 1}', '{"supplier": "A", "amount": "much"}', "[1, 2]", '"{"', f"an open {{ brace {SUPPLIER}"]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate([*texts, *bad])], "id bigint, text string")
+    found = {r["id"]: r for r in invoices.parse_invoice_replies(rows).collect()}
+    assert [found[k]["ok"] for k in range(len(texts))] == [True] * len(texts)
+    for k in (0, 2, 3, 4, 5, 6):
+        assert (found[k]["supplier"], found[k]["date"], float(found[k]["amount"])) == ("A", date(2024, 1, 2), 12.5), texts[k]
+    assert found[1]["supplier"] is None
+    rejects = sorted((r["id"], r["text"]) for r in invoices.invoice_rejects(rows).collect())
+    assert rejects == [(len(texts) + k, t) for k, t in enumerate(bad)]
+    assert all(found[k]["supplier"] is None for k, _ in rejects)
+
+
+def brute_objects(text):
+    out, depth, quoted, escaped, start = [], 0, False, False, 0
+    for at, c in enumerate(text):
+        if depth and quoted:
+            quoted, escaped = (c != '"' or escaped), c == "\\" and not escaped
+        elif c == "{":
+            start, depth = (start, depth + 1) if depth else (at, 1)
+        elif depth and c == '"':
+            quoted = True
+        elif depth and c == "}":
+            depth -= 1
+            if not depth:
+                out.append(text[start : at + 1])
+    return out
+
+
+def test_balanced_objects_equal_brute_force(spark):
+    import random
+
+    rng = random.Random(7)
+    texts = ["".join(rng.choice('{}"\\aé🙂') for _ in range(rng.randint(0, 25))) for _ in range(600)]
+    found = spark.createDataFrame([(t,) for t in texts], "text string").select("text", invoices.objects(F.col("text")).alias("o")).collect()
+    assert [r["o"] for r in found] == [brute_objects(r["text"]) for r in found]
 
 
 ITEMS = [("s0", datetime(2024, 5, 1, 8), "LEMON tart"), ("s0", datetime(2024, 5, 1, 21), "lemon"), ("s1", datetime(2024, 5, 1, 9), None), ("s0", datetime(2024, 4, 30, 22, 30), "lemon")]
@@ -167,3 +180,28 @@ def test_stream_equals_batch_and_replay_changes_nothing(spark):
     late.write.mode("append").parquet(f"{at}/in")
     run_daily_tally(spark.readStream.schema(df.schema).parquet(f"{at}/in"), "lemon", f"{at}/history", f"{at}/checkpoint1", cutoff=22)
     assert (date(2024, 5, 1), "s1", 1) in read() and (date(2024, 5, 1), "s0", 2) in read()
+
+
+def closing(spark, at, rows, ticks):
+    items = spark.createDataFrame(rows, "id bigint, store_id string, ts timestamp_ntz, productname string")
+    items.write.mode("append").parquet(f"{at}/items")
+    clock = spark.createDataFrame([(t,) for t in ticks], "ts timestamp_ntz")
+    clock.write.mode("append").parquet(f"{at}/ticks")
+    run_closing_tally(spark.readStream.schema(items.schema).parquet(f"{at}/items"), spark.readStream.schema(clock.schema).parquet(f"{at}/ticks"), "lemon", f"{at}/history", f"{at}/checkpoint", f"{at}/late")
+    return sorted((r["date"].day, r["store_id"], r["n"]) for r in documents.read_history(spark, f"{at}/history").collect())
+
+
+def test_saved_days_never_change_and_late_items_are_counted(spark):
+    at = work_folder(spark, "c")
+    first = [(k, *r) for k, r in enumerate(ITEMS)] + [(0, *ITEMS[0])]  # one comes twice
+    assert closing(spark, at, first, []) == []  # the day isn't over
+    assert closing(spark, at, [(10, "s1", datetime(2024, 5, 1, 20), "lemon")], [datetime(2024, 5, 1, 22)]) == []  # 00:00 in local time, but items may come for two hours more
+    saved = closing(spark, at, [(11, None, datetime(2024, 5, 1, 20), "lemon")], [datetime(2024, 5, 2, 0, 30)])
+    assert saved == [(1, "s0", 3), (1, "s1", 1)]
+    late = [(12, "s0", datetime(2024, 5, 1, 9), "lemon"), (13, "s2", datetime(2024, 5, 1, 9), "lemon"), (14, "s0", datetime(2024, 5, 2, 9), "lemon")]
+    assert closing(spark, at, late, [datetime(2024, 5, 3, 2)]) == [*saved, (2, "s0", 1)]
+    counted = spark.read.parquet(f"{at}/late").collect()
+    assert sum(r["n_late"] for r in counted) == 2
+    again = spark.createDataFrame([(date(2024, 5, 1), "s0", 99)], documents.HISTORY)
+    documents.save_days(again, f"{at}/history")  # as a replay of the sink would
+    assert sorted((r["date"].day, r["store_id"], r["n"]) for r in documents.read_history(spark, f"{at}/history").collect()) == [*saved, (2, "s0", 1)]

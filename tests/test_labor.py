@@ -1,5 +1,6 @@
 """Hand-made cases of the labor rules."""
 
+import warnings
 from datetime import datetime
 from decimal import Decimal
 
@@ -98,7 +99,8 @@ def test_lists_of_shifts_are_bounded(spark):
 
 def test_unreadable_payroll_falls_back_but_empty_does_not(spark, depts, tmp_path):
     df = shifts(spark, [(1, 100, 0, 10), (1, 100, 0, 10)])
-    by_store = lambda source: stores(labor.labor_by_store(df, source, depts, work_folder(spark, "t")))
+    folder = work_folder(spark, "t")  # the same for each run
+    by_store = lambda source: stores(labor.labor_by_store(df, source, depts, folder))
     (tmp_path / "bad.parquet").write_bytes(b"PAR1 nonsense")
     missing = lambda: spark.read.parquet(f"{tmp_path}/none")
     broken = lambda: spark.read.schema("employee_id bigint, cost decimal(18,2)").parquet(str(tmp_path))
@@ -106,6 +108,25 @@ def test_unreadable_payroll_falls_back_but_empty_does_not(spark, depts, tmp_path
         with pytest.warns(UserWarning, match="falls back"):
             assert by_store(source) == {"s0": 0}
     assert by_store(lambda: payroll(spark, [])) == {"s0": 1}
+    paid = lambda: payroll(spark, [(1, "999")])
+    with warnings.catch_warnings():
+        warnings.simplefilter("error")
+        assert [by_store(paid) for _ in range(2)] == [{"s0": 999}] * 2
+
+
+def test_a_folder_that_cant_be_written_is_no_unreadable_payroll(spark, depts, tmp_path):
+    (tmp_path / "file").write_text("no folder")
+    df = shifts(spark, [(1, 100, 0, 3600)])
+    with warnings.catch_warnings(), pytest.raises(Exception, match="(?i)mkdirs|not a directory|create"):
+        warnings.simplefilter("error")
+        labor.labor_by_store(df, lambda: payroll(spark, [(1, "999")]), depts, f"{tmp_path}/file/costs")
+
+
+def test_counters_of_the_same_run(spark, depts):
+    df = shifts(spark, [(1, 100, 0, 3600), (1, 999, 0, 3600), (2, 101, 0, None), (None, 100, 0, 60), (3, 101, 0, 3600)])
+    rows, counters = labor.labor_by_store_counted(df, payroll(spark, [(1, "100"), (9, "5")]), depts)
+    assert counters == {"shifts": 5, "no_employee": 1, "no_times": 1, "unmatched": 1, "salaried": 1, "hourly": 2}
+    assert stores(rows) == stores(labor.labor_by_store_hybrid(df, payroll(spark, [(1, "100"), (9, "5")]), depts)) == {"s0": 50, "s1": 160}
 
 
 def test_unparsable_instants_are_told_apart_from_missing_ones(spark):

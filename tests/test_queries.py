@@ -18,7 +18,7 @@ def con():
 
 
 def test_each_query_has_sql():
-    assert len(catalog.QUERIES) == 69
+    assert len(catalog.QUERIES) == 82
     assert set(catalog.QUERIES) == set(catalog.ORACLES)
 
 
