@@ -71,6 +71,8 @@ ALLOW = (
 #: Entropy is summed in these parts of a bit, as integers, so that the order of sums can't matter.
 PARTS = 1_000_000
 BLOCK = 256
+#: Bits of the count of a character in a window, and counts in one 64-bit number.
+BITS, COUNTS = 5, 12
 SPAN = "struct<start:bigint,end:bigint,rank:int,kind:string>"
 NONE = f"array<{SPAN}>"
 
@@ -116,46 +118,73 @@ def base_spans(text: Column, rank: int, kind: BaseKind) -> Column:
     return F.when(text.rlike(kind.hint), spans).otherwise(F.array().cast(NONE))
 
 
-def window_sums(block: Column, cls: EntropyClass) -> Column:
-    """array<int>, one item for each place of the block: the sum of n*log2(n) over the window that ends there, -1 while it fills."""
-    f = F.array(*(F.lit(round(n * math.log2(n) * PARTS) if n else 0) for n in range(cls.window + 2)))
-    code = lambda i: F.call_function("locate", F.substr(block, i, F.lit(1)), F.lit(cls.alphabet))
+def characters(block: Column, cls: EntropyClass) -> Column:
+    """array<struct<word, shift>>: where the count of each character of the block lies in the counts."""
+    code = lambda c: F.call_function("locate", c, F.lit(cls.alphabet)) - 1
+    found = F.transform(F.split(block, ""), code)
+    return F.transform(found, lambda k: F.struct(F.floor(k / COUNTS).cast("int").alias("word"), (F.pmod(k, F.lit(COUNTS)) * BITS).cast("int").alias("shift")))
+
+
+def window_marks(codes: Column, cls: EntropyClass, most: int) -> Column:
+    """A text of a digit for each character of a block: 1 where the window that ends there is full and its sum of n*log2(n) is ``most`` at most.
+
+    The counts of the window's characters are kept up in a few whole numbers,
+    BITS bits for each: one character enters, one leaves.
+    """
     w = cls.window
-    places = F.transform(F.sequence(F.lit(1), F.length(block)), lambda i: F.struct(i.alias("i"), code(i).alias("into"), F.when(i > w, code(F.greatest(i - w, F.lit(1)))).otherwise(0).alias("out")))
+    if w >= 1 << BITS:
+        raise ValueError(f"a window has {(1 << BITS) - 1} characters at most")
+    f = [round(n * math.log2(n) * PARTS) if n else 0 for n in range(w + 2)]
+    step_up = F.array(*(F.lit(y - x) for x, y in zip(f, f[1:], strict=False)))  # from n to n + 1 of a character
+    none = F.struct(F.lit(-1).alias("word"), F.lit(0).alias("shift"))
+    places = F.transform(F.sequence(F.lit(0), F.size(codes) - 1), lambda i: F.struct(F.get(codes, i).alias("into"), F.when(i >= w, F.get(codes, i - w)).otherwise(none).alias("out"), (i >= w - 1).alias("full")))
+
+    def count(counts: Column, c: Column) -> Column:
+        return F.call_function("shiftright", F.get(counts, c["word"]), c["shift"]).bitwiseAND((1 << BITS) - 1).cast("int")
 
     def step(acc: Column, x: Column) -> Column:
         into, out = x["into"], x["out"]
-        n_in, n_out = F.element_at(acc["counts"], into), F.element_at(acc["counts"], F.greatest(out, F.lit(1)))
-        leaves = F.when(out > 0, F.element_at(f, n_out) - F.element_at(f, n_out + 1)).otherwise(0)
-        moved = F.when(into == out, 0).otherwise(F.element_at(f, n_in + 2) - F.element_at(f, n_in + 1) + leaves)
-        counts = F.transform(acc["counts"], lambda n, k: n + F.when(k + 1 == into, 1).otherwise(0) - F.when(k + 1 == out, 1).otherwise(0))
-        sums = F.concat(acc["sums"], F.array(F.when(x["i"] >= w, acc["sum"] + moved).otherwise(-1)))
-        return F.struct(counts.alias("counts"), (acc["sum"] + moved).alias("sum"), sums.alias("sums"))
+        one = lambda c, k: F.when(c["word"] == k, F.call_function("shiftleft", F.lit(1).cast("bigint"), c["shift"])).otherwise(F.lit(0).cast("bigint"))
+        leaves = F.when(out["word"] >= 0, F.get(step_up, count(acc["counts"], out) - 1)).otherwise(0)
+        moved = F.when(into == out, 0).otherwise(F.get(step_up, count(acc["counts"], into)) - leaves)
+        counts = F.transform(acc["counts"], lambda n, k: n + one(into, k) - one(out, k))
+        total = acc["sum"] + moved
+        return F.struct(counts.alias("counts"), total.alias("sum"), F.concat(acc["marks"], F.when(x["full"] & (total <= most), "1").otherwise("0")).alias("marks"))
+
+    words = -(-len(cls.alphabet) // COUNTS)
+    start = F.struct(F.array_repeat(F.lit(0).cast("bigint"), words).alias("counts"), F.lit(0).alias("sum"), F.lit("").alias("marks"))
+    return F.aggregate(places, start, step, lambda acc: acc["marks"])
 
-    start = F.struct(F.array_repeat(F.lit(0), len(cls.alphabet)).alias("counts"), F.lit(0).alias("sum"), F.array().cast("array<int>").alias("sums"))
-    return F.aggregate(places, start, step, lambda acc: acc["sums"])
+
+def bound(value: Column, of) -> Column:
+    """``of(value)``, where the value is worked out once however often it is mentioned; for arrays as results."""
+    return F.flatten(F.transform(F.array(value), of))
 
 
 def high_spans(text: Column, at: Column, rank: int, cls: EntropyClass) -> Column:
     """Spans of joined high windows of the candidate ``text`` that begins at ``at``."""
     w = cls.window
-    # The entropy of a window is log2(w) - sum / w.
+    # The entropy of a window is log2(w) - sum / w. Where characters change within a full window, the one that leaves
+    # may still be the one that enters: then nothing moves.
     most = math.floor((math.log2(w) - cls.bits) * w * PARTS)
-    blocks = F.sequence(F.lit(0), F.greatest(F.length(text) - w, F.lit(0)), F.lit(BLOCK))
 
-    def highs(b: Column) -> Column:
-        sums = window_sums(F.substr(text, b + 1, F.lit(BLOCK + w - 1)), cls)
-        return F.filter(F.transform(sums, lambda s, i: F.when((s >= 0) & (s <= most), b + i + 1 - w)), lambda x: x.isNotNull())
+    def highs(blocks: Column) -> Column:
+        def of(b: Column, k: Column) -> Column:
+            block = F.concat(b, F.coalesce(F.substring(F.get(blocks, k + 1), 1, w - 1), F.lit("")))
+            marks = F.transform(F.array(block), lambda x: F.flatten(F.transform(F.array(characters(x, cls)), lambda codes: F.split(window_marks(codes, cls, most), ""))))
+            return bound(F.flatten(marks), lambda m: F.filter(F.transform(m, lambda x, i: F.when(x == "1", k * BLOCK + i + 1 - w)), lambda x: x.isNotNull()))
+
+        return F.flatten(F.transform(blocks, of))
 
-    starts = F.flatten(F.transform(blocks, highs))
+    # Cut in one go: a piece that is cut out by its place costs a walk from the beginning of the text.
+    starts = bound(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0)), highs)
 
     def joined(s: Column) -> Column:
         first = F.filter(s, lambda x, i: (i == 0) | (x - F.get(s, i - 1) > w))
         last = F.filter(s, lambda x, i: (i == F.size(s) - 1) | (F.get(s, i + 1) - x > w))
         return F.zip_with(first, last, lambda a, z: span(at + a, at + z + w, rank, cls.kind))
 
-    # The starts are bound to a name, not computed anew at each mention.
-    return F.flatten(F.transform(F.array(starts), joined))
+    return bound(starts, joined)
 
 
 def entropy_spans(text: Column, classes: tuple[EntropyClass, ...], allow: tuple[str, ...], rank: int) -> Column:
@@ -181,6 +210,9 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Positions are code points, ends exclusive. A null text counts as empty and
     has no spans. Repeated rows stay repeated, ties of start go by ``rank``,
     an empty table gives an empty result, and other columns are not looked at.
+    Texts and candidates of any length are scanned whole, in time that grows
+    in proportion: a candidate is cut into blocks once and each character of
+    it enters and leaves one window.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = F.array_sort(F.concat(*(base_spans(text, k, kind) for k, kind in enumerate(BASE))))

@@ -283,6 +283,21 @@ def entropy_spans(text):
     return sorted(out)
 
 
+def test_long_tokens_take_time_in_proportion(spark):
+    import time
+
+    def seconds(n):
+        rng = random.Random(n)
+        token = "".join(rng.choice("abcXYZ0123456789") for _ in range(n))
+        began = time.perf_counter()
+        found = secret_scan.scan_secrets(spark.createDataFrame([(1, token)], "doc_id bigint, text string")).first()
+        assert found["extra"] and found["extra"][-1]["end"] == n
+        return time.perf_counter() - began
+
+    seconds(1_000)
+    assert seconds(1_000_000) < 8 * seconds(200_000) + 2
+
+
 def test_entropy_spans_equal_brute_force(spark):
     rnd = random.Random(8)
     random_b64 = lambda n: "".join(rnd.choice(secret_scan.CLASSES[1].alphabet) for _ in range(n))
