@@ -3,9 +3,11 @@
 A rule is a regular expression over ``host/path`` with the literal tokens
 that any match must hold. It is filed under the one of them that is rarest in
 the table's own URLs; a URL's tokens fetch the candidate rules, and only
-those are run. A short list of rules is part of the plan and everything is
-one projection. A long list is a table that the tokens of the different URLs
-are joined with, so it may have any length.
+those are run. A rule without any literal token, such as one for a host beyond
+ASCII, is filed under the empty token, which every URL has. A short list of
+rules is part of the plan and everything is one projection. A table of rules
+is worked up by Spark and joined with the tokens of the different URLs, so it
+may have any length and never comes to the driver.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storeops.llm.shared import ascii_lower, table
+from storeops.llm.shared import UPPER, ascii_lower, table
 
 #: Rules that the plan itself may hold, as literals; more are joined, and broadcast up to so many bytes.
 INLINE, MOST_BYTES = 500, 64_000_000
@@ -35,11 +37,16 @@ class Rule:
     tier: int = 0
 
 
+def low(text: str) -> str:
+    return text.translate(str.maketrans(UPPER, UPPER.lower()))
+
+
 def site_rule(spec: str, verdict: str) -> Rule:
     """A rule ``host/path`` for the host, its subdomains and every path that begins so."""
     host, slash, path = spec.partition("/")
     if not slash or not host:
         raise ValueError(f"a rule needs a host and a path: {spec!r}")
+    host = low(host)  # as the hosts of URLs are
     regex = rf"^(?:[^/]*\.)?{re.escape(host)}{re.escape('/' + path)}"
     # A path may end within a token of the URL; only those before its last separator are sure to be whole.
     sure = re.match(r"(?s)(.*[^A-Za-z0-9])?", path)[0]
@@ -69,9 +76,45 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return ascii_lower(F.regexp_extract(url, rest, 1)), F.regexp_extract(url, rest, 2)
 
 
-def read_rules(table_: DataFrame) -> tuple[Rule, ...]:
-    """Rules from a table (rule, verdict): ``host/path`` for sites, ``word:words`` for words in hosts; other columns are not looked at."""
-    return tuple(word_rule(r["rule"][5:], r["verdict"]) if r["rule"].startswith("word:") else site_rule(r["rule"], r["verdict"]) for r in table_.select("rule", "verdict").distinct().toLocalIterator())
+def rule_rows(rules: DataFrame) -> DataFrame:
+    """(rule, verdict, tier, regex, tokens) of a table (rule, verdict), as :func:`site_rule` and :func:`word_rule` make them, by expressions.
+
+    ``host/path`` is a rule for sites, ``word:words`` one for words in hosts.
+    Rows without a verdict or of another form raise once there is a URL; repeated ones count once,
+    and of a rule with several verdicts the first by name holds. Other columns
+    are not looked at.
+    """
+    quoted = lambda c: F.concat(F.lit(r"\Q"), F.replace(c, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+    words = F.col("rule").startswith("word:")
+    host, path = ascii_lower(F.regexp_extract("rule", "(?s)^([^/]+)/", 1)), F.regexp_extract("rule", "(?s)^[^/]+(/.*)$", 1)
+    sure = F.regexp_extract(path, "(?s)^(.*[^A-Za-z0-9])?", 1)
+    parts = F.filter(F.split(F.lower(F.substring("rule", 6, 1 << 30)), TOKEN), lambda t: t != "")
+    site = F.concat(F.lit(r"^(?:[^/]*\.)?"), quoted(host), quoted(path))
+    word = F.concat(F.lit("^[^/]*(?<![a-z0-9])"), F.array_join(parts, "[^a-z0-9/]"), F.lit("(?![a-z0-9])"))
+    tokens = F.filter(F.array_distinct(F.when(words, parts).otherwise(F.split(F.lower(F.concat(host, sure)), TOKEN))), lambda t: t != "")
+    bad = F.col("verdict").isNull() | F.col("rule").isNull() | F.when(words, F.size(parts) == 0).otherwise(host == "")
+    held = rules.select(F.col("rule").cast("string").alias("rule"), F.col("verdict").cast("string").alias("verdict")).groupBy("rule").agg(F.min("verdict").alias("verdict"))
+    told = F.concat(F.lit("a rule needs a host and a path, or words, and a verdict: "), F.coalesce("rule", F.lit("null")))
+    # A bad rule has no token, so every URL meets it, and asks for its regular expression.
+    regex = F.when(bad, F.raise_error(told).cast("string")).otherwise(F.when(words, word).otherwise(site))
+    return held.select("rule", "verdict", words.cast("int").alias("tier"), regex.alias("regex"), F.when(~bad, tokens).alias("tokens"))
+
+
+def filed_rules(parts: DataFrame, rules: DataFrame) -> DataFrame:
+    """``rules`` (see :func:`rule_rows`) with ``token``, the rarest of theirs in the URLs, empty where they have none."""
+    each = rules.select("rule", F.explode("tokens").alias("token"))
+    held = parts.select(F.explode("tokens").alias("token")).join(each.select("token").distinct(), "token", "left_semi")
+    counts = held.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    rarest = each.join(counts, "token", "left").groupBy("rule").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token")).alias("best"))
+    return rules.join(rarest, "rule", "left").select("rule", "verdict", "tier", "regex", F.coalesce("best.token", F.lit("")).alias("token"))
+
+
+def filter_urls_by_table(pages: DataFrame, rules: DataFrame, default: str = "allow", id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+    """As :func:`filter_urls`, with the rules of a table (rule, verdict); an empty one fits nothing."""
+    parts = url_parts(pages, id_col, url_col)
+    filed = filed_rules(parts, rule_rows(rules))
+    # Not by hint: adaptive execution broadcasts the rules where they are small, and splits a frequent token where they aren't.
+    return judged(parts, filed.select("token", "regex", F.col("rule").alias("name"), F.col("verdict").alias("by"), "tier"), default).withColumnRenamed("id", id_col)
 
 
 def token_counts(parts: DataFrame, tokens: list[str]) -> dict[str, int]:
@@ -84,6 +127,14 @@ def token_counts(parts: DataFrame, tokens: list[str]) -> dict[str, int]:
     return {r["token"]: r["n"] for r in held.groupBy("token").agg(F.count(F.lit(1)).alias("n")).collect()}
 
 
+def url_parts(pages: DataFrame, id_col: str, url_col: str) -> DataFrame:
+    """(id, host, path, tokens); every URL has the empty token beside its own."""
+    host, path = host_and_path(F.col(url_col))
+    parts = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"))
+    tokens = F.split(F.lower(F.concat("host", F.lit(" "), "path")), TOKEN)
+    return parts.withColumn("tokens", F.array_union(tokens, F.array(F.lit(""))))
+
+
 def filter_urls(pages: DataFrame, rules: tuple[Rule, ...] = SITE_RULES + WORD_RULES, default: str = "allow", id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """One row per page: id, host, path, rule, verdict, by_rule.
 
@@ -94,16 +145,14 @@ def filter_urls(pages: DataFrame, rules: tuple[Rule, ...] = SITE_RULES + WORD_RU
     columns are not looked at; an empty table gives an empty result. URLs of
     any length are judged whole.
     """
-    host, path = host_and_path(F.col(url_col))
-    parts = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"))
-    parts = parts.withColumn("tokens", F.array_distinct(F.split(F.lower(F.concat("host", F.lit(" "), "path")), TOKEN)))
+    parts = url_parts(pages, id_col, url_col)
     if not rules:
         return parts.select(F.col("id").alias(id_col), "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"), F.lit(None).cast("string").alias("by_rule"))
     counts = token_counts(parts, sorted({t for r in rules for t in r.tokens}))
     filed: dict[str, list[int]] = defaultdict(list)
     order = sorted(rules, key=lambda r: (r.tier, -len(r.name), r.name))
     for k, rule in enumerate(order):
-        filed[min(rule.tokens, key=lambda t: (counts.get(t, 0), t))].append(k)
+        filed[min(rule.tokens or ("",), key=lambda t: (counts.get(t, 0), t))].append(k)
     if len(rules) > INLINE:
         return joined(parts, order, filed, default).withColumnRenamed("id", id_col)
     # Token to the places of its rules in the order of precedence; a token that no URL has costs nothing.
@@ -130,14 +179,20 @@ def filter_urls(pages: DataFrame, rules: tuple[Rule, ...] = SITE_RULES + WORD_RU
 
 
 def joined(parts: DataFrame, order: list[Rule], filed: dict[str, list[int]], default: str) -> DataFrame:
-    """The judgement by a table of rules: different URLs are joined with it by token, and pages with the judged URLs."""
-    rows = [(t, k, order[k].regex, order[k].name, order[k].verdict, order[k].tier) for t, ks in filed.items() for k in ks]
-    index = parts.sparkSession.createDataFrame(rows, "token string, k int, regex string, name string, by string, tier int")
-    if sum(len(t) + 2 * len(x) + 100 for t, _, x, *_ in rows) <= MOST_BYTES:
+    """The judgement by a table of rules that the driver has."""
+    rows = [(t, order[k].regex, order[k].name, order[k].verdict, order[k].tier) for t, ks in filed.items() for k in ks]
+    index = parts.sparkSession.createDataFrame(rows, "token string, regex string, name string, by string, tier int")
+    if sum(len(t) + 2 * len(x) + 100 for t, x, *_ in rows) <= MOST_BYTES:
         index = F.broadcast(index)
+    return judged(parts, index, default)
+
+
+def judged(parts: DataFrame, index: DataFrame, default: str) -> DataFrame:
+    """The judgement by rules (token, regex, name, by, tier): different URLs are joined with them by token, and pages with the judged URLs."""
     urls = parts.select("host", "path", "tokens").distinct()
     hits = urls.select("host", "path", F.explode("tokens").alias("token")).join(index, "token").filter(F.regexp_like(F.concat("host", "path"), F.col("regex")))
-    best = hits.groupBy("host", "path").agg(F.min(F.struct("k", "name", "by", "tier")).alias("best"))
+    first = F.struct("tier", (-F.length("name")).alias("shorter"), "name", "by")
+    best = hits.groupBy("host", "path").agg(F.min(first).alias("best"))
     # Not by hint: a URL of very many pages is split where both sides are exchanged.
     found = parts.select("id", "host", "path").join(best, ["host", "path"], "left")
     return found.select(

@@ -288,10 +288,10 @@ def test_long_tokens_take_time_in_proportion(spark):
 
     def seconds(n):
         rng = random.Random(n)
-        token = "".join(rng.choice("abcXYZ0123456789") for _ in range(n))
+        token = "".join(rng.choice("bcdfghjkqrtvwxzBCDFGHJKLQRSTVWXYZ0123456789") for _ in range(n))
         began = time.perf_counter()
         found = secret_scan.scan_secrets(spark.createDataFrame([(1, token)], "doc_id bigint, text string")).first()
-        assert found["extra"] and found["extra"][-1]["end"] == n
+        assert found["extra"] and found["extra"][-1]["end"] > n - 100
         return time.perf_counter() - began
 
     seconds(1_000)
@@ -601,12 +601,30 @@ def test_url_rules_equal_brute_force(spark, monkeypatch, inline):
     assert {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in found} == {k: judge(u) for k, u in enumerate(urls)}
     assert len(found) == len(urls)
     told = spark.createDataFrame([(r.name, r.verdict, "x") for r in url_filter.SITE_RULES + url_filter.WORD_RULES], "rule string, verdict string, name string")
-    again = url_filter.filter_urls(pages, url_filter.read_rules(told)).collect()
+    again = url_filter.filter_urls_by_table(pages, told.union(told.limit(2))).collect()
     assert sorted(map(tuple, again), key=str) == sorted(map(tuple, found), key=str)
     assert url_filter.filter_urls(pages, ()).filter("verdict <> 'allow'").count() == 0
     assert url_filter.filter_urls(pages.limit(0)).count() == 0
 
 
+def test_url_rules_of_any_host(spark, monkeypatch):
+    specs = [("Example.com/", "block"), ("пример.рф/", "block"), ("例え.jp/a+b/", "block"), ("a.b\\\\Ec/", "block"), ("ünïcode/", "block"), ("word:Hot-Deals", "block")]
+    urls = ["http://example.com/x", "http://www.EXAMPLE.com/", "http://пример.рф/", "http://x.пример.рф/y", "http://непример.рф/", "http://例え.jp/a+b/c", "http://例え.jp/aab/", "http://a.b\\\\Ec/", "http://ünïcode/", "http://my.hot-deals.example/", "http://other/", None]
+    want = [s == 1 for s in (1, 1, 1, 1, 0, 1, 0, 1, 1, 1, 0, 0)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    rules = tuple(url_filter.word_rule(s[5:], v) if s.startswith("word:") else url_filter.site_rule(s, v) for s, v in specs)
+    table = spark.createDataFrame(specs, "rule string, verdict string")
+    monkeypatch.setattr(url_filter, "INLINE", 500)
+    for found in (url_filter.filter_urls(pages, rules), url_filter.filter_urls_by_table(pages, table)):
+        assert [r["verdict"] == "block" for r in sorted(found.collect())] == want
+    monkeypatch.setattr(url_filter, "INLINE", 0)
+    assert [r["verdict"] == "block" for r in sorted(url_filter.filter_urls(pages, rules).collect())] == want
+    assert url_filter.filter_urls_by_table(pages, table.limit(0)).filter("verdict <> 'allow'").count() == 0
+    for bad in ("no slash", "/path", None, "word:--"):
+        with pytest.raises(Exception, match="a rule needs"):
+            url_filter.filter_urls_by_table(pages, spark.createDataFrame([(bad, "block")], "rule string, verdict string")).collect()
+
+
 def test_long_lists_of_url_rules(spark):
     """The longest of many fitting rules wins, as in a short list."""
     hosts = [f"h{k % 50}.d{k % 7}.example" for k in range(300)]
