@@ -13,7 +13,9 @@ block beside its postings. A text's words give an upper bound of its cosine
 with any example of a block; the blocks of largest bounds are opened first,
 and then all that could still hold one of the k nearest, so the k nearest are
 exact. The neighbours' votes, weighted by squared cosine, are calibrated on
-the examples themselves (each without itself); the nearest are the evidence.
+the examples themselves, fold by fold: strengths and neighbours of a fold come
+from the other folds alone, so no example's label is in its own votes. The
+nearest are the evidence.
 
 The index is built from a bounded sample of labelled rows, so what is
 broadcast is bounded too; texts are scored where they are read.
@@ -22,6 +24,7 @@ broadcast is bounded too; texts are scored where they are read.
 from __future__ import annotations
 
 import pickle
+import warnings
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -34,8 +37,10 @@ from pyspark.sql import functions as F
 from storeops.llm import arrays as A
 from storeops.llm.shared import Scratch, id_crc, importable, passed, table
 
-#: Labelled rows that the index is built from, those with the smallest hashes of their ids, and bytes of their texts, at most.
-SAMPLE, SAMPLE_BYTES = 2_500, 64_000_000
+#: Labelled rows that the index is built from, those with the smallest hashes of their ids, different words of theirs in all, and of one of them, at most.
+SAMPLE, POSTINGS, LONGEST = 2_500, 8_000_000, 100_000
+#: Parts of the examples that are voted on by the others for the calibration.
+FOLDS = 5
 NEIGHBOURS, EVIDENCE = 15, 3
 #: Examples of a block, and blocks that are opened before the bounds of the others are looked at.
 BLOCK, FIRST = 32, 4
@@ -265,13 +270,20 @@ def batches_of(h: np.ndarray, row: np.ndarray, count: np.ndarray, n: int) -> Ite
         at = to
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Index | None:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, postings: int = POSTINGS, longest: int = LONGEST) -> Index | None:
     """The index of a bounded sample of labelled rows, or None without examples of both kinds or without any word in them.
 
     Rows without id, label (0 or 1) or text are left out, and so are ids with
     both labels. Of an id that stands on several rows, one text is taken, the
-    one of smallest hash.
+    one of smallest hash. Texts of any length are counted where they lie; one
+    of over ``longest`` different words is left out by itself, and those of the
+    largest hashes where all would have more than ``postings``. What is left
+    out for that, and that nothing can be learned, is told in a warning.
     """
+
+    def none() -> None:
+        warnings.warn("there is no index of toxic texts: no labelled texts of both kinds have words", stacklevel=3)
+
     spark = docs.sparkSession
     importable(spark)
     scratch = Scratch(spark, "toxicity")
@@ -281,18 +293,21 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text is not null")
     # At most ``sample`` narrow rows are broadcast.
     rows = texts.join(F.broadcast(some), "id").groupBy("id", "toxic", "rank").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
-    rows = scratch.write(rows, "sample")
-    sizes = rows.select("rank", F.octet_length("text").alias("bytes")).toPandas().sort_values("rank")
-    inside = sizes["bytes"].cumsum() <= sample_bytes
-    if not inside.any():
-        return None
-    rows = rows.filter(F.col("rank") <= int(sizes["rank"][inside].iloc[-1]))
-    found = rows.select("id", "toxic", "text").mapInArrow(_vectors, passed(docs.schema[id_col].dataType, "toxic int, words array<bigint>, counts array<bigint>")).toArrow().combine_chunks()
+    # Texts are counted where they lie; from here on an example is its words.
+    rows = scratch.write(rows.select("id", "toxic", "text").mapInArrow(_vectors, passed(docs.schema[id_col].dataType, "toxic int, words array<bigint>, counts array<bigint>")), "sample")
+    sizes = rows.select(F.xxhash64("id").alias("rank"), F.size("words").alias("n")).toPandas().sort_values("rank")  # a row for each example
+    within = sizes[sizes["n"] <= longest]
+    taken = within[within["n"].cumsum() <= postings]
+    if len(taken) < len(sizes):
+        warnings.warn(f"{len(sizes) - len(taken)} of {len(sizes)} labelled texts are left out, since they have too many words", stacklevel=2)
+    if not len(taken):
+        return none()
+    found = rows.filter((F.size("words") <= longest) & (F.xxhash64("id") <= int(taken["rank"].iloc[-1]))).toArrow().combine_chunks()
     toxic = found["toxic"].to_numpy().astype(float)
     lists = found["words"].combine_chunks()
     h, sizes = lists.flatten().to_numpy().view(U), lists.value_lengths().to_numpy()
     if not 0 < toxic.sum() < len(toxic) or not len(h):
-        return None
+        return none()
     example = np.repeat(np.arange(len(toxic)), sizes)
     vocabulary, place = np.unique(h, return_inverse=True)
     given = spark.sparkContext.broadcast(vocabulary)
@@ -301,33 +316,49 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     df = np.zeros(len(vocabulary), np.int64)
     df[counts["place"].to_numpy()] = counts["n"].to_numpy()
     documents = texts.count()
-    n, share = np.bincount(place), float(toxic.mean())
-    weight = idf_of(documents, df) * strength_of(n, np.bincount(place, toxic[example]), share)
-    w = (1 + np.log(found["counts"].combine_chunks().flatten().to_numpy())) * weight[place]
-    norm = np.sqrt(np.bincount(example, w * w, len(toxic)))
-    index = Index.of(vocabulary, weight, float(idf_of(documents, np.zeros(1))[0]), np.array(found["id"].to_pylist(), object), toxic, example, place, w / norm[example])
-    index.theta = calibrate(index)
+    frequent, ids = idf_of(documents, df), np.array(found["id"].to_pylist(), object)
+    tf = 1 + np.log(found["counts"].combine_chunks().flatten().to_numpy())
+    unknown = float(idf_of(documents, np.zeros(1))[0])
+    index = learned(vocabulary, frequent, unknown, ids, toxic, example, place, tf)
+    index.theta = calibrate(vocabulary, frequent, unknown, ids, toxic, example, place, tf)
     return index
 
 
-def calibrate(index: Index) -> tuple[float, float]:
-    """The logistic curve from the votes on examples, each without itself, to their labels."""
-    n = len(index.toxic)
-    # Postings back to vectors: those of the matrix and the others.
-    slots, examples = np.nonzero(index.dense[:, :n])
-    word = np.argsort(np.where(index.slot < 0, len(index.slot), index.slot), kind="stable")[: len(index.dense)]
-    pair_word = np.repeat(np.arange(len(index.vocabulary)), np.diff(index.pairs))
-    row = np.concatenate([examples, index.posting_example])
-    place = np.concatenate([word[slots], np.repeat(pair_word, np.diff(index.postings))])
-    w = np.concatenate([index.dense[slots, examples], index.posting_weight])
-    order = np.argsort(row, kind="stable")
-    row, place, w = row[order], place[order], w[order]
-    votes = np.zeros(n)
-    for at, to, (p, r, x, m) in batches_of(place, row, w, n):
-        votes[at:to] = index.votes(*index.search(r, p, x, m, but=np.arange(at, to)), m)
+def learned(vocabulary: np.ndarray, frequent: np.ndarray, unknown: float, ids: np.ndarray, toxic: np.ndarray, example: np.ndarray, place: np.ndarray, tf: np.ndarray) -> Index:
+    """The index of examples, with the strengths of words that these have."""
+    share = float(toxic.mean()) if len(toxic) else 0.0
+    v = len(vocabulary)
+    weight = frequent * strength_of(np.bincount(place, minlength=v), np.bincount(place, toxic[example], v), share)
+    w = tf * weight[place]
+    norm = np.sqrt(np.bincount(example, w * w, len(toxic)))
+    return Index.of(vocabulary, weight, unknown, ids, toxic, example, place, w / norm[example])
+
+
+def fold_of(ids: np.ndarray) -> np.ndarray:
+    return np.array([zlib.crc32(f"fold {i}".encode()) % FOLDS for i in ids.tolist()], int)
+
+
+def calibrate(vocabulary: np.ndarray, frequent: np.ndarray, unknown: float, ids: np.ndarray, toxic: np.ndarray, example: np.ndarray, place: np.ndarray, tf: np.ndarray) -> tuple[float, float]:
+    """The logistic curve from the votes of the other folds on each fold's examples to their labels."""
+    fold, votes = fold_of(ids), np.zeros(len(ids))
+    for f in np.unique(fold).tolist():
+        for_it, others = np.flatnonzero(fold == f), np.flatnonzero(fold != f)
+        moved = np.empty(len(ids), np.int64)
+        moved[others], moved[for_it] = np.arange(len(others)), np.arange(len(for_it))
+        mine = fold[example] == f
+        if not len(others) or mine.all():
+            continue
+        index = learned(vocabulary, frequent, unknown, ids[others], toxic[others], moved[example[~mine]], place[~mine], tf[~mine])
+        w = tf[mine] * index.weight[place[mine]]
+        row = moved[example[mine]]
+        norm = np.sqrt(np.bincount(row, w * w, len(for_it)))
+        order = np.argsort(row, kind="stable")
+        row, p, w = row[order], place[mine][order], (w / norm[row])[order]
+        for at, to, (x, r, y, m) in batches_of(p, row, w, len(for_it)):
+            votes[for_it[at:to]] = index.votes(*index.search(r, x, y, m), m)
     # An example that is alone of its kind says nothing once it is left out.
-    tells = np.where(index.toxic == 1, index.toxic.sum() > 1, (1 - index.toxic).sum() > 1)
-    return platt(votes[tells], index.toxic[tells] == 1)
+    tells = np.where(toxic == 1, toxic.sum() > 1, (1 - toxic).sum() > 1)
+    return platt(votes[tells], toxic[tells] == 1)
 
 
 def platt(votes: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:

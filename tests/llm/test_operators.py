@@ -421,33 +421,43 @@ def by_brute_force(rows, labels, k):
     df = Counter(w for c, (_, t) in zip(counts, rows, strict=True) for w in c if t is not None)
     n = sum(t is not None for _, t in rows)
     examples = [(j, labels[i]) for j, (i, t) in enumerate(rows) if i in labels and t is not None]
-    share = sum(t for _, t in examples) / len(examples)
-    held, bad = Counter(), Counter()
-    for j, t in examples:
-        held.update(counts[j].keys())
-        bad.update(dict.fromkeys(counts[j], t))
-
-    def weight(w):
-        if w not in held:
-            return math.log(1 + n) + 1
-        z = abs(bad[w] - held[w] * share) / math.sqrt(held[w] * share * (1 - share) + 1)
-        return (math.log((1 + n) / (1 + df[w])) + 1) * max(1, z)
-
-    vectors = [{w: (1 + math.log(c)) * weight(w) for w, c in x.items()} for x in counts]
-    norms = [math.sqrt(sum(x * x for x in v.values())) for v in vectors]
-    cosine = lambda i, j: sum(x * vectors[j].get(w, 0) for w, x in vectors[i].items()) / (norms[i] * norms[j]) if norms[i] and norms[j] else 0
-    cosines = [{rows[j][0]: cosine(i, j) for j, _ in examples} for i in range(len(rows))]
+
+    def cosines_with(examples, of):
+        share = sum(t for _, t in examples) / len(examples)
+        held, bad = Counter(), Counter()
+        for j, t in examples:
+            held.update(counts[j].keys())
+            bad.update(dict.fromkeys(counts[j], t))
+        known = {w for j, t in all_examples for w in counts[j]}
+
+        def weight(w):
+            if w not in known:
+                return math.log(1 + n) + 1
+            z = abs(bad[w] - held[w] * share) / math.sqrt(held[w] * share * (1 - share) + 1)
+            return (math.log((1 + n) / (1 + df[w])) + 1) * max(1, z)
+
+        vectors = {j: {w: (1 + math.log(c)) * weight(w) for w, c in counts[j].items()} for j in {*of, *(j for j, _ in examples)}}
+        norms = {j: math.sqrt(sum(x * x for x in v.values())) for j, v in vectors.items()}
+        cosine = lambda i, j: sum(x * vectors[j].get(w, 0) for w, x in vectors[i].items()) / (norms[i] * norms[j]) if norms[i] and norms[j] else 0
+        return {i: {j: cosine(i, j) for j, _ in examples} for i in of}
 
     def vote(near):
         near = sorted((c for c in near if c[0] > 0), reverse=True)[:k]
         return sum(c * c * t for c, t in near) / sum(c * c for c, t in near) if near else None
 
-    own = [vote([(cosines[j][rows[x][0]], t) for x, t in examples if x != j]) or 0 for j, _ in examples]
+    all_examples = examples
+    fold = dict(zip([j for j, _ in examples], toxicity.fold_of(np.array([rows[j][0] for j, _ in examples], object)).tolist(), strict=True))
+    own = {}
+    for f in set(fold.values()):
+        others, mine = [x for x in examples if fold[x[0]] != f], [j for j, _ in examples if fold[j] == f]
+        for i, near in cosines_with(others, mine).items():
+            own[i] = vote([(near[j], t) for j, t in others]) or 0
     y = np.array([t for _, t in examples])
     tells = np.where(y == 1, y.sum() > 1, (1 - y).sum() > 1)
-    theta = toxicity.platt(np.array(own)[tells], y[tells] == 1)
-    votes = [vote([(cosines[i][rows[x][0]], t) for x, t in examples]) for i in range(len(rows))]
-    return cosines, [0 if v is None else 1 / (1 + math.exp(-(theta[0] * (2 * v - 1) + theta[1]))) for v in votes]
+    theta = toxicity.platt(np.array([own[j] for j, _ in examples])[tells], y[tells] == 1)
+    whole = cosines_with(examples, range(len(rows)))
+    votes = [vote([(whole[i][j], t) for j, t in examples]) for i in range(len(rows))]
+    return [{rows[j][0]: c for j, c in whole[i].items()} for i in range(len(rows))], [0 if v is None else 1 / (1 + math.exp(-(theta[0] * (2 * v - 1) + theta[1]))) for v in votes]
 
 
 @pytest.mark.parametrize(("block", "first", "dense"), [(32, 4, 1024), (4, 1, 5), (1, 20, 1)])
@@ -544,8 +554,38 @@ def test_toxicity_sample_is_bounded(spark):
     docs, labels = documents(spark, rows), spark.createDataFrame([(i, i % 2) for i in range(40)] * 3 + [(7, 0)], "doc_id bigint, toxic int")
     assert len(toxicity.fit(docs, labels).ids) == 39
     assert len(toxicity.fit(docs, labels, sample=10).ids) == 10
-    assert len(toxicity.fit(docs, labels, sample_bytes=200).ids) < 25
-    assert toxicity.fit(docs, labels, sample_bytes=3) is None
+    with pytest.warns(UserWarning, match="left out"):
+        assert 10 < len(toxicity.fit(docs, labels, postings=40).ids) < 25
+    with pytest.warns(UserWarning, match="no index"):
+        assert toxicity.fit(docs, labels, postings=0) is None
+
+
+def test_one_long_labelled_text_changes_nothing_else(spark):
+    """Wherever it stands in the order of hashes, toxic or not, it is left out or learned like others."""
+    rows = [(i, " ".join([WORDS[(i * j) % 24] for j in range(9)] + ["grumok"] * (i % 4 == 0))) for i in range(40)]
+    labels = {i: int(i % 4 == 0) for i, _ in rows}
+    long = " ".join(f"{a}{b}{c}{d}" for a in "abcdefghijkl" for b in "abcdefghijkl" for c in "abcdefghijkl" for d in "abcdefgh")
+    for i in range(100, 106):
+        docs = documents(spark, [*rows, (i, long)])
+        table = spark.createDataFrame([*labels.items(), (i, i % 2)], "doc_id bigint, toxic int")
+        with pytest.warns(UserWarning, match="1 of 41 labelled texts"):
+            index = toxicity.fit(docs, table, longest=1_000)
+        assert set(index.ids) == set(labels)
+        whole = toxicity.fit(docs, table)
+        assert set(whole.ids) == {*labels, i}
+        for some in (index, whole):
+            found = {r["doc_id"]: r["predicted"] for r in toxicity.score(docs, some).collect()}
+            assert all(found[j] == t for j, t in labels.items())
+
+
+def test_op6_of_the_given_tables(spark):
+    sf = f"{DATA}/sf0.01"
+    found = toxicity.op6_toxicity(spark, sf).collect()
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    assert len(found) == spark.read.parquet(f"{sf}/documents.parquet").count()
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) and r["predicted"] == (r["score"] >= 0.5) and 0 <= r["score"] <= 1 for r in found)
+    told = [(r["predicted"], labels[r["doc_id"]]) for r in found if r["held_out"] and labels.get(r["doc_id"]) is not None]
+    assert sum(p == t for p, t in told) >= 0.95 * len(told)
 
 
 # 7
