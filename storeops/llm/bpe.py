@@ -26,8 +26,11 @@ from storeops.llm.shared import importable, passed, table
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 #: Characters that are encoded at once, about.
 PART = 1 << 16
-#: No alternative of the pattern holds a visible character before white space, or a letter before a digit: a match ends there.
-SAFE = (re.compile(r"(?<=[!-~])(?=[ \n])"), re.compile(r"(?<=[A-Za-z])(?=[0-9])"))
+#: Characters of which it is sure what the pattern takes them for: letters, and marks that are neither letters, digits nor white space.
+LETTER = "A-Za-zÀ-ÖØ-öø-ɏЀ-ҁぁ-ゖァ-ヺ一-龥가-힣"
+MARK, WHITE = r"!-&(-/:-@\[-`{-~“”…–—、。〈-】！（），：；？", r" \t\n\r\u3000"
+#: A match of the pattern ends after the letters, digits or marks of a run and before anything else. Only an apostrophe may go on with letters.
+SAFE = re.compile(rf"(?<=[{LETTER}])(?=[0-9'{MARK}{WHITE}])|(?<=[0-9])(?=[{LETTER}'{MARK}{WHITE}])|(?<=[{MARK}])(?=[{LETTER}0-9{WHITE}])|(?<=')(?=[{WHITE}])")
 
 
 @lru_cache(maxsize=2)
@@ -39,14 +42,11 @@ def encoding(ranks: str = RANKS, pattern: str = public_tokenizers.PATTERN) -> ti
 
 
 def parts(text: str, most: int = PART) -> Iterator[str]:
-    """The text in parts that end where a match of the pattern must end; without such a place, the rest is one part."""
+    """The text in parts that end at the next place after ``most`` characters where a match of the pattern must end; without such a place, the rest is one part."""
     at = 0
-    while len(text) - at > most:
-        cut = next((m.start() for safe in SAFE if (m := safe.search(text, at + most))), None)
-        if cut is None:
-            break
-        yield text[at:cut]
-        at = cut
+    while len(text) - at > most and (safe := SAFE.search(text, at + most)):
+        yield text[at : safe.start()]
+        at = safe.start()
     yield text[at:]
 
 
@@ -83,7 +83,9 @@ def encode(docs: DataFrame, decoded: bool = False, ranks: str = RANKS, id_col: s
     Special tokens are ordinary text. A null text counts as empty and has no
     ids. Rows keep their number, repeated ones too, and ids of any type or
     null pass through; an empty table gives an empty result; other columns
-    are not looked at. ``ranks`` must lie at that path on every executor.
+    are not looked at. A very long text is encoded in parts of about PART
+    characters; a single match of the pattern, such as letters without end, is
+    one part however long. ``ranks`` must lie at that path on every executor.
     """
     importable(docs.sparkSession)
     schema = passed(docs.schema[id_col].dataType, "n_tokens bigint, ids binary" + ", decoded binary" * decoded)
