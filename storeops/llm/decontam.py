@@ -21,11 +21,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storeops.llm import arrays as A
-from storeops.llm.shared import Scratch, importable, passed, table
+from storeops.llm.shared import Scratch, ascii_lower, importable, passed, table
 
 WINDOW = 10
-#: Bytes of item texts in one automaton, about, and automata that a pass over the texts holds; a larger benchmark takes several passes.
-SHARD_BYTES, SHARDS = 1_000_000, 16
+#: Bytes of item texts in one automaton, about (some 14 MB of it), and automata that a pass over the texts holds; a larger benchmark takes several passes.
+SHARD_BYTES, SHARDS = 1_000_000, 6
 #: Words of a run that are streamed in a row; longer runs come in pieces that share what a window needs.
 PIECE = 256
 FILTER_BITS = 20
@@ -354,10 +354,21 @@ def _build(window: int):
     return run
 
 
+def pieces(items: DataFrame, window: int, most: int) -> DataFrame:
+    """Different items (id, text); one of over ``most`` bytes comes in pieces of about that size that share ``window`` - 1 words, so no window is torn or made."""
+    items = items.filter("text is not null").distinct()
+    long = F.octet_length("text") > most
+    words = F.filter(F.split(ascii_lower(F.col("text")), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), lambda w: w != "")
+    cut = items.filter(long).select("id", words.alias("words"), F.greatest(F.floor(F.size(words) * F.lit(float(most)) / F.octet_length("text")), F.lit(window)).cast("int").alias("step"))
+    starts = F.sequence(F.lit(1), F.greatest(F.size("words") - window + 1, F.lit(1)), F.col("step"))
+    cut = cut.select("id", F.explode(F.transform(starts, lambda at: F.array_join(F.slice("words", at, F.col("step") + (window - 1)), " "))).alias("text"))
+    return items.filter(~long).unionByName(cut)
+
+
 def automata(benchmark: DataFrame, window: int = WINDOW, id_col: str = "item_id", text_col: str = "text") -> Iterator[list[Automaton]]:
     """The automata of each pass; tasks build them, and no more than those of one pass are on the driver at a time."""
     importable(benchmark.sparkSession)
-    items = benchmark.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
+    items = pieces(benchmark.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")), window, SHARD_BYTES)
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, math.ceil(size / SHARD_BYTES))
     dealt = items.select(F.pmod(F.xxhash64("id", "text"), F.lit(shards)).alias("shard"), "id", "text")
@@ -375,7 +386,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: st
     hits but is in no list. Repeated rows stay repeated, repeated items count
     once by id, an empty benchmark hits nothing, an empty table gives an empty
     result, and other columns are not looked at. A very long text is tokenised
-    in pieces and streamed in pieces that share what a window needs.
+    in pieces and streamed in pieces that share what a window needs; so is a
+    very long item.
     """
     spark = docs.sparkSession
     importable(spark)
