@@ -1,11 +1,13 @@
 """Operator 5: exact deduplication against a persistent digest index.
 
-The index is a table bucketed and sorted by digest, one row for each distinct
-text that was ever taken in. A batch is reduced to one row for each of its
-digests before it is shuffled, so copies never meet in one task; a sort-merge
-anti-join against the index (whose side needs no exchange) leaves the new
-digests, and those are appended. The number of buckets follows the number of
-digests that the index is made for.
+The index is a table bucketed and sorted by digest. A batch is reduced to one
+row for each of its digests before it is shuffled, so copies never meet in one
+task; a sort-merge anti-join against the index (whose side needs no exchange)
+leaves the new digests, and those are appended. What a batch saw of digests
+that were there already is appended too, as sightings: the row that stays and
+the size of a group follow from all its rows, one for each batch that had the
+text. The number of buckets follows the number of digests that the index is
+made for.
 """
 
 from __future__ import annotations
@@ -17,7 +19,9 @@ from storeops.llm.shared import WHITE, Scratch, table
 
 #: Digests of a bucket, about, and buckets that an index has at least and at most.
 BUCKET_ROWS, BUCKETS, MOST_BUCKETS = 2_000_000, 16, 8_192
-INDEX_SCHEMA = "digest binary, keep_id bigint, group_size bigint, batch string"
+INDEX_SCHEMA = "digest binary, has_id boolean, n_points int, minus_id bigint, n bigint, new boolean, batch string"
+#: Batches in which a table is taken into an index of its own.
+BATCHES = 2
 
 
 def normalised(text: Column) -> Column:
@@ -50,8 +54,8 @@ class DigestIndex:
     :func:`buckets_for` tells how many suit a number of digests.
 
     One batch is taken in at a time: two that are taken in at once could both
-    append a digest that neither finds. ``group_size`` counts the rows of the
-    batch that brought the digest in, not of later ones.
+    append a digest that neither finds. A batch that is taken in once more
+    counts once more.
     """
 
     def __init__(self, spark: SparkSession, name: str, path: str, buckets: int = BUCKETS):
@@ -71,17 +75,18 @@ class DigestIndex:
         return self.spark.table(self.name)
 
     def ingest(self, marked: DataFrame, batch: str) -> None:
-        """Appends the digests of ``marked`` (see :func:`digests`) that the index lacks.
-
-        Of equal texts within the batch the row with the most code points of
-        those with an id, then the smallest id, is the one that stays; a text that an earlier
-        batch brought in keeps that batch's row.
-        """
+        """Appends a row for each digest of ``marked`` (see :func:`digests`): new ones and sightings of those that the index has."""
         best = F.max(F.struct(F.col("id").isNotNull().alias("has_id"), "n_points", (-F.col("id")).alias("minus_id")))
-        fresh = marked.groupBy("digest").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size"))
-        fresh = fresh.select("digest", (-F.col("best.minus_id")).alias("keep_id"), "group_size", F.lit(batch).alias("batch"))
-        known = self.rows().select("digest")
-        self._append(fresh.join(known.hint("merge"), "digest", "left_anti"))
+        seen = marked.groupBy("digest").agg(best.alias("best"), F.count(F.lit(1)).alias("n")).select("digest", "best.*", "n")
+        known = self.rows().filter("new").select("digest").hint("merge")
+        new, old = seen.join(known, "digest", "left_anti"), seen.join(known, "digest", "left_semi")
+        self._append(new.withColumn("new", F.lit(True)).unionByName(old.withColumn("new", F.lit(False))).withColumn("batch", F.lit(batch)))
+
+    def groups(self) -> DataFrame:
+        """(digest, keep_id, group_size) of all texts taken in so far; a bucket is read by one task and needs no exchange."""
+        best = F.max(F.struct("has_id", "n_points", "minus_id"))
+        found = self.rows().groupBy("digest").agg(best.alias("best"), F.sum("n").alias("group_size"))
+        return found.select("digest", (-F.col("best.minus_id")).alias("keep_id"), "group_size")
 
 
 def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, batch: str = "batch", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -94,9 +99,13 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, batch: str =
     against a row with one; a group of such rows alone has keep_id null and
     kept false. An empty table gives an empty result. Other columns of
     ``docs`` are not looked at. Digests are made where the texts are read and
-    no text is exchanged, so very long ones are no special case. Without
-    ``index`` a new one is made for this batch, with buckets for as many
-    digests as the batch has rows, and left out of the catalog again.
+    no text is exchanged, so very long ones are no special case.
+
+    ``keep_id`` and ``group_size`` are those of all batches that ``index`` has
+    taken in, this one included; the row that stays may be an earlier one.
+    Without ``index`` a new one is made, with buckets for as many digests as
+    ``docs`` has rows, takes ``docs`` in by batches, and is left out of the
+    catalog again.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "digests")
@@ -104,11 +113,16 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, batch: str =
     own = index is None
     if index is None:
         index = DigestIndex(spark, scratch.root.rsplit("/", 1)[1].replace("-", "_"), scratch.path("index"), buckets_for(marked.count()))
-    index.ingest(marked, batch)
+    if own:
+        # Copies fall into different batches, so that the later ones meet the earlier in the index.
+        for k in range(BATCHES):
+            index.ingest(marked.filter(F.pmod(F.xxhash64("id", "text_hash"), F.lit(BATCHES)) == k), f"{batch}-{k}")
+    else:
+        index.ingest(marked, batch)
+    # As a table of its own, so that both sides of the join are exchanged and Spark can split a hot digest.
+    entries = scratch.write(index.groups(), "groups")
     if own:
         index.drop()
-    # Read by path, so that both sides are exchanged and Spark can split a hot digest.
-    entries = spark.read.schema(INDEX_SCHEMA).parquet(index.path).select("digest", "keep_id", "group_size")
     found = marked.drop("n_points").join(entries, "digest")
     return found.select(
         F.col("id").alias(id_col),
