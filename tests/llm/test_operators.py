@@ -367,6 +367,17 @@ def test_long_texts_and_runs_come_in_pieces(monkeypatch):
         assert len(hit) == n and sorted({auto.names[i] for i in item.tolist() if i >= 0}) == of
 
 
+def test_long_and_repeated_items_are_cut(spark):
+    rnd = random.Random(52)
+    text = " ".join(rnd.choice("abcdefgh") + rnd.choice("xyzé") for _ in range(2_000))
+    items = spark.createDataFrame([("i", text)] * 3 + [("j", "Aa, bB"), ("j", "Aa, bB"), (None, None)], "id string, text string")
+    found = [(r["id"], r["text"]) for r in decontam.pieces(items, 10, 500).collect()]
+    cut = sorted(t for i, t in found if i == "i")
+    assert [t for i, t in found if i == "j"] == ["Aa, bB"] and len(found) == 1 + len(cut) and max(len(t.encode()) for t in cut) < 650
+    grams = lambda t: {tuple(w[k : k + 10]) for w in [t.split()] for k in range(len(w) - 9)}
+    assert set().union(*map(grams, cut)) == grams(text) and all(len(t.split()) >= 10 for t in cut)
+
+
 def test_decontaminate_cuts_spans_and_drops_copies(spark):
     docs = documents(spark, [(1, "a foo é X, y z bar foo foo foo"), (2, "x y z"), (3, None), (4, "clean"), (5, "x y z w")])
     bench = spark.createDataFrame([(1, "x y z")], "item_id bigint, text string")
@@ -384,13 +395,14 @@ def test_exact_dedup_and_persistent_index(spark):
     assert found == {3: (2, 4, False), 1: (2, 4, False), 2: (2, 4, True), 9: (2, 4, False), 4: (5, 3, False), 5: (5, 3, True), 6: (5, 3, False), 7: (7, 1, True), 8: (8, 2, True)}
     index = exact_dedup.DigestIndex(spark, "seen_texts", shared.Scratch(spark, "t").path("index"))
     exact_dedup.exact_dedup(documents(spark, rows[:4]), index, "one").count()
-    later = exact_dedup.exact_dedup(documents(spark, [(100, "a      b"), (101, "new")]), index, "two").collect()
-    assert {r["doc_id"]: (r["keep_id"], r["kept"]) for r in later} == {100: (2, False), 101: (101, True)}
-    assert index.rows().count() == 2
+    told = lambda df: {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in df.collect()}
+    later = exact_dedup.exact_dedup(documents(spark, [(100, "ab "), (101, "new"), (102, "a\nb")]), index, "two")
+    assert told(later) == {100: (2, 6, False), 101: (101, 1, True), 102: (2, 6, False)}
+    assert index.rows().filter("new").count() == 2 and index.rows().count() == 3
     spark.sql("DROP TABLE seen_texts")
     index = exact_dedup.DigestIndex(spark, "seen_texts", index.path)
-    again = exact_dedup.exact_dedup(documents(spark, [(200, "n e w")]), index, "three").collect()
-    assert [(r["keep_id"], r["kept"]) for r in again] == [(101, False)] and index.rows().count() == 2
+    assert told(exact_dedup.exact_dedup(documents(spark, [(200, "n e w"), (50, "a    b")]), index, "three")) == {200: (200, 2, True), 50: (50, 7, True)}
+    assert index.rows().filter("new").count() == 2
     plan = documents(spark, rows).transform(exact_dedup.digests).groupBy("digest").count().join(index.rows().hint("merge"), "digest", "left_anti")
     assert plan._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1  # none on the index side
     assert exact_dedup.exact_dedup(documents(spark, rows).limit(0)).count() == 0
@@ -593,13 +605,17 @@ def test_op6_of_the_given_tables(spark):
 
 def test_bpe_round_trip_and_safe_cuts(spark, monkeypatch):
     rnd = random.Random(7)
-    long = "".join(rnd.choice(["word ", "it's ", "x1y22 ", "é\u3000", "\n\n", "  ", "<|endoftext|>", "😀", "\t\x85", "don't"]) for _ in range(4000))
+    bits = ["word ", "it's ", "x1y22 ", "é\u3000", "\n\n", "  ", "<|endoftext|>", "😀", "\t\x85", "don't", "漢字。", "「かな」", "!'s", "'", "''ll", "一二三", "٣", "а́б", "…", "’s", " '", "I'LL", "가나다", "½", "·"]
+    long = "".join(rnd.choice(bits) for _ in range(6000))
     rows = [(1, long), (2, "a" * 300_000), (3, None), (4, ""), (5, " "), (6, "ab12" * 50_000), (6, "x"), (None, "null id")]
     enc = bpe.encoding()
     assert all("".join(bpe.parts(t, 50)) == t for _, t in rows if t)
     for most in (1, 7, 50):
         assert [x for p in bpe.parts(long, most) for x in enc.encode_ordinary(p)] == enc.encode_ordinary(long)
     assert len(list(bpe.parts(long, 50))) > 100
+    # The nearest place, of whatever kind; texts beyond ASCII have some too.
+    assert [len(p) for p in bpe.parts("a" * 70 + "1" * 400 + " b", 65)] == [70, 400, 2]
+    assert max(len(p) for p in bpe.parts("漢字かな交じり文。" * 1000, 65)) < 90
     encoded = bpe.encode(documents(spark, rows), decoded=True)
     found = sorted(((r["doc_id"], r["n_tokens"], bytes(r["ids"]), bytes(r["decoded"])) for r in encoded.collect()), key=str)
     want = sorted(((i, len(x := enc.encode_ordinary(t or "")), np.array(x, "<u4").tobytes(), (t or "").encode()) for i, t in rows), key=str)
@@ -720,16 +736,16 @@ def naive_bayes(train, texts, buckets):
     return langs, [[sum(math.log((counts[x][g] + lang_id.SMOOTHING) / totals[x]) for g in grams(t)) for x in langs] for t in texts]
 
 
-@pytest.mark.parametrize(("matrix_bytes", "buckets"), [(10**9, 1 << 15), (3 * 4 * 1000, 512)])
-def test_language_scores_equal_brute_force(spark, matrix_bytes, buckets):
-    """Training and scoring on all n-grams; with little room for the matrix, in fewer buckets."""
+@pytest.mark.parametrize(("matrix_bytes", "blocks"), [(10**9, [3]), (2 * 4 << 15, [2, 1]), (1, [1, 1, 1])])
+def test_language_scores_equal_brute_force(spark, matrix_bytes, blocks):
+    """Training and scoring on all n-grams; with little room for the matrix, in several passes."""
     rnd = random.Random(9)
     rows = [(k, " ".join("".join(rnd.choice(letters) for _ in range(rnd.randint(1, 7))) for _ in range(8)), lang) for k, (lang, letters) in enumerate([("a", "abcÄö"), ("b", "xyzab"), ("c", "éabĞ😀1")] * 7)]
     rows += [(100, "Äb! 1x", None), (101, "x", None), (102, "İß", None)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(2)
     model = lang_id.train(docs, matrix_bytes=matrix_bytes)
-    assert model[1].shape == (buckets, 3)
-    langs, sums = naive_bayes([(t, x) for _, t, x in rows if x], [t for _, t, _ in rows], buckets)
+    assert [(len(names), m.shape) for names, m in model] == [(n, (lang_id.BUCKETS, n)) for n in blocks]
+    langs, sums = naive_bayes([(t, x) for _, t, x in rows if x], [t for _, t, _ in rows], lang_id.BUCKETS)
     found = {r["doc_id"]: r for r in lang_id.identify(docs, model).collect()}
     for (i, _, _), mine in zip(rows, sums, strict=True):
         assert found[i]["lang_pred"] == langs[int(np.argmax(mine))]
@@ -755,14 +771,33 @@ def test_language_pieces_count_each_gram_once():
             assert +total[i] == want and letters[i] == sum(c.isalpha() for c in t or "")
 
 
+def test_op9_of_the_given_tables(spark):
+    sf = f"{DATA}/sf0.001"
+    docs = {r["doc_id"]: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    found = lang_id.op9_language_id(spark, sf).collect()
+    assert len(found) == len(docs) and {r["lang_pred"] for r in found} <= {"und", *(r["lang"] for r in docs.values())}
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) and 0 <= r["score"] <= 1 for r in found)
+    assert all((r["lang_pred"] == "und") == (not any(c.isalpha() for c in docs[r["doc_id"]]["text"] or "")) for r in found)
+    told = [(r["lang_pred"], docs[r["doc_id"]]["lang"]) for r in found if r["held_out"] and docs[r["doc_id"]]["lang"] and r["lang_pred"] != "und"]
+    assert sum(a == b for a, b in told) >= 0.95 * len(told)
+
+
 def test_many_languages_are_all_learned(spark):
     docs = spark.createDataFrame([(k, chr(97 + k % 26) * 3 + chr(97 + k // 26) * 3, f"l{k:03}") for k in range(500)], "doc_id bigint, text string, lang string")
-    langs, matrix = lang_id.train(docs)
-    assert len(langs) == 500
-    found = lang_id.identify(docs, (langs, matrix))
+    model = lang_id.train(docs)
+    assert sum(len(names) for names, _ in model) == 500
+    found = lang_id.identify(docs, model)
     assert found.join(docs, "doc_id").filter("lang = lang_pred").count() > 490
 
 
+def test_op7_of_the_given_tables(spark):
+    sf, enc = f"{DATA}/sf0.001", bpe.encoding()
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    found = {r["doc_id"]: (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in bpe.op7_bpe(spark, sf).collect()}
+    told = lambda t: (len(x := enc.encode_ordinary(t)), hashlib.sha256(np.array(x, "<u4").tobytes()).hexdigest(), hashlib.sha256(t.encode()).hexdigest())
+    assert found == {i: told(t) for i, t in texts.items()}
+
+
 # 10
 
 
