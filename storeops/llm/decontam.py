@@ -426,7 +426,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, l
     null and repeated ids are safe.
     """
     names = docs.columns
-    row = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.col(text_col).alias("text"))
+    # The rest of the row goes beside the text, so that workers get each text once.
+    rest = [F.col(f"`{c}`") for c in names if c != text_col] or [F.lit(0).alias("nothing")]
+    row = docs.select(F.struct(*rest).alias("row"), F.col(text_col).alias("text"))
     found = scan(row, benchmark, window, id_col="row", text_col="text", with_text=True)
     spans = F.filter("spans", lambda s: s["n_words"] >= least_words)
     found = found.withColumn("cut_spans", spans).filter((F.size("cut_spans") == 0) | ((F.col("n_hit") <= most_share * F.col("n_words")) & (F.col("n_hit") < F.col("n_words"))))

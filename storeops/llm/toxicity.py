@@ -377,7 +377,7 @@ def platt(votes: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
     return float(theta[0]), float(theta[1])
 
 
-def _score(shared):
+def _score(shared, keep: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: Index = shared.value
         kind = pa.list_(pa.struct([("example", pa.string()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
@@ -391,13 +391,17 @@ def _score(shared):
                     told: list[list[dict]] = [[] for _ in range(n)]
                     for t, e, c in zip(text[near].tolist(), example[near].tolist(), cosine[near].tolist(), strict=True):
                         told[t].append({"example": str(index.ids[e]), "cosine": c, "toxic": int(index.toxic[e])})
-                    yield pa.record_batch([batch.column(0).slice(start + at, n), pa.array(np.where(some, index.calibrated(votes), 0.0)), pa.array(told, kind)], names=["id", "score", "evidence"])
+                    columns = [batch.column(0).slice(start + at, n), pa.array(np.where(some, index.calibrated(votes), 0.0)), pa.array(told, kind)]
+                    names = ["id", "score", "evidence"]
+                    if keep:
+                        columns, names = [*columns, batch.column(1).slice(start + at, n)], [*names, "text"]
+                    yield pa.record_batch(columns, names=names)
 
     return run
 
 
-def score(docs: DataFrame, index: Index | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: id, score, predicted, evidence (the nearest examples).
+def score(docs: DataFrame, index: Index | None, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
+    """One row per row of ``docs``: id, score, predicted, evidence (the nearest examples), and with ``keep_text`` the text.
 
     A text that shares no word with any example, a null or an empty one
     included, has no neighbours and score 0, as all have without an index. A
@@ -410,10 +414,10 @@ def score(docs: DataFrame, index: Index | None, id_col: str = "doc_id", text_col
     evidence = "array<struct<example:string,cosine:double,toxic:int>>"
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     if index is None:
-        found = rows.select("id", F.lit(0.0).alias("score"), F.array().cast(evidence).alias("evidence"))
+        found = rows.select("id", F.lit(0.0).alias("score"), F.array().cast(evidence).alias("evidence"), *(["text"] if keep_text else []))
     else:
-        found = rows.mapInArrow(_score(spark.sparkContext.broadcast(index)), passed(docs.schema[id_col].dataType, f"score double, evidence {evidence}"))
-    return found.select(F.col("id").alias(id_col), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
+        found = rows.mapInArrow(_score(spark.sparkContext.broadcast(index), keep_text), passed(docs.schema[id_col].dataType, f"score double, evidence {evidence}" + ", text string" * keep_text))
+    return found.select(F.col("id").alias(id_col), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence", *([F.col("text").alias(text_col)] if keep_text else []))
 
 
 def held_out(id_: Column) -> Column:

@@ -827,6 +827,13 @@ def test_repeats_equal_brute_force(spark, monkeypatch, hot):
     assert {r["doc_id"]: (r["n_bytes"], len(r["spans"]), bytes(r["kept"])) for r in found} == removed(rows, 100)
 
 
+def test_op10_of_the_given_tables(spark):
+    sf = f"{DATA}/sf0.001"
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    found = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in repeats.op10_repeats(spark, sf).collect()}
+    assert found == {i: (n, n - len(kept), spans, hashlib.sha256(kept).hexdigest()) for i, (n, spans, kept) in removed(rows, 100).items()}
+
+
 def test_repeats_of_odd_tables(spark):
     rows = [(1, "y" * 150), (None, "y" * 150), (2, "z")]
     found = {r["doc_id"]: len(r["kept"]) for r in repeats.remove_repeats(documents(spark, rows)).collect()}

@@ -28,7 +28,7 @@ def test_query_equals_sql(spark, con, name):
 
 
 def test_registered():
-    assert {re.match(r"op(\d+)_", n)[1] for n in queries.QUERIES if n != "pipeline"} == {str(k) for k in range(1, 11)}
+    assert {re.match(r"op(\d+)_", n)[1] for n in queries.QUERIES if n != "pipeline"} == {str(k) for k in range(1, 14)}
 
 
 def texts(df):
