@@ -25,8 +25,9 @@ from storeops.llm.shared import Scratch, table
 SHINGLE, MOST_SHARE = 5, 0.5
 
 
-def whole_row(docs: DataFrame) -> Column:
-    return F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+def rest_of_row(docs: DataFrame) -> Column:
+    """The columns beside the text, so that workers get each text once."""
+    return F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text"))
 
 
 def without(docs: DataFrame, dropped: DataFrame, name: str) -> DataFrame:
@@ -39,8 +40,8 @@ def clean_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Without rows whose texts are predicted to be toxic; labels of held-out ids aren't learned from."""
     labels = table(spark, sf_dir, "labels").filter(~toxicity.held_out(F.col("doc_id")))
     index = toxicity.fit(docs, labels)
-    found = toxicity.score(docs.select(whole_row(docs).alias("row"), "text"), index, id_col="row")
-    return found.filter("predicted = 0").select("row.*")
+    found = toxicity.score(docs.select(rest_of_row(docs).alias("row"), "text"), index, id_col="row", keep_text=True)
+    return found.filter("predicted = 0").select(*(F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def clean_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
