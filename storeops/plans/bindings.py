@@ -93,10 +93,11 @@ def store_keys(spark: SparkSession, d: str) -> DataFrame:
 
 def pages(spark: SparkSession, d: str) -> DataFrame:
     """Landed pages of PAGE rows by event type; that of errors has no total."""
-    rows = running_sum(table(spark, d, "events").select("event_type", "event_id", "user_id"), "event_type", "event_id", F.lit(1), "rn").withColumn("rn", F.col("rn") - 1)
+    events = table(spark, d, "events").select("event_type", "event_id", "user_id")
+    rows = running_sum(events, "event_type", "event_id", F.lit(1), "rn").withColumn("rn", F.col("rn") - 1)
     held = rows.groupBy(F.col("event_type").alias("endpoint"), (F.floor(F.col("rn") / PAGE) * PAGE).cast("bigint").alias("offset"))
     held = held.agg(F.array_sort(F.collect_list(F.struct("event_id", "user_id"))).alias("data"))
-    totals = rows.groupBy(F.col("event_type").alias("endpoint")).agg(F.count(F.lit(1)).alias("total"))
+    totals = events.groupBy(F.col("event_type").alias("endpoint")).agg(F.count(F.lit(1)).alias("total"))
     total = F.when(F.col("endpoint") != "error", F.col("total"))
     return held.join(totals, "endpoint").select("endpoint", "offset", "data", F.struct(total.alias("total")).alias("paging"))
 

@@ -20,14 +20,17 @@ def running_sum(df: DataFrame, key: str, order: str, value: Column, name: str, s
     """Adds the sum of ``value`` over the rows of ``key`` up to and with each, in the order of a whole number.
 
     Numbers are cut into stretches: one window runs within a stretch and one
-    over the sums of stretches, so no key comes whole into one task.
+    over the sums of stretches, so no key comes whole into one task. Only what
+    follows other stretches is joined with their sums, so where keys have one
+    stretch each, nothing is. A row without key or number has no sum.
     """
-    parts = df.withColumn("_part", F.floor(F.col(order) / stretch)).withColumn("_value", value.cast("bigint"))
+    parts = df.withColumn("_part", F.floor(F.col(order) / stretch)).withColumn("_value", value.cast("bigint")).filter(F.col(key).isNotNull() & F.col("_part").isNotNull())
     before = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     sums = parts.groupBy(key, "_part").agg(F.sum("_value").alias("_sum"))
-    sums = sums.select(key, "_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
+    later = sums.select(key, "_part", F.sum("_sum").over(before).alias("_before")).filter("_before <> 0")
     within = Window.partitionBy(key, "_part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return parts.join(sums, [key, "_part"]).withColumn(name, F.col("_before") + F.sum("_value").over(within)).drop("_part", "_value", "_before")
+    whole = parts.withColumn(name, F.sum("_value").over(within)).join(later, [key, "_part"], "left")
+    return whole.withColumn(name, F.col(name) + F.coalesce("_before", F.lit(0))).drop("_part", "_value", "_before")
 
 
 def page_running_total(pages: DataFrame) -> DataFrame:
