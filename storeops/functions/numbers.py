@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MS_PER_HOUR = 3_600_000
-#: Flat pay rate in currency units an hour.
+#: Fixed value: flat pay rate in currency units an hour.
 HOURLY_RATE = 160
 
 

@@ -18,6 +18,7 @@ from collections.abc import Callable
 from pathlib import Path
 from typing import NamedTuple
 
+from py4j.protocol import Py4JError
 from pyspark.sql import SparkSession
 
 #: Spark's readers skip names that begin so.
@@ -94,16 +95,20 @@ def _claim(spark: SparkSession, path: str, version: Version) -> bool:
     out.write(json.dumps(version.parts).encode())
     out.close()
     _, target = _store(spark, f"{path}/{VERSIONS}/{version.number:012d}")
-    never = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-    never[0] = jvm.org.apache.hadoop.fs.Options.Rename.NONE
     try:
-        jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(staged, target, never)
+        if fs.getUri().getScheme() == "file":  # where Hadoop looks before it renames, in two steps
+            jvm.java.nio.file.Files.createLink(*(jvm.java.nio.file.Path.of(p.toUri()) for p in (target, staged)))
+        else:
+            never = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+            never[0] = jvm.org.apache.hadoop.fs.Options.Rename.NONE
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(staged, target, never)
         return True
-    except Exception:
+    except Py4JError:
         if not fs.exists(target):
             raise
-        fs.delete(staged, False)
         return False
+    finally:
+        fs.delete(staged, False)
 
 
 def commit(spark: SparkSession, path: str, change: Callable[[Version | None], dict[str, str] | None]) -> Version | None:
@@ -112,8 +117,8 @@ def commit(spark: SparkSession, path: str, change: Callable[[Version | None], di
     ``change`` fills new folders (:func:`new_data`) and returns what the next
     version is made of, or None to leave all as it is. Where another writer
     was first, it is called again with that writer's version, so nothing is
-    lost. The file system must be one that renames in one step and refuses to
-    rename onto a file.
+    lost. A file system other than the local one must rename in one step and
+    refuse to rename onto a file, as HDFS does.
     """
     for _ in range(TRIES):
         base = latest(spark, path)

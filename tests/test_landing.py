@@ -1,6 +1,7 @@
 """Versions of stored tables, landed pages, sources that break, layouts by store, audits."""
 
 import json
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
@@ -40,6 +41,19 @@ def test_a_change_is_made_anew_on_what_another_writer_published(spark):
     assert commit(spark, path, lambda _: None) is None and versions(spark, path) == [1, 2]
 
 
+def test_many_writers_at_once_lose_nothing(spark):
+    path, writers, each = work_folder(spark, "p"), 4, 8
+
+    def write(k):
+        return [commit(spark, path, lambda base, n=n: (base.parts if base else {}) | {f"{k}-{n}": "x"}).number for n in range(each)]
+
+    with ThreadPoolExecutor(writers) as pool:
+        numbers = [n for found in pool.map(write, range(writers)) for n in found]
+    assert sorted(numbers) == list(range(1, writers * each + 1))
+    assert set(latest(spark, path).parts) == {f"{k}-{n}" for k in range(writers) for n in range(each)}
+    assert {n for n in folders._names(spark, f"{path}/{folders.VERSIONS}")} == {f"{n:012d}" for n in numbers}
+
+
 @pytest.mark.parametrize("first", [True, False])
 @pytest.mark.parametrize("step", ["in the data", "before the version", "before its name"])
 def test_a_crash_leaves_the_old_or_nothing(spark, monkeypatch, step, first):
