@@ -16,7 +16,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
-from urllib.parse import quote
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import pyarrow.fs
@@ -34,8 +34,14 @@ RANGES = "file string, start bigint, end bigint, records bigint"
 CHUNKS = "row_id string, record_type string, refers_to string, uri string, chunk_no bigint, data binary, last boolean, payload_bytes bigint, payload_digest string"
 
 
-def record_id(row_id: str) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'row:{row_id}')}>"
+def record_id(file: str, at: int) -> str:
+    """An id that no other record has, since no other begins there; rows may share theirs."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{file}:{at}')}>"
+
+
+def told(text: str | None) -> str | None:
+    """A text as the value of a header: whatever would break its line is quoted."""
+    return None if text is None else quote(text, safe="!#$&'()*+,/:;=?@[]~^|{}`\"<>\\")
 
 
 def base32(sha1: bytes) -> str:
@@ -53,20 +59,25 @@ def chunked(records: DataFrame, payload: str, chunk: int = CHUNK) -> DataFrame:
     return rows.select(*(c for c in records.columns if c != payload), F.col("chunk_no").cast("bigint").alias("chunk_no"), data.alias("data"))
 
 
-def header(row_id: str | None, uri: str | None, size: int, digest: bytes, refers_to: str | None, revisit: bool, date: str) -> bytes:
+def address(uri: str | None) -> str | None:
+    return None if uri is None else quote(uri, safe="!#$%&'()*+,/:;=?@[]~^|{}`\"<>\\")
+
+
+def header(record: str, row_id: str | None, uri: str | None, size: int, digest: bytes, refers_to: str | None, refers_uri: str | None, revisit: bool, date: str) -> bytes:
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\nContent-Length: {size}\r\n\r\n"
     fields = {
         "WARC-Type": "revisit" if revisit else "response",
-        "WARC-Record-ID": record_id(str(row_id)),
+        "WARC-Record-ID": record,
         "WARC-Date": date,
-        "WARC-Target-URI": None if uri is None else quote(uri, safe="!#$%&'()*+,/:;=?@[]~^|{}`\"<>\\"),
+        "WARC-Target-URI": address(uri),
         "WARC-Payload-Digest": f"sha1:{base32(digest)}",
         "WARC-Profile": IDENTICAL if revisit else None,
-        "WARC-Refers-To": record_id(str(refers_to)) if revisit else None,
+        "WARC-Refers-To-Target-URI": address(refers_uri) if revisit else None,
+        "WARC-Refers-To-Date": date if revisit else None,
         "Content-Type": "application/http; msgtype=response",
         "Content-Length": len(http) + (0 if revisit else size),
-        "X-Row-ID": row_id,
-        "X-Refers-To-Row-ID": refers_to if revisit else None,
+        "X-Row-ID": told(row_id),
+        "X-Refers-To-Row-ID": told(refers_to) if revisit else None,
     }
     return "".join(["WARC/1.1\r\n", *(f"{k}: {v}\r\n" for k, v in fields.items() if v is not None), "\r\n", http]).encode()
 
@@ -128,8 +139,8 @@ def _write(folder: str, level: int, date: str):
             archive.end()
 
         for batch in batches:
-            ids, uris, sizes, digests, refers, revisits, numbers = (batch.column(k).to_pylist() for k in range(7))
-            data = batch.column(7)
+            ids, uris, sizes, digests, refers, refers_uris, revisits, numbers = (batch.column(k).to_pylist() for k in range(8))
+            data = batch.column(8)
             for k, no in enumerate(numbers):
                 archive = archive or Archive(folder, level)
                 if no == 0:
@@ -137,7 +148,7 @@ def _write(folder: str, level: int, date: str):
                         finish()
                     sha, want, revisit, open_ = hashlib.sha1(), digests[k], bool(revisits[k]), True
                     archive.begin()
-                    archive.put(header(ids[k], uris[k], sizes[k], want, refers[k], revisit, date))
+                    archive.put(header(record_id(archive.file, archive.at), ids[k], uris[k], sizes[k], want, refers[k], refers_uris[k], revisit, date))
                 if not revisit:
                     chunk = data[k].as_py()
                     sha.update(chunk)
@@ -159,19 +170,20 @@ def write_warc(pages: DataFrame, folder: str, scratch: Scratch, id_col: str = "p
     smallest id is a response and the others revisit it; a row that shares
     its id is a response too. Rows without id revisit a row with one, or are
     responses. Repeated rows have a record each, also where they share an id.
-    A payload of any length is written chunk by chunk. Without rows there is
-    no archive; other columns are not looked at.
+    Ids of any type are texts in the archive; records have ids of their own,
+    which no two share. A payload of any length is written chunk by chunk, that
+    of a revisit not at all. Without rows there is no archive; other columns are not looked at.
     """
     importable(pages.sparkSession)
     payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
     rows = pages.select(F.col(id_col).alias("id"), F.col(uri_col).alias("uri"), payload.alias("payload"))
     rows = rows.select("id", "uri", "payload", F.octet_length("payload").alias("size"), F.unhex(F.sha1("payload")).alias("digest"))
-    groups = rows.filter(F.col("size") >= least).groupBy("digest").agg(F.min("id").alias("keep"), F.count(F.lit(1)).alias("n"))
+    groups = rows.filter(F.col("size") >= least).groupBy("digest").agg(F.min("id").alias("keep"), F.min_by("uri", "id").alias("keep_uri"), F.count(F.lit(1)).alias("n"))
     # Written, so that its size is known where the join is planned: small, it spares the payloads their shuffle.
-    groups = scratch.write(groups.filter("n > 1 and keep is not null").select("digest", "keep"), "copies")
+    groups = scratch.write(groups.filter("n > 1 and keep is not null").select("digest", "keep", "keep_uri"), "copies")
     rows = rows.join(groups, "digest", "left")
     revisit = F.col("keep").isNotNull() & ~F.col("keep").eqNullSafe(F.col("id"))
-    rows = rows.select(F.col("id").cast("string").alias("row_id"), "uri", F.col("size").cast("bigint").alias("size"), "digest", F.col("keep").cast("string").alias("refers_to"), revisit.alias("revisit"), "payload")
+    rows = rows.select(F.col("id").cast("string").alias("row_id"), "uri", F.col("size").cast("bigint").alias("size"), "digest", F.col("keep").cast("string").alias("refers_to"), F.col("keep_uri").alias("refers_uri"), revisit.alias("revisit"), F.when(~revisit, F.col("payload")).otherwise(F.lit(b"")).alias("payload"))
     return scratch.write(chunked(rows, "payload", chunk).mapInArrow(_write(folder, level, date), RANGES), "ranges")
 
 
@@ -240,6 +252,10 @@ def parse(head: bytes, begins: str) -> dict[str, str]:
     return {m[1].lower(): m[2] for line in lines[1:] if (m := re.match(r"([^:]+):\s*(.*)$", line, re.S))}
 
 
+def known(told: str | None) -> str | None:
+    return None if told is None else unquote(told)
+
+
 def _read(folder: str, chunk: int, data: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pa.fs.FileSystem.from_uri(folder)
@@ -260,7 +276,7 @@ def _read(folder: str, chunk: int, data: bool):
                             digest = want if revisit else base32(sha.digest())
                             if last and digest != want:
                                 raise ValueError(f"a payload doesn't have its digest {want}")
-                            rows.append((fields.get("x-row-id"), fields["warc-type"], fields.get("x-refers-to-row-id"), fields.get("warc-target-uri"), no, part if data else None, last, total if revisit else done, digest))
+                            rows.append((known(fields.get("x-row-id")), fields["warc-type"], known(fields.get("x-refers-to-row-id")), fields.get("warc-target-uri"), no, part if data else None, last, total if revisit else done, digest))
                             size += len(part) if data else 200
                             if size >= 4 * chunk:
                                 yield pa.record_batch([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)

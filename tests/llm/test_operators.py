@@ -206,6 +206,23 @@ def test_warc_of_repeated_ids_and_rows(spark):
     assert sorted((r["row_id"], r["record_type"], r["refers_to"], r["payload_bytes"]) for r in found) == sorted([("1", "response", None, 2)] * 2 + [("1", "response", None, 5), ("2", "revisit", "1", 2)] + [("2", "response", None, 3_000)] * 2, key=str)
 
 
+def test_warc_ids_of_any_text_and_records_of_their_own(spark):
+    import gzip
+    from pathlib import Path
+
+    ids = ["a\r\nWARC-Type: x", "é%41 b", "", None, None, "same", "same", " lead"]
+    pages = spark.createDataFrame([(i, "http://x/1", f"t{k % 6}") for k, i in enumerate(ids)], "page_id string, url string, html string").repartition(2)
+    scratch = shared.Scratch(spark, "t")
+    ranges = warc.write_warc(pages, scratch.path("a"), scratch)
+    found = warc.read_warc(ranges, scratch.path("a")).filter("last").collect()
+    assert sorted((r["row_id"] for r in found), key=str) == sorted(ids, key=str)
+    whole = b"".join(gzip.decompress(p.read_bytes()) for p in Path(scratch.path("a").removeprefix("file://")).iterdir() if p.suffix == ".gz")
+    records = re.findall(rb"WARC-Record-ID: (\S+)", whole)
+    assert len(records) == len(set(records)) == len(ids)
+    revisits = [r for r in found if r["record_type"] == "revisit"]
+    assert len(revisits) == whole.count(b"WARC-Refers-To-Target-URI: http://x/1") > 0 and all(r["data"] == b"" for r in revisits)
+
+
 def test_warc_small_payloads_are_responses(spark):
     pages = spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abc"), (4, "u", "abc")], "page_id bigint, url string, html string")
     scratch = shared.Scratch(spark, "t")
