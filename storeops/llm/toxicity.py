@@ -320,7 +320,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     tf = 1 + np.log(found["counts"].combine_chunks().flatten().to_numpy())
     unknown = float(idf_of(documents, np.zeros(1))[0])
     index = learned(vocabulary, frequent, unknown, ids, toxic, example, place, tf)
-    index.theta = calibrate(vocabulary, frequent, unknown, ids, toxic, example, place, tf)
+    index.theta = calibrate(spark, frequent, ids, toxic, example, place, tf)
     return index
 
 
@@ -338,24 +338,40 @@ def fold_of(ids: np.ndarray) -> np.ndarray:
     return np.array([zlib.crc32(f"fold {i}".encode()) % FOLDS for i in ids.tolist()], int)
 
 
-def calibrate(vocabulary: np.ndarray, frequent: np.ndarray, unknown: float, ids: np.ndarray, toxic: np.ndarray, example: np.ndarray, place: np.ndarray, tf: np.ndarray) -> tuple[float, float]:
-    """The logistic curve from the votes of the other folds on each fold's examples to their labels."""
-    fold, votes = fold_of(ids), np.zeros(len(ids))
-    for f in np.unique(fold).tolist():
-        for_it, others = np.flatnonzero(fold == f), np.flatnonzero(fold != f)
-        moved = np.empty(len(ids), np.int64)
-        moved[others], moved[for_it] = np.arange(len(others)), np.arange(len(for_it))
-        mine = fold[example] == f
-        if not len(others) or mine.all():
-            continue
-        index = learned(vocabulary, frequent, unknown, ids[others], toxic[others], moved[example[~mine]], place[~mine], tf[~mine])
-        w = tf[mine] * index.weight[place[mine]]
-        row = moved[example[mine]]
-        norm = np.sqrt(np.bincount(row, w * w, len(for_it)))
-        order = np.argsort(row, kind="stable")
-        row, p, w = row[order], place[mine][order], (w / norm[row])[order]
-        for at, to, (x, r, y, m) in batches_of(p, row, w, len(for_it)):
-            votes[for_it[at:to]] = index.votes(*index.search(r, x, y, m), m)
+def _votes(shared):
+    """(example, votes of the other folds on it) of folds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent, toxic, fold, example, place, tf = shared.value
+        names = np.zeros(len(frequent), U)  # searches go by place, not by hash
+        for batch in batches:
+            for f in batch.column(0).to_pylist():
+                for_it, others = np.flatnonzero(fold == f), np.flatnonzero(fold != f)
+                mine = fold[example] == f
+                if not len(for_it) or not len(others) or mine.all():
+                    continue
+                moved = np.empty(len(fold), np.int64)
+                moved[others], moved[for_it] = np.arange(len(others)), np.arange(len(for_it))
+                index = learned(names, frequent, 0.0, others, toxic[others], moved[example[~mine]], place[~mine], tf[~mine])
+                w, row = tf[mine] * index.weight[place[mine]], moved[example[mine]]
+                norm = np.sqrt(np.bincount(row, w * w, len(for_it)))
+                order = np.argsort(row, kind="stable")
+                row, p, w = row[order], place[mine][order], (w / norm[row])[order]
+                votes = np.zeros(len(for_it))
+                for at, to, (x, r, y, m) in batches_of(p, row, w, len(for_it)):
+                    votes[at:to] = index.votes(*index.search(r, x, y, m), m)
+                yield pa.record_batch([pa.array(for_it), pa.array(votes)], names=["example", "votes"])
+
+    return run
+
+
+def calibrate(spark: SparkSession, frequent: np.ndarray, ids: np.ndarray, toxic: np.ndarray, example: np.ndarray, place: np.ndarray, tf: np.ndarray) -> tuple[float, float]:
+    """The logistic curve from the votes of the other folds on each fold's examples to their labels; a task for each fold."""
+    shared = spark.sparkContext.broadcast((frequent, toxic, fold_of(ids), example, place, tf))
+    found = spark.range(FOLDS).repartition(FOLDS, "id").mapInArrow(_votes(shared), "example bigint, votes double").toPandas()  # a row for each example
+    shared.unpersist()
+    votes = np.zeros(len(ids))
+    votes[found["example"].to_numpy()] = found["votes"].to_numpy()
     # An example that is alone of its kind says nothing once it is left out.
     tells = np.where(toxic == 1, toxic.sum() > 1, (1 - toxic).sum() > 1)
     return platt(votes[tells], toxic[tells] == 1)
