@@ -24,6 +24,9 @@ def importable(spark: SparkSession) -> None:
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if root not in paths:
         env["PYTHONPATH"] = os.pathsep.join([root, *paths])
+    # Workers live on from stage to stage; so they give back the memory of large arrays when these go.
+    env.setdefault("MALLOC_MMAP_THRESHOLD_", str(4 << 20))
+    env.setdefault("MALLOC_TRIM_THRESHOLD_", str(16 << 20))
 
 
 def shared_dir(spark: SparkSession) -> str:

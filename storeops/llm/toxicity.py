@@ -360,15 +360,20 @@ def _votes(shared):
                 votes = np.zeros(len(for_it))
                 for at, to, (x, r, y, m) in batches_of(p, row, w, len(for_it)):
                     votes[at:to] = index.votes(*index.search(r, x, y, m), m)
+                del index  # before the next fold has one
                 yield pa.record_batch([pa.array(for_it), pa.array(votes)], names=["example", "votes"])
 
     return run
 
 
 def calibrate(spark: SparkSession, frequent: np.ndarray, ids: np.ndarray, toxic: np.ndarray, example: np.ndarray, place: np.ndarray, tf: np.ndarray) -> tuple[float, float]:
-    """The logistic curve from the votes of the other folds on each fold's examples to their labels; a task for each fold."""
+    """The logistic curve from the votes of the other folds on each fold's examples to their labels.
+
+    One task takes the folds one after the other, as each needs the memory of
+    an index and the sample is of bounded size.
+    """
     shared = spark.sparkContext.broadcast((frequent, toxic, fold_of(ids), example, place, tf))
-    found = spark.range(FOLDS).repartition(FOLDS, "id").mapInArrow(_votes(shared), "example bigint, votes double").toPandas()  # a row for each example
+    found = spark.range(0, FOLDS, 1, 1).mapInArrow(_votes(shared), "example bigint, votes double").toPandas()  # a row for each example
     shared.unpersist()
     votes = np.zeros(len(ids))
     votes[found["example"].to_numpy()] = found["votes"].to_numpy()
