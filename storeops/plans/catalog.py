@@ -106,7 +106,7 @@ def sales_of_stores(spark, d):
 def landed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     path = work_folder(spark, "pages")
     landing.write_landed_pages(B.page_texts(spark, d), path)
-    return landing.read_landed_pages(spark, path, "event_id:bigint,user_id:bigint")
+    return landing.read_landed_pages(spark, path, "event_id:bigint,user_id:bigint", bundled=True)
 
 
 @query("pages", """SELECT endpoint, event_id, user_id FROM pages_ WHERE (endpoint <> 'error' OR "offset" = 0) AND "offset" // 100 % 7 <> 1""")

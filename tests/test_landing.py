@@ -137,6 +137,16 @@ def test_landed_pages_and_rejects(spark, tmp_path):
         landing.read_landed_pages(spark, f"{tmp_path}/none", "id:bigint")
 
 
+def test_landed_pages_are_bundled(spark, tmp_path):
+    """Files don't grow with pages, and a bundle keeps each page's text as it came."""
+    text = F.when(F.col("id") == 7, '{"data": [').when(F.col("id") == 8, "").otherwise(F.format_string('{"data":\n [{"id": %d}], "paging": {"total": 200}}', "id"))
+    landing.write_landed_pages(spark.range(200).coalesce(2).select(F.concat(F.lit("e"), F.col("id") % 3).alias("endpoint"), F.col("id").alias("offset"), text.alias("text")), f"{tmp_path}/pages")
+    assert len(list((tmp_path / "pages").rglob("part-*"))) == 2
+    found, rejects = landing.read_landed_pages(spark, f"{tmp_path}/pages", "id:bigint", bundled=True)
+    assert sorted((r["endpoint"], r["id"]) for r in pages.read_pages(found).collect()) == sorted((f"e{k % 3}", k) for k in range(200) if k not in (7, 8))
+    assert sorted((r["endpoint"], r["offset"], r["problem"]) for r in rejects.collect()) == [("e1", 7, "broken"), ("e2", 8, "empty")]
+
+
 SALE = "ts timestamp_ntz, amount decimal(18,2)"
 
 
