@@ -11,7 +11,9 @@ DOCUMENT = f"map<string,{RECIPE}>"
 
 def recipes_flatten(docs: DataFrame, doc: str = "doc") -> DataFrame:
     """A row for each recipe: recipe_id and its fields."""
-    return docs.select(F.explode(doc).alias("recipe_id", "recipe")).select("recipe_id", "recipe.*")
+    # An inner explode would be given a filter on the document, for which Spark parses or builds it a second time; no key is null.
+    rows = docs.select(F.explode_outer(doc).alias("recipe_id", "recipe")).filter("recipe_id is not null")
+    return rows.select("recipe_id", "recipe.*")
 
 
 def recipe_ingredients(docs: DataFrame, doc: str = "doc") -> DataFrame:

@@ -14,6 +14,8 @@ WORD = "chas"
 PAGE = 100
 #: Order keys whose lines make a recipe, and parts whose recipes make a document.
 ORDERS, PARTS = 100_000, 20
+#: Lines of recipes that a task holds, about.
+LINES = 500_000
 DISHES = {"small ring": "ring, small", "red widget": "widget"}
 INGREDIENTS = {"AF": "alpha", "NO": "nu", "RF": "alpha"}
 RAW_STORES = ["s0", "S1", "s5", "NØRREBRO", "nær", "GÅ", "unknown", None]
@@ -102,15 +104,26 @@ def pages(spark: SparkSession, d: str) -> DataFrame:
     return held.join(totals, "endpoint").select("endpoint", "offset", "data", F.struct(total.alias("total")).alias("paging"))
 
 
-def recipes(spark: SparkSession, d: str) -> DataFrame:
-    """A recipe for each part and stretch of orders, a document for a few parts; neither grows with the tables."""
+def recipes(spark: SparkSession, d: str, held: int = LINES) -> DataFrame:
+    """A recipe for each part and stretch of orders, a document for a few parts; neither grows with the tables.
+
+    Lines and the heads of recipes are exchanged once, by document, to tasks of
+    about ``held`` lines: lists are only collected behind that exchange, where
+    they fit into memory whatever the size of the tables.
+    """
     parts, lines = table(spark, d, "part"), table(spark, d, "lineitem")
     item = F.struct(F.concat("l_returnflag", "l_linestatus").alias("name"), F.col("l_quantity").alias("grams"))
-    stretch = F.floor(F.col("l_orderkey") / ORDERS).alias("stretch")
-    lists = lines.groupBy(F.col("l_partkey").alias("p_partkey"), stretch).agg(F.array_sort(F.collect_list(item)).alias("ingredients"))
-    recipe = F.struct(F.col("p_name").alias("name"), F.col("p_size").cast("double").alias("defaultPortion"), F.col("p_retailprice").alias("batchSize"), "ingredients")
-    entry = F.struct(F.concat_ws("-", "p_partkey", "stretch").alias("key"), recipe.alias("value"))
-    return parts.join(lists, "p_partkey").groupBy(F.floor(F.col("p_partkey") / PARTS), "stretch").agg(F.map_from_entries(F.collect_list(entry)).alias("doc")).select("doc")
+    head = F.struct(F.col("p_name").alias("name"), F.col("p_size").cast("double").alias("defaultPortion"), F.col("p_retailprice").alias("batchSize"))
+    rows = lines.select(F.floor(F.col("l_partkey") / PARTS).alias("few"), F.floor(F.col("l_orderkey") / ORDERS).alias("stretch"), F.col("l_partkey").alias("part"), item.alias("item"))
+    heads = parts.select(F.floor(F.col("p_partkey") / PARTS).alias("few"), F.col("p_partkey").alias("part"), head.alias("head"))
+    heads = heads.join(rows.select("few", "stretch").distinct(), "few")
+    tasks = -(-lines.count() // held) or 1
+    dealt = rows.unionByName(heads, allowMissingColumns=True).repartition(tasks, "few", "stretch")
+    # A line without its part has no head, a part without lines in a stretch no ingredients.
+    lists = dealt.groupBy("few", "stretch", "part").agg(F.array_sort(F.collect_list("item")).alias("ingredients"), F.collect_list("head").alias("heads"))
+    each = lists.filter(F.size("ingredients") > 0).select("few", "stretch", "part", "ingredients", F.explode("heads").alias("head"))
+    entry = F.struct(F.concat_ws("-", "part", "stretch").alias("key"), F.struct("head.*", "ingredients").alias("value"))
+    return each.groupBy("few", "stretch").agg(F.map_from_entries(F.collect_list(entry)).alias("doc")).select("doc")
 
 
 def daily_counts(spark: SparkSession, d: str) -> DataFrame:

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from storeops.operators import invoices, recipes, sales
+from storeops.plans import bindings
 from storeops.sources import documents, pages
 from storeops.sources.folders import current, work_folder
 from storeops.streaming.tally import run_closing_tally, run_daily_tally
@@ -61,6 +62,36 @@ def test_migration_writes_only_if_something_changed(spark):
     assert documents.read_recipes(spark, path, docs(spark)).first()["doc"]["a"]["name"] == "Carrot soup"
 
 
+def planned(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_recipes_are_collected_behind_one_exchange(spark, tmp_path):
+    """No list is held where lines are scanned, and none is exchanged; parts without lines and lines without parts make no recipe."""
+    parts = [(k, f"part {k}", k, 1.5) for k in range(45)]
+    spark.createDataFrame(parts, "p_partkey bigint, p_name string, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    lines = [(k * 1000, k % 50, float(k % 9), "AN"[k % 2], "FO"[k % 3 % 2]) for k in range(400) if k % 50 not in (3, 44)]
+    spark.createDataFrame(lines, "l_orderkey bigint, l_partkey bigint, l_quantity double, l_returnflag string, l_linestatus string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    want = {}
+    for order, part, grams, flag, status in lines:
+        if part < 45:
+            want.setdefault((f"{part}-{order // 100_000}", f"part {part}", part, 1.5), []).append((flag + status, grams))
+    for held in (7, 1_000_000):
+        docs = bindings.recipes(spark, str(tmp_path), held)
+        assert {tuple(r)[:4]: list(map(tuple, r["ingredients"])) for r in recipes.recipes_flatten(docs).collect()} == {k: sorted(v) for k, v in want.items()}
+        plan = planned(docs)
+        assert 0 < plan.rfind("collect_list") < plan.find("Exchange hashpartitioning")
+    assert docs.rdd.getNumPartitions() == 1 and bindings.recipes(spark, str(tmp_path), 100).rdd.getNumPartitions() == 4
+
+
+def test_documents_are_parsed_once(spark):
+    path = work_folder(spark, "once")
+    documents.write_recipes(spark.createDataFrame([({},), (None,), ({"a": ("x", 1.0, 2.0, None)},)], f"doc {recipes.DOCUMENT}"), path)
+    rows = recipes.recipes_flatten(documents.read_recipes(spark, path, docs(spark)))
+    assert planned(rows).count("from_json(") == 1
+    assert [tuple(r) for r in rows.collect()] == [("a", "x", 1.0, 2.0, None)]
+
+
 def test_running_sums_cross_stretches(spark):
     rows = [(k % 3, k, k % 7) for k in range(200)]
     df = spark.createDataFrame(rows, "key int, at bigint, n int")
