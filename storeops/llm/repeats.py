@@ -8,14 +8,16 @@ one anchor make a context.
 1. Contexts are counted by anchor; those with an anchor of their own are done.
 2. Of contexts that are equal (by two hashes of different kinds), all but the
    first go altogether, so a group of copies costs one context.
-3. The different contexts of an anchor are halved in the order of the corpus:
+3. The different contexts of an anchor are parted by longer anchors (those of
+   windows with half of their other bytes before it, and with more behind it).
+   The parts that share one are halved in the order of the corpus:
    the earlier half is indexed and the later half is streamed through the
    index, then each half is halved in turn. An index is a run-length BWT with
    text places sampled at both ends of each run; a context is streamed from
    right to left with one place of the index under its longest match, kept up
    by steps within runs and by jumps to the run ends that thresholds name. A
    window whose match reaches ``window`` bytes in the text at that place goes.
-4. An anchor with very many different contexts (a frequent phrase) is not
+4. A longer anchor with very many contexts (a frequent passage) is not
    held in one task. Hashes of its windows, aggregated over the cluster, tell
    which of its contexts may hold a window first; each of those is indexed,
    and the contexts that may repeat it are streamed through it, in parts.
@@ -24,6 +26,7 @@ one anchor make a context.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -155,9 +158,21 @@ def _contexts(window: int, kmer: int):
     return run
 
 
-def _cut_out(window: int):
-    """The bytes of contexts, from texts and the lists of their contexts."""
-    names = ["h", "size", "start", "off", "n"]
+def _cut_out(window: int, kmer: int):
+    """The bytes of contexts, from texts and the lists of their contexts, each in up to two parts with longer anchors.
+
+    Of the bytes of a window beside its anchor, half stand before it or over
+    half behind it. Windows of the first kind make one part of their context,
+    which is named by the anchor and the half before, the others make another,
+    named by the anchor and what they all have behind it. So equal windows
+    still meet, and contexts that only share a frequent phrase don't.
+    """
+    names = ["h", "start", "off", "n"]
+    before = (window - kmer) // 2
+    behind = window - kmer - before + 1
+
+    def named(kind: bytes, anchor: bytes) -> int:
+        return int.from_bytes(blake2b(anchor, digest_size=8, person=kind).digest(), "little", signed=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,10 +180,15 @@ def _cut_out(window: int):
                 raw, lists = (text.as_py() or "").encode(), found.values
                 columns = [lists.field(x) for x in names]
                 for at in range(0, len(lists), 4096):
-                    part = [c.slice(at, 4096) for c in columns]
-                    start, n = part[2].to_numpy(), part[4].to_numpy()
-                    data = [raw[a : a + k + window - 1] for a, k in zip(start.tolist(), n.tolist(), strict=True)]
-                    yield pa.record_batch([part[0], part[1], pa.repeat(id_, len(data)), pa.repeat(tie, len(data)), part[2], part[3], pa.array(data, pa.binary())], names=["h", "size", "id", "tie", "start", "off", "data"])
+                    rows = []
+                    for _, start, off, n in zip(*(c.slice(at, 4096).to_numpy().tolist() for c in columns), strict=True):
+                        place, first = start + off, min(n, max(0, off - before + 1))
+                        if first:
+                            rows.append((named(b"before", raw[place - before : place + kmer]), start, off, raw[start : start + first + window - 1]))
+                        if first < n:
+                            rows.append((named(b"behind", raw[place : place + kmer + behind]), start + first, off - first, raw[start + first : start + n + window - 1]))
+                    key, start, off, data = zip(*rows, strict=True)
+                    yield pa.record_batch([pa.array(key, pa.int64()), pa.repeat(id_, len(data)), pa.repeat(tie, len(data)), pa.array(start, pa.int64()), pa.array(off, pa.int32()), pa.array(data, pa.binary())], names=["h", "id", "tie", "start", "off", "data"])
 
     return run
 
@@ -499,16 +519,17 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, kmer: int = KMER, hot:
     scratch.release("contexts")
 
     sizes = scratch.write(first.groupBy("h").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "sizes")
-    several = first.join(sizes, "h").groupBy("id", "tie").agg(F.collect_list(F.struct("h", "size", "start", "off", "n")).alias("found"))
+    several = first.join(sizes, "h").groupBy("id", "tie").agg(F.collect_list(F.struct("h", "start", "off", "n")).alias("found"))
     # Equal texts that share an id are cut once.
     once = texts.join(several, ["id", "tie"]).groupBy("id", "tie").agg(F.first("text").alias("text"), F.first("found").alias("found"))
-    cut = once.select("id", "tie", "text", "found").mapInArrow(_cut_out(window), "h bigint, size bigint, id bigint, tie bigint, start bigint, off int, data binary")
+    cut = once.select("id", "tie", "text", "found").mapInArrow(_cut_out(window, kmer), "h bigint, id bigint, tie bigint, start bigint, off int, data binary")
     cut = scratch.write(cut, "cut")
     scratch.release("first", "sizes")
-    groups = halved(cut.filter(F.col("size") <= hot)).unionByName(routed(cut.filter(F.col("size") > hot), scratch, window))
+    frequent = scratch.write(cut.groupBy("h").agg(F.count(F.lit(1)).alias("times")).filter(F.col("times") > hot).select("h"), "frequent")
+    groups = halved(cut.join(frequent, "h", "left_anti")).unionByName(routed(cut.join(frequent, "h", "left_semi"), scratch, window))
     dealt = groups.repartition(*BLOCK).sortWithinPartitions(*BLOCK, "role", "id", "tie", "start")
     marks2 = scratch.write(dealt.mapInArrow(_index(window), SPAN), "marks2")
-    scratch.release("cut", "least", "pairs")
+    scratch.release("cut", "frequent", "least", "pairs")
 
     spans = marks.unionByName(marks2).groupBy("id", "tie").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     spans = scratch.write(spans, "spans")

@@ -844,6 +844,26 @@ def test_repeats_equal_brute_force(spark, monkeypatch, hot):
     assert {r["doc_id"]: (r["n_bytes"], len(r["spans"]), bytes(r["kept"])) for r in found} == removed(rows, 100)
 
 
+def test_contexts_are_parted_by_longer_anchors():
+    """A common phrase of 40 bytes brings no two texts together, a common passage does, and each window is in one part."""
+    rnd = random.Random(2)
+    fresh = lambda n: bytes(rnd.choice(b"abcdefgh ") for _ in range(n))
+    phrase = fresh(40)
+    item = pa.struct([("h", pa.int64()), ("start", pa.int64()), ("off", pa.int32()), ("n", pa.int32())])
+
+    def parts(texts):
+        found = [[{"h": 0, "start": t.index(phrase) - 68 if k else 0, "off": 68 if k else t.index(phrase), "n": 69 if k else t.index(phrase) + 1}] for k, t in texts]
+        batch = pa.record_batch([pa.array(range(len(texts))), pa.array([0] * len(texts)), pa.array([t.decode() for _, t in texts]), pa.array(found, pa.list_(item))], names=["id", "tie", "text", "found"])
+        return pa.Table.from_batches(repeats._cut_out(100, 32)([batch])).to_pylist()
+
+    apart = parts([(1, fresh(80) + phrase + fresh(80)) for _ in range(20)])
+    assert len({r["h"] for r in apart}) == len(apart) == 40
+    assert all(sum(len(r["data"]) - 99 for r in apart if r["id"] == k) == 69 for k in range(20))
+    around = fresh(60), fresh(60)
+    same = parts([(1, fresh(20) + around[0] + phrase + around[1] + fresh(20)) for _ in range(2)])
+    assert len({r["h"] for r in same}) == 2 and len(same) == 4
+
+
 def test_op10_of_the_given_tables(spark):
     sf = f"{DATA}/sf0.001"
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
