@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from storeops.functions.clock import local_date
@@ -12,10 +12,10 @@ from storeops.sources.pages import running_sum
 
 WORD = "chas"
 PAGE = 100
-#: Order keys whose lines make a recipe, and parts whose recipes make a document.
+#: Order keys whose lines make a recipe, and parts whose recipes come together.
 ORDERS, PARTS = 100_000, 20
-#: Lines of recipes that a task holds, about.
-LINES = 500_000
+#: Lines of recipes that a task holds, about, and a document.
+LINES, DOC = 500_000, 1_000
 DISHES = {"small ring": "ring, small", "red widget": "widget"}
 INGREDIENTS = {"AF": "alpha", "NO": "nu", "RF": "alpha"}
 RAW_STORES = ["s0", "S1", "s5", "NØRREBRO", "nær", "GÅ", "unknown", None]
@@ -105,25 +105,36 @@ def pages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def recipes(spark: SparkSession, d: str, held: int = LINES) -> DataFrame:
-    """A recipe for each part and stretch of orders, a document for a few parts; neither grows with the tables.
-
-    Lines and the heads of recipes are exchanged once, by document, to tasks of
-    about ``held`` lines: lists are only collected behind that exchange, where
-    they fit into memory whatever the size of the tables.
+    """A recipe for each part and stretch of orders, a document for about ``DOC`` lines of a few parts; neither grows with the tables.
+
+    Lines and the heads of recipes are exchanged once, by a few parts, to tasks
+    of about ``held`` lines: lists are only collected behind that exchange,
+    where they fit into memory whatever the size of the tables. A head goes
+    once, however many stretches its part has lines in. A few parts with more
+    lines than an eighth of that go in several shares, by stretch, each with
+    their heads.
     """
     parts, lines = table(spark, d, "part"), table(spark, d, "lineitem")
-    item = F.struct(F.concat("l_returnflag", "l_linestatus").alias("name"), F.col("l_quantity").alias("grams"))
+    few, stretch = F.floor(F.col("part") / PARTS), F.floor(F.col("l_orderkey") / ORDERS).alias("stretch")
+    rows = lines.select(F.col("l_partkey").alias("part"), stretch, F.concat("l_returnflag", "l_linestatus").alias("name"), F.col("l_quantity").alias("grams"))
+    many = rows.groupBy(few.alias("few")).agg(F.ceil(F.count(F.lit(1)) / held * 8).alias("shares")).filter("shares > 1")
+    many = F.broadcast(many)  # eight for each ``held`` lines at most
+    share = F.coalesce(F.pmod("stretch", F.col("shares")), F.lit(0)).alias("share")
+    rows = rows.join(many, few == many["few"], "left").select("part", "stretch", share, "name", "grams")
     head = F.struct(F.col("p_name").alias("name"), F.col("p_size").cast("double").alias("defaultPortion"), F.col("p_retailprice").alias("batchSize"))
-    rows = lines.select(F.floor(F.col("l_partkey") / PARTS).alias("few"), F.floor(F.col("l_orderkey") / ORDERS).alias("stretch"), F.col("l_partkey").alias("part"), item.alias("item"))
-    heads = parts.select(F.floor(F.col("p_partkey") / PARTS).alias("few"), F.col("p_partkey").alias("part"), head.alias("head"))
-    heads = heads.join(rows.select("few", "stretch").distinct(), "few")
+    heads = parts.select(F.col("p_partkey").alias("part"), head.alias("head")).join(many, few == many["few"], "left")
+    heads = heads.select("part", "head", F.explode(F.sequence(F.lit(0), F.coalesce("shares", F.lit(1)) - 1)).alias("share"))
     tasks = -(-lines.count() // held) or 1
-    dealt = rows.unionByName(heads, allowMissingColumns=True).repartition(tasks, "few", "stretch")
-    # A line without its part has no head, a part without lines in a stretch no ingredients.
-    lists = dealt.groupBy("few", "stretch", "part").agg(F.array_sort(F.collect_list("item")).alias("ingredients"), F.collect_list("head").alias("heads"))
-    each = lists.filter(F.size("ingredients") > 0).select("few", "stretch", "part", "ingredients", F.explode("heads").alias("head"))
+    dealt = rows.unionByName(heads, allowMissingColumns=True).repartition(tasks, few, "share").withColumn("few", few)
+    # A line without its part has no head, a part without lines no ingredients.
+    item = F.when(F.col("head").isNull(), F.struct("name", "grams"))
+    lists = dealt.groupBy("few", "share", "part", "stretch").agg(F.array_sort(F.collect_list(item)).alias("ingredients"), F.collect_list("head").alias("heads"))
+    of_part, of_share = Window.partitionBy("few", "share", "part"), Window.partitionBy("few", "share")
+    docs = F.ceil(F.sum(F.size("ingredients")).over(of_share) / DOC)
+    each = lists.withColumn("heads", F.flatten(F.collect_list("heads").over(of_part))).withColumn("of", F.coalesce(F.pmod("stretch", docs), F.lit(0)))
+    each = each.filter(F.size("ingredients") > 0).withColumn("head", F.explode("heads"))
     entry = F.struct(F.concat_ws("-", "part", "stretch").alias("key"), F.struct("head.*", "ingredients").alias("value"))
-    return each.groupBy("few", "stretch").agg(F.map_from_entries(F.collect_list(entry)).alias("doc")).select("doc")
+    return each.groupBy("few", "share", "of").agg(F.map_from_entries(F.collect_list(entry)).alias("doc")).select("doc")
 
 
 def daily_counts(spark: SparkSession, d: str) -> DataFrame:

@@ -1,6 +1,8 @@
 """Pages, recipes, logs, history, invoices and streams on small cases."""
 
+from collections import Counter
 from datetime import date, datetime
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -84,6 +86,83 @@ def test_recipes_are_collected_behind_one_exchange(spark, tmp_path):
     assert docs.rdd.getNumPartitions() == 1 and bindings.recipes(spark, str(tmp_path), 100).rdd.getNumPartitions() == 4
 
 
+def shuffled(plan):
+    """(partitioning, rows) of the exchanges of a plan that ran."""
+    name = plan.nodeName()
+    if "QueryStage" in name or name == "AdaptiveSparkPlan":
+        return shuffled(plan.plan() if "QueryStage" in name else plan.executedPlan())
+    mine = [(plan.toString().split("\n")[0], plan.metrics().get("shuffleRecordsWritten").get().value())] if name == "Exchange" else []
+    return mine + [x for k in range(plan.children().size()) for x in shuffled(plan.children().apply(k))]
+
+
+def recipe_tables(spark, at, lines, parts):
+    """Lines are (order, part)."""
+    spark.createDataFrame([(k, f"part {k}", k, 1.5) for k in range(parts)], "p_partkey bigint, p_name string, p_size int, p_retailprice double").write.parquet(f"{at}/part.parquet")
+    rows = [(order, part, float(order % 9), "AN"[part % 2], "FO"[order % 3 % 2]) for order, part in lines]
+    spark.createDataFrame(rows, "l_orderkey bigint, l_partkey bigint, l_quantity double, l_returnflag string, l_linestatus string").write.parquet(f"{at}/lineitem.parquet")
+
+
+def test_heads_of_recipes_are_dealt_once(spark, tmp_path):
+    """Parts with lines in many stretches of orders: a head is not repeated for each of them."""
+    lines = [(k * 100_000 + part, part) for part in range(40) for k in range(part % 7, 50, 7)]
+    recipe_tables(spark, tmp_path, lines, 40)
+    docs = bindings.recipes(spark, str(tmp_path), 2_000)
+    found = [(key, value["name"]) for row in docs.collect() for key, value in row["doc"].items()]
+    assert sorted(found) == sorted((f"{part}-{order // 100_000}", f"part {part}") for order, part in lines)
+    dealt = [n for how, n in shuffled(docs._jdf.queryExecution().executedPlan()) if "REPARTITION_BY_NUM" in how]
+    assert dealt == [len(lines) + 40]
+
+
+def test_lines_of_frequent_parts_are_dealt_by_stretch(spark, tmp_path):
+    """A few parts with many lines for a task go to several, each with their heads; the others aren't parted."""
+    lines = [(k * 1_000, 3) for k in range(2_000)] + [(k, 20 + k % 20) for k in range(60)]
+    recipe_tables(spark, tmp_path, lines, 60)
+    docs = bindings.recipes(spark, str(tmp_path), 500)
+    rows = [(key, value["name"], len(value["ingredients"])) for row in docs.collect() for key, value in row["doc"].items()]
+    assert sorted(rows) == sorted([(f"3-{k}", "part 3", 100) for k in range(20)] + [(f"{20 + k}-0", f"part {20 + k}", 3) for k in range(20)])
+    dealt = [n for how, n in shuffled(docs._jdf.queryExecution().executedPlan()) if "REPARTITION_BY_NUM" in how]
+    assert dealt == [2_060 + 32 * 20 + 40]  # the heads of the first 20 parts go with each of their shares
+    sizes = docs.rdd.glom().map(len).collect()
+    assert len(sizes) == 5 and sum(n > 0 for n in sizes) > 3
+
+
+def test_documents_do_not_grow_with_lines(spark, tmp_path):
+    """Parts with lines in a stretch or two share a document, those with many stretches have several."""
+    lines = [(k * 20_000, k % 5) for k in range(6_000)] + [(k * 1_000, 20 + k % 20) for k in range(200)]
+    recipe_tables(spark, tmp_path, lines, 40)
+    found = [{k: len(v["ingredients"]) for k, v in row["doc"].items()} for row in bindings.recipes(spark, str(tmp_path)).collect()]
+    assert {k: n for doc in found for k, n in doc.items()} == dict(Counter(f"{part}-{order // 100_000}" for order, part in lines))
+    assert sorted(sum(doc.values()) for doc in found) == [200] + 6 * [1_000]
+
+
+def stored(at):
+    """(files, their bytes) of the last version."""
+    files = [f for f in Path(at.removeprefix("file:")).iterdir() if f.name.startswith("part-")]
+    return files, sum(f.stat().st_size for f in files)
+
+
+def test_written_documents_are_compressed(spark):
+    path = work_folder(spark, "small")
+    recipe = F.struct(F.concat(F.lit("dish "), F.col("id") % 20).alias("name"), F.lit(1.0).alias("defaultPortion"), F.lit(900.0).alias("batchSize"), F.array(F.struct(F.lit("AF").alias("name"), (F.col("id") % 50).cast("double").alias("grams"))).alias("ingredients"))
+    many = spark.range(5_000).select(F.create_map(F.concat_ws("-", F.col("id"), F.lit(7)), recipe).cast(recipes.DOCUMENT).alias("doc"))
+    text = many.select(F.sum(F.octet_length(F.to_json("doc")))).first()[0]
+    documents.write_recipes(many, path)
+    documents.write_recipes(documents.read_recipes(spark, path, docs(spark)), path)  # over what is being read
+    files, size = stored(current(spark, path))
+    assert 0 < size < text / 5 and all(f.name.endswith(".txt.gz") for f in files)
+    order = lambda df: sorted(map(str, df.collect()))
+    assert order(documents.read_recipes(spark, path, docs(spark))) == order(many)
+
+
+def test_plain_documents_are_still_read(spark):
+    """Versions from before documents were compressed, and files that came another way."""
+    path = work_folder(spark, "plain")
+    docs(spark).select(F.to_json("doc").alias("value")).write.text(path)
+    assert documents.read_recipes(spark, path, docs(spark).limit(0)).first() == docs(spark).first()
+    assert documents.migrate_stored(spark, path, DISHES, INGREDIENTS)
+    assert documents.read_recipes(spark, path, docs(spark)).first()["doc"]["a"]["name"] == "Carrot soup"
+
+
 def test_documents_are_parsed_once(spark):
     path = work_folder(spark, "once")
     documents.write_recipes(spark.createDataFrame([({},), (None,), ({"a": ("x", 1.0, 2.0, None)},)], f"doc {recipes.DOCUMENT}"), path)
