@@ -50,7 +50,7 @@ def migrate_stored(spark: SparkSession, path: str, dishes: dict[str, str], ingre
         if docs is None or not recipes_changed(docs, dishes, ingredients).first()["changed"]:
             return None
         name = new_data()
-        migrate_recipes(docs, dishes, ingredients).select(F.to_json("doc").alias("value")).write.text(f"{path}/{DATA}/{name}")
+        write_documents(migrate_recipes(docs, dishes, ingredients), f"{path}/{DATA}/{name}")
         return {"": name}
 
     return commit(spark, path, change) is not None

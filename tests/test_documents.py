@@ -154,6 +154,14 @@ def test_written_documents_are_compressed(spark):
     assert order(documents.read_recipes(spark, path, docs(spark))) == order(many)
 
 
+def test_migrated_documents_are_compressed(spark):
+    path = work_folder(spark, "renamed")
+    documents.write_recipes(docs(spark), path)
+    assert documents.migrate_stored(spark, path, DISHES, INGREDIENTS)
+    files, size = stored(current(spark, path))
+    assert size and all(f.name.endswith(".txt.gz") for f in files)
+
+
 def test_plain_documents_are_still_read(spark):
     """Versions from before documents were compressed, and files that came another way."""
     path = work_folder(spark, "plain")
