@@ -1,14 +1,17 @@
 """Pages, recipes, logs, history, invoices and streams on small cases."""
 
+import gzip
 from collections import Counter
 from datetime import date, datetime
 from pathlib import Path
 
+import duckdb
 import pytest
+from oracle import same
 from pyspark.sql import functions as F
 
 from storeops.operators import invoices, recipes, sales
-from storeops.plans import bindings
+from storeops.plans import bindings, catalog
 from storeops.sources import documents, pages
 from storeops.sources.folders import current, work_folder
 from storeops.streaming.tally import run_closing_tally, run_daily_tally
@@ -162,6 +165,28 @@ def test_migrated_documents_are_compressed(spark):
     assert size and all(f.name.endswith(".txt.gz") for f in files)
 
 
+@pytest.mark.parametrize("held", [200, 500_000])
+def test_stored_recipes_of_many_stretches(spark, tmp_path, monkeypatch, held):
+    """Orders and parts that don't depend on each other, so that most lines are a recipe of their own: rows as by SQL, and what is stored is a small share of the text."""
+    import random
+
+    rng = random.Random(5)
+    recipe_tables(spark, tmp_path, [(rng.randrange(6_000_000), 7 if rng.random() < 0.1 else rng.randrange(430)) for _ in range(6_000)], 400)
+    monkeypatch.setattr(bindings.recipes, "__defaults__", (held,))
+    con = duckdb.connect()
+    for name in ("part", "lineitem"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    for name in ("write_recipes", "migrate_recipes_twice", "migrate_recipes"):
+        shared = Path(work_folder(spark, "x").removeprefix("file:")).parent
+        others = set(shared.iterdir())
+        same(catalog.QUERIES[name](spark, str(tmp_path)), con, catalog.ORACLES[name])
+        (made,) = set(shared.iterdir()) - others
+        files = list(made.glob("_data/*/part-*"))
+        size = sum(f.stat().st_size for f in files)
+        text = sum(len(gzip.decompress(f.read_bytes())) if f.name.endswith(".gz") else f.stat().st_size for f in files)
+        assert len(list(made.glob("_data/*"))) == 2 and 0 < size < text / 4
+
+
 def test_plain_documents_are_still_read(spark):
     """Versions from before documents were compressed, and files that came another way."""
     path = work_folder(spark, "plain")
